@@ -96,3 +96,31 @@ FIXTURE_TIDE_CELL_AREA = 0.1
 
 # Region keys whose zones the fixture treats as "out of tide scope".
 FIXTURE_TIDE_OUT_REGIONS = (4,)
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES (source code tables)
+# ---------------------------------------------------------------------------
+
+# Flood grid files are named shinsui_<slug>.csv; slug -> official basin label.
+BASIN_FILE_PATTERN = r"^shinsui_(.+)\.csv$"
+BASIN_LABELS = {
+    "kandagawa": "神田川流域",
+    "sumidagawa": "隅田川・新河岸川流域",
+    "syakujiigawa": "石神井川・白子川流域",
+    "nogawa": "野川・仙川・入間川・谷沢川・丸子川流域",
+    "nakagawa": "中川・綾瀬川圏域",
+    "koutounaibu": "江東内部河川流域",
+    "jyounantiku": "城南地区河川流域（渋谷川・古川・目黒川・立会川・内川・呑川）",
+}
+
+# Boring class labels (as in the source attribute) in weight order.
+PL_CLASS_SMALL = "小（0≦PL≦5）"
+PL_CLASS_MID = "中（5<PL≦15）"
+PL_CLASS_LARGE = "大（PL>15）"
+
+# Fixture boring classes -> weights (the fixture uses plain class names).
+FIXTURE_PL_WEIGHTS = {"small": PL_WEIGHT_SMALL, "mid": PL_WEIGHT_MID,
+                      "large": PL_WEIGHT_LARGE}
+
+# Grid cell size (fixture units) of the point-in-zone join.
+FIXTURE_CELL = 2.0

@@ -110,3 +110,201 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(avg(safety_score), 6) AS mean,
   round(quantile_cont(safety_score, 0.25), 6) AS p25, round(quantile_cont(safety_score, 0.5), 6) AS p50,
   round(quantile_cont(safety_score, 0.75), 6) AS p75, round(max(safety_score), 6) AS max
 FROM safety WHERE safety_score IS NOT NULL"""
+
+# --- zones, points, borings, hazards -----------------------------------------
+
+PTS = """pts AS (
+  SELECT (l_orderkey * 7919 + l_linenumber * 104729) % 99991 / CAST(1000 AS DOUBLE) AS x,
+         (l_orderkey * 15485863 + l_linenumber * 32452843) % 99989 / CAST(1000 AS DOUBLE) AS y,
+         round(l_discount * 10, 2) AS depth, l_quantity - 25 AS elev,
+         concat(l_returnflag, l_linestatus) AS basin
+  FROM lineitem)"""
+
+ZEDGES = """zv AS (SELECT * FROM (VALUES (0, 1, 1), (1, 18, 2), (2, 17, 9), (3, 9, 10), (4, 8, 19), (5, 2, 18)) t(i, vx, vy)),
+zedges AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS zone,
+    CAST((n_nationkey % 5) * 20 + a.vx AS DOUBLE) AS x1, CAST(floor(n_nationkey / 5) * 20 + a.vy AS DOUBLE) AS y1,
+    CAST((n_nationkey % 5) * 20 + b.vx AS DOUBLE) AS x2, CAST(floor(n_nationkey / 5) * 20 + b.vy AS DOUBLE) AS y2
+  FROM nation, zv a JOIN zv b ON b.i = (a.i + 1) % 6)"""
+
+
+def _hits(src: str, name: str) -> str:
+    """Rows of `src` inside their lattice zone (even-odd ray test)."""
+    return f"""{name} AS (
+  SELECT s.*, CAST(floor(s.x / 20) + 5 * floor(s.y / 20) AS BIGINT) AS zone FROM {src} s
+  WHERE (SELECT count(*) FROM zedges e
+         WHERE e.zone = CAST(floor(s.x / 20) + 5 * floor(s.y / 20) AS BIGINT)
+           AND ((e.y1 > s.y) <> (e.y2 > s.y))
+           AND s.x < (e.x2 - e.x1) * (s.y - e.y1) / (e.y2 - e.y1) + e.x1) % 2 = 1)"""
+
+
+ZB = """zb AS (
+  SELECT zone, basin, count(*) AS n, count_if(depth > 0) AS n_flood, sum(depth) AS depth_sum,
+         max(depth) AS dmax, sum(elev) AS esum, min(elev) AS emin
+  FROM zhits GROUP BY zone, basin),
+zs AS (
+  SELECT zone, sum(n) AS n, sum(n_flood) AS n_flood, sum(depth_sum) AS depth_sum, max(dmax) AS dmax,
+         sum(esum) AS esum, min(emin) AS emin FROM zb GROUP BY zone),
+mb AS (
+  SELECT zone, basin AS main_basin, n_flood AS main_n FROM (
+    SELECT *, row_number() OVER (PARTITION BY zone ORDER BY n_flood DESC, basin) AS rn
+    FROM zb WHERE n_flood > 0) WHERE rn = 1),
+bl AS (SELECT zone, string_agg(basin, '|' ORDER BY n_flood DESC, basin) AS tk_basins
+       FROM zb WHERE n_flood > 0 GROUP BY zone),
+flood AS (
+  SELECT CAST(nn.n_nationkey AS BIGINT) AS zone, coalesce(zs.n, 0) > 0 AS tk_coverage,
+    CAST(coalesce(zs.n, 0) AS BIGINT) AS tk_n,
+    zs.n_flood / zs.n AS tk_flood_ratio,
+    CASE WHEN zs.n_flood > 0 THEN zs.depth_sum / zs.n_flood END AS tk_mean_depth,
+    greatest(zs.dmax, 0.0) AS tk_max_depth,
+    zs.esum / zs.n AS tk_mean_elev, zs.emin AS tk_min_elev,
+    coalesce(zs.esum / zs.n < 0, false) AS tk_below_sea,
+    mb.main_basin AS tk_main_basin,
+    CASE WHEN zs.n_flood > 0 THEN mb.main_n / zs.n_flood END AS tk_main_basin_ratio,
+    bl.tk_basins
+  FROM nation nn LEFT JOIN zs ON zs.zone = nn.n_nationkey
+  LEFT JOIN mb ON mb.zone = nn.n_nationkey LEFT JOIN bl ON bl.zone = nn.n_nationkey)"""
+
+ZHITS = _hits("pts", "zhits")
+
+ORACLE["q_pip_count"] = _with(PTS, ZEDGES, ZHITS) + """
+SELECT zone, count(*) AS n_points FROM zhits GROUP BY zone"""
+
+ORACLE["q_zone_depth_stats"] = _with(PTS, ZEDGES, ZHITS) + """
+SELECT zone, count(*) AS n, CAST(count_if(depth > 0) AS BIGINT) AS n_flood,
+  round(sum(depth), 6) AS depth_sum, round(max(depth), 6) AS depth_max,
+  round(sum(elev), 6) AS elev_sum, round(min(elev), 6) AS elev_min
+FROM zhits GROUP BY zone"""
+
+ORACLE["q_flood_by_zone"] = _with(PTS, ZEDGES, ZHITS, ZB) + """
+SELECT zone, tk_coverage, tk_n, round(tk_flood_ratio, 6) AS tk_flood_ratio,
+  round(tk_mean_depth, 6) AS tk_mean_depth, round(tk_max_depth, 6) AS tk_max_depth,
+  round(tk_mean_elev, 6) AS tk_mean_elev, round(tk_min_elev, 6) AS tk_min_elev, tk_below_sea,
+  tk_main_basin, round(tk_main_basin_ratio, 6) AS tk_main_basin_ratio, tk_basins
+FROM flood"""
+
+ORACLE["q_top1_per_group"] = _with(PTS, ZEDGES, ZHITS, ZB) + """
+SELECT zone, main_basin, CAST(main_n AS BIGINT) AS main_n_flood FROM mb"""
+
+ORACLE["q_ordered_list"] = _with(PTS, ZEDGES, ZHITS, ZB) + """
+SELECT zone, tk_basins FROM bl"""
+
+ORACLE["q_other_basins"] = _with(PTS, ZEDGES, ZHITS, ZB) + """,
+o AS (SELECT zone, list_filter(string_split(coalesce(tk_basins, ''), '|'),
+                              lambda b: b <> '' AND b <> coalesce(tk_main_basin, '')) AS l FROM flood)
+SELECT zone, array_to_string(l, '・') AS other_basins, CAST(len(l) AS BIGINT) AS n_other FROM o"""
+
+ORACLE["q_elev_score"] = _with(PTS, ZEDGES, ZHITS, ZB) + """,
+r AS (SELECT zone, 100.0 * rank() OVER (ORDER BY tk_mean_elev) / count(*) OVER () AS s
+      FROM flood WHERE tk_coverage AND tk_mean_elev IS NOT NULL)
+SELECT f.zone, round(f.tk_mean_elev, 6) AS tk_mean_elev, round(r.s, 6) AS elev_score
+FROM flood f LEFT JOIN r ON r.zone = f.zone"""
+
+ORACLE["q_coverage_summary"] = _with(AREAS, PTS, ZEDGES, ZHITS, ZB) + """,
+zp AS (SELECT zone, sum(pop) AS pop FROM areas GROUP BY zone)
+SELECT CAST(count(*) AS BIGINT) AS n_zones, CAST(count_if(tk_coverage) AS BIGINT) AS n_covered,
+  CAST(count_if(tk_below_sea) AS BIGINT) AS n_below_sea,
+  round(sum(CASE WHEN tk_below_sea THEN zp.pop ELSE 0.0 END), 6) AS pop_below_sea,
+  round(sum(zp.pop), 6) AS pop_total,
+  round(count_if(tk_coverage) / count(*), 6) AS share_covered
+FROM flood f LEFT JOIN zp ON zp.zone = f.zone"""
+
+ORACLE["q_basin_label"] = _with(PTS) + """
+SELECT basin, CASE lower(basin)
+    WHEN 'kandagawa' THEN '神田川流域' WHEN 'sumidagawa' THEN '隅田川・新河岸川流域'
+    ELSE lower(basin) END AS basin_label,
+  count(*) AS n_points, CAST(count_if(depth > 0) AS BIGINT) AS n_flood
+FROM pts GROUP BY basin"""
+
+ZAREA = """zarea AS (SELECT zone, abs(sum(x1 * y2 - x2 * y1)) / 2 AS zone_area FROM zedges GROUP BY zone)"""
+
+ORACLE["q_tide_exposure"] = _with(PTS, ZEDGES, _hits("(SELECT * FROM pts WHERE depth > 0)", "thits"), ZAREA) + """,
+t AS (SELECT zone, count(*) AS n, sum(depth) AS s, max(depth) AS mx FROM thits GROUP BY zone),
+r AS (
+  SELECT a.zone, coalesce(t.n, 0) AS n, least(greatest(coalesce(t.n, 0) * 0.1 / a.zone_area, 0.0), 1.0) AS ratio,
+    coalesce(t.s / t.n, 0.0) AS mean, coalesce(t.mx, 0.0) AS mx
+  FROM zarea a LEFT JOIN t ON t.zone = a.zone)
+SELECT zone, CAST(n AS BIGINT) AS ts_n, round(ratio, 6) AS ts_flood_ratio, round(mean, 6) AS ts_mean_depth,
+  round(mx, 6) AS ts_max_depth, round(ratio * mean, 6) AS ts_exposure FROM r"""
+
+BOR = """bor AS (
+  SELECT p_partkey AS pid, (p_partkey * 7919) % 9973 / CAST(100 AS DOUBLE) AS x,
+         (p_partkey * 6271) % 9949 / CAST(100 AS DOUBLE) AS y,
+         CASE WHEN p_size <= 20 THEN 'small' WHEN p_size <= 40 THEN 'mid' ELSE 'large' END AS cls
+  FROM part),
+borw AS (SELECT *, CAST(CASE cls WHEN 'small' THEN 2.5 WHEN 'mid' THEN 10.0 WHEN 'large' THEN 20.0 END AS DOUBLE) AS w FROM bor)"""
+
+BHITS = _hits("borw", "bhits")
+
+CC = """cc AS (
+  SELECT zone, count(*) AS liq_points, sum(w) AS liq_sum, count_if(cls = 'small') AS liq_small,
+    count_if(cls = 'mid') AS liq_mid, count_if(cls = 'large') AS liq_large
+  FROM bhits GROUP BY zone)"""
+
+ORACLE["q_class_counts"] = _with(BOR, ZEDGES, BHITS, CC) + """
+SELECT zone, CAST(liq_points AS BIGINT) AS liq_points, round(liq_sum, 6) AS liq_sum,
+  CAST(liq_small AS BIGINT) AS liq_small, CAST(liq_mid AS BIGINT) AS liq_mid,
+  CAST(liq_large AS BIGINT) AS liq_large FROM cc"""
+
+GROUND = """prior AS (SELECT avg(w) AS pm FROM bhits),
+ground AS (
+  SELECT CAST(nn.n_nationkey AS BIGINT) AS zone, CAST(coalesce(cc.liq_points, 0) AS BIGINT) AS liq_points,
+    CAST(coalesce(cc.liq_small, 0) AS BIGINT) AS liq_small, CAST(coalesce(cc.liq_mid, 0) AS BIGINT) AS liq_mid,
+    CAST(coalesce(cc.liq_large, 0) AS BIGINT) AS liq_large,
+    (cc.liq_sum + 2 * prior.pm) / (cc.liq_points + 2) AS liq_pl,
+    cc.liq_sum / cc.liq_points AS liq_pl_raw,
+    cc.liq_points IS NOT NULL AS liq_covered,
+    cc.liq_points IS NOT NULL AND coalesce(cc.liq_points, 0) <= 2 AS liq_thin
+  FROM nation nn LEFT JOIN cc ON cc.zone = nn.n_nationkey, prior)"""
+
+ORACLE["q_ground_pl"] = _with(BOR, ZEDGES, BHITS, CC, GROUND) + """
+SELECT zone, liq_points, liq_small, liq_mid, liq_large, round(liq_pl, 6) AS liq_pl,
+  round(liq_pl_raw, 6) AS liq_pl_raw, liq_covered, liq_thin FROM ground"""
+
+ORACLE["q_unknown_codes"] = _with(BOR) + """
+SELECT cls, cls IN ('small', 'mid', 'large') AS known, count(*) AS n FROM bor GROUP BY cls"""
+
+HEDGES = """hv AS (SELECT * FROM (VALUES (0, 0, 0), (1, 9, 2), (2, 3, 8)) t(i, vx, vy)),
+haz AS (
+  SELECT s_suppkey AS poly_id, s_suppkey % 3 AS river, CAST(s_nationkey % 6 + 1 AS INTEGER) AS rk,
+         CAST((s_suppkey * 37) % 100 AS DOUBLE) AS cx, CAST((s_suppkey * 53) % 100 AS DOUBLE) AS cy
+  FROM supplier),
+hedges AS (
+  SELECT h.poly_id, h.cx + a.vx AS x1, h.cy + a.vy AS y1, h.cx + b.vx AS x2, h.cy + b.vy AS y2
+  FROM haz h, hv a JOIN hv b ON b.i = (a.i + 1) % 3)"""
+
+INTERSECT = """cand AS (
+  SELECT z.zone, h.poly_id FROM
+    (SELECT zone, min(least(x1, x2)) AS x0, min(least(y1, y2)) AS y0, max(greatest(x1, x2)) AS x1, max(greatest(y1, y2)) AS y1
+     FROM zedges GROUP BY zone) z,
+    (SELECT poly_id, min(least(x1, x2)) AS x0, min(least(y1, y2)) AS y0, max(greatest(x1, x2)) AS x1, max(greatest(y1, y2)) AS y1
+     FROM hedges GROUP BY poly_id) h
+  WHERE z.x0 <= h.x1 AND h.x0 <= z.x1 AND z.y0 <= h.y1 AND h.y0 <= z.y1),
+crossing AS (
+  SELECT DISTINCT c.zone, c.poly_id FROM cand c
+  JOIN zedges a ON a.zone = c.zone JOIN hedges b ON b.poly_id = c.poly_id
+  WHERE least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
+    AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)
+    AND sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1))
+      * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) <= 0
+    AND sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1))
+      * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) <= 0),
+hv0 AS (SELECT poly_id, cx AS x, cy AS y FROM haz),
+zv0 AS (SELECT CAST(n_nationkey AS BIGINT) AS zone, CAST((n_nationkey % 5) * 20 + 1 AS DOUBLE) AS x,
+               CAST(floor(n_nationkey / 5) * 20 + 1 AS DOUBLE) AS y FROM nation),
+h_in_z AS (
+  SELECT c.zone, c.poly_id FROM cand c JOIN hv0 v ON v.poly_id = c.poly_id
+  WHERE (SELECT count(*) FROM zedges e WHERE e.zone = c.zone AND ((e.y1 > v.y) <> (e.y2 > v.y))
+         AND v.x < (e.x2 - e.x1) * (v.y - e.y1) / (e.y2 - e.y1) + e.x1) % 2 = 1),
+z_in_h AS (
+  SELECT c.zone, c.poly_id FROM cand c JOIN zv0 v ON v.zone = c.zone
+  WHERE (SELECT count(*) FROM hedges e WHERE e.poly_id = c.poly_id AND ((e.y1 > v.y) <> (e.y2 > v.y))
+         AND v.x < (e.x2 - e.x1) * (v.y - e.y1) / (e.y2 - e.y1) + e.x1) % 2 = 1),
+inter AS (SELECT * FROM crossing UNION SELECT * FROM h_in_z UNION SELECT * FROM z_in_h)"""
+
+ORACLE["q_history_flags"] = _with(ZEDGES, HEDGES, INTERSECT) + """,
+per AS (SELECT i.zone, bool_or(h.river = 1) AS f1923, bool_or(h.river = 2) AS f2011
+        FROM inter i JOIN haz h ON h.poly_id = i.poly_id GROUP BY i.zone)
+SELECT CAST(n.n_nationkey AS BIGINT) AS zone, per.zone IS NOT NULL AS liq_history,
+  coalesce(per.f1923, false) AS liq_1923, coalesce(per.f2011, false) AS liq_2011
+FROM nation n LEFT JOIN per ON per.zone = n.n_nationkey"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import crime_queries as cq
+from .plans import zone_queries as zq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,4 +23,18 @@ QUERIES: dict[str, Query] = {
     "q_unmatched": cq.q_unmatched,
     "q_mart_crime": cq.q_mart_crime,
     "q_describe": cq.q_describe,
+    "q_pip_count": zq.q_pip_count,
+    "q_zone_depth_stats": zq.q_zone_depth_stats,
+    "q_flood_by_zone": zq.q_flood_by_zone,
+    "q_top1_per_group": zq.q_top1_per_group,
+    "q_ordered_list": zq.q_ordered_list,
+    "q_other_basins": zq.q_other_basins,
+    "q_elev_score": zq.q_elev_score,
+    "q_coverage_summary": zq.q_coverage_summary,
+    "q_basin_label": zq.q_basin_label,
+    "q_tide_exposure": zq.q_tide_exposure,
+    "q_class_counts": zq.q_class_counts,
+    "q_ground_pl": zq.q_ground_pl,
+    "q_unknown_codes": zq.q_unknown_codes,
+    "q_history_flags": zq.q_history_flags,
 }
