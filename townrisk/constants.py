@@ -124,3 +124,10 @@ FIXTURE_PL_WEIGHTS = {"small": PL_WEIGHT_SMALL, "mid": PL_WEIGHT_MID,
 
 # Grid cell size (fixture units) of the point-in-zone join.
 FIXTURE_CELL = 2.0
+
+# Overlay parameters (fixture units): x-slab width and bbox grid cell.
+FIXTURE_SLAB = 5.0
+FIXTURE_PAIR_CELL = 10.0
+# Fixture hazard kinds of the collapse axis: river id -> kind.
+FIXTURE_COLLAPSE_FLOW_RIVER = 0
+FIXTURE_COLLAPSE_EROSION_RIVER = 1

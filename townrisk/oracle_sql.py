@@ -308,3 +308,96 @@ per AS (SELECT i.zone, bool_or(h.river = 1) AS f1923, bool_or(h.river = 2) AS f2
 SELECT CAST(n.n_nationkey AS BIGINT) AS zone, per.zone IS NOT NULL AS liq_history,
   coalesce(per.f1923, false) AS liq_1923, coalesce(per.f2011, false) AS liq_2011
 FROM nation n LEFT JOIN per ON per.zone = n.n_nationkey"""
+
+# --- overlay ----------------------------------------------------------------
+
+OVERLAY = """zp AS (
+  SELECT zone, least(x1, x2) AS lx, CASE WHEN x1 < x2 THEN y1 ELSE y2 END AS ly,
+         greatest(x1, x2) AS rx, CASE WHEN x1 < x2 THEN y2 ELSE y1 END AS ry,
+         CASE WHEN x2 < x1 THEN 1.0 ELSE -1.0 END AS sg
+  FROM zedges WHERE x1 <> x2),
+hp AS (
+  SELECT poly_id, least(x1, x2) AS lx, CASE WHEN x1 < x2 THEN y1 ELSE y2 END AS ly,
+         greatest(x1, x2) AS rx, CASE WHEN x1 < x2 THEN y2 ELSE y1 END AS ry,
+         CASE WHEN x2 < x1 THEN 1.0 ELSE -1.0 END AS sg
+  FROM hedges WHERE x1 <> x2),
+seg AS (
+  SELECT c.zone, c.poly_id, a.sg * b.sg AS s,
+    greatest(a.lx, b.lx) AS lo, least(a.rx, b.rx) AS hi,
+    a.lx AS alx, a.ly AS aly, a.rx AS arx, a.ry AS ary, b.lx AS blx, b.ly AS bly, b.rx AS brx, b.ry AS bry
+  FROM cand c JOIN zp a ON a.zone = c.zone JOIN hp b ON b.poly_id = c.poly_id
+  WHERE least(a.rx, b.rx) > greatest(a.lx, b.lx)),
+segv AS (
+  SELECT zone, poly_id, s, lo, hi,
+    aly + (ary - aly) * (lo - alx) / (arx - alx) AS fl, aly + (ary - aly) * (hi - alx) / (arx - alx) AS fh,
+    bly + (bry - bly) * (lo - blx) / (brx - blx) AS gl, bly + (bry - bly) * (hi - blx) / (brx - blx) AS gh
+  FROM seg),
+segi AS (
+  SELECT zone, poly_id, s * CASE
+    WHEN (fl - gl) * (fh - gh) >= 0 THEN (hi - lo) * (least(fl, gl) + least(fh, gh)) / 2
+    ELSE ((lo + (fl - gl) / ((fl - gl) - (fh - gh)) * (hi - lo)) - lo)
+           * (least(fl, gl) + (fl + (fl - gl) / ((fl - gl) - (fh - gh)) * (fh - fl))) / 2
+       + (hi - (lo + (fl - gl) / ((fl - gl) - (fh - gh)) * (hi - lo)))
+           * ((fl + (fl - gl) / ((fl - gl) - (fh - gh)) * (fh - fl)) + least(fh, gh)) / 2
+    END AS v
+  FROM segv),
+ov AS (SELECT zone, poly_id, sum(v) AS a FROM segi GROUP BY zone, poly_id HAVING sum(v) > 1e-9)"""
+
+ORACLE["q_overlay_area"] = _with(ZEDGES, HEDGES, INTERSECT, OVERLAY) + """
+SELECT zone, poly_id, round(a, 6) AS a FROM ov"""
+
+ORACLE["q_poly_intersects"] = _with(ZEDGES, HEDGES, INTERSECT) + """
+SELECT zone, poly_id FROM inter"""
+
+ORACLE["q_semi_candidates"] = _with(ZEDGES, HEDGES, INTERSECT) + """
+SELECT CAST(n.n_nationkey AS BIGINT) AS zone, r.r_name AS ward,
+  EXISTS (SELECT 1 FROM inter i WHERE i.zone = n.n_nationkey) AS intersects
+FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey
+WHERE EXISTS (SELECT 1 FROM cand c WHERE c.zone = n.n_nationkey)"""
+
+DEPTHS = """dm AS (SELECT * FROM (VALUES (1, '0〜0.5m未満', 0.25), (2, '0.5〜3.0m未満', 1.75),
+  (3, '3.0〜5.0m未満', 4.0), (4, '5.0〜10.0m未満', 7.5), (5, '10.0〜20.0m未満', 15.0),
+  (6, '20.0m以上', 20.0)) t(rk, label, metres)),
+rn AS (SELECT * FROM (VALUES (0, '荒川'), (1, '多摩川'), (2, '江戸川')) t(river, rname))"""
+
+NATIONAL = """ovr AS (
+  SELECT ov.zone, ov.a, h.river, h.rk, CAST(dm.metres AS DOUBLE) AS metres
+  FROM ov JOIN haz h ON h.poly_id = ov.poly_id JOIN dm ON dm.rk = h.rk),
+byr AS (SELECT zone, river, sum(a) AS ra, sum(metres * a) AS da FROM ovr GROUP BY zone, river),
+mr AS (SELECT zone, river AS main_river FROM (
+  SELECT *, row_number() OVER (PARTITION BY zone ORDER BY ra DESC, river) AS k FROM byr) WHERE k = 1),
+byk AS (SELECT o.zone, o.rk, sum(o.a) AS ka FROM ovr o JOIN mr ON mr.zone = o.zone AND o.river = mr.main_river
+        GROUP BY o.zone, o.rk),
+topk AS (SELECT zone, rk AS main_rk, ka AS main_ka FROM (
+  SELECT *, row_number() OVER (PARTITION BY zone ORDER BY ka DESC, rk) AS k FROM byk) WHERE k = 1),
+deep AS (SELECT zone, rk AS max_rk, ka AS max_ka FROM (
+  SELECT *, row_number() OVER (PARTITION BY zone ORDER BY rk DESC) AS k FROM byk) WHERE k = 1),
+tot AS (SELECT zone, sum(ka) AS nat_area FROM byk GROUP BY zone),
+ex AS (SELECT b.zone, max(b.da / za.zone_area) AS nat_exposure,
+         string_agg(DISTINCT rn.rname, '・' ORDER BY rn.rname) AS nat_rivers
+       FROM byr b JOIN zarea za ON za.zone = b.zone JOIN rn ON rn.river = b.river GROUP BY b.zone),
+nat AS (
+  SELECT t.zone, least(t.nat_area / za.zone_area, 1.0) AS nat_ratio, ex.nat_exposure,
+    tk.main_rk AS nat_main_rank, d1.label AS nat_main_label, least(tk.main_ka / za.zone_area, 1.0) AS nat_main_ratio,
+    dp.max_rk AS nat_max_rank, d2.label AS nat_max_label, least(dp.max_ka / za.zone_area, 1.0) AS nat_max_ratio,
+    rn.rname AS nat_main_river, ex.nat_rivers
+  FROM tot t JOIN zarea za ON za.zone = t.zone JOIN ex ON ex.zone = t.zone JOIN topk tk ON tk.zone = t.zone
+  JOIN deep dp ON dp.zone = t.zone JOIN mr ON mr.zone = t.zone JOIN rn ON rn.river = mr.main_river
+  JOIN dm d1 ON d1.rk = tk.main_rk JOIN dm d2 ON d2.rk = dp.max_rk)"""
+
+ORACLE["q_national_rivers"] = _with(ZEDGES, HEDGES, INTERSECT, OVERLAY, ZAREA, DEPTHS, NATIONAL) + """
+SELECT zone, round(nat_ratio, 6) AS nat_ratio, round(nat_exposure, 6) AS nat_exposure,
+  nat_main_rank, nat_main_label, round(nat_main_ratio, 6) AS nat_main_ratio,
+  nat_max_rank, nat_max_label, round(nat_max_ratio, 6) AS nat_max_ratio, nat_main_river, nat_rivers
+FROM nat"""
+
+ORACLE["q_weighted_exposure"] = _with(ZEDGES, HEDGES, INTERSECT, OVERLAY, ZAREA, DEPTHS, NATIONAL) + """
+SELECT b.zone, rn.rname AS river, round(b.ra, 6) AS river_area, round(b.da / za.zone_area, 6) AS exposure
+FROM byr b JOIN zarea za ON za.zone = b.zone JOIN rn ON rn.river = b.river"""
+
+ORACLE["q_distinct_list"] = _with(ZEDGES, HEDGES, INTERSECT, OVERLAY, ZAREA, DEPTHS, NATIONAL) + """
+SELECT zone, nat_rivers FROM nat"""
+
+ORACLE["q_code_lookup"] = _with(HEDGES, DEPTHS) + """
+SELECT h.poly_id, h.rk, dm.label AS depth_label, CAST(dm.metres AS DOUBLE) AS depth_m
+FROM haz h LEFT JOIN dm ON dm.rk = h.rk"""

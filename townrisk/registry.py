@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans import crime_queries as cq
 from .plans import zone_queries as zq
+from .plans import hazard_queries as hq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,4 +38,13 @@ QUERIES: dict[str, Query] = {
     "q_ground_pl": zq.q_ground_pl,
     "q_unknown_codes": zq.q_unknown_codes,
     "q_history_flags": zq.q_history_flags,
+    "q_poly_intersects": hq.q_poly_intersects,
+    "q_semi_candidates": hq.q_semi_candidates,
+    "q_overlay_area": hq.q_overlay_area,
+    "q_union_area": hq.q_union_area,
+    "q_collapse_ratio": hq.q_collapse_ratio,
+    "q_national_rivers": hq.q_national_rivers,
+    "q_weighted_exposure": hq.q_weighted_exposure,
+    "q_distinct_list": hq.q_distinct_list,
+    "q_code_lookup": hq.q_code_lookup,
 }
