@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators.overlay import overlay_area, union_area
 from ..operators.ranking import top1
+from ..operators.sizing import cut_lineage
 from ..operators.spatial import bbox_pairs, intersects
+from ..sources.staging import staged
 from .zones import hazard_polys, zone_polys
 
 
@@ -25,6 +27,10 @@ def river_name(river: Column) -> Column:
 
 def zone_hazard_overlay(spark: SparkSession, d: str) -> DataFrame:
     """zone, poly_id, a (intersection area, overlaps counted per polygon)."""
+    return staged(spark, "zone_hazard_overlay", d, lambda: _zone_hazard_overlay(spark, d))
+
+
+def _zone_hazard_overlay(spark: SparkSession, d: str) -> DataFrame:
     z = zone_polys(spark, d).select("zone", "rings")
     h = hazard_polys(spark, d).select("poly_id", "rings")
     return overlay_area(z, "zone", "rings", h, "poly_id", "rings",
@@ -44,6 +50,10 @@ def union_ratio(spark: SparkSession, d: str, hz: DataFrame, prefix: str) -> Data
 
 
 def collapse_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "collapse_by_zone", d, lambda: _collapse_by_zone(spark, d))
+
+
+def _collapse_by_zone(spark: SparkSession, d: str) -> DataFrame:
     h = hazard_polys(spark, d)
     flow = union_ratio(spark, d, h.where(F.col("river") == K.FIXTURE_COLLAPSE_FLOW_RIVER),
                        "collapse_flow")
@@ -59,12 +69,16 @@ def collapse_by_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 def national_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "national_by_zone", d, lambda: _national_by_zone(spark, d))
+
+
+def _national_by_zone(spark: SparkSession, d: str) -> DataFrame:
     """Main river by area, main / deepest rank with their area shares,
     exposure = max over rivers of sum(metres * area) / zone area."""
     ov = zone_hazard_overlay(spark, d)
     h = hazard_polys(spark, d).select("poly_id", "river", "rk")
     dt = F.broadcast(depth_table(spark))
-    ov = ov.join(h, "poly_id").join(dt, "rk")
+    ov = cut_lineage(ov.join(h, "poly_id").join(dt, "rk"))
     za = zone_polys(spark, d).select("zone", "zone_area")
     by_river = ov.groupBy("zone", "river").agg(
         F.sum("a").alias("ra"), F.sum(F.col("metres") * F.col("a")).alias("da"))

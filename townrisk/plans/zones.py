@@ -10,18 +10,24 @@ from ..functions import geo as G
 from ..operators.ranking import top1
 from ..operators.spatial import intersects, zone_join
 from ..sources import testdata as T
+from ..sources.staging import staged
 
 
 def zone_polys(spark: SparkSession, d: str) -> DataFrame:
-    """zone, ward, name, region, rings, zone_area."""
-    z = T.zones(spark, d)
-    z = z.withColumn("rings", F.array("ring")).drop("ring")
-    return z.withColumn("zone_area", G.area(F.col("rings")))
+    """zone, ward, name, region, rings, zone_area (staged once)."""
+    def build():
+        z = T.zones(spark, d)
+        z = z.withColumn("rings", F.array("ring")).drop("ring")
+        return z.withColumn("zone_area", G.area(F.col("rings")))
+    return staged(spark, "zone_polys", d, build)
 
 
 def hazard_polys(spark: SparkSession, d: str) -> DataFrame:
-    h = T.hazards(spark, d)
-    return h.withColumn("rings", F.array("ring")).drop("ring")
+    """poly_id, river, rk, cx, cy, rings (staged once)."""
+    def build():
+        h = T.hazards(spark, d)
+        return h.withColumn("rings", F.array("ring")).drop("ring")
+    return staged(spark, "hazard_polys", d, build)
 
 
 def points_in_zones(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +64,10 @@ def basin_list(zb: DataFrame) -> DataFrame:
 
 
 def flood_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "flood_by_zone", d, lambda: _flood_by_zone(spark, d))
+
+
+def _flood_by_zone(spark: SparkSession, d: str) -> DataFrame:
     zb = zone_basin_stats(points_in_zones(spark, d))
     st = zone_stats(zb)
     main = top1(zb.where(F.col("n_flood") > 0), ["zone"], "n_flood", "basin",
@@ -87,7 +97,11 @@ def flood_by_zone(spark: SparkSession, d: str) -> DataFrame:
 
 # --- tide ------------------------------------------------------------------
 
-def tide_by_zone(spark: SparkSession, d: str, cell_area: float = K.FIXTURE_TIDE_CELL_AREA) -> DataFrame:
+def tide_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "tide_by_zone", d, lambda: _tide_by_zone(spark, d))
+
+
+def _tide_by_zone(spark: SparkSession, d: str, cell_area: float = K.FIXTURE_TIDE_CELL_AREA) -> DataFrame:
     """Flooded cells (points with depth > 0) per zone -> area ratio, mean
     depth inside the flooded part, max depth, exposure = ratio * mean."""
     cells = T.points(spark, d).where(F.col("depth") > 0)
@@ -142,6 +156,10 @@ def class_counts(j: DataFrame) -> DataFrame:
 
 
 def ground_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "ground_by_zone", d, lambda: _ground_by_zone(spark, d))
+
+
+def _ground_by_zone(spark: SparkSession, d: str) -> DataFrame:
     j = borings_in_zones(spark, d)
     cc = class_counts(j)
     prior = j.agg(F.avg("w").alias("_prior"))      # one row
@@ -162,6 +180,10 @@ def ground_by_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_flags(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "history_flags", d, lambda: _history_flags(spark, d))
+
+
+def _history_flags(spark: SparkSession, d: str) -> DataFrame:
     """Zones touched by any history polygon; one flag per history set.
 
     The fixture's three history sets are the hazard triangles of river 0

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import crime_queries as cq
 from .plans import zone_queries as zq
 from .plans import hazard_queries as hq
+from .plans import serve_queries as sq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,4 +48,29 @@ QUERIES: dict[str, Query] = {
     "q_weighted_exposure": hq.q_weighted_exposure,
     "q_distinct_list": hq.q_distinct_list,
     "q_code_lookup": hq.q_code_lookup,
+    "q_combine_scores": sq.q_combine_scores,
+    "q_mart_towns": sq.q_mart_towns,
+    "q_mart_scores": sq.q_mart_scores,
+    "q_mart_hazard": sq.q_mart_hazard,
+    "q_index": sq.q_index,
+    "q_masked_index": sq.q_masked_index,
+    "q_index_meta": sq.q_index_meta,
+    "q_ward_codes": sq.q_ward_codes,
+    "q_town_detail": sq.q_town_detail,
+    "q_town_json": sq.q_town_json,
+    "q_axis_corr": sq.q_axis_corr,
+    "q_axis_status": sq.q_axis_status,
+    "q_evidence": sq.q_evidence,
+    "q_card_summary": sq.q_card_summary,
+    "q_all_good_measured": sq.q_all_good_measured,
+    "q_typhoon_specific": sq.q_typhoon_specific,
+    "q_safety_flood_gap": sq.q_safety_flood_gap,
+    "q_flood_tide_gap": sq.q_flood_tide_gap,
+    "q_national_decided": sq.q_national_decided,
+    "q_score_bucket": sq.q_score_bucket,
+    "q_ward_rollup": sq.q_ward_rollup,
+    "q_dq_status": sq.q_dq_status,
+    "q_geojson_features": sq.q_geojson_features,
+    "q_dq_set_equality": sq.q_dq_set_equality,
+    "q_rebuild_diff": sq.q_rebuild_diff,
 }
