@@ -156,7 +156,7 @@ flood AS (
     CAST(coalesce(zs.n, 0) AS BIGINT) AS tk_n,
     zs.n_flood / zs.n AS tk_flood_ratio,
     CASE WHEN zs.n_flood > 0 THEN zs.depth_sum / zs.n_flood END AS tk_mean_depth,
-    greatest(zs.dmax, 0.0) AS tk_max_depth,
+    CASE WHEN zs.n > 0 THEN greatest(zs.dmax, 0.0) END AS tk_max_depth,
     zs.esum / zs.n AS tk_mean_elev, zs.emin AS tk_min_elev,
     coalesce(zs.esum / zs.n < 0, false) AS tk_below_sea,
     mb.main_basin AS tk_main_basin,
@@ -401,3 +401,406 @@ SELECT zone, nat_rivers FROM nat"""
 ORACLE["q_code_lookup"] = _with(HEDGES, DEPTHS) + """
 SELECT h.poly_id, h.rk, dm.label AS depth_label, CAST(dm.metres AS DOUBLE) AS depth_m
 FROM haz h LEFT JOIN dm ON dm.rk = h.rk"""
+
+# --- union area (independent elementary-interval sweep) ------------------------
+
+
+def _union(name: str, where: str) -> str:
+    return f"""{name}_c AS (SELECT c.zone, c.poly_id FROM cand c JOIN haz h ON h.poly_id = c.poly_id WHERE {where}),
+{name}_e AS (
+  SELECT zone, -1 AS owner, lx, ly, rx, ry, sg FROM zp WHERE zone IN (SELECT zone FROM {name}_c)
+  UNION ALL
+  SELECT c.zone, hp.poly_id AS owner, hp.lx, hp.ly, hp.rx, hp.ry, hp.sg
+  FROM {name}_c c JOIN hp ON hp.poly_id = c.poly_id),
+{name}_x AS (
+  SELECT zone, lx AS x FROM {name}_e UNION SELECT zone, rx AS x FROM {name}_e
+  UNION
+  SELECT zone, lo + (fl - gl) / ((fl - gl) - (fh - gh)) * (hi - lo) AS x FROM (
+    SELECT a.zone, greatest(a.lx, b.lx) AS lo, least(a.rx, b.rx) AS hi,
+      a.ly + (a.ry - a.ly) * (greatest(a.lx, b.lx) - a.lx) / (a.rx - a.lx) AS fl,
+      a.ly + (a.ry - a.ly) * (least(a.rx, b.rx) - a.lx) / (a.rx - a.lx) AS fh,
+      b.ly + (b.ry - b.ly) * (greatest(a.lx, b.lx) - b.lx) / (b.rx - b.lx) AS gl,
+      b.ly + (b.ry - b.ly) * (least(a.rx, b.rx) - b.lx) / (b.rx - b.lx) AS gh
+    FROM {name}_e a JOIN {name}_e b ON a.zone = b.zone
+    WHERE least(a.rx, b.rx) > greatest(a.lx, b.lx)) p
+  WHERE (fl - gl) * (fh - gh) < 0),
+{name}_i AS (
+  SELECT zone, x AS x0, lead(x) OVER (PARTITION BY zone ORDER BY x) AS x1 FROM (SELECT DISTINCT zone, x FROM {name}_x)),
+{name}_y AS (
+  SELECT i.zone, i.x0, i.x1, e.owner, e.sg,
+    e.ly + (e.ry - e.ly) * ((i.x0 + i.x1) / 2 - e.lx) / (e.rx - e.lx) AS y
+  FROM {name}_i i JOIN {name}_e e ON e.zone = i.zone
+   AND e.lx <= (i.x0 + i.x1) / 2 AND e.rx >= (i.x0 + i.x1) / 2
+  WHERE i.x1 > i.x0),
+{name}_w AS (
+  SELECT *, sum(sg) OVER (PARTITION BY zone, x0, owner ORDER BY y DESC, owner, sg ROWS UNBOUNDED PRECEDING) AS w_after
+  FROM {name}_y),
+{name}_d AS (
+  SELECT *, CASE WHEN owner = -1 THEN 0
+                 ELSE (CASE WHEN abs(w_after) > 0.5 THEN 1 ELSE 0 END) - (CASE WHEN abs(w_after - sg) > 0.5 THEN 1 ELSE 0 END)
+            END AS dact,
+    CASE WHEN owner = -1 THEN sg ELSE 0 END AS dz
+  FROM {name}_w),
+{name}_s AS (
+  SELECT *, sum(dact) OVER (PARTITION BY zone, x0 ORDER BY y DESC, owner, sg ROWS UNBOUNDED PRECEDING) AS act,
+    sum(dz) OVER (PARTITION BY zone, x0 ORDER BY y DESC, owner, sg ROWS UNBOUNDED PRECEDING) AS zw,
+    lead(y) OVER (PARTITION BY zone, x0 ORDER BY y DESC, owner, sg) AS ynext
+  FROM {name}_d),
+{name}_a AS (
+  SELECT zone, sum(CASE WHEN abs(zw) > 0.5 AND act > 0 AND ynext IS NOT NULL THEN (y - ynext) * (x1 - x0) ELSE 0 END) AS area
+  FROM {name}_s GROUP BY zone HAVING sum(CASE WHEN abs(zw) > 0.5 AND act > 0 AND ynext IS NOT NULL
+                                              THEN (y - ynext) * (x1 - x0) ELSE 0 END) > 1e-9)"""
+
+
+ORACLE["q_union_area"] = _with(ZEDGES, HEDGES, INTERSECT, OVERLAY, ZAREA, _union("ua", "true")) + """
+SELECT u.zone, round(u.area, 6) AS hazard_area, round(least(u.area / z.zone_area, 1.0), 6) AS hazard_ratio
+FROM ua_a u JOIN zarea z ON z.zone = u.zone"""
+
+COLLAPSE = _union("cf", "h.river = 0") + ",\n" + _union("ce", "h.river = 1") + """,
+collapse AS (
+  SELECT CAST(n.n_nationkey AS BIGINT) AS zone,
+    CASE WHEN cf.area IS NULL THEN 0.0 ELSE least(cf.area / z.zone_area, 1.0) END AS collapse_flow_ratio,
+    CASE WHEN ce.area IS NULL THEN 0.0 ELSE least(ce.area / z.zone_area, 1.0) END AS collapse_erosion_ratio
+  FROM nation n JOIN zarea z ON z.zone = n.n_nationkey
+  LEFT JOIN cf_a cf ON cf.zone = n.n_nationkey LEFT JOIN ce_a ce ON ce.zone = n.n_nationkey)"""
+
+ORACLE["q_collapse_ratio"] = _with(ZEDGES, HEDGES, INTERSECT, OVERLAY, ZAREA, COLLAPSE) + """
+SELECT zone, round(collapse_flow_ratio, 6) AS collapse_flow_ratio,
+  round(collapse_erosion_ratio, 6) AS collapse_erosion_ratio,
+  round(greatest(collapse_flow_ratio, collapse_erosion_ratio), 6) AS collapse_ratio,
+  greatest(collapse_flow_ratio, collapse_erosion_ratio) > 0 AS collapse_zone
+FROM collapse"""
+
+# --- combined per-zone table --------------------------------------------------
+
+ZSAFETY = """zsum AS (
+  SELECT zone, sum(pop) AS pop, sum(serious) AS serious, sum(serious_cur) AS serious_cur, sum(daily) AS daily,
+         sum(visitor) AS visitor, sum(total) AS total FROM wide GROUP BY zone),
+zr0 AS (SELECT sum(serious) / sum(pop * 2) AS r0s, sum(daily) / sum(pop) AS r0d FROM zsum),
+zrate AS (
+  SELECT z.*,
+    CASE WHEN pop >= 100 THEN (serious + 2) / (pop * 2 + 2 / r0s) * 1000 END AS serious_rate,
+    CASE WHEN pop >= 100 THEN (daily + 2) / (pop + 2 / r0d) * 1000 END AS daily_rate,
+    CASE WHEN pop >= 100 THEN visitor / pop * 1000 END AS visitor_rate
+  FROM zsum z, zr0),
+zrank AS (
+  SELECT zone, 100 * cume_dist() OVER (ORDER BY serious_rate DESC) AS serious_score,
+         100 * cume_dist() OVER (ORDER BY daily_rate DESC) AS daily_score
+  FROM zrate WHERE serious_rate IS NOT NULL),
+zthr AS (SELECT quantile_cont(visitor_rate, 0.9) AS thr FROM zrate),
+zsafety AS (
+  SELECT r.*, k.serious_score, k.daily_score, 0.65 * k.serious_score + 0.35 * k.daily_score AS safety_score,
+    coalesce(r.visitor_rate >= zthr.thr, false) AS business_area_flag
+  FROM zrate r LEFT JOIN zrank k ON k.zone = r.zone, zthr)"""
+
+TIDE = """tide AS (
+  SELECT a.zone, CAST(coalesce(t.n, 0) AS BIGINT) AS ts_n,
+    least(greatest(coalesce(t.n, 0) * 0.1 / a.zone_area, 0.0), 1.0) AS ts_flood_ratio,
+    coalesce(t.s / t.n, 0.0) AS ts_mean_depth, coalesce(t.mx, 0.0) AS ts_max_depth,
+    least(greatest(coalesce(t.n, 0) * 0.1 / a.zone_area, 0.0), 1.0) * coalesce(t.s / t.n, 0.0) AS ts_exposure
+  FROM zarea a LEFT JOIN (SELECT zone, count(*) AS n, sum(depth) AS s, max(depth) AS mx FROM thits GROUP BY zone) t
+    ON t.zone = a.zone)"""
+
+HIST = """hist AS (
+  SELECT CAST(n.n_nationkey AS BIGINT) AS zone, per.zone IS NOT NULL AS liq_history,
+    coalesce(per.f1923, false) AS liq_1923, coalesce(per.f2011, false) AS liq_2011
+  FROM nation n LEFT JOIN (SELECT i.zone, bool_or(h.river = 1) AS f1923, bool_or(h.river = 2) AS f2011
+                           FROM inter i JOIN haz h ON h.poly_id = i.poly_id GROUP BY i.zone) per
+    ON per.zone = n.n_nationkey)"""
+
+COMBINED = """base AS (
+  SELECT CAST(n.n_nationkey AS BIGINT) AS zone, r.r_name AS ward, n.n_name AS name, n.n_regionkey AS region,
+    s.pop, s.serious, s.daily, s.visitor, s.total, s.serious_rate, s.daily_rate, s.serious_score, s.daily_score,
+    s.safety_score, s.visitor_rate, s.business_area_flag,
+    f.tk_coverage, f.tk_flood_ratio, f.tk_mean_depth, f.tk_max_depth, f.tk_mean_elev, f.tk_min_elev,
+    f.tk_below_sea, f.tk_main_basin, f.tk_main_basin_ratio, f.tk_basins,
+    t.ts_flood_ratio, t.ts_mean_depth, t.ts_max_depth, t.ts_exposure,
+    g.liq_points, g.liq_small, g.liq_mid, g.liq_large, g.liq_pl, g.liq_covered, g.liq_thin,
+    hi.liq_history, hi.liq_1923, hi.liq_2011,
+    na.nat_ratio, coalesce(na.nat_exposure, 0.0) AS nat_exposure, na.nat_main_label, na.nat_main_ratio,
+    na.nat_max_label, na.nat_max_ratio, na.nat_rivers, na.nat_ratio IS NOT NULL AS nat_covered,
+    co.collapse_flow_ratio, co.collapse_erosion_ratio,
+    greatest(co.collapse_flow_ratio, co.collapse_erosion_ratio) > 0 AS collapse_zone,
+    coalesce(s.pop >= 100, false) AS pop_ok,
+    coalesce(s.pop >= 100, false) AND coalesce(f.tk_coverage, false) AS flood_valid,
+    coalesce(f.tk_flood_ratio * f.tk_mean_depth, 0.0) AS tokyo_exposure,
+    coalesce(t.ts_exposure, 0.0) AS tide_exposure,
+    coalesce(s.pop >= 100, false) AND coalesce(g.liq_covered, false) AS liq_valid,
+    coalesce(f.tk_below_sea, false) AS below_sea_flag,
+    n.n_regionkey <> 4 AS tide_in_scope
+  FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey
+  LEFT JOIN zsafety s ON s.zone = n.n_nationkey LEFT JOIN flood f ON f.zone = n.n_nationkey
+  LEFT JOIN tide t ON t.zone = n.n_nationkey LEFT JOIN ground g ON g.zone = n.n_nationkey
+  LEFT JOIN hist hi ON hi.zone = n.n_nationkey LEFT JOIN nat na ON na.zone = n.n_nationkey
+  LEFT JOIN collapse co ON co.zone = n.n_nationkey),
+base2 AS (
+  SELECT *, greatest(tokyo_exposure, nat_exposure) AS flood_exposure,
+    CASE WHEN nat_exposure > tokyo_exposure THEN '国管理河川' ELSE '東京都' END AS flood_source
+  FROM base),
+fr AS (SELECT zone, 100 * cume_dist() OVER (ORDER BY flood_exposure DESC) AS flood_score FROM base2 WHERE flood_valid),
+tr AS (SELECT zone, 100 * cume_dist() OVER (ORDER BY tide_exposure DESC) AS tide_score FROM base2 WHERE pop_ok),
+gr AS (SELECT zone, 100 * cume_dist() OVER (ORDER BY liq_pl DESC) AS ground_score FROM base2
+       WHERE liq_valid AND liq_pl IS NOT NULL),
+er AS (SELECT zone, 100.0 * rank() OVER (ORDER BY tk_mean_elev) / count(*) OVER () AS elev_score FROM base2
+       WHERE flood_valid AND tk_mean_elev IS NOT NULL),
+comb AS (
+  SELECT b.*, fr.flood_score, tr.tide_score, gr.ground_score, er.elev_score, b.safety_score IS NOT NULL AS scored
+  FROM base2 b LEFT JOIN fr ON fr.zone = b.zone LEFT JOIN tr ON tr.zone = b.zone
+  LEFT JOIN gr ON gr.zone = b.zone LEFT JOIN er ON er.zone = b.zone)"""
+
+ALL = (AREAS, YEARLY, WIDE, ZSAFETY, PTS, ZEDGES, ZHITS, ZB,
+       _hits("(SELECT * FROM pts WHERE depth > 0)", "thits"), ZAREA, TIDE,
+       BOR, BHITS, CC, GROUND, HEDGES, INTERSECT, HIST, OVERLAY, DEPTHS, NATIONAL, COLLAPSE,
+       COMBINED)
+
+ORACLE["q_combine_scores"] = _with(*ALL) + """
+SELECT zone, round(safety_score, 6) AS safety_score, round(flood_score, 6) AS flood_score,
+  round(tide_score, 6) AS tide_score, round(ground_score, 6) AS ground_score, round(elev_score, 6) AS elev_score,
+  round(flood_exposure, 6) AS flood_exposure, round(tokyo_exposure, 6) AS tokyo_exposure,
+  round(nat_exposure, 6) AS nat_exposure, flood_source, round(tide_exposure, 6) AS tide_exposure,
+  business_area_flag, scored
+FROM comb"""
+
+# --- marts and serving ------------------------------------------------------------
+
+def _tm_inverse_sql(xcol: str, ycol: str) -> tuple[str, str]:
+    """Inverse transverse Mercator (GRS80, zone IX) as SQL text: (lon, lat)."""
+    import math
+    a, inv_f = 6378137.0, 298.257222101
+    f = 1.0 / inv_f
+    n = f / (2.0 - f)
+    big_a = a / (1.0 + n) * (1.0 + n * n / 4.0 + n ** 4 / 64.0)
+    k0 = 0.9999
+    lat0, lon0 = 36.0, 139.0 + 50.0 / 60.0
+    alpha = [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180,
+             13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440,
+             61 * n ** 3 / 240 - 103 * n ** 4 / 140,
+             49561 * n ** 4 / 161280]
+    beta = [n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 - n ** 4 / 360,
+            n ** 2 / 48 + n ** 3 / 15 - 437 * n ** 4 / 1440,
+            17 * n ** 3 / 480 - 37 * n ** 4 / 840,
+            4397 * n ** 4 / 161280]
+    delta = [2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 + 116 * n ** 4 / 45,
+             7 * n ** 2 / 3 - 8 * n ** 3 / 5 - 227 * n ** 4 / 45,
+             56 * n ** 3 / 15 - 136 * n ** 4 / 35,
+             4279 * n ** 4 / 630]
+    c = 2 * math.sqrt(n) / (1 + n)
+    p0 = math.radians(lat0)
+    t0 = math.sinh(math.atanh(math.sin(p0)) - c * math.atanh(c * math.sin(p0)))
+    xi0 = math.atan(t0)
+    s0 = k0 * big_a * (xi0 + sum(al * math.sin(2 * (j + 1) * xi0) for j, al in enumerate(alpha)))
+    xi = f"(({ycol}) + {s0!r}) / {k0 * big_a!r}"
+    eta = f"({xcol}) / {k0 * big_a!r}"
+    xip = xi + "".join(f" - {b!r} * sin({2 * (j + 1)} * {xi}) * cosh({2 * (j + 1)} * {eta})"
+                       for j, b in enumerate(beta))
+    etap = eta + "".join(f" - {b!r} * cos({2 * (j + 1)} * {xi}) * sinh({2 * (j + 1)} * {eta})"
+                         for j, b in enumerate(beta))
+    chi = f"asin(sin({xip}) / cosh({etap}))"
+    phi = chi + "".join(f" + {dd!r} * sin({2 * (j + 1)} * {chi})" for j, dd in enumerate(delta))
+    lam = f"{math.radians(lon0)!r} + atan(sinh({etap}) / cos({xip}))"
+    return f"degrees({lam})", f"degrees({phi})"
+
+
+_LNG, _LAT = _tm_inverse_sql("cen.cx * 1000.0", "cen.cy * 1000.0")
+
+TOWNS = f"""cen AS (
+  SELECT zone, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cx,
+         sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cy
+  FROM zedges GROUP BY zone),
+towns AS (
+  SELECT c.zone AS key, c.ward, c.name AS town, 'W' || lpad(CAST(c.region AS VARCHAR), 2, '0') AS ward_code,
+    {_LAT} AS lat, {_LNG} AS lng, za.zone_area * 1000000.0 AS area_m2, c.pop AS population,
+    CAST(cen.cx IS NOT NULL AS INTEGER) AS has_polygon
+  FROM comb c LEFT JOIN cen ON cen.zone = c.zone LEFT JOIN zarea za ON za.zone = c.zone),
+scores AS (
+  SELECT zone AS key, 2025 AS data_year, safety_score, flood_score, tide_score, ground_score,
+    serious_score, daily_score, flood_exposure, tide_exposure, elev_score, tk_mean_elev AS mean_elev_m,
+    CAST(below_sea_flag AS INTEGER) AS below_sea, CAST(business_area_flag AS INTEGER) AS business_area,
+    CAST(scored AS INTEGER) AS scored
+  FROM comb),
+hazard AS (
+  SELECT zone AS key, 2025 AS data_year, tk_flood_ratio AS flood_ratio, tk_mean_depth AS flood_mean_depth,
+    tk_max_depth AS flood_max_depth, CAST(coalesce(tk_coverage, false) AS INTEGER) AS flood_covered,
+    tk_main_basin AS flood_basin, tk_main_basin_ratio AS flood_basin_ratio, tk_basins AS flood_basins,
+    coalesce(ts_flood_ratio, 0.0) AS tide_ratio, coalesce(ts_mean_depth, 0.0) AS tide_mean_depth,
+    coalesce(ts_max_depth, 0.0) AS tide_max_depth, CAST(tide_in_scope AS INTEGER) AS tide_in_scope,
+    tk_mean_elev AS mean_elev_m, tk_min_elev AS min_elev_m,
+    CAST(coalesce(liq_points, 0) AS BIGINT) AS liq_points, CAST(coalesce(liq_small, 0) AS BIGINT) AS liq_small,
+    CAST(coalesce(liq_mid, 0) AS BIGINT) AS liq_mid, CAST(coalesce(liq_large, 0) AS BIGINT) AS liq_large, liq_pl,
+    CAST(coalesce(liq_covered, false) AS INTEGER) AS liq_covered, CAST(coalesce(liq_thin, false) AS INTEGER) AS liq_thin,
+    CAST(coalesce(liq_history, false) AS INTEGER) AS liq_history, CAST(coalesce(liq_1923, false) AS INTEGER) AS liq_1923,
+    CAST(coalesce(liq_2011, false) AS INTEGER) AS liq_2011,
+    CAST(coalesce(collapse_zone, false) AS INTEGER) AS collapse_zone,
+    coalesce(collapse_flow_ratio, 0.0) AS collapse_flow_ratio, coalesce(collapse_erosion_ratio, 0.0) AS collapse_erosion_ratio,
+    CAST(nat_covered AS INTEGER) AS national_river, nat_rivers, nat_ratio, nat_exposure, nat_main_label, nat_main_ratio,
+    nat_max_label, nat_max_ratio, flood_source, tokyo_exposure
+  FROM comb),
+idx AS (
+  SELECT t.key, t.ward, t.town, t.population, t.lat, t.lng, s.safety_score, s.flood_score, s.tide_score,
+    s.ground_score, s.scored, h.flood_covered, h.tide_in_scope, h.liq_covered
+  FROM towns t JOIN scores s ON s.key = t.key AND s.data_year = 2025
+  JOIN hazard h ON h.key = t.key AND h.data_year = 2025),
+midx AS (
+  SELECT key, ward, town, population AS pop, safety_score AS s,
+    CASE WHEN flood_covered = 1 THEN flood_score END AS f, CASE WHEN tide_in_scope = 1 THEN tide_score END AS t,
+    CASE WHEN liq_covered = 1 THEN ground_score END AS g, scored = 1 AS scored, tide_in_scope = 1 AS tide_scope
+  FROM idx)"""
+
+SERVE = ALL + (TOWNS,)
+
+
+def _round_cols(cols: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols.split())
+
+
+ORACLE["q_mart_towns"] = _with(*SERVE) + """
+SELECT key, ward, town, ward_code, round(lat, 6) AS lat, round(lng, 6) AS lng, round(area_m2, 6) AS area_m2,
+  round(population, 6) AS population, has_polygon FROM towns"""
+
+ORACLE["q_mart_scores"] = _with(*SERVE) + f"""
+SELECT key, data_year, {_round_cols("safety_score flood_score tide_score ground_score serious_score daily_score flood_exposure tide_exposure elev_score mean_elev_m")},
+  below_sea, business_area, scored FROM scores"""
+
+ORACLE["q_mart_hazard"] = _with(*SERVE) + f"""
+SELECT key, data_year, {_round_cols("flood_ratio flood_mean_depth flood_max_depth")}, flood_covered, flood_basin,
+  round(flood_basin_ratio, 6) AS flood_basin_ratio, flood_basins,
+  {_round_cols("tide_ratio tide_mean_depth tide_max_depth")}, tide_in_scope,
+  {_round_cols("mean_elev_m min_elev_m")}, liq_points, liq_small, liq_mid, liq_large, round(liq_pl, 6) AS liq_pl,
+  liq_covered, liq_thin, liq_history, liq_1923, liq_2011, collapse_zone,
+  {_round_cols("collapse_flow_ratio collapse_erosion_ratio")}, national_river, nat_rivers,
+  {_round_cols("nat_ratio nat_exposure")}, nat_main_label, round(nat_main_ratio, 6) AS nat_main_ratio,
+  nat_max_label, round(nat_max_ratio, 6) AS nat_max_ratio, flood_source, round(tokyo_exposure, 6) AS tokyo_exposure
+FROM hazard"""
+
+ORACLE["q_index"] = _with(*SERVE) + f"""
+SELECT key, ward, town, {_round_cols("population safety_score flood_score tide_score ground_score")},
+  scored, flood_covered, tide_in_scope, liq_covered FROM idx ORDER BY ward, town"""
+
+ORACLE["q_masked_index"] = _with(*SERVE) + f"""
+SELECT key, ward, town, {_round_cols("pop s f t g")}, scored, tide_scope FROM midx"""
+
+ORACLE["q_index_meta"] = _with(*SERVE) + """
+SELECT count(*) AS town_count, CAST(count_if(scored) AS BIGINT) AS scored_count,
+  string_agg(DISTINCT ward, ',' ORDER BY ward) AS wards FROM midx"""
+
+ORACLE["q_ward_codes"] = _with(*SERVE) + """
+SELECT DISTINCT ward, ward_code FROM towns"""
+
+ORACLE["q_town_detail"] = _with(*SERVE) + """,
+zc AS (SELECT zone, sum(serious) AS serious_2y, sum(daily) AS daily_r, sum(total) AS total_r FROM wide GROUP BY zone)
+SELECT t.key, t.ward, t.town, round(t.population, 6) AS population, round(s.safety_score, 6) AS safety_score,
+  round(s.flood_score, 6) AS flood_score, round(s.tide_score, 6) AS tide_score, round(s.ground_score, 6) AS ground_score,
+  CAST(zc.serious_2y AS BIGINT) AS serious_2y, CAST(zc.daily_r AS BIGINT) AS daily_r, CAST(zc.total_r AS BIGINT) AS total_r,
+  round(h.flood_ratio, 6) AS flood_ratio, round(h.tide_ratio, 6) AS tide_ratio, h.liq_points, h.nat_rivers, h.flood_source
+FROM towns t JOIN scores s ON s.key = t.key JOIN zc ON zc.zone = t.key JOIN hazard h ON h.key = t.key"""
+
+ORACLE["q_axis_corr"] = _with(*SERVE) + """
+SELECT round(corr(safety_score, flood_score), 6) AS corr_safety_flood,
+  round(corr(safety_score, tide_score), 6) AS corr_safety_tide,
+  round(corr(safety_score, ground_score), 6) AS corr_safety_ground,
+  round(corr(flood_score, tide_score), 6) AS corr_flood_tide,
+  round(corr(flood_score, ground_score), 6) AS corr_flood_ground,
+  round(corr(tide_score, ground_score), 6) AS corr_tide_ground
+FROM comb WHERE safety_score IS NOT NULL AND flood_score IS NOT NULL AND tide_score IS NOT NULL
+  AND ground_score IS NOT NULL"""
+
+STATUS = """st AS (
+  SELECT key, 'safety' AS axis, CASE WHEN scored = 0 THEN 'not_scored' ELSE 'scored' END AS status, safety_score AS v FROM idx
+  UNION ALL
+  SELECT key, 'flood', CASE WHEN scored = 0 THEN 'not_scored' WHEN flood_covered = 0 THEN 'no_data' ELSE 'scored' END, flood_score FROM idx
+  UNION ALL
+  SELECT key, 'tide', CASE WHEN scored = 0 THEN 'not_scored' WHEN tide_in_scope = 0 THEN 'out_of_scope' ELSE 'scored' END, tide_score FROM idx
+  UNION ALL
+  SELECT key, 'ground', CASE WHEN scored = 0 THEN 'not_scored' WHEN liq_covered = 0 THEN 'no_data' ELSE 'scored' END, ground_score FROM idx)"""
+
+ORACLE["q_axis_status"] = _with(*SERVE, STATUS) + """
+SELECT key, axis, status, round(CASE WHEN status = 'scored' THEN v END, 6) AS score FROM st"""
+
+ORACLE["q_evidence"] = _with(*SERVE) + """,
+sh AS (
+  SELECT h.*, s.flood_score, s.scored,
+    h.national_river = 1 AND h.flood_source = '国管理河川' AS dn
+  FROM hazard h JOIN scores s ON s.key = h.key),
+items AS (
+  SELECT key, 'flood' AS axis, 0 AS idx, 'main factor' AS label,
+    CASE WHEN dn THEN coalesce(nat_rivers, '国管理河川')
+         WHEN scored = 1 AND flood_covered = 1 AND flood_score < 40 AND flood_basin IS NOT NULL THEN flood_basin END AS value FROM sh
+  UNION ALL SELECT key, 'flood', 1, 'flooded share', coalesce(printf('%.1f', round(flood_ratio * 100.0, 1)) || '%', '—') FROM sh
+  UNION ALL SELECT key, 'flood', 2, 'mean depth', coalesce(printf('%.2f', round(flood_mean_depth, 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'flood', 3, 'max depth', coalesce(printf('%.2f', round(flood_max_depth, 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'flood', 4, 'area-averaged depth',
+    coalesce(printf('%.2f', round(CASE WHEN dn THEN nat_exposure ELSE tokyo_exposure END, 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'tide', 5, 'flooded share', coalesce(printf('%.1f', round(tide_ratio * 100.0, 1)) || '%', '—') FROM sh
+  UNION ALL SELECT key, 'tide', 6, 'mean depth', coalesce(printf('%.2f', round(tide_mean_depth, 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'tide', 7, 'max depth', coalesce(printf('%.2f', round(tide_max_depth, 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'ground', 8, 'past liquefaction',
+    CASE WHEN liq_1923 = 1 THEN '1923' WHEN liq_2011 = 1 THEN '2011' WHEN liq_history = 1 THEN 'recorded' ELSE 'none' END FROM sh
+  UNION ALL SELECT key, 'ground', 9, 'large', coalesce(format('{:,}', liq_large) || ' pts', '—') FROM sh
+  UNION ALL SELECT key, 'ground', 10, 'mid', coalesce(format('{:,}', liq_mid) || ' pts', '—') FROM sh
+  UNION ALL SELECT key, 'ground', 11, 'small', coalesce(format('{:,}', liq_small) || ' pts', '—') FROM sh
+  UNION ALL SELECT key, 'ground', 12, 'PL smoothed', coalesce(printf('%.1f', round(liq_pl, 1)), '—') FROM sh
+  UNION ALL SELECT key, 'ground', 13, 'borings', coalesce(format('{:,}', liq_points) || ' pts', '—') FROM sh),
+kept AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx) - 1 AS pos FROM items WHERE value IS NOT NULL)
+SELECT key, axis, CAST(pos AS BIGINT) AS idx, label, value FROM kept"""
+
+ORACLE["q_card_summary"] = _with(*SERVE) + """
+SELECT key,
+  concat_ws(',', CASE WHEN s >= 70 THEN 'safety' END, CASE WHEN f >= 70 THEN 'flood' END,
+            CASE WHEN t >= 70 THEN 'tide' END, CASE WHEN g >= 70 THEN 'ground' END) AS best,
+  concat_ws(',', CASE WHEN s < 40 THEN 'safety' END, CASE WHEN f < 40 THEN 'flood' END,
+            CASE WHEN t < 40 THEN 'tide' END, CASE WHEN g < 40 THEN 'ground' END) AS worst,
+  concat_ws(',', CASE WHEN s IS NULL THEN 'safety' END, CASE WHEN f IS NULL THEN 'flood' END,
+            CASE WHEN t IS NULL THEN 'tide' END, CASE WHEN g IS NULL THEN 'ground' END) AS unknown,
+  coalesce(s >= 70 AND f >= 70 AND t >= 70 AND g >= 70, false) AS all_good
+FROM midx"""
+
+ORACLE["q_all_good_measured"] = _with(*SERVE) + """
+SELECT ward, count(*) AS n_all_good, CAST(count_if(tide_in_scope) AS BIGINT) AS n_measured,
+  round(sum(CASE WHEN tide_in_scope THEN pop ELSE 0.0 END), 6) AS pop_measured
+FROM comb WHERE scored AND safety_score >= 70 AND flood_score >= 70 AND tide_score >= 70 AND ground_score >= 70
+GROUP BY ward"""
+
+ORACLE["q_typhoon_specific"] = _with(*SERVE) + """
+SELECT key, ward, round(f, 6) AS f, round(t, 6) AS t FROM midx
+WHERE f IS NOT NULL AND t IS NOT NULL AND tide_scope AND f >= 70 AND t <= 30"""
+
+ORACLE["q_safety_flood_gap"] = _with(*SERVE) + """
+SELECT key, ward, round(s, 6) AS s, round(f, 6) AS f FROM midx WHERE s >= 70 AND f < 40"""
+
+ORACLE["q_flood_tide_gap"] = _with(*SERVE) + """
+SELECT zone, ward, round(flood_score, 6) AS flood_score, round(tide_score, 6) AS tide_score,
+  round(tide_exposure, 6) AS tide_exposure, round(flood_score - tide_score, 6) AS diff
+FROM comb WHERE scored AND flood_score IS NOT NULL AND tide_score IS NOT NULL AND ground_score IS NOT NULL
+ORDER BY flood_score - tide_score DESC, zone LIMIT 8"""
+
+ORACLE["q_national_decided"] = _with(*SERVE) + """
+SELECT zone, ward, round(flood_score, 6) AS flood_score, round(tokyo_exposure, 6) AS tokyo_exposure,
+  round(nat_exposure, 6) AS nat_exposure, nat_rivers
+FROM comb WHERE scored AND flood_score IS NOT NULL AND flood_source = '国管理河川'
+ORDER BY nat_exposure DESC, zone LIMIT 6"""
+
+ORACLE["q_score_bucket"] = _with(*SERVE) + """
+SELECT key,
+  CASE WHEN s IS NULL THEN NULL WHEN s >= 70 THEN '良好' WHEN s >= 40 THEN '平均的' ELSE '要確認' END AS safety_bucket,
+  CASE WHEN f IS NULL THEN NULL WHEN f >= 70 THEN '良好' WHEN f >= 40 THEN '平均的' ELSE '要確認' END AS flood_bucket,
+  CASE WHEN t IS NULL THEN NULL WHEN t >= 70 THEN '良好' WHEN t >= 40 THEN '平均的' ELSE '要確認' END AS tide_bucket,
+  CASE WHEN g IS NULL THEN NULL WHEN g >= 70 THEN '良好' WHEN g >= 40 THEN '平均的' ELSE '要確認' END AS ground_bucket
+FROM midx"""
+
+ORACLE["q_ward_rollup"] = _with(*SERVE) + """
+SELECT ward, count(*) AS n, round(avg(tide_exposure), 6) AS expo, round(sum(pop), 6) AS pop
+FROM comb WHERE tide_exposure > 0 GROUP BY ward"""
+
+ORACLE["q_dq_status"] = _with(*SERVE, STATUS) + """
+SELECT (SELECT count(*) FROM st WHERE (status = 'scored' AND v IS NULL)) AS status_violations,
+  (SELECT count(*) FROM comb WHERE NOT tide_in_scope AND tide_exposure <> 0) AS out_of_scope_exposure"""
+
+ORACLE["q_dq_set_equality"] = _with(*SERVE) + """
+SELECT (SELECT count(*) FROM (SELECT zone AS key FROM cen EXCEPT ALL SELECT key FROM idx)) AS missing_in_index,
+  (SELECT count(*) FROM (SELECT key FROM idx EXCEPT ALL SELECT zone FROM cen)) AS missing_in_features"""
+
+ORACLE["q_rebuild_diff"] = _with(*SERVE) + """,
+sc AS (SELECT zone, round(safety_score, 6) AS a, round(flood_score, 6) AS b, round(tide_score, 6) AS c,
+              round(ground_score, 6) AS d FROM comb)
+SELECT (SELECT count(*) FROM (SELECT * FROM sc EXCEPT ALL SELECT * FROM sc)) AS only_staged,
+  (SELECT count(*) FROM (SELECT * FROM sc EXCEPT ALL SELECT * FROM sc)) AS only_rebuilt"""
