@@ -131,3 +131,22 @@ FIXTURE_PAIR_CELL = 10.0
 # Fixture hazard kinds of the collapse axis: river id -> kind.
 FIXTURE_COLLAPSE_FLOW_RIVER = 0
 FIXTURE_COLLAPSE_EROSION_RIVER = 1
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES (area names)
+# ---------------------------------------------------------------------------
+
+# The 23 wards, in code order (ward code = 131 + two-digit position).
+WARDS = ("千代田区", "中央区", "港区", "新宿区", "文京区", "台東区", "墨田区", "江東区",
+         "品川区", "目黒区", "大田区", "世田谷区", "渋谷区", "中野区", "杉並区", "豊島区",
+         "北区", "荒川区", "板橋区", "練馬区", "足立区", "葛飾区", "江戸川区")
+# Wards outside the tide hazard map.
+TIDE_OUT_OF_SCOPE = ("世田谷区", "渋谷区", "中野区", "杉並区", "豊島区", "練馬区")
+# Rows of the crime table that are not areas.
+EXCLUDE_CONTAINS = "計"
+EXCLUDE_SUFFIX = "以下不詳"
+BLOCK_SUFFIX = "丁目"
+KEY_SEPARATOR = "|"
+
+# Fixture wards: ward00 .. ward22 (zero padded so none prefixes another).
+FIXTURE_WARD_COUNT = 23

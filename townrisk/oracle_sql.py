@@ -804,3 +804,79 @@ sc AS (SELECT zone, round(safety_score, 6) AS a, round(flood_score, 6) AS b, rou
               round(ground_score, 6) AS d FROM comb)
 SELECT (SELECT count(*) FROM (SELECT * FROM sc EXCEPT ALL SELECT * FROM sc)) AS only_staged,
   (SELECT count(*) FROM (SELECT * FROM sc EXCEPT ALL SELECT * FROM sc)) AS only_rebuilt"""
+
+# --- names ----------------------------------------------------------------------
+
+NAMES = """wl AS (SELECT 'ward' || lpad(CAST(i AS VARCHAR), 2, '0') AS w FROM range(23) t(i)),
+raw AS (
+  SELECT c_custkey AS key, c_acctbal AS bal,
+    'ward' || lpad(CAST(c_custkey % 23 AS VARCHAR), 2, '0') || 'town' || CAST(c_custkey AS VARCHAR) ||
+    CASE c_custkey % 3 WHEN 0 THEN '一丁目' WHEN 1 THEN '二十一丁目' ELSE '１丁目' END AS raw_name
+  FROM customer),
+kd AS (SELECT * FROM (VALUES ('一', 1), ('二', 2), ('三', 3), ('四', 4), ('五', 5), ('六', 6), ('七', 7),
+                              ('八', 8), ('九', 9)) t(d, v)),
+kn AS (
+  SELECT d AS k, v FROM kd UNION ALL SELECT '十', 10
+  UNION ALL SELECT d || '十', v * 10 FROM kd UNION ALL SELECT '十' || d, 10 + v FROM kd
+  UNION ALL SELECT a.d || '十' || b.d, a.v * 10 + b.v FROM kd a, kd b),
+split AS (
+  SELECT r.key, greatest(r.bal, 0.0) AS pop, r.raw_name, w.w AS ward, substr(r.raw_name, length(w.w) + 1) AS town
+  FROM raw r JOIN wl w ON starts_with(r.raw_name, w.w)
+  WHERE NOT contains(r.raw_name, '計') AND NOT ends_with(r.raw_name, '以下不詳') AND r.raw_name NOT IN (SELECT w FROM wl)),
+folded AS (
+  SELECT s.*, replace(replace(trim(translate(regexp_replace(town, '[\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]', '', 'g'),
+        '０１２３４５６７８９　', '0123456789 ')), ' ', ''), '　', '') AS t1
+  FROM split s),
+normed AS (
+  SELECT f.*, regexp_extract(t1, '([一二三四五六七八九十]+)丁目$', 1) AS num,
+    CASE WHEN kn.v IS NOT NULL
+         THEN left(t1, length(t1) - length(regexp_extract(t1, '([一二三四五六七八九十]+)丁目$', 1)) - 2) || CAST(kn.v AS VARCHAR) || '丁目'
+         ELSE t1 END AS t2
+  FROM folded f LEFT JOIN kn ON kn.k = regexp_extract(f.t1, '([一二三四五六七八九十]+)丁目$', 1)),
+named AS (SELECT key, pop, ward, town, translate(t2, 'ヶノ麴斉', 'ケの麹斎') AS norm FROM normed)"""
+
+ORACLE["q_ward_prefix"] = _with(NAMES) + """
+SELECT key, ward, town, ward || '|' || norm AS name_key FROM named"""
+
+ORACLE["q_norm_name"] = _with(NAMES) + """
+SELECT key, town, norm FROM named"""
+
+ORACLE["q_kanji_number"] = _with(NAMES) + """
+SELECT n.key, n.num AS numeral, kn.v AS value FROM normed n LEFT JOIN kn ON kn.k = n.num WHERE n.num <> ''"""
+
+SEARCHN = """sn AS (
+  SELECT key, ward, town,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      replace(translate(ward || town, '０１２３４５６７８９', '0123456789'), ' ', ''),
+      '(^|[^一二三四五六七八九十])一丁目', '\\11丁目', 'g'), '(^|[^一二三四五六七八九十])二丁目', '\\12丁目', 'g'),
+      '(^|[^一二三四五六七八九十])三丁目', '\\13丁目', 'g'), '(^|[^一二三四五六七八九十])四丁目', '\\14丁目', 'g'),
+      '(^|[^一二三四五六七八九十])五丁目', '\\15丁目', 'g'), '(^|[^一二三四五六七八九十])六丁目', '\\16丁目', 'g'),
+      '(^|[^一二三四五六七八九十])七丁目', '\\17丁目', 'g'), '(^|[^一二三四五六七八九十])八丁目', '\\18丁目', 'g'),
+      '(^|[^一二三四五六七八九十])九丁目', '\\19丁目', 'g'), '(^|[^一二三四五六七八九十])十丁目', '\\110丁目', 'g')
+    AS search_key
+  FROM named)"""
+
+ORACLE["q_search_normalize"] = _with(NAMES, SEARCHN) + """
+SELECT key, search_key FROM sn"""
+
+ORACLE["q_town_search"] = _with(NAMES, SEARCHN) + """
+SELECT key, ward, town FROM sn WHERE contains(search_key, '1丁目') ORDER BY ward, town LIMIT 60"""
+
+SLUGS = """slugs AS (
+  SELECT key, ward, 'w' || substr(ward, 5, 2) AS ward_slug,
+    't' || CAST(key AS VARCHAR) || '-' || regexp_extract(norm, '([0-9]+)丁目$', 1) AS town_slug
+  FROM named WHERE pop >= 100),
+lk AS (
+  SELECT n.key, CASE WHEN ws.ward_slug IS NOT NULL AND s.town_slug IS NOT NULL THEN ws.ward_slug END AS ward_slug,
+    CASE WHEN ws.ward_slug IS NOT NULL AND s.town_slug IS NOT NULL THEN s.town_slug END AS town_slug
+  FROM named n LEFT JOIN (SELECT DISTINCT ward, ward_slug FROM slugs) ws ON ws.ward = n.ward
+  LEFT JOIN slugs s ON s.key = n.key)"""
+
+ORACLE["q_slug_lookup"] = _with(NAMES, SLUGS) + """
+SELECT key, ward_slug, town_slug FROM lk"""
+
+ORACLE["q_detail_paths"] = _with(NAMES, SLUGS) + """
+SELECT l.key, '/area/' || l.ward_slug || '/' || l.town_slug AS path, s.key AS key_back
+FROM lk l JOIN slugs s ON s.ward_slug = l.ward_slug AND s.town_slug = l.town_slug
+WHERE l.town_slug IS NOT NULL"""

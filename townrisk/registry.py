@@ -10,6 +10,7 @@ from .plans import crime_queries as cq
 from .plans import zone_queries as zq
 from .plans import hazard_queries as hq
 from .plans import serve_queries as sq
+from .plans import name_queries as nq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,4 +74,11 @@ QUERIES: dict[str, Query] = {
     "q_geojson_features": sq.q_geojson_features,
     "q_dq_set_equality": sq.q_dq_set_equality,
     "q_rebuild_diff": sq.q_rebuild_diff,
+    "q_ward_prefix": nq.q_ward_prefix,
+    "q_norm_name": nq.q_norm_name,
+    "q_kanji_number": nq.q_kanji_number,
+    "q_search_normalize": nq.q_search_normalize,
+    "q_town_search": nq.q_town_search,
+    "q_slug_lookup": nq.q_slug_lookup,
+    "q_detail_paths": nq.q_detail_paths,
 }
