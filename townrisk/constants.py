@@ -150,3 +150,32 @@ KEY_SEPARATOR = "|"
 
 # Fixture wards: ward00 .. ward22 (zero padded so none prefixes another).
 FIXTURE_WARD_COUNT = 23
+
+# Area key -> polygon key where the boundary data names an area differently
+# (renamed areas, undivided blocks, merged areas, variant characters).
+POLYGON_ALIAS = {
+    "千代田区|神田三崎町1丁目": "千代田区|三崎町1丁目",
+    "千代田区|神田三崎町2丁目": "千代田区|三崎町2丁目",
+    "千代田区|神田三崎町3丁目": "千代田区|三崎町3丁目",
+    "千代田区|神田猿楽町1丁目": "千代田区|猿楽町1丁目",
+    "千代田区|神田猿楽町2丁目": "千代田区|猿楽町2丁目",
+    "千代田区|神田司町2丁目": "千代田区|神田司町",
+    "千代田区|神田多町2丁目": "千代田区|神田多町",
+    "千代田区|神田鍛冶町3丁目": "千代田区|神田鍛冶町",
+    "大田区|令和島1丁目": "大田区|令和島",
+    "大田区|令和島2丁目": "大田区|令和島",
+    "新宿区|四谷1丁目": "新宿区|四谷",
+    "新宿区|戸塚町1丁目": "新宿区|戸塚町",
+    "足立区|入谷町": "足立区|入谷町,舎人町",
+    "足立区|舎人町": "足立区|入谷町,舎人町",
+    "渋谷区|松濤1丁目": "渋谷区|松涛1丁目",
+    "渋谷区|松濤2丁目": "渋谷区|松涛2丁目",
+}
+
+# Fixture alias: zone 2 uses the polygon of zone 1; zone 24 has no polygon.
+FIXTURE_ALIAS = {2: 1}
+FIXTURE_NO_POLYGON = (24,)
+# Fixture geographic placement of zone units (degrees per unit and origin).
+FIXTURE_LON0 = 139.5
+FIXTURE_LAT0 = 35.5
+FIXTURE_DEG_PER_UNIT = 1.0 / 250.0

@@ -880,3 +880,105 @@ ORACLE["q_detail_paths"] = _with(NAMES, SLUGS) + """
 SELECT l.key, '/area/' || l.ward_slug || '/' || l.town_slug AS path, s.key AS key_back
 FROM lk l JOIN slugs s ON s.ward_slug = l.ward_slug AND s.town_slug = l.town_slug
 WHERE l.town_slug IS NOT NULL"""
+
+# --- zones alone --------------------------------------------------------------------
+
+ORACLE["q_ring_area"] = _with(ZEDGES, ZAREA) + """
+SELECT zone, round(zone_area, 6) AS area FROM zarea"""
+
+ORACLE["q_ring_centroid"] = _with(ZEDGES) + """
+SELECT zone, round(sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 6) AS cx,
+  round(sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)), 6) AS cy
+FROM zedges GROUP BY zone"""
+
+
+def _tm_forward_sql(lon: str, lat: str) -> tuple[str, str]:
+    """Forward transverse Mercator (GRS80, zone IX) as SQL text: (x, y)."""
+    import math
+    a, f = 6378137.0, 1.0 / 298.257222101
+    n = f / (2.0 - f)
+    big_a = a / (1.0 + n) * (1.0 + n * n / 4.0 + n ** 4 / 64.0)
+    k0, lat0, lon0 = 0.9999, 36.0, 139.0 + 50.0 / 60.0
+    alpha = [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180,
+             13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440,
+             61 * n ** 3 / 240 - 103 * n ** 4 / 140,
+             49561 * n ** 4 / 161280]
+    c = 2 * math.sqrt(n) / (1 + n)
+    p0 = math.radians(lat0)
+    t0 = math.sinh(math.atanh(math.sin(p0)) - c * math.atanh(c * math.sin(p0)))
+    xi0 = math.atan(t0)
+    s0 = k0 * big_a * (xi0 + sum(al * math.sin(2 * (j + 1) * xi0) for j, al in enumerate(alpha)))
+    t = f"sinh(atanh(sin(radians({lat}))) - {c!r} * atanh({c!r} * sin(radians({lat}))))"
+    dl = f"(radians({lon}) - {math.radians(lon0)!r})"
+    xi = f"atan({t} / cos({dl}))"
+    eta = f"atanh(sin({dl}) / sqrt(1 + {t} * {t}))"
+    x = eta + "".join(f" + {al!r} * cos({2 * (j + 1)} * {xi}) * sinh({2 * (j + 1)} * {eta})"
+                      for j, al in enumerate(alpha))
+    y = xi + "".join(f" + {al!r} * sin({2 * (j + 1)} * {xi}) * cosh({2 * (j + 1)} * {eta})"
+                     for j, al in enumerate(alpha))
+    return f"{k0 * big_a!r} * ({x})", f"{k0 * big_a!r} * ({y}) - {s0!r}"
+
+
+_PX, _PY = _tm_forward_sql("v.lon", "v.lat")
+
+ZVERT = """zvert AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS zone, CAST(i AS BIGINT) AS i,
+    139.5 + CAST((n_nationkey % 5) * 20 + vx AS DOUBLE) * (1.0 / 250.0) AS lon,
+    35.5 + CAST(floor(n_nationkey / 5) * 20 + vy AS DOUBLE) * (1.0 / 250.0) AS lat
+  FROM nation, zv)"""
+
+ORACLE["q_project"] = _with(ZEDGES, ZVERT) + f"""
+SELECT v.zone, v.i, round({_PX}, 3) AS px, round({_PY}, 3) AS py,
+  round(6378137.0 * radians(v.lon), 3) AS mx,
+  round(6378137.0 * ln(tan(pi() / 4 + radians(v.lat) / 2)), 3) AS my
+FROM zvert v"""
+
+ORACLE["q_snap_precision"] = _with(ZEDGES, ZVERT) + """
+SELECT zone, count(*) AS n_vertices,
+  string_agg(printf('%.6f', round(lon, 6)) || ' ' || printf('%.6f', round(lat, 6)), ',' ORDER BY i) AS wkt_ring
+FROM zvert GROUP BY zone"""
+
+ORACLE["q_ward_outline_edges"] = """WITH sq AS (
+  SELECT CAST(floor(n_nationkey / 5) AS BIGINT) AS ward, CAST((n_nationkey % 5) * 20 AS DOUBLE) AS x0,
+         CAST(floor(n_nationkey / 5) * 20 AS DOUBLE) AS y0 FROM nation),
+e AS (
+  SELECT ward, x0 AS ax, y0 AS ay, x0 + 20 AS bx, y0 AS qy FROM sq
+  UNION ALL SELECT ward, x0 + 20, y0, x0 + 20, y0 + 20 FROM sq
+  UNION ALL SELECT ward, x0 + 20, y0 + 20, x0, y0 + 20 FROM sq
+  UNION ALL SELECT ward, x0, y0 + 20, x0, y0 FROM sq),
+u AS (
+  SELECT ward,
+    CASE WHEN ax < bx OR (ax = bx AND ay <= qy) THEN ax ELSE bx END AS x1,
+    CASE WHEN ax < bx OR (ax = bx AND ay <= qy) THEN ay ELSE qy END AS y1,
+    CASE WHEN ax < bx OR (ax = bx AND ay <= qy) THEN bx ELSE ax END AS x2,
+    CASE WHEN ax < bx OR (ax = bx AND ay <= qy) THEN qy ELSE ay END AS y2
+  FROM e)
+SELECT ward, x1, y1, x2, y2 FROM u GROUP BY ward, x1, y1, x2, y2 HAVING count(*) = 1"""
+
+ORACLE["q_dissolve_attrs"] = _with(ZEDGES, ZAREA) + """
+SELECT n.n_regionkey AS region, round(sum(z.zone_area), 6) AS area, arg_min(n.n_name, n.n_nationkey) AS name,
+  count(*) AS n_parts
+FROM nation n JOIN zarea z ON z.zone = n.n_nationkey GROUP BY n.n_regionkey"""
+
+RESOLVE = """res AS (
+  SELECT CAST(n.n_nationkey AS BIGINT) AS key, CASE WHEN n.n_nationkey = 2 THEN 1 ELSE n.n_nationkey END AS pk
+  FROM nation n),
+res2 AS (
+  SELECT r.key, CAST(r.pk AS BIGINT) AS poly_key, r.pk NOT IN (2, 24) AS has_polygon,
+    CASE WHEN r.pk NOT IN (2, 24) THEN z.zone_area END AS zone_area
+  FROM res r JOIN zarea z ON z.zone = r.pk)"""
+
+ORACLE["q_alias_resolve"] = _with(ZEDGES, ZAREA, RESOLVE) + """
+SELECT key, poly_key, has_polygon FROM res2"""
+
+ORACLE["q_shared_keys"] = _with(ZEDGES, ZAREA, RESOLVE) + """
+SELECT poly_key, count(*) AS n_areas FROM res2 WHERE has_polygon GROUP BY poly_key HAVING count(*) > 1"""
+
+ORACLE["q_shared_polygon_key"] = _with(ZEDGES, ZAREA, RESOLVE) + """
+SELECT key, CASE WHEN has_polygon AND count(*) OVER (PARTITION BY poly_key) > 1 THEN poly_key END AS shared_polygon_key
+FROM res2"""
+
+ORACLE["q_density"] = _with(AREAS, ZEDGES, ZAREA, RESOLVE) + """,
+zp AS (SELECT zone, sum(pop) AS pop FROM areas GROUP BY zone)
+SELECT r.key, round(zp.pop, 6) AS pop, round(r.zone_area, 6) AS area_km2, round(zp.pop / r.zone_area, 6) AS density
+FROM res2 r JOIN zp ON zp.zone = r.key WHERE r.has_polygon"""

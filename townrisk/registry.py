@@ -11,6 +11,7 @@ from .plans import zone_queries as zq
 from .plans import hazard_queries as hq
 from .plans import serve_queries as sq
 from .plans import name_queries as nq
+from .plans import geo_queries as gq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,4 +82,14 @@ QUERIES: dict[str, Query] = {
     "q_town_search": nq.q_town_search,
     "q_slug_lookup": nq.q_slug_lookup,
     "q_detail_paths": nq.q_detail_paths,
+    "q_ring_area": gq.q_ring_area,
+    "q_ring_centroid": gq.q_ring_centroid,
+    "q_project": gq.q_project,
+    "q_snap_precision": gq.q_snap_precision,
+    "q_ward_outline_edges": gq.q_ward_outline_edges,
+    "q_dissolve_attrs": gq.q_dissolve_attrs,
+    "q_alias_resolve": gq.q_alias_resolve,
+    "q_shared_keys": gq.q_shared_keys,
+    "q_shared_polygon_key": gq.q_shared_polygon_key,
+    "q_density": gq.q_density,
 }
