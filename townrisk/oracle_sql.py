@@ -982,3 +982,39 @@ ORACLE["q_density"] = _with(AREAS, ZEDGES, ZAREA, RESOLVE) + """,
 zp AS (SELECT zone, sum(pop) AS pop FROM areas GROUP BY zone)
 SELECT r.key, round(zp.pop, 6) AS pop, round(r.zone_area, 6) AS area_km2, round(zp.pop / r.zone_area, 6) AS density
 FROM res2 r JOIN zp ON zp.zone = r.key WHERE r.has_polygon"""
+
+# --- quality -----------------------------------------------------------------------
+
+_HAZARD_COLS = """key data_year flood_ratio flood_mean_depth flood_max_depth flood_covered flood_basin
+flood_basin_ratio flood_basins tide_ratio tide_mean_depth tide_max_depth tide_in_scope mean_elev_m
+min_elev_m liq_points liq_small liq_mid liq_large liq_pl liq_covered liq_thin liq_history liq_1923
+liq_2011 collapse_zone collapse_flow_ratio collapse_erosion_ratio national_river nat_rivers nat_ratio
+nat_exposure nat_main_label nat_main_ratio nat_max_label nat_max_ratio flood_source tokyo_exposure""".split()
+_FORCED = ("key", "ward", "town", "ward_code", "kokusei_code", "shared_polygon_key", "nat_rivers",
+           "nat_main_label", "nat_max_label", "flood_source", "flood_basin", "flood_basins")
+
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{c}' AS col, {i} AS pos, coalesce(CAST({c} AS VARCHAR), '') AS v FROM hazard"
+    for i, c in enumerate(_HAZARD_COLS))
+
+ORACLE["q_infer_types"] = _with(*SERVE) + f""",
+cells AS ({_CELLS}),
+cls AS (
+  SELECT col, pos, v <> '' AS filled, regexp_matches(v, '^\\s*[+-]?[0-9]+\\s*$') AS is_int,
+    regexp_matches(v, '^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$')
+      OR regexp_matches(lower(v), '^\\s*[+-]?(nan|inf|infinity)\\s*$') AS is_real
+  FROM cells),
+g AS (SELECT col, pos, count_if(filled AND NOT is_int AND NOT is_real) AS n_text,
+             count_if(filled AND NOT is_int AND is_real) AS n_real FROM cls GROUP BY col, pos)
+SELECT col AS "column", CAST(pos AS BIGINT) AS pos,
+  CASE WHEN col IN {_FORCED!r} THEN 'TEXT' WHEN n_text > 0 THEN 'TEXT' WHEN n_real > 0 THEN 'REAL'
+       ELSE 'INTEGER' END AS type
+FROM g"""
+
+ORACLE["q_pk_violations"] = """
+SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+
+ORACLE["q_mart_pk_check"] = _with(AREAS) + """
+SELECT count(*) AS violating_keys FROM (SELECT key FROM areas GROUP BY key HAVING count(*) > 1)"""
+
+ORACLE["q_stream_zone_stats"] = ORACLE["q_zone_depth_stats"]

@@ -12,6 +12,7 @@ from .plans import hazard_queries as hq
 from .plans import serve_queries as sq
 from .plans import name_queries as nq
 from .plans import geo_queries as gq
+from .plans import quality_queries as qq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,4 +93,9 @@ QUERIES: dict[str, Query] = {
     "q_shared_keys": gq.q_shared_keys,
     "q_shared_polygon_key": gq.q_shared_polygon_key,
     "q_density": gq.q_density,
+    "q_infer_types": qq.q_infer_types,
+    "q_pk_violations": qq.q_pk_violations,
+    "q_mart_pk_check": qq.q_mart_pk_check,
+    "q_byte_batches": qq.q_byte_batches,
+    "q_stream_zone_stats": qq.q_stream_zone_stats,
 }

@@ -95,7 +95,11 @@ def incidents_two_years(spark: SparkSession, sf_dir: str,
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth grid points: x, y, depth, elev, basin (no unique id exists)."""
-    l = table(spark, sf_dir, "lineitem")
+    return points_from(table(spark, sf_dir, "lineitem"))
+
+
+def points_from(l: DataFrame) -> DataFrame:
+    """The point columns from any (batch or streaming) lineitem frame."""
     return l.select(
         ((l.l_orderkey * 7919 + l.l_linenumber * 104729) % 99991 / F.lit(1000.0)).alias("x"),
         ((l.l_orderkey * 15485863 + l.l_linenumber * 32452843) % 99989 / F.lit(1000.0)).alias("y"),
