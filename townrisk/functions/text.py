@@ -19,6 +19,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from .. import constants as K
 
@@ -77,7 +78,7 @@ def norm_name(c: Column) -> Column:
     return _fold_tail(_block_to_digits(s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Ty.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

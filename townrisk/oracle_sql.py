@@ -517,14 +517,14 @@ COMBINED = """base AS (
     t.ts_flood_ratio, t.ts_mean_depth, t.ts_max_depth, t.ts_exposure,
     g.liq_points, g.liq_small, g.liq_mid, g.liq_large, g.liq_pl, g.liq_covered, g.liq_thin,
     hi.liq_history, hi.liq_1923, hi.liq_2011,
-    na.nat_ratio, coalesce(na.nat_exposure, 0.0) AS nat_exposure, na.nat_main_label, na.nat_main_ratio,
+    na.nat_ratio, round(coalesce(na.nat_exposure, 0.0), 9) AS nat_exposure, na.nat_main_label, na.nat_main_ratio,
     na.nat_max_label, na.nat_max_ratio, na.nat_rivers, na.nat_ratio IS NOT NULL AS nat_covered,
     co.collapse_flow_ratio, co.collapse_erosion_ratio,
     greatest(co.collapse_flow_ratio, co.collapse_erosion_ratio) > 0 AS collapse_zone,
     coalesce(s.pop >= 100, false) AS pop_ok,
     coalesce(s.pop >= 100, false) AND coalesce(f.tk_coverage, false) AS flood_valid,
-    coalesce(f.tk_flood_ratio * f.tk_mean_depth, 0.0) AS tokyo_exposure,
-    coalesce(t.ts_exposure, 0.0) AS tide_exposure,
+    round(coalesce(f.tk_flood_ratio * f.tk_mean_depth, 0.0), 9) AS tokyo_exposure,
+    round(coalesce(t.ts_exposure, 0.0), 9) AS tide_exposure,
     coalesce(s.pop >= 100, false) AND coalesce(g.liq_covered, false) AS liq_valid,
     coalesce(f.tk_below_sea, false) AS below_sea_flag,
     n.n_regionkey <> 4 AS tide_in_scope
@@ -539,9 +539,9 @@ base2 AS (
   FROM base),
 fr AS (SELECT zone, 100 * cume_dist() OVER (ORDER BY flood_exposure DESC) AS flood_score FROM base2 WHERE flood_valid),
 tr AS (SELECT zone, 100 * cume_dist() OVER (ORDER BY tide_exposure DESC) AS tide_score FROM base2 WHERE pop_ok),
-gr AS (SELECT zone, 100 * cume_dist() OVER (ORDER BY liq_pl DESC) AS ground_score FROM base2
+gr AS (SELECT zone, 100 * cume_dist() OVER (ORDER BY round(liq_pl, 9) DESC) AS ground_score FROM base2
        WHERE liq_valid AND liq_pl IS NOT NULL),
-er AS (SELECT zone, 100.0 * rank() OVER (ORDER BY tk_mean_elev) / count(*) OVER () AS elev_score FROM base2
+er AS (SELECT zone, 100.0 * rank() OVER (ORDER BY round(tk_mean_elev, 9)) / count(*) OVER () AS elev_score FROM base2
        WHERE flood_valid AND tk_mean_elev IS NOT NULL),
 comb AS (
   SELECT b.*, fr.flood_score, tr.tide_score, gr.ground_score, er.elev_score, b.safety_score IS NOT NULL AS scored
@@ -725,20 +725,20 @@ items AS (
   SELECT key, 'flood' AS axis, 0 AS idx, 'main factor' AS label,
     CASE WHEN dn THEN coalesce(nat_rivers, '国管理河川')
          WHEN scored = 1 AND flood_covered = 1 AND flood_score < 40 AND flood_basin IS NOT NULL THEN flood_basin END AS value FROM sh
-  UNION ALL SELECT key, 'flood', 1, 'flooded share', coalesce(printf('%.1f', round(flood_ratio * 100.0, 1)) || '%', '—') FROM sh
-  UNION ALL SELECT key, 'flood', 2, 'mean depth', coalesce(printf('%.2f', round(flood_mean_depth, 2)) || ' m', '—') FROM sh
-  UNION ALL SELECT key, 'flood', 3, 'max depth', coalesce(printf('%.2f', round(flood_max_depth, 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'flood', 1, 'flooded share', coalesce(printf('%.1f', round(round(flood_ratio, 6) * 100.0, 1)) || '%', '—') FROM sh
+  UNION ALL SELECT key, 'flood', 2, 'mean depth', coalesce(printf('%.2f', round(round(flood_mean_depth, 6), 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'flood', 3, 'max depth', coalesce(printf('%.2f', round(round(flood_max_depth, 6), 2)) || ' m', '—') FROM sh
   UNION ALL SELECT key, 'flood', 4, 'area-averaged depth',
-    coalesce(printf('%.2f', round(CASE WHEN dn THEN nat_exposure ELSE tokyo_exposure END, 2)) || ' m', '—') FROM sh
-  UNION ALL SELECT key, 'tide', 5, 'flooded share', coalesce(printf('%.1f', round(tide_ratio * 100.0, 1)) || '%', '—') FROM sh
-  UNION ALL SELECT key, 'tide', 6, 'mean depth', coalesce(printf('%.2f', round(tide_mean_depth, 2)) || ' m', '—') FROM sh
-  UNION ALL SELECT key, 'tide', 7, 'max depth', coalesce(printf('%.2f', round(tide_max_depth, 2)) || ' m', '—') FROM sh
+    coalesce(printf('%.2f', round(round(CASE WHEN dn THEN nat_exposure ELSE tokyo_exposure END, 6), 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'tide', 5, 'flooded share', coalesce(printf('%.1f', round(round(tide_ratio, 6) * 100.0, 1)) || '%', '—') FROM sh
+  UNION ALL SELECT key, 'tide', 6, 'mean depth', coalesce(printf('%.2f', round(round(tide_mean_depth, 6), 2)) || ' m', '—') FROM sh
+  UNION ALL SELECT key, 'tide', 7, 'max depth', coalesce(printf('%.2f', round(round(tide_max_depth, 6), 2)) || ' m', '—') FROM sh
   UNION ALL SELECT key, 'ground', 8, 'past liquefaction',
     CASE WHEN liq_1923 = 1 THEN '1923' WHEN liq_2011 = 1 THEN '2011' WHEN liq_history = 1 THEN 'recorded' ELSE 'none' END FROM sh
   UNION ALL SELECT key, 'ground', 9, 'large', coalesce(format('{:,}', liq_large) || ' pts', '—') FROM sh
   UNION ALL SELECT key, 'ground', 10, 'mid', coalesce(format('{:,}', liq_mid) || ' pts', '—') FROM sh
   UNION ALL SELECT key, 'ground', 11, 'small', coalesce(format('{:,}', liq_small) || ' pts', '—') FROM sh
-  UNION ALL SELECT key, 'ground', 12, 'PL smoothed', coalesce(printf('%.1f', round(liq_pl, 1)), '—') FROM sh
+  UNION ALL SELECT key, 'ground', 12, 'PL smoothed', coalesce(printf('%.1f', round(round(liq_pl, 6), 1)), '—') FROM sh
   UNION ALL SELECT key, 'ground', 13, 'borings', coalesce(format('{:,}', liq_points) || ' pts', '—') FROM sh),
 kept AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx) - 1 AS pos FROM items WHERE value IS NOT NULL)
 SELECT key, axis, CAST(pos AS BIGINT) AS idx, label, value FROM kept"""

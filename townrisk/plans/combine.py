@@ -66,9 +66,12 @@ def _combine(spark: SparkSession, d: str) -> DataFrame:
     m = (z.join(s, "zone", "left").join(fl, "zone", "left").join(td, "zone", "left")
          .join(gr, "zone", "left").join(hi, "zone", "left").join(na, "zone", "left")
          .join(co, "zone", "left"))
-    m = m.withColumn("nat_exposure", F.coalesce(F.col("nat_exposure"), F.lit(0.0)))
+    # Measures that are ranked or compared are rounded to 1e-9 first: values
+    # that are equal in exact arithmetic must tie instead of being ordered
+    # by floating-point noise of sums taken in task order.
+    m = m.withColumn("nat_exposure", F.round(F.coalesce(F.col("nat_exposure"), F.lit(0.0)), 9))
     pop_ok = F.coalesce(F.col("pop") >= K.MIN_POP, F.lit(False))
-    tokyo = F.coalesce(F.col("tk_flood_ratio") * F.col("tk_mean_depth"), F.lit(0.0))
+    tokyo = F.round(F.coalesce(F.col("tk_flood_ratio") * F.col("tk_mean_depth"), F.lit(0.0)), 9)
     nat = F.col("nat_exposure")
     fb = lambda c: F.coalesce(F.col(c), F.lit(False))
     m = m.select(
@@ -79,7 +82,9 @@ def _combine(spark: SparkSession, d: str) -> DataFrame:
         F.greatest(tokyo, nat).alias("flood_exposure"),
         F.when(nat > tokyo, F.lit(K.FLOOD_SOURCE_NATIONAL))
         .otherwise(F.lit(K.FLOOD_SOURCE_CITY)).alias("flood_source"),
-        F.coalesce(F.col("ts_exposure"), F.lit(0.0)).alias("tide_exposure"),
+        F.round(F.coalesce(F.col("ts_exposure"), F.lit(0.0)), 9).alias("tide_exposure"),
+        F.round(F.col("liq_pl"), 9).alias("_liq_pl_r"),
+        F.round(F.col("tk_mean_elev"), 9).alias("_elev_r"),
         (pop_ok & fb("liq_covered")).alias("liq_valid"),
         fb("tk_below_sea").alias("below_sea_flag"),
         F.col("nat_ratio").isNotNull().alias("nat_covered"),
@@ -89,6 +94,6 @@ def _combine(spark: SparkSession, d: str) -> DataFrame:
     m = cut_lineage(m)
     m = pct_scores(m, [("flood_exposure", "flood_score", F.col("flood_valid")),
                        ("tide_exposure", "tide_score", F.col("pop_ok")),
-                       ("liq_pl", "ground_score", F.col("liq_valid"))])
-    m = rank_low_pct(m, "tk_mean_elev", "elev_score", valid=F.col("flood_valid"))
-    return m.withColumn("scored", F.col("safety_score").isNotNull())
+                       ("_liq_pl_r", "ground_score", F.col("liq_valid"))])
+    m = rank_low_pct(m, "_elev_r", "elev_score", valid=F.col("flood_valid"))
+    return m.withColumn("scored", F.col("safety_score").isNotNull()).drop("_liq_pl_r", "_elev_r")

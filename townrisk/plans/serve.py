@@ -85,13 +85,14 @@ def bucket_label(score: Column) -> Column:
 
 
 def fmt_fixed(v: Column, digits: int, suffix: str = "") -> Column:
-    """Fixed decimals, dash for NULL (value rounded half-up first)."""
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", F.round(v, digits)), F.lit(suffix)),
-                      F.lit("—"))
+    """Fixed decimals, dash for NULL.  The value is first rounded to 6
+    decimals (float noise), then half-up to the shown digits."""
+    r = F.round(F.round(v, 6), digits)
+    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", r), F.lit(suffix)), F.lit("—"))
 
 
 def fmt_pct(v: Column) -> Column:
-    return fmt_fixed(v * F.lit(100.0), 1, "%")
+    return fmt_fixed(F.round(v, 6) * F.lit(100.0), 1, "%")
 
 
 def fmt_int(v: Column, suffix: str = "") -> Column:
