@@ -108,7 +108,8 @@ ORACLE["q_describe"] = _with(AREAS, YEARLY, WIDE, SAFETY) + """
 SELECT CAST(count(*) AS BIGINT) AS n, round(avg(safety_score), 6) AS mean,
   round(stddev_samp(safety_score), 6) AS std, round(min(safety_score), 6) AS min,
   round(quantile_cont(safety_score, 0.25), 6) AS p25, round(quantile_cont(safety_score, 0.5), 6) AS p50,
-  round(quantile_cont(safety_score, 0.75), 6) AS p75, round(max(safety_score), 6) AS max
+  round(quantile_cont(safety_score, 0.75), 6) AS p75, round(max(safety_score), 6) AS max,
+  count(DISTINCT round(safety_score, 9)) AS n_unique
 FROM safety WHERE safety_score IS NOT NULL"""
 
 # --- zones, points, borings, hazards -----------------------------------------
@@ -380,7 +381,7 @@ nat AS (
   SELECT t.zone, least(t.nat_area / za.zone_area, 1.0) AS nat_ratio, ex.nat_exposure,
     tk.main_rk AS nat_main_rank, d1.label AS nat_main_label, least(tk.main_ka / za.zone_area, 1.0) AS nat_main_ratio,
     dp.max_rk AS nat_max_rank, d2.label AS nat_max_label, least(dp.max_ka / za.zone_area, 1.0) AS nat_max_ratio,
-    rn.rname AS nat_main_river, ex.nat_rivers
+    rn.rname AS nat_main_river, ex.nat_rivers, dp.max_rk > tk.main_rk AS deeper_than_main
   FROM tot t JOIN zarea za ON za.zone = t.zone JOIN ex ON ex.zone = t.zone JOIN topk tk ON tk.zone = t.zone
   JOIN deep dp ON dp.zone = t.zone JOIN mr ON mr.zone = t.zone JOIN rn ON rn.river = mr.main_river
   JOIN dm d1 ON d1.rk = tk.main_rk JOIN dm d2 ON d2.rk = dp.max_rk)"""
@@ -388,7 +389,8 @@ nat AS (
 ORACLE["q_national_rivers"] = _with(ZEDGES, HEDGES, INTERSECT, OVERLAY, ZAREA, DEPTHS, NATIONAL) + """
 SELECT zone, round(nat_ratio, 6) AS nat_ratio, round(nat_exposure, 6) AS nat_exposure,
   nat_main_rank, nat_main_label, round(nat_main_ratio, 6) AS nat_main_ratio,
-  nat_max_rank, nat_max_label, round(nat_max_ratio, 6) AS nat_max_ratio, nat_main_river, nat_rivers
+  nat_max_rank, nat_max_label, round(nat_max_ratio, 6) AS nat_max_ratio, nat_main_river, nat_rivers,
+  deeper_than_main
 FROM nat"""
 
 ORACLE["q_weighted_exposure"] = _with(ZEDGES, HEDGES, INTERSECT, OVERLAY, ZAREA, DEPTHS, NATIONAL) + """

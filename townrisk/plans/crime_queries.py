@@ -107,13 +107,16 @@ def q_mart_crime(spark: SparkSession, d: str) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """count, mean, std, min, 25/50/75 % (exact, interpolated), max."""
+    """count, mean, std, min, 25/50/75 % (exact, interpolated), max and the
+    number of distinct values (at 1e-9)."""
     base = df.where(F.col(value).isNotNull())
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
                      F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-                     F.max(value).alias("max"))
+                     F.max(value).alias("max"),
+                     F.count_distinct(F.round(value, 9)).alias("n_unique"))
     q = quantiles(base, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    return stats.crossJoin(q).select("n", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return stats.crossJoin(q).select("n", "mean", "std", "min", "p25", "p50", "p75", "max",
+                                     "n_unique")
 
 
 def q_describe(spark: SparkSession, d: str) -> DataFrame:

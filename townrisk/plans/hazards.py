@@ -108,7 +108,8 @@ def _national_by_zone(spark: SparkSession, d: str) -> DataFrame:
         clip(F.col("main_ka")).alias("nat_main_ratio"),
         F.col("max_rk").alias("nat_max_rank"), "nat_max_label",
         clip(F.col("max_ka")).alias("nat_max_ratio"),
-        river_name(F.col("main_river")).alias("nat_main_river"), "nat_rivers")
+        river_name(F.col("main_river")).alias("nat_main_river"), "nat_rivers",
+        (F.col("max_rk") > F.col("main_rk")).alias("deeper_than_main"))
 
 
 def zone_hazard_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -22,7 +22,7 @@ def split_names(df: DataFrame, name: str, wards) -> DataFrame:
             & ~F.col(name).contains(K.EXCLUDE_CONTAINS)
             & ~F.col(name).endswith(K.EXCLUDE_SUFFIX)
             & ~F.col(name).isin(*wards))
-    d = d.where(keep).withColumn("town", F.expr(f"substring({name}, length(ward) + 1)"))
+    d = d.where(keep).withColumn("town", F.substr(F.col(name), F.length("ward") + 1))
     return d.withColumn("name_key", F.concat_ws(K.KEY_SEPARATOR, F.col("ward"),
                                                  X.norm_name(F.col("town"))))
 
