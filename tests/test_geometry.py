@@ -7,7 +7,7 @@ from geom_brute import inside as brute_inside
 from geom_brute import overlay as brute_overlay
 from geom_brute import union_overlay
 from townrisk.functions import geo as G
-from townrisk.operators.overlay import overlay_area, union_area
+from townrisk.operators.overlay import intersects_sliced, overlay_area, union_area
 from townrisk.operators.spatial import intersects, zone_join
 
 RING_T = "array<array<struct<x: double, y: double>>>"
@@ -20,8 +20,8 @@ def polys(spark, items, key="k"):
 
 def test_area_and_centroid_rectangle(spark):
     df = polys(spark, [(1, [(0, 0), (4, 0), (4, 2), (0, 2)])])
-    cx, cy = G.centroid(F.col("rings"))
-    r = df.select(G.area(F.col("rings")).alias("a"), cx.alias("cx"), cy.alias("cy")).collect()[0]
+    cx, cy = G.centroid("rings")
+    r = df.select(G.area("rings").alias("a"), cx.alias("cx"), cy.alias("cy")).collect()[0]
     assert (r.a, r.cx, r.cy) == (8.0, 2.0, 1.0)
 
 
@@ -29,7 +29,7 @@ def test_area_with_hole(spark):
     outer = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
     hole = [(2.0, 2.0), (2.0, 4.0), (4.0, 4.0), (4.0, 2.0)]   # clockwise
     df = spark.createDataFrame([(1, [outer, hole])], f"k long, rings {RING_T}")
-    assert df.select(G.area(F.col("rings"))).collect()[0][0] == 96.0
+    assert df.select(G.area("rings")).collect()[0][0] == 96.0
 
 
 def test_zone_join_cases(spark):
@@ -100,13 +100,24 @@ def test_intersects_touching_and_contained(spark):
 
 def test_projection_round_trip(spark):
     df = spark.createDataFrame([(139.77, 35.68), (139.5, 35.5), (139.95, 35.85)], "lon double, lat double")
-    x, y = G.to_plane_zone9(F.col("lon"), F.col("lat"))
-    p = df.select("lon", "lat", x.alias("x"), y.alias("y"))
-    lon, lat = G.from_plane_zone9(F.col("x"), F.col("y"))
-    for r in p.select("lon", "lat", lon.alias("lo"), lat.alias("la"), "x", "y").collect():
+    p = G.with_plane_zone9(df, "lon", "lat", "x", "y")
+    back = G.with_lonlat_zone9(p, "x", "y", "lo", "la")
+    for r in back.collect():
         dx = (r.lo - r.lon) * 111_320 * math.cos(math.radians(r.lat))
         dy = (r.la - r.lat) * 110_574
         assert math.hypot(dx, dy) < 1e-3
     origin = spark.createDataFrame([(139.0 + 50 / 60, 36.0)], "lon double, lat double")
-    o = origin.select(*[c.alias(n) for c, n in zip(G.to_plane_zone9(F.col("lon"), F.col("lat")), "xy")]).collect()[0]
+    o = G.with_plane_zone9(origin, "lon", "lat", "x", "y").collect()[0]
     assert abs(o.x) < 1e-6 and abs(o.y) < 1e-6
+
+
+def test_intersects_sliced_matches_pairwise(spark):
+    rnd = random.Random(5)
+    zone = [(1, 1), (18, 2), (17, 9), (9, 10), (8, 19), (2, 18)]
+    tris = [_tri(rnd) for _ in range(30)] + [[(4, 4), (5, 4), (4.5, 5)], [(0, 0), (30, 0), (15, 30)]]
+    a = polys(spark, [(0, zone)])
+    b = polys(spark, [(i + 1, t) for i, t in enumerate(tris)], key="h")
+    slow = sorted(r.h for r in intersects(a, "k", "rings", b, "h", "rings", cell=5.0).collect())
+    fast = sorted(r.h for r in intersects_sliced(a, "k", "rings", b, "h", "rings", slab=2.5, cell=5.0).collect())
+    assert fast == slow
+    assert len(tris) in fast and len(tris) - 1 in fast      # contained / containing

@@ -16,101 +16,110 @@ from pyspark.sql import functions as F
 POINT = "struct<x: double, y: double>"
 EDGE = "struct<x1: double, y1: double, x2: double, y2: double>"
 
+# Each helper returns SQL text over SQL text arguments (column names, struct
+# fields or lambda variables) so a whole geometric expression is parsed by
+# the JVM in one call; ``col`` wraps the text as a Column.
 
-def ring_edges(ring: Column) -> Column:
+
+def col(sql: str) -> Column:
+    return F.expr(sql)
+
+
+def ring_edges_sql(ring: str) -> str:
     """Closed edge list of one ring (last vertex joins the first)."""
-    n = F.size(ring)
-    return F.transform(ring, lambda p, i: F.struct(
-        p["x"].alias("x1"), p["y"].alias("y1"),
-        F.element_at(ring, (i + 1) % n + 1)["x"].alias("x2"),
-        F.element_at(ring, (i + 1) % n + 1)["y"].alias("y2")))
+    nxt = f"element_at({ring}, (i + 1) % size({ring}) + 1)"
+    return (f"transform({ring}, (p, i) -> named_struct('x1', p.x, 'y1', p.y, "
+            f"'x2', {nxt}.x, 'y2', {nxt}.y))")
 
 
-def poly_edges(rings: Column) -> Column:
+def poly_edges_sql(rings: str) -> str:
     """All edges of a polygon (every ring)."""
-    return F.flatten(F.transform(rings, ring_edges))
+    return f"flatten(transform({rings}, rr -> {ring_edges_sql('rr')}))"
+
+
+def poly_edges(rings: str) -> Column:
+    return col(poly_edges_sql(rings))
+
+
+def bbox(rings: str) -> tuple[Column, Column, Column, Column]:
+    pts = f"flatten({rings})"
+    return (col(f"array_min(transform({pts}, q -> q.x))"),
+            col(f"array_min(transform({pts}, q -> q.y))"),
+            col(f"array_max(transform({pts}, q -> q.x))"),
+            col(f"array_max(transform({pts}, q -> q.y))"))
 
 
-def bbox(rings: Column) -> tuple[Column, Column, Column, Column]:
-    pts = F.flatten(rings)
-    return (F.array_min(F.transform(pts, lambda p: p["x"])),
-            F.array_min(F.transform(pts, lambda p: p["y"])),
-            F.array_max(F.transform(pts, lambda p: p["x"])),
-            F.array_max(F.transform(pts, lambda p: p["y"])))
+def _origin(rings: str) -> tuple[str, str]:
+    o = f"element_at(element_at({rings}, 1), 1)"
+    return f"{o}.x", f"{o}.y"
 
 
-def signed_area(rings: Column) -> Column:
+def _cross(ox: str, oy: str) -> str:
+    return f"((e.x1 - {ox}) * (e.y2 - {oy}) - (e.x2 - {ox}) * (e.y1 - {oy}))"
+
+
+def signed_area_sql(rings: str) -> str:
     """Shoelace area (holes negative) about the first vertex, for precision."""
-    o = F.element_at(F.element_at(rings, 1), 1)
-    ox, oy = o["x"], o["y"]
-    return F.aggregate(
-        poly_edges(rings), F.lit(0.0),
-        lambda acc, e: acc + ((e["x1"] - ox) * (e["y2"] - oy)
-                              - (e["x2"] - ox) * (e["y1"] - oy))) / F.lit(2.0)
+    ox, oy = _origin(rings)
+    return f"(aggregate({poly_edges_sql(rings)}, 0D, (acc, e) -> acc + {_cross(ox, oy)}) / 2D)"
 
 
-def area(rings: Column) -> Column:
-    return F.abs(signed_area(rings))
+def area(rings: str) -> Column:
+    return col(f"abs({signed_area_sql(rings)})")
 
 
-def centroid(rings: Column) -> tuple[Column, Column]:
+def centroid(rings: str) -> tuple[Column, Column]:
     """Area-weighted centroid (x, y)."""
-    o = F.element_at(F.element_at(rings, 1), 1)
-    ox, oy = o["x"], o["y"]
-    a6 = signed_area(rings) * F.lit(6.0)
+    ox, oy = _origin(rings)
+    edges = poly_edges_sql(rings)
+    cr = _cross(ox, oy)
+    sx = f"aggregate({edges}, 0D, (acc, e) -> acc + (e.x1 - {ox} + e.x2 - {ox}) * {cr})"
+    sy = f"aggregate({edges}, 0D, (acc, e) -> acc + (e.y1 - {oy} + e.y2 - {oy}) * {cr})"
+    a6 = f"(6D * {signed_area_sql(rings)})"
+    return col(f"{ox} + {sx} / {a6}"), col(f"{oy} + {sy} / {a6}")
 
-    def cross(e):
-        return (e["x1"] - ox) * (e["y2"] - oy) - (e["x2"] - ox) * (e["y1"] - oy)
 
-    sx = F.aggregate(poly_edges(rings), F.lit(0.0),
-                     lambda acc, e: acc + (e["x1"] - ox + e["x2"] - ox) * cross(e))
-    sy = F.aggregate(poly_edges(rings), F.lit(0.0),
-                     lambda acc, e: acc + (e["y1"] - oy + e["y2"] - oy) * cross(e))
-    return ox + sx / a6, oy + sy / a6
+def crossings_sql(px: str, py: str, edges: str) -> str:
+    """Edges a ray from (px, py) towards +x crosses (half-open rule on y)."""
+    return (f"size(filter({edges}, e -> ((e.y1 > {py}) != (e.y2 > {py})) AND "
+            f"({px} < try_divide((e.x2 - e.x1) * ({py} - e.y1), e.y2 - e.y1) + e.x1)))")
 
 
-def crossings(px: Column, py: Column, edges: Column) -> Column:
-    """Number of edges a ray from (px, py) towards +x crosses (half-open
-    rule on y, so a vertex on the ray is counted once)."""
-    return F.size(F.filter(edges, lambda e: (
-        ((e["y1"] > py) != (e["y2"] > py))
-        & (px < F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), e["y2"] - e["y1"])
-           + e["x1"]))))
+def inside_sql(px: str, py: str, edges: str) -> str:
+    """Even-odd point-in-polygon test."""
+    return f"({crossings_sql(px, py, edges)} % 2 = 1)"
 
 
-def inside(px: Column, py: Column, edges: Column) -> Column:
-    """Even-odd point-in-polygon test."""
-    return crossings(px, py, edges) % 2 == 1
+def inside(px: str, py: str, edges: str) -> Column:
+    return col(inside_sql(px, py, edges))
 
 
-def segments_cross(a, b) -> Column:
+def segments_cross_sql(a: str, b: str) -> str:
     """Closed segment intersection test (touching counts)."""
-    def orient(px, py, qx, qy, rx, ry):
-        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
-
-    o1 = orient(a["x1"], a["y1"], a["x2"], a["y2"], b["x1"], b["y1"])
-    o2 = orient(a["x1"], a["y1"], a["x2"], a["y2"], b["x2"], b["y2"])
-    o3 = orient(b["x1"], b["y1"], b["x2"], b["y2"], a["x1"], a["y1"])
-    o4 = orient(b["x1"], b["y1"], b["x2"], b["y2"], a["x2"], a["y2"])
-    boxes = ((F.least(a["x1"], a["x2"]) <= F.greatest(b["x1"], b["x2"]))
-             & (F.least(b["x1"], b["x2"]) <= F.greatest(a["x1"], a["x2"]))
-             & (F.least(a["y1"], a["y2"]) <= F.greatest(b["y1"], b["y2"]))
-             & (F.least(b["y1"], b["y2"]) <= F.greatest(a["y1"], a["y2"])))
-    proper = (o1 * o2 <= 0) & (o3 * o4 <= 0)
-    return boxes & proper
-
-
-def snap(rings: Column, digits: int = 6) -> Column:
+    def pt(s, k):
+        return {"x": f"{s}.x{k}", "y": f"{s}.y{k}"}
+    def ori(p, q, r):
+        return f"signum(({q['x']} - {p['x']}) * ({r['y']} - {p['y']}) - ({q['y']} - {p['y']}) * ({r['x']} - {p['x']}))"
+    A1, A2, B1, B2 = pt(a, 1), pt(a, 2), pt(b, 1), pt(b, 2)
+    boxes = (f"least({a}.x1, {a}.x2) <= greatest({b}.x1, {b}.x2) AND "
+             f"least({b}.x1, {b}.x2) <= greatest({a}.x1, {a}.x2) AND "
+             f"least({a}.y1, {a}.y2) <= greatest({b}.y1, {b}.y2) AND "
+             f"least({b}.y1, {b}.y2) <= greatest({a}.y1, {a}.y2)")
+    return (f"({boxes} AND {ori(A1, A2, B1)} * {ori(A1, A2, B2)} <= 0 AND "
+            f"{ori(B1, B2, A1)} * {ori(B1, B2, A2)} <= 0)")
+
+
+def snap_sql(rings: str, digits: int = 6) -> str:
     """Round coordinates and drop consecutive duplicate vertices."""
-    def snap_ring(r):
-        rr = F.transform(r, lambda p: F.struct(F.round(p["x"], digits).alias("x"),
-                                               F.round(p["y"], digits).alias("y")))
-        n = F.size(rr)
-        keep = F.filter(F.transform(rr, lambda p, i: F.struct(
-            p.alias("p"), (p != F.element_at(rr, (i + n - 1) % n + 1)).alias("k"))),
-            lambda s: s["k"] | (n == 1))
-        return F.transform(keep, lambda s: s["p"])
-    return F.transform(rings, snap_ring)
+    r = f"transform(sr, q -> named_struct('x', round(q.x, {digits}), 'y', round(q.y, {digits})))"
+    prev = f"element_at({r}, (j + size(sr) - 1) % size(sr) + 1)"
+    keep = (f"transform(filter(transform({r}, (q, j) -> named_struct('p', q, 'k', q != {prev})), "
+            f"z -> z.k OR size(sr) = 1), z -> z.p)")
+    return f"transform({rings}, sr -> {keep})"
+
+
+def snap(rings: str, digits: int = 6) -> Column:
+    return col(snap_sql(rings, digits))
 
 
 # ---------------------------------------------------------------------------
@@ -158,46 +167,50 @@ def _xi0() -> float:
 _S0 = ZONE9_K0 * _A * _xi0()
 
 
-def _atanh(x: Column) -> Column:
-    return F.lit(0.5) * F.log((F.lit(1.0) + x) / (F.lit(1.0) - x))
-
-
-def to_plane_zone9(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Geographic degrees -> plane zone IX metres (easting x, northing y)."""
-    phi = F.radians(lat)
-    lam = F.radians(lon) - F.lit(math.radians(ZONE9_LON0))
-    s = F.sin(phi)
-    t = F.sinh(_atanh(s) - F.lit(_E2N) * _atanh(F.lit(_E2N) * s))
-    xi = F.atan(t / F.cos(lam))
-    eta = _atanh(F.sin(lam) / F.sqrt(F.lit(1.0) + t * t))
-    x = eta
-    y = xi
-    for j, a in enumerate(_ALPHA, start=1):
-        x = x + F.lit(a) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
-        y = y + F.lit(a) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
-    k = F.lit(ZONE9_K0 * _A)
-    return k * x, k * y - F.lit(_S0)
-
-
-def from_plane_zone9(x: Column, y: Column) -> tuple[Column, Column]:
-    """Plane zone IX metres -> geographic degrees (lon, lat)."""
-    k = F.lit(ZONE9_K0 * _A)
-    xi = (y + F.lit(_S0)) / k
-    eta = x / k
-    xip, etap = xi, eta
-    for j, b in enumerate(_BETA, start=1):
-        xip = xip - F.lit(b) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
-        etap = etap - F.lit(b) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
-    chi = F.asin(F.sin(xip) / F.cosh(etap))
-    phi = chi
-    for j, d in enumerate(_DELTA, start=1):
-        phi = phi + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
-    lam = F.lit(math.radians(ZONE9_LON0)) + F.atan(F.sinh(etap) / F.cos(xip))
-    return F.degrees(lam), F.degrees(phi)
-
-
-def to_web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    r = F.lit(GRS80_A)
-    x = r * F.radians(lon)
-    y = r * F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / F.lit(2.0)))
-    return x, y
+def _atanh(x: str) -> str:
+    return f"(0.5D * ln((1D + {x}) / (1D - {x})))"
+
+
+def with_plane_zone9(df, lon: str, lat: str, x_out: str, y_out: str):
+    """Add plane zone IX metres (easting ``x_out``, northing ``y_out``) for
+    geographic degrees; intermediate terms are their own columns so each
+    is computed once and the generated code stays small."""
+    e2n = repr(_E2N)
+    df = df.withColumn("_tm_s", col(f"sin(radians({lat}))")) \
+           .withColumn("_tm_l", col(f"radians({lon}) - {math.radians(ZONE9_LON0)!r}"))
+    df = df.withColumn("_tm_t", col(f"sinh({_atanh('_tm_s')} - {e2n} * {_atanh(e2n + ' * _tm_s')})"))
+    df = df.withColumn("_tm_xi", col("atan(_tm_t / cos(_tm_l))")) \
+           .withColumn("_tm_eta", col(f"{_atanh('sin(_tm_l) / sqrt(1D + _tm_t * _tm_t)')}"))
+    xs = " + ".join(f"{a!r} * cos({2 * j}D * _tm_xi) * sinh({2 * j}D * _tm_eta)"
+                    for j, a in enumerate(_ALPHA, start=1))
+    ys = " + ".join(f"{a!r} * sin({2 * j}D * _tm_xi) * cosh({2 * j}D * _tm_eta)"
+                    for j, a in enumerate(_ALPHA, start=1))
+    k = repr(ZONE9_K0 * _A)
+    return (df.withColumn(x_out, col(f"{k} * (_tm_eta + {xs})"))
+              .withColumn(y_out, col(f"{k} * (_tm_xi + {ys}) - {_S0!r}"))
+              .drop("_tm_s", "_tm_l", "_tm_t", "_tm_xi", "_tm_eta"))
+
+
+def with_lonlat_zone9(df, x: str, y: str, lon_out: str, lat_out: str):
+    """Add geographic degrees for plane zone IX metres (inverse series)."""
+    k = repr(ZONE9_K0 * _A)
+    df = df.withColumn("_ti_xi", col(f"({y} + {_S0!r}) / {k}")) \
+           .withColumn("_ti_eta", col(f"{x} / {k}"))
+    xp = " - ".join(["_ti_xi"] + [f"{b!r} * sin({2 * j}D * _ti_xi) * cosh({2 * j}D * _ti_eta)"
+                                  for j, b in enumerate(_BETA, start=1)])
+    ep = " - ".join(["_ti_eta"] + [f"{b!r} * cos({2 * j}D * _ti_xi) * sinh({2 * j}D * _ti_eta)"
+                                   for j, b in enumerate(_BETA, start=1)])
+    df = df.withColumn("_ti_xp", col(xp)).withColumn("_ti_ep", col(ep))
+    df = df.withColumn("_ti_chi", col("asin(sin(_ti_xp) / cosh(_ti_ep))"))
+    phi = " + ".join(["_ti_chi"] + [f"{d!r} * sin({2 * j}D * _ti_chi)"
+                                    for j, d in enumerate(_DELTA, start=1)])
+    lam = f"{math.radians(ZONE9_LON0)!r} + atan(sinh(_ti_ep) / cos(_ti_xp))"
+    return (df.withColumn(lon_out, col(f"degrees({lam})"))
+              .withColumn(lat_out, col(f"degrees({phi})"))
+              .drop("_ti_xi", "_ti_eta", "_ti_xp", "_ti_ep", "_ti_chi"))
+
+
+def to_web_mercator(lon: str, lat: str) -> tuple[Column, Column]:
+    r = repr(GRS80_A)
+    return (col(f"{r} * radians({lon})"),
+            col(f"{r} * ln(tan({math.pi / 4!r} + radians({lat}) / 2D))"))

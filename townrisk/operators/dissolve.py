@@ -31,7 +31,7 @@ def outline_edges(df: DataFrame, by: str, rings: str = "rings", digits: int = 6)
     twice (in opposite directions) and cancels; edges seen once form the
     outline.  One shuffle keyed by (group, undirected edge).
     """
-    e = df.select(by, F.explode(G.poly_edges(G.snap(F.col(rings), digits))).alias("e"))
+    e = df.select(by, F.explode(G.col(G.poly_edges_sql(G.snap_sql(rings, digits)))).alias("e"))
     a = F.struct(F.col("e.x1").alias("x"), F.col("e.y1").alias("y"))
     b = F.struct(F.col("e.x2").alias("x"), F.col("e.y2").alias("y"))
     lo, hi = F.least(a, b), F.greatest(a, b)

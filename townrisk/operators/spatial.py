@@ -26,22 +26,21 @@ def _cell_range(lo: Column, hi: Column, size: float) -> Column:
 
 def zone_cells(zones: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
     """(key, ci, cj, interior, row_edges) for every cell a zone touches."""
-    xmin, ymin, xmax, ymax = G.bbox(F.col(rings))
-    z = zones.select(F.col(key).alias("_key"), G.poly_edges(F.col(rings)).alias("_edges"),
+    xmin, ymin, xmax, ymax = G.bbox(rings)
+    z = zones.select(F.col(key).alias("_key"), G.poly_edges(rings).alias("_edges"),
                      xmin.alias("_xmin"), ymin.alias("_ymin"),
                      xmax.alias("_xmax"), ymax.alias("_ymax"))
     z = (z.withColumn("ci", F.explode(_cell_range(F.col("_xmin"), F.col("_xmax"), cell)))
           .withColumn("cj", F.explode(_cell_range(F.col("_ymin"), F.col("_ymax"), cell))))
-    x0 = F.col("ci") * F.lit(cell)
-    y0 = F.col("cj") * F.lit(cell)
-    x1, y1 = x0 + F.lit(cell), y0 + F.lit(cell)
-    row = F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= y1)
-                   & (F.greatest(e["y1"], e["y2"]) >= y0)
-                   & (F.greatest(e["x1"], e["x2"]) >= x0))
-    z = z.withColumn("row_edges", row)
-    touch = F.exists("row_edges", lambda e: F.least(e["x1"], e["x2"]) <= x1)
-    centre_in = G.inside(x0 + F.lit(cell / 2), y0 + F.lit(cell / 2), F.col("row_edges"))
-    z = z.withColumn("_touch", touch).withColumn("interior", ~F.col("_touch") & centre_in)
+    c = repr(float(cell))
+    x0, y0 = f"(ci * {c})", f"(cj * {c})"
+    x1, y1 = f"(ci * {c} + {c})", f"(cj * {c} + {c})"
+    z = z.withColumn("row_edges", G.col(
+        f"filter(_edges, e -> least(e.y1, e.y2) <= {y1} AND greatest(e.y1, e.y2) >= {y0} "
+        f"AND greatest(e.x1, e.x2) >= {x0})"))
+    z = z.withColumn("_touch", G.col(f"exists(row_edges, e -> least(e.x1, e.x2) <= {x1})"))
+    centre = G.inside_sql(f"({x0} + {cell / 2!r})", f"({y0} + {cell / 2!r})", "row_edges")
+    z = z.withColumn("interior", G.col(f"NOT _touch AND {centre}"))
     return (z.where(F.col("_touch") | F.col("interior"))
             .select(F.col("_key").alias(key), "ci", "cj", "interior",
                     F.when(F.col("interior"), F.array().cast(f"array<{G.EDGE}>"))
@@ -60,7 +59,7 @@ def zone_join(points: DataFrame, zones: DataFrame, key: str = "zone",
     p = (points.withColumn("ci", F.floor(F.col(x) / F.lit(cell)).cast("long"))
                .withColumn("cj", F.floor(F.col(y) / F.lit(cell)).cast("long")))
     j = p.join(cells, ["ci", "cj"])
-    hit = F.col("interior") | G.inside(F.col(x), F.col(y), F.col("row_edges"))
+    hit = F.col("interior") | G.inside(f"`{x}`", f"`{y}`", "row_edges")
     return j.where(hit).drop("ci", "cj", "interior", "row_edges")
 
 
@@ -71,7 +70,7 @@ def bbox_pairs(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: str,
     their box and a pair is kept only in the cell that holds the lower-left
     corner of the two boxes' intersection."""
     def boxed(df, k, r, p):
-        xmin, ymin, xmax, ymax = G.bbox(F.col(r))
+        xmin, ymin, xmax, ymax = G.bbox(r)
         d = df.select(F.col(k).alias(f"{p}key"), xmin.alias(f"{p}x0"), ymin.alias(f"{p}y0"),
                       xmax.alias(f"{p}x1"), ymax.alias(f"{p}y1"))
         return (d.withColumn("ci", F.explode(_cell_range(F.col(f"{p}x0"), F.col(f"{p}x1"), cell)))
@@ -92,12 +91,12 @@ def intersects(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: str,
     of one crosses or touches an edge of the other, or one lies inside the
     other (tested with one vertex)."""
     pairs = bbox_pairs(a, a_key, a_rings, b, b_key, b_rings, cell)
-    ga = a.select(F.col(a_key), G.poly_edges(F.col(a_rings)).alias("_ea"),
+    ga = a.select(F.col(a_key), G.poly_edges(a_rings).alias("_ea"),
                   F.element_at(F.element_at(F.col(a_rings), 1), 1).alias("_va"))
-    gb = b.select(F.col(b_key), G.poly_edges(F.col(b_rings)).alias("_eb"),
+    gb = b.select(F.col(b_key), G.poly_edges(b_rings).alias("_eb"),
                   F.element_at(F.element_at(F.col(b_rings), 1), 1).alias("_vb"))
     j = pairs.join(ga, a_key).join(gb, b_key)
-    cross = F.exists("_ea", lambda ea: F.exists("_eb", lambda eb: G.segments_cross(ea, eb)))
-    a_in_b = G.inside(F.col("_va.x"), F.col("_va.y"), F.col("_eb"))
-    b_in_a = G.inside(F.col("_vb.x"), F.col("_vb.y"), F.col("_ea"))
+    cross = G.col(f"exists(_ea, ea -> exists(_eb, eb -> {G.segments_cross_sql('ea', 'eb')}))")
+    a_in_b = G.inside("_va.x", "_va.y", "_eb")
+    b_in_a = G.inside("_vb.x", "_vb.y", "_ea")
     return j.where(cross | a_in_b | b_in_a).select(a_key, b_key)

@@ -17,12 +17,12 @@ from .zones import zone_polys
 
 def q_ring_area(spark: SparkSession, d: str) -> DataFrame:
     z = zone_polys(spark, d)
-    return round_doubles(z.select("zone", G.area(F.col("rings")).alias("area")))
+    return round_doubles(z.select("zone", G.area("rings").alias("area")))
 
 
 def q_ring_centroid(spark: SparkSession, d: str) -> DataFrame:
     z = zone_polys(spark, d)
-    cx, cy = G.centroid(F.col("rings"))
+    cx, cy = G.centroid("rings")
     return round_doubles(z.select("zone", cx.alias("cx"), cy.alias("cy")))
 
 
@@ -35,10 +35,9 @@ def vertices_lonlat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_project(spark: SparkSession, d: str) -> DataFrame:
-    v = vertices_lonlat(spark, d)
-    px, py = G.to_plane_zone9(F.col("lon"), F.col("lat"))
-    mx, my = G.to_web_mercator(F.col("lon"), F.col("lat"))
-    return v.select("zone", "i", F.round(px, 3).alias("px"), F.round(py, 3).alias("py"),
+    v = G.with_plane_zone9(vertices_lonlat(spark, d), "lon", "lat", "px", "py")
+    mx, my = G.to_web_mercator("lon", "lat")
+    return v.select("zone", "i", F.round("px", 3).alias("px"), F.round("py", 3).alias("py"),
                     F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"))
 
 
@@ -47,7 +46,8 @@ def q_snap_precision(spark: SparkSession, d: str) -> DataFrame:
     v = vertices_lonlat(spark, d)
     rings = v.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("i", "lon", "lat"))).alias("pts"))
     ring = F.transform("pts", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
-    s = rings.select("zone", F.element_at(G.snap(F.array(ring), 6), 1).alias("r"))
+    s = rings.select("zone", F.array(ring).alias("_rs")) \
+        .select("zone", F.element_at(G.snap("_rs", 6), 1).alias("r"))
     return s.select("zone", F.size("r").cast("long").alias("n_vertices"),
                     F.array_join(F.transform("r", lambda p: F.concat(
                         F.format_string("%.6f", p["x"]), F.lit(" "), F.format_string("%.6f", p["y"]))),

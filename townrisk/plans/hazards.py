@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators.overlay import overlay_area, union_area
+from ..operators.overlay import intersects_sliced, overlay_area, union_area
 from ..operators.ranking import top1
 from ..operators.sizing import cut_lineage
-from ..operators.spatial import bbox_pairs, intersects
+from ..operators.spatial import bbox_pairs
 from ..sources.staging import staged
 from .zones import hazard_polys, zone_polys
 
@@ -115,7 +115,8 @@ def _national_by_zone(spark: SparkSession, d: str) -> DataFrame:
 def zone_hazard_pairs(spark: SparkSession, d: str) -> DataFrame:
     z = zone_polys(spark, d).select("zone", "rings")
     h = hazard_polys(spark, d).select("poly_id", "rings")
-    return intersects(z, "zone", "rings", h, "poly_id", "rings", cell=K.FIXTURE_PAIR_CELL)
+    return intersects_sliced(z, "zone", "rings", h, "poly_id", "rings",
+                             slab=K.FIXTURE_SLAB, cell=K.FIXTURE_PAIR_CELL)
 
 
 def candidate_zones(spark: SparkSession, d: str) -> DataFrame:

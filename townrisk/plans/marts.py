@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo as G
+from ..sources.staging import staged
 from .combine import combine
 from .zones import zone_polys
 
@@ -23,12 +24,17 @@ def ward_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mart_towns(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "mart_towns", d, lambda: _mart_towns(spark, d))
+
+
+def _mart_towns(spark: SparkSession, d: str) -> DataFrame:
     m = combine(spark, d).select("zone", "ward", "name", "pop")
     z = zone_polys(spark, d)
-    cx, cy = G.centroid(F.col("rings"))
-    lng, lat = G.from_plane_zone9(cx * F.lit(FIXTURE_UNIT_M), cy * F.lit(FIXTURE_UNIT_M))
-    geo = z.select("zone", lat.alias("lat"), lng.alias("lng"),
+    cx, cy = G.centroid("rings")
+    geo = z.select("zone", (cx * F.lit(FIXTURE_UNIT_M)).alias("_cx"),
+                   (cy * F.lit(FIXTURE_UNIT_M)).alias("_cy"),
                    (F.col("zone_area") * F.lit(FIXTURE_UNIT_M ** 2)).alias("area_m2"))
+    geo = G.with_lonlat_zone9(geo, "_cx", "_cy", "lng", "lat").drop("_cx", "_cy")
     return (m.join(geo, "zone", "left").join(F.broadcast(ward_codes(spark, d)), "ward", "left")
             .select(F.col("zone").alias("key"), "ward", F.col("name").alias("town"), "ward_code",
                     "lat", "lng", "area_m2", F.col("pop").alias("population"),
@@ -36,6 +42,10 @@ def mart_towns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mart_scores(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "mart_scores", d, lambda: _mart_scores(spark, d))
+
+
+def _mart_scores(spark: SparkSession, d: str) -> DataFrame:
     m = combine(spark, d)
     return m.select(
         F.col("zone").alias("key"), F.lit(K.DATA_YEAR).alias("data_year"),
@@ -48,6 +58,10 @@ def mart_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mart_hazard(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "mart_hazard", d, lambda: _mart_hazard(spark, d))
+
+
+def _mart_hazard(spark: SparkSession, d: str) -> DataFrame:
     m = combine(spark, d)
     i = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")

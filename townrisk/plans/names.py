@@ -23,8 +23,9 @@ def split_names(df: DataFrame, name: str, wards) -> DataFrame:
             & ~F.col(name).endswith(K.EXCLUDE_SUFFIX)
             & ~F.col(name).isin(*wards))
     d = d.where(keep).withColumn("town", F.substr(F.col(name), F.length("ward") + 1))
-    return d.withColumn("name_key", F.concat_ws(K.KEY_SEPARATOR, F.col("ward"),
-                                                 X.norm_name(F.col("town"))))
+    # the normalised town is its own column so it is computed once and reused
+    d = d.withColumn("town_norm", X.norm_name(F.col("town")))
+    return d.withColumn("name_key", F.concat_ws(K.KEY_SEPARATOR, F.col("ward"), F.col("town_norm")))
 
 
 def named_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,7 @@ def slug_table(spark: SparkSession, d: str) -> DataFrame:
     a = named_areas(spark, d).where(F.col("pop") >= K.MIN_POP)
     return a.select("key", "ward", F.concat(F.lit("w"), F.substring("ward", 5, 2)).alias("ward_slug"),
                     F.concat(F.lit("t"), F.col("key").cast("string"), F.lit("-"),
-                             F.regexp_extract(X.norm_name(F.col("town")), "([0-9]+)丁目$", 1))
+                             F.regexp_extract(F.col("town_norm"), "([0-9]+)丁目$", 1))
                     .alias("town_slug"))
 
 

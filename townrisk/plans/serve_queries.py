@@ -228,7 +228,7 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     from .zones import zone_polys
     z = zone_polys(spark, d)
     t = mart_towns(spark, d).select("key", "ward", "town", "ward_code")
-    geom = F.transform(G.snap(F.col("rings"), 6),
+    geom = F.transform(G.snap("rings", 6),
                        lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     f = z.select(F.col("zone").alias("key"), geom.alias("coords")).join(t, "key")
     return f.select("key", "ward_code", F.to_json(F.struct(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import geo as G
 from ..operators.ranking import top1
-from ..operators.spatial import intersects, zone_join
+from ..operators.overlay import intersects_sliced
+from ..operators.spatial import zone_join
 from ..sources import testdata as T
 from ..sources.staging import staged
 
@@ -18,7 +19,7 @@ def zone_polys(spark: SparkSession, d: str) -> DataFrame:
     def build():
         z = T.zones(spark, d)
         z = z.withColumn("rings", F.array("ring")).drop("ring")
-        return z.withColumn("zone_area", G.area(F.col("rings")))
+        return z.withColumn("zone_area", G.area("rings"))
     return staged(spark, "zone_polys", d, build)
 
 
@@ -191,8 +192,9 @@ def _history_flags(spark: SparkSession, d: str) -> DataFrame:
     """
     z = zone_polys(spark, d)
     h = hazard_polys(spark, d)
-    hit = intersects(z.select("zone", "rings"), "zone", "rings",
-                     h.select("poly_id", "rings"), "poly_id", "rings", cell=10.0)
+    hit = intersects_sliced(z.select("zone", "rings"), "zone", "rings",
+                            h.select("poly_id", "rings"), "poly_id", "rings",
+                            slab=K.FIXTURE_SLAB, cell=K.FIXTURE_PAIR_CELL)
     hit = hit.join(h.select("poly_id", "river"), "poly_id")
     per = hit.groupBy("zone").agg(
         F.lit(True).alias("liq_history"),
