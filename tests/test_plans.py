@@ -31,3 +31,11 @@ def test_orders_scan_reads_only_needed_columns(spark):
     txt = plan_text(incidents_two_years(spark, SF_SMALL))
     assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderpriority:string>" in txt
     assert "GreaterThanOrEqual(o_orderdate" in txt
+
+
+def test_no_cartesian_or_nested_loop_joins(spark):
+    from townrisk.plans import hazard_queries as hq
+    for df in (cq.q_safety_score(spark, SF_SMALL), cq.q_business_flag(spark, SF_SMALL),
+               zq.q_ground_pl(spark, SF_SMALL), hq.q_overlay_area(spark, SF_SMALL)):
+        txt = plan_text(df)
+        assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt

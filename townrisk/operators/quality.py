@@ -43,8 +43,8 @@ def pk_violations(df: DataFrame, pk: Sequence[str]) -> DataFrame:
 
 def set_difference_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows only in a / only in b (multiset semantics) as one row."""
-    return (a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left"))
-            .crossJoin(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right"))))
+    right = b.exceptAll(a).agg(F.count(F.lit(1))).scalar()
+    return a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left"), right.alias("only_right"))
 
 
 def sql_literal_row(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:

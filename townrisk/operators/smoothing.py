@@ -12,15 +12,15 @@ def smooth_rate(df: DataFrame, count: str, pop: str, years: float, out: str,
     """rate = (count + prior) / (pop*years + prior/r0) * per.
 
     r0 = sum(count) / sum(pop*years) over ALL rows of ``df`` (gated rows
-    included).  It is a one-row aggregate joined by broadcast.  r0 == 0 or a
+    included), computed once as a scalar subquery.  r0 == 0 or a
     zero denominator give NULL instead of inf/NaN.
     """
-    r0_name = f"_r0_{out}"
+    # r0 is a scalar subquery: evaluated once, no join
     r0 = df.agg(F.try_divide(F.sum(F.col(count).cast("double")),
-                             F.sum(F.col(pop) * F.lit(float(years)))).alias(r0_name))
-    pseudo = F.try_divide(F.lit(float(prior)), F.col(r0_name))
+                             F.sum(F.col(pop) * F.lit(float(years))))).scalar()
+    pseudo = F.try_divide(F.lit(float(prior)), r0)
     rate = F.try_divide(F.col(count) + F.lit(float(prior)),
                         F.col(pop) * F.lit(float(years)) + pseudo) * F.lit(per)
     if valid is not None:
         rate = F.when(F.coalesce(valid, F.lit(False)), rate)
-    return df.crossJoin(F.broadcast(r0)).withColumn(out, rate).drop(r0_name)
+    return df.withColumn(out, rate)

@@ -42,11 +42,9 @@ def _safety_by_zone(spark: SparkSession, d: str) -> DataFrame:
     c = c.withColumn("safety_score", total)
     c = c.withColumn("visitor_rate", F.when(valid, F.try_divide(
         F.col("visitor").cast("double"), F.col("pop")) * 1000.0))
-    thr = quantiles(c, "visitor_rate", [K.BUSINESS_QUANTILE], ["_thr"])
-    return (c.crossJoin(F.broadcast(thr))
-            .withColumn("business_area_flag",
-                        F.coalesce(F.col("visitor_rate") >= F.col("_thr"), F.lit(False)))
-            .drop("_thr"))
+    thr = quantiles(c, "visitor_rate", [K.BUSINESS_QUANTILE], ["_thr"]).scalar()
+    return c.withColumn("business_area_flag",
+                        F.coalesce(F.col("visitor_rate") >= thr, F.lit(False)))
 
 
 def combine(spark: SparkSession, d: str) -> DataFrame:

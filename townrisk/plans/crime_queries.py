@@ -73,11 +73,9 @@ def q_topk_safety(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 
 def business_flag(m: DataFrame) -> DataFrame:
     m = visitor_rate(m)
-    thr = quantiles(m, "visitor_rate", [K.BUSINESS_QUANTILE], ["_thr"])
-    return (m.crossJoin(F.broadcast(thr))       # one row
-            .withColumn("business_area_flag",
-                        F.coalesce(F.col("visitor_rate") >= F.col("_thr"), F.lit(False)))
-            .drop("_thr"))
+    thr = quantiles(m, "visitor_rate", [K.BUSINESS_QUANTILE], ["_thr"]).scalar()
+    return m.withColumn("business_area_flag",
+                        F.coalesce(F.col("visitor_rate") >= thr, F.lit(False)))
 
 
 def q_business_flag(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +113,9 @@ def describe(df: DataFrame, value: str) -> DataFrame:
                      F.max(value).alias("max"),
                      F.count_distinct(F.round(value, 9)).alias("n_unique"))
     q = quantiles(base, value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    return stats.crossJoin(q).select("n", "mean", "std", "min", "p25", "p50", "p75", "max",
-                                     "n_unique")
+    return stats.select("n", "mean", "std", "min",
+                        *[q.select(c).scalar().alias(c) for c in ("p25", "p50", "p75")],
+                        "max", "n_unique")
 
 
 def q_describe(spark: SparkSession, d: str) -> DataFrame:

@@ -219,7 +219,7 @@ def q_dq_status(spark: SparkSession, d: str) -> DataFrame:
                         .alias("status_violations"))
     bad_scope = m.agg(F.count_if(~F.col("tide_in_scope") & (F.col("tide_exposure") != 0))
                       .alias("out_of_scope_exposure"))
-    return bad_status.crossJoin(bad_scope)
+    return bad_status.select("status_violations", bad_scope.scalar().alias("out_of_scope_exposure"))
 
 
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
@@ -245,8 +245,9 @@ def q_geojson_features(spark: SparkSession, d: str) -> DataFrame:
 def q_dq_set_equality(spark: SparkSession, d: str) -> DataFrame:
     feats = geojson_features(spark, d).select("key")
     idx = S.index(spark, d).select("key")
-    return (feats.exceptAll(idx).agg(F.count(F.lit(1)).alias("missing_in_index"))
-            .crossJoin(idx.exceptAll(feats).agg(F.count(F.lit(1)).alias("missing_in_features"))))
+    from ..operators.quality import set_difference_counts
+    return set_difference_counts(feats, idx).select(
+        F.col("only_left").alias("missing_in_index"), F.col("only_right").alias("missing_in_features"))
 
 
 def q_rebuild_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -255,8 +256,9 @@ def q_rebuild_diff(spark: SparkSession, d: str) -> DataFrame:
                                                "ground_score"))
     b = round_doubles(_combine(spark, d).select("zone", "safety_score", "flood_score",
                                                 "tide_score", "ground_score"))
-    return (a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_staged"))
-            .crossJoin(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_rebuilt"))))
+    from ..operators.quality import set_difference_counts
+    return set_difference_counts(a, b).select(
+        F.col("only_left").alias("only_staged"), F.col("only_right").alias("only_rebuilt"))
 
 
 _ = (ward_codes,)

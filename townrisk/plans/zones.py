@@ -163,9 +163,9 @@ def ground_by_zone(spark: SparkSession, d: str) -> DataFrame:
 def _ground_by_zone(spark: SparkSession, d: str) -> DataFrame:
     j = borings_in_zones(spark, d)
     cc = class_counts(j)
-    prior = j.agg(F.avg("w").alias("_prior"))      # one row
+    prior = j.agg(F.avg("w")).scalar()        # scalar subquery, evaluated once
     z = zone_polys(spark, d).select("zone")
-    m = z.join(cc, "zone", "left").crossJoin(F.broadcast(prior))
+    m = z.join(cc, "zone", "left")
     cov = F.col("liq_points").isNotNull()
     pp = F.lit(K.PRIOR_POINTS)
     return m.select(
@@ -174,7 +174,7 @@ def _ground_by_zone(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce(F.col("liq_small"), F.lit(0)).cast("long").alias("liq_small"),
         F.coalesce(F.col("liq_mid"), F.lit(0)).cast("long").alias("liq_mid"),
         F.coalesce(F.col("liq_large"), F.lit(0)).cast("long").alias("liq_large"),
-        ((F.col("liq_sum") + pp * F.col("_prior")) / (F.col("liq_points") + pp)).alias("liq_pl"),
+        ((F.col("liq_sum") + pp * prior) / (F.col("liq_points") + pp)).alias("liq_pl"),
         (F.col("liq_sum") / F.col("liq_points")).alias("liq_pl_raw"),
         cov.alias("liq_covered"),
         (cov & (F.coalesce(F.col("liq_points"), F.lit(0)) <= K.THIN_POINTS)).alias("liq_thin"))
