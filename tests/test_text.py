@@ -48,3 +48,9 @@ def test_ward_prefix_order(spark):
     df = spark.createDataFrame([("北区赤羽",), ("江戸川区一之江",), ("江東区",), ("不明町",)], "s string")
     got = [r.w for r in df.select(X.ward_of(F.col("s"), ["江東区", "北区", "江戸川区"]).alias("w")).collect()]
     assert got == ["北区", "江戸川区", "江東区", None]
+
+
+def test_with_norm_name_equals_column_form(spark):
+    df = spark.createDataFrame([(a,) for a, _ in CASES], "s string")
+    got = [r.n for r in X.with_norm_name(df, "s", "n").collect()]
+    assert got == [b for _, b in CASES]

@@ -112,3 +112,17 @@ def ward_of(name: Column, wards) -> Column:
     alt = "|".join(re.escape(w) for w in wards)
     w = F.regexp_extract(name, f"^({alt})", 1)
     return F.when(w != "", w)
+
+
+def with_norm_name(df, src: str, out: str):
+    """:func:`norm_name` as successive columns: the cleaned text and the
+    block numeral are computed once each (small generated code)."""
+    pat = f"({_NUMERAL_CLASS}+){K.BLOCK_SUFFIX}$"
+    d = df.withColumn("_nn_s", _strip_spaces(fold_width(
+        F.regexp_replace(F.col(src).cast("string"), _VARIATION_SELECTORS, ""))))
+    d = d.withColumn("_nn_num", F.regexp_extract("_nn_s", pat, 1))
+    d = d.withColumn("_nn_val", kanji_number(F.col("_nn_num")))
+    blk = F.when((F.col("_nn_num") != "") & F.col("_nn_val").isNotNull(),
+                 F.concat(F.regexp_replace("_nn_s", pat, ""), F.col("_nn_val").cast("string"),
+                          F.lit(K.BLOCK_SUFFIX))).otherwise(F.col("_nn_s"))
+    return d.withColumn(out, _fold_tail(blk)).drop("_nn_s", "_nn_num", "_nn_val")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..sources import testdata as T
+from ..sources.staging import staged
 
 
 def fixture_wards() -> list[str]:
@@ -24,12 +25,14 @@ def split_names(df: DataFrame, name: str, wards) -> DataFrame:
             & ~F.col(name).isin(*wards))
     d = d.where(keep).withColumn("town", F.substr(F.col(name), F.length("ward") + 1))
     # the normalised town is its own column so it is computed once and reused
-    d = d.withColumn("town_norm", X.norm_name(F.col("town")))
+    d = X.with_norm_name(d, "town", "town_norm")
     return d.withColumn("name_key", F.concat_ws(K.KEY_SEPARATOR, F.col("ward"), F.col("town_norm")))
 
 
 def named_areas(spark: SparkSession, d: str) -> DataFrame:
-    return split_names(T.area_names(spark, d), "raw_name", fixture_wards())
+    """The area-name dimension (one row per area), staged once."""
+    return staged(spark, "named_areas", d,
+                  lambda: split_names(T.area_names(spark, d), "raw_name", fixture_wards()))
 
 
 def search(df: DataFrame, query: str, ward: str | None = None, n: int = 60) -> DataFrame:
@@ -44,6 +47,10 @@ def search(df: DataFrame, query: str, ward: str | None = None, n: int = 60) -> D
 
 
 def slug_table(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "slug_table", d, lambda: _slug_table(spark, d))
+
+
+def _slug_table(spark: SparkSession, d: str) -> DataFrame:
     """Slug dimension: ward slug per ward, town slug per key.  The fixture
     covers only areas with at least MIN_POP residents, like an external
     address list that misses some areas."""
