@@ -1020,3 +1020,11 @@ ORACLE["q_mart_pk_check"] = _with(AREAS) + """
 SELECT count(*) AS violating_keys FROM (SELECT key FROM areas GROUP BY key HAVING count(*) > 1)"""
 
 ORACLE["q_stream_zone_stats"] = ORACLE["q_zone_depth_stats"]
+
+ORACLE["q_match_rate"] = _with(AREAS) + """
+SELECT count(*) AS n_areas, count(m.key) AS n_matched, round(count(m.key) / count(*), 6) AS match_rate
+FROM areas a LEFT JOIN (SELECT DISTINCT o_custkey AS key FROM orders WHERE year(o_orderdate) = 2000) m
+  ON m.key = a.key"""
+
+ORACLE["q_top_wards"] = _with(AREAS) + """
+SELECT ward, count(*) AS n_areas FROM areas WHERE pop >= 100 GROUP BY ward ORDER BY n_areas DESC, ward LIMIT 8"""

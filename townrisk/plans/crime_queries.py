@@ -120,3 +120,20 @@ def describe(df: DataFrame, value: str) -> DataFrame:
 
 def q_describe(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(describe(safety(spark, d), "safety_score"))
+
+
+def q_match_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Share of areas that found their current-year incident row (M1)."""
+    a = T.areas(spark, d).select("key")
+    inc = T.incidents(spark, d).where(F.col("yr") == K.CURRENT_YEAR) \
+        .select("key", F.lit(True).alias("_hit"))
+    j = a.join(inc, "key", "left")
+    r = j.agg(F.count(F.lit(1)).alias("n_areas"), F.count_if(F.col("_hit").isNotNull()).alias("n_matched"))
+    return round_doubles(r.withColumn("match_rate", F.col("n_matched") / F.col("n_areas")))
+
+
+def q_top_wards(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
+    """Group counts in descending order, first k (G4): scored areas per ward."""
+    a = T.areas(spark, d).where(F.col("pop") >= K.MIN_POP)
+    g = a.groupBy("ward").agg(F.count(F.lit(1)).alias("n_areas"))
+    return g.orderBy(F.desc("n_areas"), "ward").limit(k)

@@ -28,6 +28,8 @@ QUERIES: dict[str, Query] = {
     "q_unmatched": cq.q_unmatched,
     "q_mart_crime": cq.q_mart_crime,
     "q_describe": cq.q_describe,
+    "q_match_rate": cq.q_match_rate,
+    "q_top_wards": cq.q_top_wards,
     "q_pip_count": zq.q_pip_count,
     "q_zone_depth_stats": zq.q_zone_depth_stats,
     "q_flood_by_zone": zq.q_flood_by_zone,
