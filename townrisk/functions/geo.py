@@ -214,3 +214,26 @@ def to_web_mercator(lon: str, lat: str) -> tuple[Column, Column]:
     r = repr(GRS80_A)
     return (col(f"{r} * radians({lon})"),
             col(f"{r} * ln(tan({math.pi / 4!r} + radians({lat}) / 2D))"))
+
+
+def plane_zone9_sql(lon: str, lat: str) -> tuple[str, str]:
+    """Forward zone IX projection as SQL text (for use inside lambdas)."""
+    e2n = repr(_E2N)
+    s = f"sin(radians({lat}))"
+    t = f"sinh({_atanh(s)} - {e2n} * {_atanh(e2n + ' * ' + s)})"
+    lam = f"(radians({lon}) - {math.radians(ZONE9_LON0)!r})"
+    xi = f"atan({t} / cos({lam}))"
+    eta = _atanh(f"sin({lam}) / sqrt(1D + {t} * {t})")
+    xs = " + ".join(f"{a!r} * cos({2 * j}D * {xi}) * sinh({2 * j}D * {eta})"
+                    for j, a in enumerate(_ALPHA, start=1))
+    ys = " + ".join(f"{a!r} * sin({2 * j}D * {xi}) * cosh({2 * j}D * {eta})"
+                    for j, a in enumerate(_ALPHA, start=1))
+    k = repr(ZONE9_K0 * _A)
+    return f"({k} * ({eta} + {xs}))", f"({k} * ({xi} + {ys}) - {_S0!r})"
+
+
+def rings_to_plane(rings: str) -> Column:
+    """Every vertex of a polygon from degrees to zone IX metres, in place
+    (higher-order function over the rings: no shuffle, no regrouping)."""
+    x, y = plane_zone9_sql("v.x", "v.y")
+    return col(f"transform({rings}, rg -> transform(rg, v -> named_struct('x', {x}, 'y', {y})))")
