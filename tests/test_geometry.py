@@ -121,3 +121,20 @@ def test_intersects_sliced_matches_pairwise(spark):
     fast = sorted(r.h for r in intersects_sliced(a, "k", "rings", b, "h", "rings", slab=2.5, cell=5.0).collect())
     assert fast == slow
     assert len(tris) in fast and len(tris) - 1 in fast      # contained / containing
+
+
+def test_outline_rings_with_hole_and_simplify(spark):
+    from townrisk.operators.dissolve import outline_edges, outline_rings, simplify_ring
+    import numpy as np
+    # 3x3 block of unit squares minus the centre: one outer ring + one hole
+    sq = [(i * 3 + j, [[(float(i), float(j)), (i + 1.0, float(j)), (i + 1.0, j + 1.0), (float(i), j + 1.0)]])
+          for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+    df = spark.createDataFrame([(1, r) for _, r in sq], f"g long, rings {RING_T}")
+    rings = outline_rings(outline_edges(df, "g", "rings"), "g", tolerance=1e-9).collect()
+    areas = sorted(abs(r.area) for r in rings)
+    assert areas == [1.0, 9.0]
+    assert sorted(round(r.perimeter, 9) for r in rings) == [4.0, 12.0]
+    outer = [r for r in rings if abs(r.area) == 9.0][0]
+    assert len(outer.ring) == 4                      # collinear corners removed
+    zig = np.array([(0, 0), (1, 0.001), (2, 0), (2, 2), (0, 2)], dtype=float)
+    assert len(simplify_ring(zig, 0.01)) == 4 and len(simplify_ring(zig, 0.0)) == 5

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +42,92 @@ def outline_edges(df: DataFrame, by: str, rings: str = "rings", digits: int = 6)
     return (u.groupBy(by, "p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
             .select(by, F.col("p.x").alias("x1"), F.col("p.y").alias("y1"),
                     F.col("q.x").alias("x2"), F.col("q.y").alias("y2")))
+
+
+RING_SCHEMA_TMPL = ("{by} {by_type}, ring_id long, area double, perimeter double, "
+                    "ring array<struct<x: double, y: double>>")
+
+
+def _simplify(pts: np.ndarray, tol: float) -> np.ndarray:
+    """Douglas-Peucker on an open polyline (iterative, numpy distances)."""
+    if len(pts) < 3 or tol <= 0:
+        return pts
+    keep = np.zeros(len(pts), dtype=bool)
+    keep[0] = keep[-1] = True
+    stack = [(0, len(pts) - 1)]
+    while stack:
+        i, j = stack.pop()
+        if j <= i + 1:
+            continue
+        a, b = pts[i], pts[j]
+        seg = b - a
+        norm = np.hypot(*seg)
+        mid = pts[i + 1:j]
+        if norm == 0:
+            d = np.hypot(*(mid - a).T)
+        else:
+            d = np.abs(seg[0] * (mid[:, 1] - a[1]) - seg[1] * (mid[:, 0] - a[0])) / norm
+        k = int(np.argmax(d))
+        if d[k] > tol:
+            keep[i + 1 + k] = True
+            stack.append((i, i + 1 + k))
+            stack.append((i + 1 + k, j))
+    return pts[keep]
+
+
+def simplify_ring(ring: np.ndarray, tol: float) -> np.ndarray:
+    """Simplify a closed ring (open vertex list): split at the vertex
+    farthest from the first one, simplify both halves."""
+    if len(ring) <= 3 or tol <= 0:
+        return ring
+    far = int(np.argmax(np.hypot(*(ring - ring[0]).T)))
+    a = _simplify(ring[:far + 1], tol)
+    b = _simplify(np.vstack([ring[far:], ring[:1]]), tol)
+    out = np.vstack([a[:-1], b[:-1]])
+    return out if len(out) >= 3 else ring
+
+
+def _stitcher(by: str, tol: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf[by].iloc[0]
+        nxt: dict[tuple, list[tuple]] = {}
+        for x1, y1, x2, y2 in zip(pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"]):
+            nxt.setdefault((x1, y1), []).append((x2, y2))
+            nxt.setdefault((x2, y2), []).append((x1, y1))
+        used: set[frozenset] = set()
+        rows = []
+        for start in sorted(nxt):
+            for first in sorted(nxt[start]):
+                if frozenset((start, first)) in used:
+                    continue
+                ring, prev, cur = [start], start, first
+                used.add(frozenset((start, first)))
+                while cur != start:
+                    ring.append(cur)
+                    cand = [p for p in sorted(nxt[cur]) if frozenset((cur, p)) not in used]
+                    if not cand:
+                        break
+                    prev, cur = cur, cand[0]
+                    used.add(frozenset((prev, cur)))
+                pts = np.array(ring, dtype=float)
+                if len(pts) < 3:
+                    continue
+                x, y = pts[:, 0] - pts[0, 0], pts[:, 1] - pts[0, 1]
+                area = 0.5 * float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))
+                per = float(np.sum(np.hypot(*(np.roll(pts, -1, axis=0) - pts).T)))
+                simp = simplify_ring(pts, tol)
+                rows.append((key, len(rows), area, per,
+                             [{"x": float(a), "y": float(b)} for a, b in simp]))
+        return pd.DataFrame(rows, columns=[by, "ring_id", "area", "perimeter", "ring"])
+    return run
+
+
+def outline_rings(edges: DataFrame, by: str, tolerance: float = 0.0) -> DataFrame:
+    """Stitch outline edges (from :func:`outline_edges`) into closed rings per
+    group, report signed area (outer > 0 in a ccw world: orientation follows
+    the stitching walk, so use abs for size) and perimeter, and simplify the
+    vertex list with Douglas-Peucker at ``tolerance``.  One group holds one
+    outline's edges only (its boundary, not its interior)."""
+    by_type = dict(edges.dtypes)[by]
+    schema = RING_SCHEMA_TMPL.format(by=by, by_type=by_type)
+    return edges.groupBy(by).applyInPandas(_stitcher(by, tolerance), schema)

@@ -1028,3 +1028,11 @@ FROM areas a LEFT JOIN (SELECT DISTINCT o_custkey AS key FROM orders WHERE year(
 
 ORACLE["q_top_wards"] = _with(AREAS) + """
 SELECT ward, count(*) AS n_areas FROM areas WHERE pop >= 100 GROUP BY ward ORDER BY n_areas DESC, ward LIMIT 8"""
+
+ORACLE["q_ward_outline_rings"] = ORACLE["q_ward_outline_edges"].replace(
+    "SELECT ward, x1, y1, x2, y2 FROM u GROUP BY ward, x1, y1, x2, y2 HAVING count(*) = 1",
+    """, oe AS (SELECT ward, x1, y1, x2, y2 FROM u GROUP BY ward, x1, y1, x2, y2 HAVING count(*) = 1),
+per AS (SELECT ward, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS perimeter FROM oe GROUP BY ward),
+ar AS (SELECT ward, CAST(sum(400.0) AS DOUBLE) AS area FROM sq GROUP BY ward)
+SELECT ar.ward, round(ar.area, 6) AS area, round(per.perimeter, 6) AS perimeter, CAST(1 AS BIGINT) AS n_rings
+FROM ar JOIN per ON per.ward = ar.ward""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo as G
-from ..operators.dissolve import dissolve, outline_edges
+from ..operators.dissolve import dissolve, outline_edges, outline_rings
 from ..sources import testdata as T
 from .common import round_doubles
 from .zone_queries import zone_population
@@ -113,3 +113,13 @@ def q_density(spark: SparkSession, d: str) -> DataFrame:
     # fixture units are km, so the area is already in km^2
     return round_doubles(j.select("key", "pop", F.col("zone_area").alias("area_km2"),
                                   (F.col("pop") / F.col("zone_area")).alias("density")))
+
+
+def q_ward_outline_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Overview outlines: rings stitched per ward, simplified; area and
+    perimeter per ward."""
+    sq = T.zone_squares(spark, d).withColumn("rings", F.array("ring"))
+    rings = outline_rings(outline_edges(sq, "ward", "rings"), "ward", tolerance=1e-4)
+    return round_doubles(rings.groupBy("ward").agg(
+        F.sum(F.abs("area")).alias("area"), F.sum("perimeter").alias("perimeter"),
+        F.count(F.lit(1)).alias("n_rings")))

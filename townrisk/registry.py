@@ -90,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "q_project": gq.q_project,
     "q_snap_precision": gq.q_snap_precision,
     "q_ward_outline_edges": gq.q_ward_outline_edges,
+    "q_ward_outline_rings": gq.q_ward_outline_rings,
     "q_dissolve_attrs": gq.q_dissolve_attrs,
     "q_alias_resolve": gq.q_alias_resolve,
     "q_shared_keys": gq.q_shared_keys,
