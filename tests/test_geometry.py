@@ -138,3 +138,15 @@ def test_outline_rings_with_hole_and_simplify(spark):
     assert len(outer.ring) == 4                      # collinear corners removed
     zig = np.array([(0, 0), (1, 0.001), (2, 0), (2, 2), (0, 2)], dtype=float)
     assert len(simplify_ring(zig, 0.01)) == 4 and len(simplify_ring(zig, 0.0)) == 5
+
+
+def test_clean_rings(spark):
+    cw_closed = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 2.0), (2.0, 0.0), (0.0, 0.0)]
+    hole_ccw = [(0.5, 0.5), (1.0, 0.5), (1.0, 1.0)]
+    bad = [(5.0, 5.0), (5.0, 5.0), (6.0, 6.0)]
+    df = spark.createDataFrame([(1, [cw_closed, hole_ccw]), (2, [bad])], f"k long, rings {RING_T}")
+    out = df.select("k", G.clean_rings("rings").alias("c")).select(
+        "k", "c", G.col(G.signed_area_sql("c")).alias("a"), G.rings_valid("c").alias("ok"))
+    r = {row.k: row for row in out.collect()}
+    assert len(r[1].c[0]) == 4 and r[1].a == 4.0 - 0.125     # outer ccw, hole cw
+    assert r[1].ok and not r[2].ok

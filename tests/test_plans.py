@@ -18,7 +18,7 @@ def test_point_join_is_broadcast_and_python_free(spark):
 
 
 def test_safety_scan_pushdown_and_pruning(spark):
-    from townrisk.plans.safety import crime_wide
+    from townrisk.plans.safety import _crime_wide as crime_wide
     txt = plan_text(cq.q_safety_score(spark, SF_SMALL))
     assert "PythonUDF" not in txt and "ArrowEvalPython" not in txt
     # the ranks start from a checkpoint; the scans live in the plan before it

@@ -237,3 +237,32 @@ def rings_to_plane(rings: str) -> Column:
     (higher-order function over the rings: no shuffle, no regrouping)."""
     x, y = plane_zone9_sql("v.x", "v.y")
     return col(f"transform({rings}, rg -> transform(rg, v -> named_struct('x', {x}, 'y', {y})))")
+
+
+def _ring_area_sql(ring: str) -> str:
+    o = f"element_at({ring}, 1)"
+    return (f"(aggregate({ring_edges_sql(ring)}, 0D, (acc, e) -> acc + "
+            f"((e.x1 - {o}.x) * (e.y2 - {o}.y) - (e.x2 - {o}.x) * (e.y1 - {o}.y))) / 2D)")
+
+
+def clean_rings_sql(rings: str) -> str:
+    """Ingest hygiene: drop consecutive duplicate vertices and a repeated
+    closing vertex, then orient the first ring counter-clockwise and every
+    further ring (holes) clockwise."""
+    dedup = ("transform(filter(transform(cr, (q, j) -> named_struct('p', q, 'k', "
+             "j = 0 OR q != element_at(cr, j))), z -> z.k), z -> z.p)")
+    unclosed = (f"transform({rings}, cr -> CASE WHEN size({dedup}) > 1 AND "
+                f"element_at({dedup}, 1) = element_at({dedup}, -1) "
+                f"THEN slice({dedup}, 1, size({dedup}) - 1) ELSE {dedup} END)")
+    a = _ring_area_sql("ur")
+    return (f"transform({unclosed}, (ur, ri) -> CASE WHEN (ri = 0 AND {a} < 0) OR (ri > 0 AND {a} > 0) "
+            f"THEN reverse(ur) ELSE ur END)")
+
+
+def clean_rings(rings: str) -> Column:
+    return col(clean_rings_sql(rings))
+
+
+def rings_valid(rings: str) -> Column:
+    """Every ring has at least three distinct vertices."""
+    return col(f"forall({rings}, vr -> size(array_distinct(vr)) >= 3)")

@@ -10,9 +10,15 @@ from ..operators.ranking import pct_scores
 from ..operators.sizing import cut_lineage
 from ..operators.smoothing import smooth_rate
 from ..sources import testdata as T
+from ..sources.staging import staged
 
 
 def crime_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-area crime table (staged once per session)."""
+    return staged(spark, "crime_wide", sf_dir, lambda: _crime_wide(spark, sf_dir))
+
+
+def _crime_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas left-joined with the two years of counts; missing counts -> 0.
 
     The previous year is summed per key inside the same aggregate, so a
@@ -32,14 +38,19 @@ def crime_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-area safety table (staged once per session)."""
+    return staged(spark, "safety", sf_dir, lambda: _safety(spark, sf_dir))
+
+
+def _safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, ward, town, pop, zone, counts, rates, group scores, safety_score."""
     m = crime_wide(spark, sf_dir)
     valid = F.col("pop") >= K.MIN_POP
     for g in ("serious", "daily"):
         m = smooth_rate(m, g, "pop", K.SAFETY_YEARS[g], f"{g}_rate",
                         prior=K.PRIOR_EVENTS, valid=valid)
-    # one row per area: small, so a reliable checkpoint is cheap and keeps
-    # the ranking stages from re-running the joins above.
+    # one row per area: a reliable checkpoint keeps the ranking stages
+    # from re-running the rate computation above.
     m = cut_lineage(m)
     m = pct_scores(m, [(f"{g}_rate", f"{g}_score", None) for g in ("serious", "daily")])
     total = None

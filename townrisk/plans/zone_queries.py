@@ -18,7 +18,7 @@ def q_pip_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_zone_depth_stats(spark: SparkSession, d: str) -> DataFrame:
-    st = Z.zone_stats(Z.zone_basin_stats(Z.points_in_zones(spark, d)))
+    st = Z.zone_stats(Z.zone_basin_table(spark, d))
     return round_doubles(st.select("zone", F.col("n").cast("long").alias("n"),
                                    F.col("n_flood").cast("long").alias("n_flood"),
                                    "depth_sum", "depth_max", "elev_sum", "elev_min"))
@@ -29,13 +29,13 @@ def q_flood_by_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_top1_per_group(spark: SparkSession, d: str) -> DataFrame:
-    zb = Z.zone_basin_stats(Z.points_in_zones(spark, d)).where(F.col("n_flood") > 0)
+    zb = Z.zone_basin_table(spark, d).where(F.col("n_flood") > 0)
     t = top1(zb, ["zone"], "n_flood", "basin", ["basin", "n_flood"], prefix="main_")
     return t.select("zone", "main_basin", F.col("main_n_flood").cast("long").alias("main_n_flood"))
 
 
 def q_ordered_list(spark: SparkSession, d: str) -> DataFrame:
-    return Z.basin_list(Z.zone_basin_stats(Z.points_in_zones(spark, d)))
+    return Z.basin_list(Z.zone_basin_table(spark, d))
 
 
 def other_basins(df: DataFrame, lst: str = "tk_basins", main: str = "tk_main_basin") -> DataFrame:

@@ -36,6 +36,13 @@ def points_in_zones(spark: SparkSession, d: str) -> DataFrame:
                      key="zone", cell=K.FIXTURE_CELL)
 
 
+def zone_basin_table(spark: SparkSession, d: str) -> DataFrame:
+    """The (zone, basin) accumulators of the depth points: the only pass
+    over the points, staged once per session (zones x basins rows)."""
+    return staged(spark, "zone_basin", d,
+                  lambda: zone_basin_stats(points_in_zones(spark, d)))
+
+
 # --- flood: per-zone point statistics ----------------------------------------
 
 def zone_basin_stats(joined: DataFrame) -> DataFrame:
@@ -69,7 +76,7 @@ def flood_by_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flood_by_zone(spark: SparkSession, d: str) -> DataFrame:
-    zb = zone_basin_stats(points_in_zones(spark, d))
+    zb = zone_basin_table(spark, d)
     st = zone_stats(zb)
     main = top1(zb.where(F.col("n_flood") > 0), ["zone"], "n_flood", "basin",
                 ["basin", "n_flood"], prefix="main_")
@@ -141,6 +148,11 @@ def assert_known_codes(borings: DataFrame, codes: DataFrame) -> None:
 
 
 def borings_in_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Borings with their zone and class weight (staged once per session)."""
+    return staged(spark, "borings_in_zones", d, lambda: _borings_in_zones(spark, d))
+
+
+def _borings_in_zones(spark: SparkSession, d: str) -> DataFrame:
     b = T.borings(spark, d)
     w = pl_weights(spark)
     bw = b.join(F.broadcast(w), "cls", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import geo as G
 from ..functions import text as X
 
 
@@ -131,12 +132,12 @@ def load_geojson(spark: SparkSession, paths) -> DataFrame:
     raw = F.when(gtype == "Polygon", poly).when(gtype == "MultiPolygon", multi)
     rings = F.transform(raw, lambda r: F.transform(
         r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    # drop the closing vertex (rings are stored open)
-    rings = F.transform(rings, lambda r: F.when(
-        F.element_at(r, 1) == F.element_at(r, -1), F.slice(r, 1, F.size(r) - 1)).otherwise(r))
-    return f.select("file", F.col("fid").cast("long").alias("fid"),
-                    F.col("f.properties").alias("properties"), rings.alias("rings")) \
-        .where(F.col("rings").isNotNull())
+    out = f.select("file", F.col("fid").cast("long").alias("fid"),
+                   F.col("f.properties").alias("properties"), rings.alias("raw")) \
+        .where(F.col("raw").isNotNull())
+    # ring hygiene: open rings, no repeated vertices, outer ccw / holes cw
+    out = out.withColumn("rings", G.clean_rings("raw")).drop("raw")
+    return out.withColumn("valid", G.rings_valid("rings"))
 
 
 # --- sinks -----------------------------------------------------------------------------
