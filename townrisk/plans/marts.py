@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo as G
+from ..operators.sizing import bounded_broadcast
 from ..sources.staging import staged
 from .combine import combine
 from .zones import zone_polys
@@ -35,7 +36,7 @@ def _mart_towns(spark: SparkSession, d: str) -> DataFrame:
                    (cy * F.lit(FIXTURE_UNIT_M)).alias("_cy"),
                    (F.col("zone_area") * F.lit(FIXTURE_UNIT_M ** 2)).alias("area_m2"))
     geo = G.with_lonlat_zone9(geo, "_cx", "_cy", "lng", "lat").drop("_cx", "_cy")
-    return (m.join(geo, "zone", "left").join(F.broadcast(ward_codes(spark, d)), "ward", "left")
+    return (m.join(geo, "zone", "left").join(bounded_broadcast(ward_codes(spark, d), 100_000), "ward", "left")
             .select(F.col("zone").alias("key"), "ward", F.col("name").alias("town"), "ward_code",
                     "lat", "lng", "area_m2", F.col("pop").alias("population"),
                     F.col("lat").isNotNull().cast("int").alias("has_polygon")))

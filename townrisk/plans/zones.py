@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import geo as G
 from ..operators.ranking import top1
 from ..operators.overlay import intersects_sliced
+from ..operators.sizing import bounded_broadcast
 from ..operators.spatial import zone_join
 from ..sources import testdata as T
 from ..sources.staging import staged
@@ -138,7 +139,7 @@ def pl_weights(spark: SparkSession) -> DataFrame:
 
 def unknown_codes(borings: DataFrame, codes: DataFrame) -> DataFrame:
     return borings.select("cls").where(F.col("cls").isNotNull()) \
-        .join(F.broadcast(codes), "cls", "left_anti").distinct()
+        .join(bounded_broadcast(codes, 100_000), "cls", "left_anti").distinct()
 
 
 def assert_known_codes(borings: DataFrame, codes: DataFrame) -> None:
