@@ -24,7 +24,13 @@ from ..sources import testdata as T
 
 
 def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
-                      files_per_trigger: int = 1) -> DataFrame:
+                      files_per_trigger: int = 1, state_partitions: int | None = None) -> DataFrame:
+    """Run the stream to completion (``availableNow``) and return the result.
+
+    The number of state-store partitions is fixed when a query first starts
+    (it is recorded in the checkpoint); it is sized to the cluster, not to
+    the session's general shuffle setting.
+    """
     schema = T.table(spark, d, "lineitem").schema
     src = (spark.readStream.schema(schema)
            .option("pathGlobFilter", "lineitem*.parquet")
@@ -45,7 +51,13 @@ def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    parts = state_partitions or max(1, spark.sparkContext.defaultParallelism)
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
     return spark.read.parquet(out)
