@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 
 def shoelace(poly):
     s = 0.0
@@ -73,5 +71,3 @@ def inside(px, py, ring):
             c += 1
     return c % 2 == 1
 
-
-_ = combinations  # keep import for callers

@@ -1036,3 +1036,11 @@ per AS (SELECT ward, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS
 ar AS (SELECT ward, CAST(sum(400.0) AS DOUBLE) AS area FROM sq GROUP BY ward)
 SELECT ar.ward, round(ar.area, 6) AS area, round(per.perimeter, 6) AS perimeter, CAST(1 AS BIGINT) AS n_rings
 FROM ar JOIN per ON per.ward = ar.ward""")
+
+ORACLE["q_byte_batch_totals"] = _with(AREAS, YEARLY, WIDE) + """,
+txt AS (
+  SELECT '(' || CAST(key AS VARCHAR) || ', 2025, ' || CAST(serious AS VARCHAR) || ', ' ||
+         CAST(serious_cur AS VARCHAR) || ', ' || CAST(daily AS VARCHAR) || ', ' ||
+         CAST(visitor AS VARCHAR) || ', ' || CAST(total AS VARCHAR) || ')' AS t FROM wide)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(strlen(t)) AS BIGINT) AS n_bytes,
+  true AS within_limit FROM txt"""

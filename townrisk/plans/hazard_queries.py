@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from . import hazards as H
 from .common import round_doubles
 from .zones import hazard_polys, zone_polys

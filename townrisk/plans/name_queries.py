@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
-from ..sources import testdata as T
 from . import names as N
 
 SEARCH_QUERY = "１丁目"
@@ -54,5 +53,3 @@ def q_detail_paths(spark: SparkSession, d: str) -> DataFrame:
         "key", F.concat(F.lit("/area/"), F.col("ward_slug"), F.lit("/"), F.col("town_slug"))
         .alias("path"), "key_back")
 
-
-_ = T

@@ -42,3 +42,13 @@ def q_stream_zone_stats(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(s.select("zone", F.col("n").cast("long").alias("n"),
                                   F.col("n_flood").cast("long").alias("n_flood"),
                                   "depth_sum", "depth_max", "elev_sum", "elev_min"))
+
+
+def q_byte_batch_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Partition-independent summary of the batches: every row is in one
+    batch, bytes add up, and no batch exceeds the limit unless it holds a
+    single oversize row."""
+    b = q_byte_batches(spark, d)
+    ok = (F.col("n_bytes") <= K.MAX_BATCH_BYTES) | (F.col("n_rows") == 1)
+    return b.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"),
+                 F.bool_and(ok).alias("within_limit"))

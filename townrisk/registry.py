@@ -100,5 +100,6 @@ QUERIES: dict[str, Query] = {
     "q_pk_violations": qq.q_pk_violations,
     "q_mart_pk_check": qq.q_mart_pk_check,
     "q_byte_batches": qq.q_byte_batches,
+    "q_byte_batch_totals": qq.q_byte_batch_totals,
     "q_stream_zone_stats": qq.q_stream_zone_stats,
 }
