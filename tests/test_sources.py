@@ -73,3 +73,16 @@ def test_write_and_serve(spark, tmp_path):
     r = spark.sql(S.INDEX_SQL.format(year=2025)).collect()
     assert len(r) == 1 and r[0].tide_score == 70.0
     assert os.path.isdir(os.path.join(out, "town_scores", "data_year=2025"))
+
+
+def test_geojson_by_ward(spark, tmp_path):
+    from townrisk.plans.serve_queries import geojson_features
+    from conftest import SF_SMALL
+    out = str(tmp_path / "gj")
+    S.write_geojson_by_ward(geojson_features(spark, SF_SMALL), out)
+    wards = sorted(p.name for p in (tmp_path / "gj").iterdir() if p.name.startswith("ward_code="))
+    assert len(wards) == 5
+    back = spark.read.text(out)
+    assert back.count() == 25
+    first = json.loads(back.first().value)
+    assert first["type"] == "Feature" and first["geometry"]["type"] == "Polygon"

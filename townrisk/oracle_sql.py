@@ -605,15 +605,23 @@ def _tm_inverse_sql(xcol: str, ycol: str) -> tuple[str, str]:
 
 _LNG, _LAT = _tm_inverse_sql("cen.cx * 1000.0", "cen.cy * 1000.0")
 
-TOWNS = f"""cen AS (
+TOWNS = f"""tres AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS key,
+    CASE WHEN n_nationkey = 2 THEN 1 ELSE n_nationkey END AS pk FROM nation),
+tshared AS (
+  SELECT key, CASE WHEN pk NOT IN (2, 24) AND count(*) OVER (PARTITION BY pk) > 1
+                   THEN CAST(pk AS BIGINT) END AS spk FROM tres),
+cen AS (
   SELECT zone, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cx,
          sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cy
   FROM zedges GROUP BY zone),
 towns AS (
   SELECT c.zone AS key, c.ward, c.name AS town, 'W' || lpad(CAST(c.region AS VARCHAR), 2, '0') AS ward_code,
     {_LAT} AS lat, {_LNG} AS lng, za.zone_area * 1000000.0 AS area_m2, c.pop AS population,
-    CAST(cen.cx IS NOT NULL AS INTEGER) AS has_polygon
-  FROM comb c LEFT JOIN cen ON cen.zone = c.zone LEFT JOIN zarea za ON za.zone = c.zone),
+    CAST(cen.cx IS NOT NULL AS INTEGER) AS has_polygon,
+    ts.spk AS shared_polygon_key
+  FROM comb c LEFT JOIN cen ON cen.zone = c.zone LEFT JOIN zarea za ON za.zone = c.zone
+  LEFT JOIN tshared ts ON ts.key = c.zone),
 scores AS (
   SELECT zone AS key, 2025 AS data_year, safety_score, flood_score, tide_score, ground_score,
     serious_score, daily_score, flood_exposure, tide_exposure, elev_score, tk_mean_elev AS mean_elev_m,
@@ -657,7 +665,7 @@ def _round_cols(cols: str) -> str:
 
 ORACLE["q_mart_towns"] = _with(*SERVE) + """
 SELECT key, ward, town, ward_code, round(lat, 6) AS lat, round(lng, 6) AS lng, round(area_m2, 6) AS area_m2,
-  round(population, 6) AS population, has_polygon FROM towns"""
+  round(population, 6) AS population, has_polygon, shared_polygon_key FROM towns"""
 
 ORACLE["q_mart_scores"] = _with(*SERVE) + f"""
 SELECT key, data_year, {_round_cols("safety_score flood_score tide_score ground_score serious_score daily_score flood_exposure tide_exposure elev_score mean_elev_m")},

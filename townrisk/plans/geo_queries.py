@@ -99,6 +99,11 @@ def q_shared_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_shared_polygon_key(spark: SparkSession, d: str) -> DataFrame:
+    return shared_polygon_keys(spark, d)
+
+
+def shared_polygon_keys(spark: SparkSession, d: str) -> DataFrame:
+    """key -> polygon key when that polygon serves more than one area."""
     from pyspark.sql import Window
     r = resolve(spark, d)
     w = Window.partitionBy("poly_key")

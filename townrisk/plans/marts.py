@@ -36,10 +36,13 @@ def _mart_towns(spark: SparkSession, d: str) -> DataFrame:
                    (cy * F.lit(FIXTURE_UNIT_M)).alias("_cy"),
                    (F.col("zone_area") * F.lit(FIXTURE_UNIT_M ** 2)).alias("area_m2"))
     geo = G.with_lonlat_zone9(geo, "_cx", "_cy", "lng", "lat").drop("_cx", "_cy")
+    from .geo_queries import shared_polygon_keys
+    shared = shared_polygon_keys(spark, d).withColumnRenamed("key", "zone")
     return (m.join(geo, "zone", "left").join(bounded_broadcast(ward_codes(spark, d), 100_000), "ward", "left")
+            .join(shared, "zone", "left")
             .select(F.col("zone").alias("key"), "ward", F.col("name").alias("town"), "ward_code",
                     "lat", "lng", "area_m2", F.col("pop").alias("population"),
-                    F.col("lat").isNotNull().cast("int").alias("has_polygon")))
+                    F.col("lat").isNotNull().cast("int").alias("has_polygon"), "shared_polygon_key"))
 
 
 def mart_scores(spark: SparkSession, d: str) -> DataFrame:
