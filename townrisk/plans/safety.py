@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.ranking import pct_scores
-from ..operators.sizing import cut_lineage
 from ..operators.smoothing import smooth_rate
 from ..sources import testdata as T
 from ..sources.staging import staged
@@ -49,9 +48,8 @@ def _safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     for g in ("serious", "daily"):
         m = smooth_rate(m, g, "pop", K.SAFETY_YEARS[g], f"{g}_rate",
                         prior=K.PRIOR_EVENTS, valid=valid)
-    # one row per area: a reliable checkpoint keeps the ranking stages
-    # from re-running the rate computation above.
-    m = cut_lineage(m)
+    # ``m`` starts from the staged per-area table; the rates add columns and
+    # two scalar subqueries, so the ranks below need no further lineage cut.
     m = pct_scores(m, [(f"{g}_rate", f"{g}_score", None) for g in ("serious", "daily")])
     total = None
     for g, w in K.SAFETY_WEIGHTS.items():
