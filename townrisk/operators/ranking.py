@@ -3,11 +3,12 @@ single-partition window.
 
 Ranks are derived from *distinct-value counts*: the input is first reduced
 to (value, count) with a partial/final hash aggregate (so a value that a
-third of all rows share collapses to one row before any shuffle), the
-distinct values are split into value-range buckets by approximate quantile
-bounds (one broadcast row), counted cumulatively inside each bucket with a
-window partitioned by bucket, and offset by the bounded per-bucket totals.
-The result is exact; only the bucket borders are approximate.
+third of all rows share collapses to one row before any shuffle), each
+distinct value gets an order-preserving bucket id computed from the value
+itself (binary exponent + top mantissa bits, no pass over the data), the
+values are counted cumulatively inside each bucket with a window
+partitioned by bucket, and offset by the per-bucket totals (a table bounded
+by the bucket id range).  The result is exact.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+DEFAULT_SUB_BITS = 8
 
 
 def _valid_cond(value: str, valid: Column | None) -> Column:
@@ -44,19 +45,19 @@ def monotone_bucket(v: Column, sub_bits: int = 8) -> Column:
 
 
 def value_counts_ge(df: DataFrame, value: str, valid: Column | None = None,
-                    buckets: int = DEFAULT_BUCKETS,
+                    sub_bits: int = DEFAULT_SUB_BITS,
                     by: Sequence[str] = ()) -> DataFrame:
     """Distinct valid values (per ``by`` group) with ``_c`` (rows with this
     value), ``_ge`` (rows with a value >= it) and ``_n`` (valid rows).
 
-    ``buckets`` is kept for API stability; bucket ids come from
-    :func:`monotone_bucket`.
+    ``sub_bits`` sets how finely each binary exponent range is split into
+    buckets (more bits: smaller window partitions, more bucket totals).
     """
     by = list(by)
     vc = (df.where(_valid_cond(value, valid))
           .groupBy(*by, F.col(value).cast("double").alias("_v"))
           .agg(F.count(F.lit(1)).alias("_c"))
-          .withColumn("_bk", monotone_bucket(F.col("_v"))))
+          .withColumn("_bk", monotone_bucket(F.col("_v"), sub_bits)))
     inside = Window.partitionBy(*by, "_bk").orderBy(F.desc("_v")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = vc.withColumn("_in", F.sum("_c").over(inside))
@@ -87,18 +88,18 @@ def _attach(df: DataFrame, value: str, counts: DataFrame, score: Column,
 
 
 def pct_score(df: DataFrame, value: str, out: str, valid: Column | None = None,
-              buckets: int = DEFAULT_BUCKETS, by: Sequence[str] = ()) -> DataFrame:
+              sub_bits: int = DEFAULT_SUB_BITS, by: Sequence[str] = ()) -> DataFrame:
     """Smaller is better: 100 * (#valid rows with value >= v) / #valid rows.
 
     Ties share the highest rank, NULL / invalid rows get NULL and are left
     out of numerator and denominator.  ``by`` ranks within groups.
     """
-    c = value_counts_ge(df, value, valid, buckets, by)
+    c = value_counts_ge(df, value, valid, sub_bits, by)
     return _attach(df, value, c, F.lit(100.0) * F.col("_ge") / F.col("_n"), out, valid, by)
 
 
 def pct_scores(df: DataFrame, specs: Sequence[tuple[str, str, Column | None]],
-               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               sub_bits: int = DEFAULT_SUB_BITS) -> DataFrame:
     """Several :func:`pct_score` columns attached to the SAME input.
 
     Every counts table is derived from ``df`` directly, so the plan grows
@@ -106,23 +107,23 @@ def pct_scores(df: DataFrame, specs: Sequence[tuple[str, str, Column | None]],
     """
     out = df
     for value, name, valid in specs:
-        c = value_counts_ge(df, value, valid, buckets)
+        c = value_counts_ge(df, value, valid, sub_bits)
         out = _attach(out, value, c, F.lit(100.0) * F.col("_ge") / F.col("_n"), name, valid)
     return out
 
 
 def rank_low_pct(df: DataFrame, value: str, out: str, valid: Column | None = None,
-                 buckets: int = DEFAULT_BUCKETS, by: Sequence[str] = ()) -> DataFrame:
+                 sub_bits: int = DEFAULT_SUB_BITS, by: Sequence[str] = ()) -> DataFrame:
     """Larger is better: 100 * (1 + #valid rows with value < v) / #valid rows
     (ascending rank, ties share the lowest rank)."""
-    c = value_counts_ge(df, value, valid, buckets, by)
+    c = value_counts_ge(df, value, valid, sub_bits, by)
     score = F.lit(100.0) * (F.col("_n") - F.col("_ge") + 1) / F.col("_n")
     return _attach(df, value, c, score, out, valid, by)
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float],
               names: Sequence[str], valid: Column | None = None,
-              buckets: int = DEFAULT_BUCKETS, by: Sequence[str] = (),
+              sub_bits: int = DEFAULT_SUB_BITS, by: Sequence[str] = (),
               count_name: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row (per ``by`` group).
 
@@ -131,7 +132,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float],
     floor(h)+1 and ceil(h)+1.  No group's values are ever held together.
     """
     by = list(by)
-    c = value_counts_ge(df, value, valid, buckets, by)
+    c = value_counts_ge(df, value, valid, sub_bits, by)
     le = F.col("_n") - F.col("_ge") + F.col("_c")
     aggs = [F.max("_n").alias("_n")]
     for i, p in enumerate(probs):

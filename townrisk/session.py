@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -58,11 +57,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
-
-
-def staging_dir(spark: SparkSession, name: str) -> str:
-    """Folder for a written intermediate table, next to the checkpoints."""
-    base = ensure_checkpoint_dir(spark)
-    base = base.rstrip("/")
-    # setCheckpointDir appends a per-application sub folder; stage beside it.
-    return os.path.join(base, "staging", name)
