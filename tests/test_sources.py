@@ -86,3 +86,27 @@ def test_geojson_by_ward(spark, tmp_path):
     assert back.count() == 25
     first = json.loads(back.first().value)
     assert first["type"] == "Feature" and first["geometry"]["type"] == "Polygon"
+
+
+def test_zip_members(spark, tmp_path):
+    import zipfile
+    from townrisk.sources.archive import extract_members, list_members
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"A31a_205": "2"},
+         "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [3, 0], [3, 3], [0, 0]]]}}]}
+    zp = tmp_path / "rivers.zip"
+    with zipfile.ZipFile(zp, "w") as z:
+        z.writestr("20_x\\8303040001\\a.geojson", json.dumps(fc))     # back-slash member name
+        z.writestr("20_x\\8303030284\\b.geojson", json.dumps(fc))
+        z.writestr("41_other/c.geojson", json.dumps(fc))
+    names = list_members(str(zp), prefix="20_", contains="8303040001")
+    assert names == ["20_x/8303040001/a.geojson"]
+    out = str(tmp_path / "unzipped")
+    got = extract_members(spark, str(zp), list_members(str(zp), prefix="20_"), out).collect()
+    assert sorted(r.member for r in got) == ["20_x/8303030284/b.geojson", "20_x/8303040001/a.geojson"]
+    feats = S.load_geojson(spark, [r.path for r in got])
+    assert feats.count() == 2
+    assert S.bbox_filter(feats, (2.5, 2.5, 9.0, 9.0)).count() == 2
+    assert S.bbox_filter(feats, (5.0, 5.0, 9.0, 9.0)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        extract_members(spark, str(zp), list_members(str(zp), prefix="99_"), out)
