@@ -182,3 +182,13 @@ def test_overlay_properties(spark, pts):
     assert math.isclose(x, y, rel_tol=1e-7, abs_tol=1e-7)           # symmetric, slab-independent
     assert x <= min(a1, a2) + 1e-7
     assert math.isclose(x, brute_overlay(t1, t2), rel_tol=1e-7, abs_tol=1e-7)
+
+
+def test_self_crossing(spark):
+    from townrisk.operators.overlay import self_crossing
+    bowtie = [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0)]
+    ell = [(1, 1), (18, 2), (17, 9), (9, 10), (8, 19), (2, 18)]
+    touching = [(0.0, 0.0), (4.0, 0.0), (2.0, 2.0), (4.0, 4.0), (0.0, 4.0), (2.0, 2.0)]
+    df = polys(spark, [(1, bowtie), (2, ell), (3, touching)])
+    got = sorted(r.k for r in self_crossing(df, "k", "rings", slab=1.0).collect())
+    assert got == [1, 3]

@@ -183,8 +183,8 @@ def intersects_sliced(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_ke
     """
     pairs = bbox_pairs(a, a_key, a_rings, b, b_key, b_rings, cell)
     cols = ("xa", "xb", "ya", "yb")
-    pa = edge_pieces(a, a_key, a_rings, slab).select(a_key, "slab", *[F.col(c).alias(f"a_{c}") for c in cols])
-    pb = edge_pieces(b, b_key, b_rings, slab).select(b_key, "slab", *[F.col(c).alias(f"b_{c}") for c in cols])
+    pa = indexed_pieces(a, a_key, a_rings, slab).select(a_key, "slab", *[F.col(c).alias(f"a_{c}") for c in cols])
+    pb = indexed_pieces(b, b_key, b_rings, slab).select(b_key, "slab", *[F.col(c).alias(f"b_{c}") for c in cols])
     j = pa.join(pairs, a_key).join(pb, [b_key, "slab"])
     seg_a = "named_struct('x1', a_xa, 'y1', a_ya, 'x2', a_xb, 'y2', a_yb)"
     seg_b = "named_struct('x1', b_xa, 'y1', b_ya, 'x2', b_xb, 'y2', b_yb)"
@@ -202,7 +202,7 @@ def intersects_sliced(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_ke
         px, py = F.col("v.x"), F.col("v.y")
         xa, xb = F.col(f"{p}_xa"), F.col(f"{p}_xb")
         ya, yb = F.col(f"{p}_ya"), F.col(f"{p}_yb")
-        y_at = ya + (yb - ya) * (px - xa) / (xb - xa)
+        y_at = ya + F.try_divide((yb - ya) * (px - xa), xb - xa)
         hit = (xa <= px) & (px < xb) & (y_at > py)
         return (k.groupBy(a_key, b_key).agg(F.count_if(hit).alias("_c"))
                 .where(F.col("_c") % 2 == 1).select(a_key, b_key))
@@ -210,3 +210,50 @@ def intersects_sliced(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_ke
     a_in_b = contains(a, a_key, a_rings, pb, b_key, "b")
     b_in_a = contains(b, b_key, b_rings, pa, a_key, "a")
     return crossing.unionByName(a_in_b).unionByName(b_in_a).distinct()
+
+
+def indexed_pieces(df: DataFrame, key: str, rings: str, slab: float) -> DataFrame:
+    """Edge pieces for *topological* tests: ring index ``ri``, edge index
+    ``ei`` and ring size ``rn`` are kept, vertical edges are kept, and slabs
+    are closed ranges (a point on a slab border belongs to both slabs), so
+    two segments that meet anywhere always share a slab."""
+    r = df.select(F.col(key), F.posexplode(F.col(rings)).alias("ri", "ring"))
+    e = r.select(key, "ri", F.size("ring").alias("rn"),
+                 F.posexplode(G.col(G.ring_edges_sql("ring"))).alias("ei", "e"))
+    x1, y1, x2, y2 = F.col("e.x1"), F.col("e.y1"), F.col("e.x2"), F.col("e.y2")
+    e = e.select(
+        key, "ri", "ei", "rn",
+        F.least(x1, x2).alias("lx"), F.when(x1 < x2, y1).otherwise(y2).alias("ly"),
+        F.greatest(x1, x2).alias("rx"), F.when(x1 < x2, y2).otherwise(y1).alias("ry"))
+    s = F.lit(float(slab))
+    e = e.withColumn("slab", F.explode(F.sequence(
+        (F.ceil(F.col("lx") / s) - 1).cast("long"), F.floor(F.col("rx") / s).cast("long"))))
+    xa = F.greatest(F.col("lx"), F.col("slab") * s)
+    xb = F.least(F.col("rx"), (F.col("slab") + 1) * s)
+
+    def interp(x):
+        return (F.col("ly") + (F.col("ry") - F.col("ly")) * (x - F.col("lx"))
+                / (F.col("rx") - F.col("lx")))
+
+    e = e.select(key, "ri", "ei", "rn", "slab", xa.alias("xa"), xb.alias("xb"),
+                 F.when(xa == F.col("lx"), F.col("ly")).otherwise(interp(xa)).alias("ya"),
+                 F.when(xb == F.col("rx"), F.col("ry")).otherwise(interp(xb)).alias("yb"))
+    return e.where(F.col("xb") >= F.col("xa"))
+
+
+def self_crossing(df: DataFrame, key: str, rings: str, slab: float) -> DataFrame:
+    """Keys of polygons whose boundary meets itself anywhere except where
+    consecutive edges share their vertex (OGC simple/valid ring test, minus
+    vertical-only edges).  Pieces meet only within their slab."""
+    p = indexed_pieces(df, key, rings, slab)
+    a = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns])
+    b = p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns])
+    j = a.join(b, (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col("a_slab") == F.col("b_slab")))
+    same_ring = F.col("a_ri") == F.col("b_ri")
+    later = (F.col("a_ri") < F.col("b_ri")) | (same_ring & (F.col("a_ei") < F.col("b_ei")))
+    adjacent = same_ring & (((F.col("b_ei") - F.col("a_ei")) == 1)
+                            | ((F.col("a_ei") == 0) & (F.col("b_ei") == F.col("a_rn") - 1)))
+    seg_a = "named_struct('x1', a_xa, 'y1', a_ya, 'x2', a_xb, 'y2', a_yb)"
+    seg_b = "named_struct('x1', b_xa, 'y1', b_ya, 'x2', b_xb, 'y2', b_yb)"
+    hit = j.where(later & ~adjacent & G.col(G.segments_cross_sql(seg_a, seg_b)))
+    return hit.select(F.col(f"a_{key}").alias(key)).distinct()

@@ -1052,3 +1052,27 @@ txt AS (
          CAST(visitor AS VARCHAR) || ', ' || CAST(total AS VARCHAR) || ')' AS t FROM wide)
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(strlen(t)) AS BIGINT) AS n_bytes,
   true AS within_limit FROM txt"""
+
+ORACLE["q_ring_validity"] = _with(ZEDGES, HEDGES) + """,
+ze AS (
+  SELECT 'zone' AS kind, CAST(n_nationkey AS BIGINT) AS id, a.i AS ei, 6 AS rn,
+    CAST((n_nationkey % 5) * 20 + a.vx AS DOUBLE) AS x1, CAST(floor(n_nationkey / 5) * 20 + a.vy AS DOUBLE) AS y1,
+    CAST((n_nationkey % 5) * 20 + b.vx AS DOUBLE) AS x2, CAST(floor(n_nationkey / 5) * 20 + b.vy AS DOUBLE) AS y2
+  FROM nation, zv a JOIN zv b ON b.i = (a.i + 1) % 6),
+he AS (
+  SELECT 'hazard' AS kind, h.poly_id AS id, a.i AS ei, 3 AS rn,
+    h.cx + a.vx AS x1, h.cy + a.vy AS y1, h.cx + b.vx AS x2, h.cy + b.vy AS y2
+  FROM haz h, hv a JOIN hv b ON b.i = (a.i + 1) % 3),
+ed AS (SELECT * FROM ze UNION ALL SELECT * FROM he),
+crossed AS (
+  SELECT DISTINCT a.kind, a.id FROM ed a JOIN ed b ON a.kind = b.kind AND a.id = b.id AND a.ei < b.ei
+  WHERE NOT (b.ei - a.ei = 1 OR (a.ei = 0 AND b.ei = a.rn - 1))
+    AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
+    AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)
+    AND sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1))
+      * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) <= 0
+    AND sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1))
+      * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) <= 0),
+polys AS (SELECT kind, id, count(*) AS n FROM ed GROUP BY kind, id)
+SELECT p.kind, p.id, CAST(p.n AS BIGINT) AS n_vertices, p.n >= 3 AS enough_vertices, c.id IS NULL AS simple
+FROM polys p LEFT JOIN crossed c ON c.kind = p.kind AND c.id = p.id"""

@@ -128,3 +128,19 @@ def q_ward_outline_rings(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(rings.groupBy("ward").agg(
         F.sum(F.abs("area")).alias("area"), F.sum("perimeter").alias("perimeter"),
         F.count(F.lit(1)).alias("n_rings")))
+
+
+def q_ring_validity(spark: SparkSession, d: str) -> DataFrame:
+    """J7: validity of every zone and hazard polygon (vertex count, at least
+    three distinct vertices, boundary never meets itself)."""
+    from ..operators.overlay import self_crossing
+    from .zones import hazard_polys
+    z = zone_polys(spark, d).select(F.lit("zone").alias("kind"), F.col("zone").alias("id"), "rings")
+    h = hazard_polys(spark, d).select(F.lit("hazard").alias("kind"), F.col("poly_id").alias("id"), "rings")
+    p = z.unionByName(h).withColumn("pk", F.concat_ws(":", "kind", F.col("id").cast("string")))
+    bad = self_crossing(p, "pk", "rings", slab=K.FIXTURE_SLAB).withColumn("_x", F.lit(True))
+    return p.join(bad, "pk", "left").select(
+        "kind", "id", F.aggregate(F.transform("rings", F.size), F.lit(0), lambda a, n: a + n)
+        .cast("long").alias("n_vertices"),
+        G.rings_valid("rings").alias("enough_vertices"),
+        F.col("_x").isNull().alias("simple"))

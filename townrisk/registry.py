@@ -86,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "q_slug_lookup": nq.q_slug_lookup,
     "q_detail_paths": nq.q_detail_paths,
     "q_ring_area": gq.q_ring_area,
+    "q_ring_validity": gq.q_ring_validity,
     "q_ring_centroid": gq.q_ring_centroid,
     "q_project": gq.q_project,
     "q_snap_precision": gq.q_snap_precision,
