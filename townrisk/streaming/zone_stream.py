@@ -24,18 +24,21 @@ from ..sources import testdata as T
 
 
 def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
-                      files_per_trigger: int = 1, state_partitions: int | None = None) -> DataFrame:
+                      files_per_trigger: int = 1, state_partitions: int | None = None,
+                      source_dir: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run the stream to completion (``availableNow``) and return the result.
 
     The number of state-store partitions is fixed when a query first starts
     (it is recorded in the checkpoint); it is sized to the cluster, not to
-    the session's general shuffle setting.
+    the session's general shuffle setting.  Passing the same ``checkpoint``
+    and ``out_dir`` again processes only files that arrived in
+    ``source_dir`` since the previous run.
     """
     schema = T.table(spark, d, "lineitem").schema
     src = (spark.readStream.schema(schema)
            .option("pathGlobFilter", "lineitem*.parquet")
            .option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(d))
+           .parquet(source_dir or d))
     pts = T.points_from(src)
     joined = zone_join(pts, zone_polys(spark, d).select("zone", "rings"), key="zone",
                        cell=K.FIXTURE_CELL)
@@ -46,7 +49,7 @@ def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = uuid.uuid4().hex[:12]
     out = out_dir or os.path.join(base, "stream-out", run)
-    ckpt = os.path.join(base, "stream-ckpt", run)
+    ckpt = checkpoint or os.path.join(base, "stream-ckpt", run)
 
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out)
