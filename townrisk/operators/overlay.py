@@ -67,10 +67,15 @@ def _pair_integral(lo, hi, fl, fh, gl, gh):
 
 def overlay_area(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: str,
                  b_rings: str, slab: float, cell: float, min_area: float = 1e-9) -> DataFrame:
-    """(a_key, b_key, area) of every intersecting pair with area > min_area."""
+    """(a_key, b_key, area) of every intersecting pair with area > min_area.
+
+    One row per polygon key on each side (dissolve multi-row features first);
+    multi-part polygons and holes are rings of that one row.
+    """
     pairs = bbox_pairs(a, a_key, a_rings, b, b_key, b_rings, cell)
     xmin, ymin, _, _ = G.bbox(a_rings)
-    origin = a.select(F.col(a_key), xmin.alias("_ox"), ymin.alias("_oy"))
+    origin = (a.select(F.col(a_key), xmin.alias("_ox"), ymin.alias("_oy"))
+              .groupBy(a_key).agg(F.min("_ox").alias("_ox"), F.min("_oy").alias("_oy")))
     pa = edge_pieces(a, a_key, a_rings, slab).select(
         a_key, "slab", *[F.col(c).alias(f"a_{c}") for c in ("xa", "xb", "ya", "yb", "sg")])
     pb = edge_pieces(b, b_key, b_rings, slab).select(

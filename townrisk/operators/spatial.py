@@ -68,7 +68,7 @@ def bbox_pairs(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: str,
     """Pairs (a_key, b_key) whose bounding boxes intersect, without a cross
     join and without a distinct: both sides are exploded to grid cells of
     their box and a pair is kept only in the cell that holds the lower-left
-    corner of the two boxes' intersection."""
+    corner of the two boxes' intersection.  Keys are one row per polygon."""
     def boxed(df, k, r, p):
         xmin, ymin, xmax, ymax = G.bbox(r)
         d = df.select(F.col(k).alias(f"{p}key"), xmin.alias(f"{p}x0"), ymin.alias(f"{p}y0"),
