@@ -39,3 +39,19 @@ def test_no_cartesian_or_nested_loop_joins(spark):
                zq.q_ground_pl(spark, SF_SMALL), hq.q_overlay_area(spark, SF_SMALL)):
         txt = plan_text(df)
         assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt
+
+
+def test_wide_chain_scans_orders_once(spark):
+    txt = plan_text(cq.q_wide_left_chain(spark, SF_SMALL))
+    # one scan each of customer, nation and orders: the four yearly joins
+    # are a single pivoting aggregate over one orders scan
+    assert txt.count("orders.parquet") == 1
+    assert txt.count("FileScan parquet") == 3
+
+
+def test_bounded_broadcast_falls_back(spark):
+    from townrisk.operators.sizing import bounded_broadcast
+    df = spark.range(5)
+    assert bounded_broadcast(df, 1) is df                       # bound not proven: no hint
+    hinted = bounded_broadcast(df, 10)
+    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
