@@ -110,3 +110,13 @@ def test_zip_members(spark, tmp_path):
     assert S.bbox_filter(feats, (5.0, 5.0, 9.0, 9.0)).count() == 0
     with pytest.raises(FileNotFoundError):
         extract_members(spark, str(zp), list_members(str(zp), prefix="99_"), out)
+
+
+def test_overview_features(spark, tmp_path):
+    from conftest import SF_SMALL
+    from townrisk.plans.geo_queries import overview_features
+    rows = overview_features(spark, SF_SMALL).collect()
+    assert len(rows) == 5
+    f = json.loads(rows[0].feature)
+    ring = f["geometry"]["coordinates"][0]
+    assert f["type"] == "Feature" and len(ring) == 4          # collinear corners simplified away

@@ -144,3 +144,18 @@ def q_ring_validity(spark: SparkSession, d: str) -> DataFrame:
         .cast("long").alias("n_vertices"),
         G.rings_valid("rings").alias("enough_vertices"),
         F.col("_x").isNull().alias("simple"))
+
+
+def overview_features(spark: SparkSession, d: str, tolerance: float = 1e-4) -> DataFrame:
+    """B3: one GeoJSON feature per ward from the dissolved, simplified
+    outline rings (largest ring first as the outer boundary)."""
+    sq = T.zone_squares(spark, d).withColumn("rings", F.array("ring"))
+    r = outline_rings(outline_edges(sq, "ward", "rings"), "ward", tolerance=tolerance)
+    coords = F.transform(F.col("ring"), lambda p: F.array(p["x"], p["y"]))
+    g = r.groupBy("ward").agg(F.sort_array(F.collect_list(F.struct(
+        (-F.abs(F.col("area"))).alias("k"), coords.alias("c"))), True).alias("parts"))
+    geom = F.struct(F.lit("Polygon").alias("type"),
+                    F.transform("parts", lambda p: p["c"]).alias("coordinates"))
+    return g.select("ward", F.to_json(F.struct(F.lit("Feature").alias("type"),
+                                               F.struct("ward").alias("properties"),
+                                               geom.alias("geometry"))).alias("feature"))
