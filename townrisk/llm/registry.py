@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .quality_rules import quality_rules
 from .oracle import SQL
 
@@ -12,11 +13,15 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_minhash_bayes(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(documents(spark, sf_dir), labels).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_minhash_bayes, op6_quality_rules)}
 ORACLE = {k: v for k, v in SQL.items() if k in QUERIES}
