@@ -85,7 +85,9 @@ def exact_dedup(docs: DataFrame, fingerprint: str = "xxhash64(chunk)", shortest:
     recipe is a plain equi-join whose hot keys Spark can split.
     """
     rec = shared_table(recipes(docs, fingerprint, shortest, longest), "recipes")
-    groups = rec.groupBy("ids", "marks").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join below deals both sides anew and Spark can split a hot recipe
+    groups = shared_table(rec.groupBy("ids", "marks").agg(F.min("doc_id").alias("keep_id"),
+                                                          F.count("*").alias("group_size")), "recipe-groups")
     r, g = rec.alias("r"), groups.alias("g")
     return (r.join(g, (F.col("r.ids") == F.col("g.ids")) & (F.col("r.marks") == F.col("g.marks")))
             .select("r.doc_id", "g.keep_id", "g.group_size",

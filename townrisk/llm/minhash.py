@@ -182,16 +182,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = shared_table(signed.join(classes, (signed.seq == classes.seq) & (signed.doc_id == classes.rep), "left_semi")
                         .select("doc_id", "n", "sig").distinct(), "representatives")
 
-    # buckets with more than one member
+    # buckets with more than one member; counts and leaders are written before they are joined
+    # back, so that Spark deals both sides of the join anew and can split a hot bucket
     bands = reps.select(F.col("doc_id").alias("id"), F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, {2 * ROWS} * i + 1, {2 * ROWS})))"))
         .alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = shared_table(bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
     members = shared_table(bands.join(shared, "key"), "buckets")
     central = members.groupBy("id").agg(F.sum(F.log("size")).alias("shares"))
-    leaders = (members.join(central, "id").groupBy("key")
-               .agg(F.max(F.struct("shares", (-F.col("id")).alias("neg"))).alias("top"))
-               .select("key", (-F.col("top.neg")).alias("leader")))
+    leaders = shared_table(members.join(central, "id").groupBy("key")
+                           .agg(F.max_by(-F.col("id"), F.struct("shares", -F.col("id"))).alias("neg"))
+                           .select("key", (-F.col("neg")).alias("leader")), "leaders")
     stars = (members.join(leaders, "key").filter("id <> leader")
              .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
     near = shared_table(_sides(stars, reps, "sig", "n")
@@ -203,7 +204,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # what the stars leave open: members outside their bucket's largest component, against all of the bucket
     placed = (members.filter("size > 2").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    split = shared_table(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+                         .filter("low <> high").select("key"), "open-keys")
     placed = shared_table(placed.join(split, "key"), "open-buckets")
     if not placed.isEmpty():
         rest = shared_table(_block_candidates(placed, reps), "block-candidates")
@@ -228,12 +230,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _block_candidates(placed: DataFrame, reps: DataFrame) -> DataFrame:
     """a, b, matches, comp_b of surviving pairs across components; ``placed``: id, key, band, size, comp."""
     sized = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    largest = sized.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    largest = shared_table(sized.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main")), "main-parts")
     rows = placed.join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id")
     blocks = (rows.withColumn("part", F.expr(f"pmod(xxhash64(id), cast(ceil(size / {BLOCK}) as int))"))
               .groupBy("key", "part").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("block"))
               .select("key", "block"))
-    queries = rows.join(largest, "key").filter("comp <> main").select("key", "id", "band", "comp", "n", "sig")
+    queries = shared_table(rows.join(largest, "key").filter("comp <> main")
+                           .select("key", "id", "band", "comp", "n", "sig"), "open-members")
     found = queries.join(blocks, "key").mapInArrow(_block_pairs, "a long, b long, matches long")
     comp = placed.select(F.col("id").alias("b"), F.col("comp").alias("comp_b")).distinct()
     return found.join(comp, "b")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import documents
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
+from .packing import pack
 from .quality_rules import quality_rules
 from .oracle import SQL
 
@@ -23,5 +24,10 @@ def op6_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_minhash_bayes, op6_quality_rules)}
+def op7_pack_sequences(spark, sf_dir):
+    return pack(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_minhash_bayes, op6_quality_rules,
+                                     op7_pack_sequences)}
 ORACLE = {k: v for k, v in SQL.items() if k in QUERIES}

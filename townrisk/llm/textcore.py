@@ -75,6 +75,12 @@ def word_hashes(words: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def span_hash(b: np.ndarray) -> np.uint64:
     with np.errstate(over="ignore"):
         return mix(np.array([((b.astype(U64) + U64(1)) * powers(PIECE)[:len(b)]).sum(dtype=U64)], U64))[0]
@@ -93,4 +99,4 @@ def shingle_set(words: bytes, size: int = 5) -> np.ndarray:
     h = np.full(n, min(len(w), size), U64)
     for j in range(min(size, len(w))):
         h += w[j:j + n] * (WEIGHTS[j % 5] + U64(2 * (j // 5)))
-    return np.unique(mix(h))
+    return distinct(mix(h))
