@@ -38,3 +38,22 @@ def near_components(docs):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def repeated_bytes(docs, length, first_only=False):
+    """[(doc_id, n_bytes, n_removed, n_spans, rest)] in the order of ``docs``, which is the order of texts."""
+    seen = {}
+    data = [(d, (t or "").encode()) for d, t in docs]
+    for k, (_, b) in enumerate(data):
+        for i in range(len(b) - length + 1):
+            seen.setdefault(b[i:i + length], []).append((k, i))
+    gone = [bytearray(len(b)) for _, b in data]
+    for places in seen.values():
+        if len(places) > 1:
+            for k, i in places[1:] if first_only else places:
+                gone[k][i:i + length] = b"\x01" * length
+    out = []
+    for (d, b), g in zip(data, gone, strict=True):
+        runs = sum(1 for i in range(len(g)) if g[i] and (i == 0 or not g[i - 1]))
+        out.append((d, len(b), sum(g), runs, bytes(x for x, y in zip(b, g, strict=True) if not y)))
+    return out

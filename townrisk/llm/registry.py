@@ -8,6 +8,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .oracle import SQL
+from .suffix_dedup import remove_repeats
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -28,6 +29,10 @@ def op7_pack_sequences(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_minhash_bayes, op6_quality_rules,
-                                     op7_pack_sequences)}
+                                     op7_pack_sequences, op10_suffix_dedup)}
 ORACLE = {k: v for k, v in SQL.items() if k in QUERIES}
