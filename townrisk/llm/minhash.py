@@ -43,9 +43,9 @@ from .textcore import U64, normal_words, shingle_set, text_bytes
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
-HASHES = BANDS * ROWS
+HASHES = 480  # the bands use the first BANDS * ROWS of them
 MISS = 1e-6
-BATCHES = (32, 64, 128, HASHES)
+BATCHES = (32, 64, 128, 240, HASHES)
 BLOCK = 256
 
 
@@ -142,9 +142,10 @@ def _verify(batches):
 def _block_pairs(batches):
     """Each row: one member against a block of its bucket. Emits the pairs that survive the Bayesian test."""
     for batch in batches:
-        a, b, matches = [], [], []
+        a, b, matches, comp_a, comp_b = [], [], [], [], []
         for r in batch.to_pylist():
-            block = [m for m in r["block"] if m["comp"] != r["comp"]
+            # two members that are both held against the bucket meet once
+            block = [m for m in r["block"] if m["comp"] != r["comp"] and (m["comp"] == r["main"] or m["id"] > r["id"])
                      and 100 * min(m["n"], r["n"]) >= PERCENT * max(m["n"], r["n"])]
             if not block:
                 continue
@@ -152,14 +153,16 @@ def _block_pairs(batches):
             own = np.broadcast_to(np.frombuffer(r["sig"], "<u2"), sigs.shape)
             at, found = survivors(own, sigs)
             # a pair that shares several bands counts in the first one only
-            same = (own[at] == sigs[at]).reshape(len(at), BANDS, ROWS).all(axis=2)
+            same = (own[at, :BANDS * ROWS] == sigs[at, :BANDS * ROWS]).reshape(len(at), BANDS, ROWS).all(axis=2)
             for k, n, first in zip(at, found, same.argmax(axis=1), strict=True):
                 if first == r["band"]:
                     a.append(r["id"])
                     b.append(block[k]["id"])
                     matches.append(int(n))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(matches, pa.int64())],
-                                         ["a", "b", "matches"])
+                    comp_a.append(r["comp"])
+                    comp_b.append(block[k]["comp"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, matches, comp_a, comp_b)],
+                                         ["a", "b", "matches", "comp_a", "comp_b"])
 
 
 def _sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -212,10 +215,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         best = rest.withColumn("place", F.expr("row_number() over (partition by a, comp_b order by matches desc, b)"))
         links = links.union(_verified(best.filter("place <= 3").select("a", "b"), texts))
         comps = components(links)
-        ends = comps.select(F.col("id").alias("a"), F.col("comp").alias("now_a"))
-        other = comps.select(F.col("id").alias("b"), F.col("comp").alias("now_b"))
-        left = (best.filter("place > 3").join(ends, "a", "left").join(other, "b", "left")
-                .filter("coalesce(now_a, a) <> coalesce(now_b, b)").select("a", "b"))
+        # a component is named by a member, so its name has the component that it is part of now
+        left = best.filter("place > 3")
+        for side in "ab":
+            left = left.join(comps.select(F.col("id").alias(f"comp_{side}"), F.col("comp").alias(f"now_{side}")), f"comp_{side}", "left")
+        left = left.filter("coalesce(now_a, comp_a) <> coalesce(now_b, comp_b)").select("a", "b")
         more = _verified(left, texts)
         if not more.isEmpty():
             comps = components(links.union(more))
@@ -228,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _block_candidates(placed: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b, matches, comp_b of surviving pairs across components; ``placed``: id, key, band, size, comp."""
+    """a, b, matches, comp_a, comp_b of surviving pairs across components; ``placed``: id, key, band, size, comp."""
     sized = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     largest = shared_table(sized.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main")), "main-parts")
     rows = placed.join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id")
@@ -236,7 +240,6 @@ def _block_candidates(placed: DataFrame, reps: DataFrame) -> DataFrame:
               .groupBy("key", "part").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("block"))
               .select("key", "block"))
     queries = shared_table(rows.join(largest, "key").filter("comp <> main")
-                           .select("key", "id", "band", "comp", "n", "sig"), "open-members")
-    found = queries.join(blocks, "key").mapInArrow(_block_pairs, "a long, b long, matches long")
-    comp = placed.select(F.col("id").alias("b"), F.col("comp").alias("comp_b")).distinct()
-    return found.join(comp, "b")
+                           .select("key", "id", "band", "comp", "main", "n", "sig"), "open-members")
+    return queries.join(blocks, "key").mapInArrow(
+        _block_pairs, "a long, b long, matches long, comp_a long, comp_b long")
