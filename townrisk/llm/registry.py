@@ -6,8 +6,10 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack
+from .pii import personal_report
 from .quality_rules import quality_rules
 from .oracle import SQL
+from .secrets import secrets_report
 from .suffix_dedup import remove_repeats
 
 
@@ -15,6 +17,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_pii_disclosure(spark, sf_dir):
+    return personal_report(documents(spark, sf_dir))
+
+
 def op4_minhash_bayes(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
@@ -29,10 +35,14 @@ def op7_pack_sequences(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op9_secret_forest(spark, sf_dir):
+    return secrets_report(documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_minhash_bayes, op6_quality_rules,
-                                     op7_pack_sequences, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_pii_disclosure, op4_minhash_bayes, op6_quality_rules,
+                                     op7_pack_sequences, op9_secret_forest, op10_suffix_dedup)}
 ORACLE = {k: v for k, v in SQL.items() if k in QUERIES}
