@@ -17,6 +17,13 @@ with t as (select doc_id, {_NORM} as norm from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
 from t window w as (partition by norm)""",
+    "op5_warc_splittable": """
+with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+f as (select h, max(page_id) as first from p where n >= 1000 group by h having count(*) > 1)
+select page_id, n::bigint as payload_bytes, sha1(p.h) as payload_digest,
+       case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+       case when first <> page_id then first end as refers_to
+from p left join f on p.h = f.h""",
     "op6_quality_rules": rf"""
 with t as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t from documents),
 w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,

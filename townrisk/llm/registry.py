@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .language import identify
 from .minhash import near_duplicates
+from .oracle import SQL
 from .packing import pack
 from .pii import personal_report
 from .quality_rules import quality_rules
-from .oracle import SQL
 from .secrets import secrets_report
 from .suffix_dedup import remove_repeats
+from .warc import round_trip
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_language_hierarchy(spark, sf_dir):
+    return identify(documents(spark, sf_dir))
+
+
 def op3_pii_disclosure(spark, sf_dir):
     return personal_report(documents(spark, sf_dir))
 
@@ -25,6 +31,10 @@ def op4_minhash_bayes(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op5_warc_splittable(spark, sf_dir):
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_quality_rules(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(documents(spark, sf_dir), labels).select(
@@ -43,6 +53,6 @@ def op10_suffix_dedup(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_pii_disclosure, op4_minhash_bayes, op6_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_hierarchy, op3_pii_disclosure, op4_minhash_bayes, op5_warc_splittable, op6_quality_rules,
                                      op7_pack_sequences, op9_secret_forest, op10_suffix_dedup)}
 ORACLE = {k: v for k, v in SQL.items() if k in QUERIES}
