@@ -6,6 +6,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .language import identify
 from .minhash import near_duplicates
+from .nbest import encoding_report
 from .oracle import SQL
 from .packing import pack
 from .pii import personal_report
@@ -45,6 +46,10 @@ def op7_pack_sequences(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op8_nbest_pieces(spark, sf_dir):
+    return encoding_report(documents(spark, sf_dir))
+
+
 def op9_secret_forest(spark, sf_dir):
     return secrets_report(documents(spark, sf_dir))
 
@@ -54,5 +59,5 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_hierarchy, op3_pii_disclosure, op4_minhash_bayes, op5_warc_splittable, op6_quality_rules,
-                                     op7_pack_sequences, op9_secret_forest, op10_suffix_dedup)}
+                                     op7_pack_sequences, op8_nbest_pieces, op9_secret_forest, op10_suffix_dedup)}
 ORACLE = {k: v for k, v in SQL.items() if k in QUERIES}
