@@ -14,8 +14,10 @@ dealt out so that suffixes with a common prefix of T bytes always meet:
    a task takes them in blocks, sorts their suffixes, and the longest previous
    factor of a suffix is the longer match with the previous or next smaller
    position in suffix order; longest next factors are the mirror image.
-   A k-gram with more than ``CROWD`` distinct contexts is no block: its suffixes
-   are dealt by the hash of their T bytes and classes are aggregated instead.
+   A k-gram with more than ``CROWD`` distinct contexts is no block. There the
+   strings are taken in cells of neighbouring places before the k-gram, first
+   wide, then narrow, last one by one: cells whose common bytes occur once are
+   dropped, cells with equal outer bytes are settled, the others are cut.
 
 ``keep="first"`` removes what has an earlier copy (previous factor of T or more)
 and so leaves the first of every string; ``keep="none"`` removes all copies.
@@ -28,6 +30,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -41,6 +44,7 @@ from .textcore import PIECE, U64, inverse_powers, mix, powers, text_bytes
 
 LENGTH, GRAM = 200, 40
 CROWD = 256
+CELLS = (32, 6, 1)  # places in a cell, by round
 BLOCK = 1 << 18
 _LOW = U64(0xFFFFFF)  # places within a piece
 
@@ -84,7 +88,7 @@ def anchors(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = G
 
 
 def _find_anchors(batches):
-    names = ["doc_id", "tag", "place", "first", "last", "gram", "context"]
+    names = ["doc_id", "tag", "first", "reach", "gram", "context"]
     for batch in batches:
         ids, tags, texts = batch.column("doc_id"), batch.column("tag"), text_bytes(batch.column("text"))
         for lo, hi in grouped(texts):
@@ -97,7 +101,8 @@ def _find_anchors(batches):
                 doc, place, first, last, gram, context = anchors(np.frombuffer(piece, np.uint8), ends)
                 rows = pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), tags.take(rows), *[pa.array((x + at).astype(np.int32)) for x in (place, first, last)],
+                    [ids.take(rows), tags.take(rows), pa.array((first + at).astype(np.int32)),
+                     pa.array(((place - first) * 256 + last - first).astype(np.int32)),
                      pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names)
 
 
@@ -238,20 +243,60 @@ def _block_spans(first_only: bool):
     return run
 
 
-def _suffix_rows(batches):
-    """Each string of a context: gram, hash of its bytes, document and place."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            b = np.frombuffer(r["bytes"], np.uint8)
-            sums = np.zeros(len(b) + 1, U64)
-            np.cumsum((b.astype(U64) + U64(1)) * powers(len(b)), out=sums[1:])
-            n = len(b) - LENGTH + 1
-            h = mix((sums[LENGTH:] - sums[:n]) * inverse_powers(len(b))[:n]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["gram"]] * n, pa.int64()), pa.array(h), pa.array([r["copies"]] * n, pa.int64()),
-                 pa.array([r["doc_id"]] * n, pa.int64()), pa.array([r["tag"]] * n, pa.int64()),
-                 pa.array(np.arange(n, dtype=np.int32) + np.int32(r["first"]))],
-                ["gram", "string", "copies", "doc_id", "tag", "lo"])
+def _cells(width: int):
+    """Cuts ranges of strings into cells: places before the k-gram from a multiple of ``width`` on.
+
+    A cell's inner bytes are common to all strings that may stand in it, its
+    outer bytes those of the strings that do.
+    """
+    names = ["gram", "cell", "inner", "outer", "copies", "doc_id", "tag", "first", "lo", "hi"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                b = np.frombuffer(r["bytes"], np.uint8)
+                sums = np.zeros(len(b) + 1, U64)
+                np.cumsum((b.astype(U64) + U64(1)) * powers(4096)[:len(b)], out=sums[1:])
+                place, inv = r["place"], inverse_powers(4096)  # all within the context
+                cells = np.arange((place - r["hi"]) // width, (place - r["lo"]) // width + 1)
+                lo = np.maximum(place - (cells + 1) * width + 1, r["lo"])
+                hi = np.minimum(place - cells * width, r["hi"])
+                # bytes common to every string of the cell; any one string of it has them all
+                begin, end = place - cells * width, place - (cells + 1) * width + 1 + LENGTH
+                inner = mix((sums[end] - sums[begin]) * inv[begin] + cells.astype(U64))
+                outer = mix((sums[hi + LENGTH] - sums[lo]) * inv[lo] + mix((place - lo).astype(U64) * U64(4096) + (place - hi).astype(U64)))
+                for k in range(len(cells)):
+                    out.append((r["gram"], int(cells[k]), int(inner[k].astype(np.int64)), int(outer[k].astype(np.int64)), r["copies"],
+                                r["doc_id"], r["tag"], r["first"], int(lo[k]), int(hi[k])))
+            c = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names)
+
+    return run
+
+
+def _crowd_spans(cut: DataFrame, first_only: bool) -> list[DataFrame]:
+    """Spans of repeated strings of the crowded grams; ``cut`` has their contexts."""
+    out = []
+    ranges = cut.select("gram", "copies", "doc_id", "tag", "first", "place", "bytes", F.lit(0).alias("lo"),
+                        F.expr(f"octet_length(bytes) - {LENGTH}").alias("hi"))
+    for width in CELLS:
+        cells = shared_table(ranges.mapInArrow(
+            _cells(width), "gram long, cell int, inner long, outer long, copies long, doc_id long, tag long, first int, lo int, hi int"), "cells")
+        groups = shared_table(cells.groupBy("gram", "cell", "inner").agg(
+            F.sum("copies").alias("n"), (F.min("outer") == F.max("outer")).alias("same"),
+            F.min(F.struct("doc_id", "tag", "first", "lo")).alias("least")).filter("n > 1"), "cell-groups")
+        cells = cells.drop("copies").join(groups, ["gram", "cell", "inner"])
+        settled = cells.filter("same")
+        if first_only:
+            settled = settled.filter("struct(doc_id, tag, first, lo) > least")
+        out.append(settled.select("doc_id", "tag", F.expr("first + lo").alias("lo"), F.expr(f"first + hi + {LENGTH}").alias("hi")))
+        if width > 1:
+            open_ = cells.filter("not same").select("doc_id", "tag", "first", "lo", "hi")
+            ranges = _keyed(open_, cut.select("gram", "copies", "doc_id", "tag", F.col("first").alias("_first"), "place", "bytes")
+                            ).filter("first = _first").drop("_first")
+    return out
 
 
 def _cut_contexts(batches):
@@ -259,12 +304,12 @@ def _cut_contexts(batches):
         ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()
         out = []
         for k, (text, parts) in enumerate(zip(text_bytes(batch.column("text")), batch.column("contexts").to_pylist(), strict=True)):
-            out += [(p["gram"], p["copies"], p["crowd"], ids[k], tags[k], p["first"], text[p["first"]:p["last"] + LENGTH])
-                    for p in parts or ()]
-        c = list(zip(*out, strict=True)) or [()] * 7
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            out += [(p["gram"], p["copies"], p["crowd"], ids[k], tags[k], p["first"], p["reach"] // 256,
+                     text[p["first"]:p["first"] + p["reach"] % 256 + LENGTH]) for p in parts or ()]
+        c = list(zip(*out, strict=True)) or [()] * 8
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)],
-                                         ["gram", "copies", "crowd", "doc_id", "tag", "first", "bytes"])
+                                         ["gram", "copies", "crowd", "doc_id", "tag", "first", "place", "bytes"])
 
 
 def _remove(batches):
@@ -306,48 +351,46 @@ def repeated_spans(docs: DataFrame, keep: str = "none") -> tuple[DataFrame, Data
     comparing contexts.
     """
     first_only = keep == "first"
+    # reach: 256 * (places from the first string to the k-gram) + places to the last string
     found = shared_table(docs.mapInArrow(
-        _find_anchors, "doc_id long, tag long, place int, first int, last int, gram long, context long"), "anchors")
+        _find_anchors, "doc_id long, tag long, first int, reach int, gram long, context long"), "anchors")
     grams = shared_table(found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
                          .filter("n > 1").select("gram", F.expr("a <> b").alias("mixed")), "recurring-grams")
     recurring = shared_table(found.join(grams, "gram"), "recurring-anchors")
     # one row per distinct context of a recurring gram, with its first occurrence
     contexts = shared_table(recurring.groupBy("gram", "context", "mixed").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc_id", "tag", "place", "first", "last")).alias("at")), "contexts")
+        F.count("*").alias("copies"), F.min(F.struct("doc_id", "tag", "first", "reach")).alias("at")), "contexts")
     many = contexts.filter("copies > 1").select("gram", "context", "at")
     whole = recurring.join(many, ["gram", "context"])
     if first_only:
-        whole = whole.filter("struct(doc_id, tag, place, first, last) > at")
-    whole = whole.select("doc_id", "tag", "first", F.expr(f"last + {LENGTH}").alias("end"))
+        whole = whole.filter("struct(doc_id, tag, first, reach) > at")
+    whole = whole.select("doc_id", "tag", "first", F.expr(f"first + reach % 256 + {LENGTH}").alias("end"))
     crowds = shared_table(contexts.filter("mixed").groupBy("gram").agg(F.count("*").alias("m"))
                           .select("gram", (F.col("m") > CROWD).alias("crowd")), "crowds")
     asked = contexts.filter("mixed").join(crowds, "gram").select(
-        "at.doc_id", "at.tag", F.struct("gram", "copies", "crowd", "at.first", "at.last").alias("context"))
-    kinds = "array<struct<gram:bigint,copies:bigint,crowd:boolean,first:int,last:int>>"
+        "at.doc_id", "at.tag", F.struct("gram", "copies", "crowd", "at.first", "at.reach").alias("context"))
+    kinds = "array<struct<gram:bigint,copies:bigint,crowd:boolean,first:int,reach:int>>"
     per_doc = (whole.select("doc_id", "tag", F.struct("first", "end").alias("span"), F.lit(None).alias("context"))
                .unionByName(asked.withColumn("span", F.lit(None)))
                .groupBy("doc_id", "tag").agg(F.collect_list("span").alias("whole"),
                                              F.collect_list("context").cast(kinds).alias("contexts")))
     texts = shared_table(_keyed(docs, per_doc).dropDuplicates(["doc_id", "tag"]), "affected-texts")
     cut = shared_table(texts.filter("size(contexts) > 0").select("doc_id", "tag", "text", "contexts").mapInArrow(
-        _cut_contexts, "gram long, copies long, crowd boolean, doc_id long, tag long, first int, bytes binary"), "context-bytes")
-    blocks = cut.filter("not crowd").repartition("gram").sortWithinPartitions("gram").mapInArrow(_block_spans(first_only), _SPAN)
-    suffixes = cut.filter("crowd").mapInArrow(
-        _suffix_rows, "gram long, string long, copies long, doc_id long, tag long, lo int")
-    classes = shared_table(suffixes.groupBy("gram", "string").agg(
-        F.sum("copies").alias("n"), F.min(F.struct("doc_id", "tag", "lo")).alias("least")).filter("n > 1"), "string-classes")
-    crowded = suffixes.join(classes, ["gram", "string"])
-    if first_only:
-        crowded = crowded.filter("struct(doc_id, tag, lo) > least")
-    crowded = crowded.select("doc_id", "tag", "lo", F.expr(f"lo + {LENGTH}").alias("hi"))
-    listed = texts.select("doc_id", "tag", F.explode("whole").alias("s")).selectExpr("doc_id", "tag", "s.first as lo", "s.end as hi")
-    return texts.select("doc_id", "tag", "text"), listed.unionByName(blocks).unionByName(crowded)
+        _cut_contexts, "gram long, copies long, crowd boolean, doc_id long, tag long, first int, place int, bytes binary"), "context-bytes")
+    spans = [texts.select("doc_id", "tag", F.explode("whole").alias("s")).selectExpr("doc_id", "tag", "s.first as lo", "s.end as hi"),
+             cut.filter("not crowd").repartition("gram").sortWithinPartitions("gram").mapInArrow(_block_spans(first_only), _SPAN)]
+    crowded = cut.filter("crowd")
+    if not crowded.isEmpty():
+        spans += _crowd_spans(crowded, first_only)
+    return texts.select("doc_id", "tag", "text"), functools.reduce(DataFrame.unionByName, spans)
 
 
 def remove_repeats(docs: DataFrame, keep: str = "none") -> DataFrame:
     """doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes (null: nothing removed), one row per input row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("tag", F.xxhash64("text")).select("doc_id", "tag", "text")
+    # doc_id names a row unless it is null or repeated; then a digest of the text does
+    plain = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+    docs = docs.select("doc_id", (F.lit(0).cast("long") if plain else F.xxhash64("text")).alias("tag"), "text")
     texts, spans = repeated_spans(docs, keep)
     lists = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     cut = _keyed(texts, lists).select("doc_id", "tag", "text", "spans").mapInArrow(
