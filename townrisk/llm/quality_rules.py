@@ -35,8 +35,8 @@ RISK, DELTA = 0.02, 0.05
 WINDOW = 8
 
 
-def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+def measures(docs: DataFrame, stratum: str = "lang", *carry: str) -> DataFrame:
+    """doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and columns to carry."""
     blanks, w = sql_str(BLANKS), WINDOW
     steps = [
         {"words": f"filter(split(t, {blanks}, -1), x -> x != '')",
@@ -60,11 +60,11 @@ def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
                            f"(a, p) -> struct(a.n + least({w}, p - a.last) as n, p as last)).n, 0L)"},
     ]
     df = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
-                     F.coalesce("text", F.lit("")).alias("t"))
+                     F.coalesce("text", F.lit("")).alias("t"), *carry)
     for step in steps:
         df = df.withColumns({k: F.expr(v) for k, v in step.items()})
     return df.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-                     "n_repeat_words")
+                     "n_repeat_words", *carry)
 
 
 def binomial_tail(k: str, n: str, p: str) -> str:
@@ -93,17 +93,31 @@ def thresholds(measured: DataFrame, labels: DataFrame, rules=None, risk: float =
         *[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules]))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules=None,
-                  risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules."""
+def judged(measured: DataFrame, cuts: DataFrame, rules=None) -> DataFrame:
+    """``measured`` with base_failed, failed_rules and kept."""
     rules = rules or RULES
-    rows = shared_table(measures(docs, stratum), "quality-measures")
-    cuts = shared_table(thresholds(rows, labels, rules, risk, delta), "quality-cutoffs")
-    judged = rows.join(cuts, "stratum", "left").withColumns({
+    return measured.join(cuts, "stratum", "left").withColumns({
         "base_failed": F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"),
         "failed_rules": F.expr("filter(array(" + ", ".join(
             f"case when {score} > cut_{r} then '{r}' end" for r, (score, _) in rules.items())
-            + "), x -> x is not null)")})
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         "base_failed", F.expr("not base_failed and size(failed_rules) = 0").alias("kept"),
-                         "failed_rules")
+            + "), x -> x is not null)")}).withColumn("kept", F.expr("not base_failed and size(failed_rules) = 0"))
+
+
+def _cutoffs(rows: DataFrame, labels: DataFrame, rules, risk: float, delta: float) -> DataFrame:
+    return shared_table(thresholds(rows, labels, rules, risk, delta), "quality-cutoffs")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules=None,
+                  risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules."""
+    rows = shared_table(measures(docs, stratum), "quality-measures")
+    return judged(rows, _cutoffs(rows, labels, rules, risk, delta), rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+def quality_filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules=None,
+                     risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that are kept. Each is judged where it lies; texts aren't shuffled for it."""
+    cuts = _cutoffs(shared_table(measures(docs, stratum), "quality-measures"), labels, rules, risk, delta)
+    whole = docs.select("*", F.struct(*docs.columns).alias("_row"))
+    return judged(measures(whole, stratum, "_row"), cuts, rules).filter("kept").select("_row.*")
