@@ -1,7 +1,73 @@
-"""placeholder"""
-STAGES = []
+"""A corpus from raw documents to packed training sequences, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; ``run`` writes each result as Parquet in the shared folder and reads it
+back as the next stage's documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from townrisk.llm.exact_dedup import exact_dedup
+from townrisk.llm.minhash import near_duplicates
+from townrisk.llm.packing import pack
+from townrisk.llm.quality_rules import quality_filtered
+from townrisk.llm.secrets import redacted
+from townrisk.session import shared_folder, shared_table, ship_package
+
+
+def _staying(docs: DataFrame, verdicts: DataFrame, same: list[str]) -> DataFrame:
+    """The rows of ``docs`` whose doc_id stays; where ids repeat, one of the rows equal in ``same``."""
+    ids = shared_table(verdicts.filter("kept").select(F.col("doc_id").alias("_stays")).distinct(), "staying")
+    rest = docs.join(ids, docs.doc_id.eqNullSafe(ids._stays), "left_semi")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rest
+    return rest.dropDuplicates(same)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or an admitted cutoff reject go."""
+    return quality_filtered(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest doc_id stays."""
+    return _staying(docs, exact_dedup(docs), ["doc_id", "text"])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked near-duplicates the smallest doc_id stays."""
+    ship_package(spark)
+    return _staying(docs, near_duplicates(docs), ["doc_id", "text"])
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; every document stays."""
+    ship_package(spark)
+    return redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in training sequences."""
+    ship_package(spark)
+    return pack(docs)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("secret scans", secrets),
+          ("packing", packing)]
+
+#: Packing and the forest have no SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_folder(spark)}/pipeline/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
