@@ -49,9 +49,6 @@ def test_wide_chain_scans_orders_once(spark):
     assert txt.count("FileScan parquet") == 3
 
 
-def test_bounded_broadcast_falls_back(spark):
-    from townrisk.operators.sizing import bounded_broadcast
-    df = spark.range(5)
-    assert bounded_broadcast(df, 1) is df                       # bound not proven: no hint
-    hinted = bounded_broadcast(df, 10)
-    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
+def test_year_reaches_the_scan(spark):
+    for df in (cq.q_left_join_fill(spark, SF_SMALL), cq.q_unmatched(spark, SF_SMALL), cq.q_match_rate(spark, SF_SMALL)):
+        assert "GreaterThanOrEqual(o_orderdate" in plan_text(df)

@@ -109,3 +109,22 @@ def test_bucketed_equals_single_window(spark):
     a = {r.key: r.s for r in pct_score(m, "v", "s", sub_bits=2).collect()}
     b = {r.key: r.s for r in pct_score_window(m, "v", "s").collect()}
     assert a == b
+
+
+def test_nan_is_no_value(spark):
+    from townrisk.operators.ranking import pct_score
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, float("nan")), (4, 3.0)], "key long, v double")
+    got = {r.key: r.s for r in pct_score(df, "v", "s").collect()}
+    assert got[3] is None and got[1] == 100.0 and abs(got[2] - 200 / 3) < 1e-9 and abs(got[4] - 100 / 3) < 1e-9
+
+
+def test_clustered_values_spread_over_tasks(spark):
+    """Values within one percent of each other fall in many (bucket, fine bucket) groups."""
+    from pyspark.sql import functions as F
+    from townrisk.operators.ranking import FINE_BITS, monotone_bucket, pct_score
+    df = spark.range(20000).select(F.col("id").alias("key"), (F.lit(35.6) + F.col("id") * 1e-5).alias("v"))
+    assert df.select(monotone_bucket(F.col("v"), 8).alias("b")).distinct().count() < 6
+    sizes = df.groupBy(monotone_bucket(F.col("v"), 8 + FINE_BITS).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 50
+    got = {r.key: r.s for r in pct_score(df, "v", "s").filter("key % 997 = 0").collect()}
+    assert all(abs(s - 100.0 * (20000 - k) / 20000) < 1e-9 for k, s in got.items())

@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from townrisk.functions import geo as G
 from townrisk.sources import files as S
 
 
@@ -57,6 +58,8 @@ def test_load_geojson(spark, tmp_path):
     rows = sorted(d.collect(), key=lambda r: r.fid)
     assert [len(r.rings) for r in rows] == [1, 2]
     assert [len(r.rings[0]) for r in rows] == [3, 3]
+    areas = [r.a for r in d.orderBy("fid").select(G.area("rings").alias("a")).collect()]
+    assert areas == [0.5, 2.5]  # both parts of the second feature count
     assert rows[0].properties["A31a_205"] == "3"
     with pytest.raises(FileNotFoundError):
         S.load_geojson(spark, [])
@@ -70,7 +73,7 @@ def test_write_and_serve(spark, tmp_path):
     S.write_marts({"towns": t, "town_scores": s, "hazard_details": h}, out)
     S.write_marts({"town_scores": s}, out)        # idempotent reload
     S.register_served(spark, out, names=("towns", "town_scores", "hazard_details"))
-    r = spark.sql(S.INDEX_SQL.format(year=2025)).collect()
+    r = S.served_index(spark, out, 2025).collect()
     assert len(r) == 1 and r[0].tide_score == 70.0
     assert os.path.isdir(os.path.join(out, "town_scores", "data_year=2025"))
 
@@ -119,4 +122,4 @@ def test_overview_features(spark, tmp_path):
     assert len(rows) == 5
     f = json.loads(rows[0].feature)
     ring = f["geometry"]["coordinates"][0]
-    assert f["type"] == "Feature" and len(ring) == 4          # collinear corners simplified away
+    assert f["type"] == "Feature" and len(ring) == 5          # collinear corners simplified away, closed

@@ -249,14 +249,45 @@ def clean_rings_sql(rings: str) -> str:
     """Ingest hygiene: drop consecutive duplicate vertices and a repeated
     closing vertex, then orient the first ring counter-clockwise and every
     further ring (holes) clockwise."""
+    unclosed = _open_rings_sql(rings)
+    a = _ring_area_sql("ur")
+    return (f"transform({unclosed}, (ur, ri) -> CASE WHEN (ri = 0 AND {a} < 0) OR (ri > 0 AND {a} > 0) "
+            f"THEN reverse(ur) ELSE ur END)")
+
+
+def clean_parts_sql(parts: str) -> str:
+    """:func:`clean_rings_sql` for each part of a multi-part polygon; all
+    rings in one list, holes behind their own outer ring."""
+    return f"flatten(transform({parts}, pt -> {clean_rings_sql('pt')}))"
+
+
+def clean_signed_rings_sql(rings: str) -> str:
+    """The same where only ring direction tells parts from holes: rings that
+    turn like the first one are outer rings, the others holes."""
+    unclosed = _open_rings_sql(rings)
+    first = _ring_area_sql(f"element_at({unclosed}, 1)")
+    return f"CASE WHEN size({rings}) > 0 AND {first} < 0 THEN transform({unclosed}, ur -> reverse(ur)) ELSE {unclosed} END"
+
+
+def geometry_sql(rings: str) -> str:
+    """GeoJSON geometry of oriented rings: closed, a Polygon for one outer
+    ring and a MultiPolygon for several."""
+    closed = f"transform({rings}, gr -> concat(gr, slice(gr, 1, 1)))"
+    xy = f"transform({closed}, gr -> transform(gr, p -> array(p.x, p.y)))"
+    turn = ("aggregate(sequence(1, size(r) - 1), 0D, (acc, i) -> acc + (element_at(r, i)[0] - r[0][0]) * (element_at(r, i + 1)[1] - r[0][1]) "
+            "- (element_at(r, i + 1)[0] - r[0][0]) * (element_at(r, i)[1] - r[0][1]))")
+    parts = (f"aggregate({xy}, cast(array() as array<array<array<array<double>>>>), (acc, r) -> CASE WHEN size(acc) = 0 OR {turn} >= 0 "
+             "THEN concat(acc, array(array(r))) ELSE concat(slice(acc, 1, size(acc) - 1), array(concat(element_at(acc, -1), array(r)))) END)")
+    return (f"transform(array({parts}), ps -> CASE WHEN size(ps) = 1 THEN to_json(named_struct('type', 'Polygon', 'coordinates', ps[0])) "
+            "ELSE to_json(named_struct('type', 'MultiPolygon', 'coordinates', ps)) END)[0]")
+
+
+def _open_rings_sql(rings: str) -> str:
     dedup = ("transform(filter(transform(cr, (q, j) -> named_struct('p', q, 'k', "
              "j = 0 OR q != element_at(cr, j))), z -> z.k), z -> z.p)")
-    unclosed = (f"transform({rings}, cr -> CASE WHEN size({dedup}) > 1 AND "
+    return (f"transform({rings}, cr -> CASE WHEN size({dedup}) > 1 AND "
                 f"element_at({dedup}, 1) = element_at({dedup}, -1) "
                 f"THEN slice({dedup}, 1, size({dedup}) - 1) ELSE {dedup} END)")
-    a = _ring_area_sql("ur")
-    return (f"transform({unclosed}, (ur, ri) -> CASE WHEN (ri = 0 AND {a} < 0) OR (ri > 0 AND {a} > 0) "
-            f"THEN reverse(ur) ELSE ur END)")
 
 
 def clean_rings(rings: str) -> Column:

@@ -97,7 +97,7 @@ def display_name(c: Column) -> Column:
 
 
 def search_norm(c: Column) -> Column:
-    s = fold_width(c.cast("string"))
+    s = nfkc(c.cast("string"))
     s = F.regexp_replace(s, "[\\s　]", "")
     values = list(_DIGITS) + [K.KANJI_TEN]
     for i, ch in enumerate(values, start=1):
@@ -118,7 +118,7 @@ def with_norm_name(df, src: str, out: str):
     """:func:`norm_name` as successive columns: the cleaned text and the
     block numeral are computed once each (small generated code)."""
     pat = f"({_NUMERAL_CLASS}+){K.BLOCK_SUFFIX}$"
-    d = df.withColumn("_nn_s", _strip_spaces(fold_width(
+    d = df.withColumn("_nn_s", _strip_spaces(nfkc(
         F.regexp_replace(F.col(src).cast("string"), _VARIATION_SELECTORS, ""))))
     d = d.withColumn("_nn_num", F.regexp_extract("_nn_s", pat, 1))
     d = d.withColumn("_nn_val", kanji_number(F.col("_nn_num")))

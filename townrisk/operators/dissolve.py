@@ -87,6 +87,38 @@ def simplify_ring(ring: np.ndarray, tol: float) -> np.ndarray:
     return out if len(out) >= 3 else ring
 
 
+def ring_area(pts: np.ndarray) -> float:
+    x, y = (pts - pts[0]).T
+    return 0.5 * float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))
+
+
+def _holds(ring: np.ndarray, p: np.ndarray) -> bool:
+    """Even-odd test of a point against a ring."""
+    a, b = ring, np.roll(ring, -1, axis=0)
+    spans = (a[:, 1] > p[1]) != (b[:, 1] > p[1])
+    a, b = a[spans], b[spans]
+    return bool(np.sum(a[:, 0] + (p[1] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]) > p[0]) % 2)
+
+
+def nested(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Outer rings counter-clockwise, each followed by its holes (clockwise):
+    a ring inside an odd number of others is a hole of the smallest of them."""
+    size = [abs(ring_area(r)) for r in rings]
+    # the middle of an edge lies on no other ring's corner
+    inside = [[j for j, o in enumerate(rings) if size[j] > size[i] and _holds(o, (r[0] + r[1]) / 2)]
+              for i, r in enumerate(rings)]
+    holes: dict[int, list[int]] = {}
+    for i, around in enumerate(inside):
+        if len(around) % 2:
+            holes.setdefault(min(around, key=size.__getitem__), []).append(i)
+    out = []
+    for i in sorted(range(len(rings)), key=lambda i: -size[i]):
+        if len(inside[i]) % 2 == 0:
+            out += [rings[i] if ring_area(rings[i]) > 0 else rings[i][::-1]]
+            out += [rings[h] if ring_area(rings[h]) < 0 else rings[h][::-1] for h in holes.get(i, [])]
+    return out
+
+
 def _stitcher(by: str, tol: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = pdf[by].iloc[0]
@@ -95,7 +127,7 @@ def _stitcher(by: str, tol: float):
             nxt.setdefault((x1, y1), []).append((x2, y2))
             nxt.setdefault((x2, y2), []).append((x1, y1))
         used: set[frozenset] = set()
-        rows = []
+        rings: list[np.ndarray] = []
         for start in sorted(nxt):
             for first in sorted(nxt[start]):
                 if frozenset((start, first)) in used:
@@ -112,21 +144,21 @@ def _stitcher(by: str, tol: float):
                 pts = np.array(ring, dtype=float)
                 if len(pts) < 3:
                     continue
-                x, y = pts[:, 0] - pts[0, 0], pts[:, 1] - pts[0, 1]
-                area = 0.5 * float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))
-                per = float(np.sum(np.hypot(*(np.roll(pts, -1, axis=0) - pts).T)))
-                simp = simplify_ring(pts, tol)
-                rows.append((key, len(rows), area, per,
-                             [{"x": float(a), "y": float(b)} for a, b in simp]))
+                rings.append(simplify_ring(pts, tol))
+        rows = []
+        for pts in nested(rings):
+            per = float(np.sum(np.hypot(*(np.roll(pts, -1, axis=0) - pts).T)))
+            rows.append((key, len(rows), ring_area(pts), per,
+                         [{"x": float(a), "y": float(b)} for a, b in pts]))
         return pd.DataFrame(rows, columns=[by, "ring_id", "area", "perimeter", "ring"])
     return run
 
 
 def outline_rings(edges: DataFrame, by: str, tolerance: float = 0.0) -> DataFrame:
     """Stitch outline edges (from :func:`outline_edges`) into closed rings per
-    group, report signed area (outer > 0 in a ccw world: orientation follows
-    the stitching walk, so use abs for size) and perimeter, and simplify the
-    vertex list with Douglas-Peucker at ``tolerance``.  One group holds one
+    group, simplify them with Douglas-Peucker at ``tolerance``, and report
+    signed area (holes are negative) and perimeter of the simplified rings;
+    ``ring_id`` has holes behind their outer ring.  One group holds one
     outline's edges only (its boundary, not its interior)."""
     by_type = dict(edges.dtypes)[by]
     schema = RING_SCHEMA_TMPL.format(by=by, by_type=by_type)

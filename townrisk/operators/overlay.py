@@ -66,14 +66,20 @@ def _pair_integral(lo, hi, fl, fh, gl, gh):
 
 
 def overlay_area(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: str,
-                 b_rings: str, slab: float, cell: float, min_area: float = 1e-9) -> DataFrame:
-    """(a_key, b_key, area) of every intersecting pair with area > min_area.
+                 b_rings: str, slab: float, cell: float, tolerance: float = 1e-12) -> DataFrame:
+    """(a_key, b_key, area) of every pair whose overlap exceeds ``tolerance`` times
+    the bounding box of the smaller polygon (so slivers count in any unit, and
+    rounding noise does not).
 
     One row per polygon key on each side (dissolve multi-row features first);
     multi-part polygons and holes are rings of that one row.
     """
     pairs = bbox_pairs(a, a_key, a_rings, b, b_key, b_rings, cell)
     xmin, ymin, _, _ = G.bbox(a_rings)
+    def box(df, k, rings, name):
+        x0, y0, x1, y1 = G.bbox(rings)
+        return df.select(F.col(k), ((x1 - x0) * (y1 - y0)).alias(name)).groupBy(k).agg(F.max(name).alias(name))
+
     origin = (a.select(F.col(a_key), xmin.alias("_ox"), ymin.alias("_oy"))
               .groupBy(a_key).agg(F.min("_ox").alias("_ox"), F.min("_oy").alias("_oy")))
     pa = edge_pieces(a, a_key, a_rings, slab).select(
@@ -96,7 +102,8 @@ def overlay_area(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: st
     val = _pair_integral(lo_l, hi_l, at("a", lo), at("a", hi), at("b", lo), at("b", hi))
     contrib = F.col("a_sg") * F.col("b_sg") * val
     res = j.groupBy(a_key, b_key).agg(F.sum(contrib).alias("area"))
-    return res.where(F.col("area") > min_area)
+    res = res.join(box(a, a_key, a_rings, "_ba"), a_key).join(box(b, b_key, b_rings, "_bb"), b_key)
+    return res.where(F.col("area") > F.least("_ba", "_bb") * F.lit(tolerance)).select(a_key, b_key, "area")
 
 
 # --- union area ---------------------------------------------------------------

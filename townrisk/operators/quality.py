@@ -19,17 +19,15 @@ def infer_types(df: DataFrame, force_text: Sequence[str] = ()) -> DataFrame:
     empty values are skipped; all integers -> INTEGER; any real -> REAL;
     anything else -> TEXT; forced columns -> TEXT; no values -> INTEGER.
     Output: (column, position, type)."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("pos"),
-                               F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v"))
-                      for i, c in enumerate(df.columns)])
-    long = df.select(F.explode(cells).alias("s")).select("s.*")
-    v = F.col("v")
-    filled = v != ""
-    is_int = v.rlike(INT_RE)
-    is_real = v.rlike(REAL_RE)
-    g = long.groupBy("column", "pos").agg(
-        F.count_if(filled & ~is_int & ~is_real).alias("n_text"),
-        F.count_if(filled & ~is_int & is_real).alias("n_real"))
+    flags = []
+    for i, c in enumerate(df.columns):
+        v = F.col(f"`{c}`").cast("string")
+        other = F.coalesce((v != "") & ~v.rlike(INT_RE), F.lit(False))
+        flags += [F.count_if(other & ~v.rlike(REAL_RE)).alias(f"t{i}"), F.count_if(other & v.rlike(REAL_RE)).alias(f"r{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("pos"), F.col(f"t{i}").alias("n_text"),
+                              F.col(f"r{i}").alias("n_real")) for i, c in enumerate(df.columns)])
+    # one row of two counts per column, unpivoted afterwards
+    g = df.agg(*flags).select(F.explode(rows).alias("s")).select("s.*")
     t = (F.when(F.col("column").isin(*force_text), "TEXT") if force_text else F.lit(None))
     t = F.coalesce(t, F.when(F.col("n_text") > 0, "TEXT").when(F.col("n_real") > 0, "REAL")
                    .otherwise("INTEGER"))

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SUB_BITS = 8
+FINE_BITS = 12      # second bucket level, so that values close together spread
+RANK_BITS = 40      # leading bits that count, so that values equal in exact arithmetic tie
 
 
 def _valid_cond(value: str, valid: Column | None) -> Column:
-    cond = F.col(value).isNotNull()
+    cond = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     if valid is not None:
         cond = cond & F.coalesce(valid, F.lit(False))
     return cond
@@ -44,24 +46,42 @@ def monotone_bucket(v: Column, sub_bits: int = 8) -> Column:
     return (F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0))).cast("long")
 
 
+def rank_value(v: Column, bits: int | None) -> Column:
+    """The value that is ranked: rounded to ``bits`` leading bits, at any scale."""
+    v = v.cast("double")
+    if bits is None:
+        return v
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(v))) - F.lit(bits))
+    return F.when((v == 0) | (unit == 0), v).otherwise(F.rint(v / unit) * unit)
+
+
 def value_counts_ge(df: DataFrame, value: str, valid: Column | None = None,
                     sub_bits: int = DEFAULT_SUB_BITS,
-                    by: Sequence[str] = ()) -> DataFrame:
+                    by: Sequence[str] = (), bits: int | None = None) -> DataFrame:
     """Distinct valid values (per ``by`` group) with ``_c`` (rows with this
     value), ``_ge`` (rows with a value >= it) and ``_n`` (valid rows).
 
     ``sub_bits`` sets how finely each binary exponent range is split into
-    buckets (more bits: smaller window partitions, more bucket totals).
+    buckets; each is split again by ``FINE_BITS`` more bits of the value, so
+    values within a fraction of a percent still spread over many tasks.  The
+    fine totals are summed inside a bucket (at most 2 ** FINE_BITS rows),
+    the bucket totals over all (bounded by the bucket ids).  ``bits``
+    rounds the values first.
     """
     by = list(by)
     vc = (df.where(_valid_cond(value, valid))
-          .groupBy(*by, F.col(value).cast("double").alias("_v"))
+          .groupBy(*by, rank_value(F.col(value), bits).alias("_v"))
           .agg(F.count(F.lit(1)).alias("_c"))
-          .withColumn("_bk", monotone_bucket(F.col("_v"), sub_bits)))
-    inside = Window.partitionBy(*by, "_bk").orderBy(F.desc("_v")) \
+          .withColumn("_bk", monotone_bucket(F.col("_v"), sub_bits))
+          .withColumn("_fine", monotone_bucket(F.col("_v"), sub_bits + FINE_BITS)))
+    inside = Window.partitionBy(*by, "_bk", "_fine").orderBy(F.desc("_v")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = vc.withColumn("_in", F.sum("_c").over(inside))
-    totals = vc.groupBy(*by, "_bk").agg(F.sum("_c").alias("_bt"))
+    fine = vc.groupBy(*by, "_bk", "_fine").agg(F.sum("_c").alias("_ft"))
+    ahead = Window.partitionBy(*by, "_bk").orderBy(F.desc("_fine")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    fine_offsets = fine.select(*by, "_bk", "_fine", F.coalesce(F.sum("_ft").over(ahead), F.lit(0)).alias("_fo"))
+    totals = fine.groupBy(*by, "_bk").agg(F.sum("_ft").alias("_bt"))
     above = Window.partitionBy(*by).orderBy(F.desc("_bk")) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -70,8 +90,8 @@ def value_counts_ge(df: DataFrame, value: str, valid: Column | None = None,
         F.sum("_bt").over(Window.partitionBy(*by)).alias("_n"))
     # Without groups the offsets table has one row per non-empty bucket,
     # bounded by the bucket id range whatever the input size.
-    return (x.join(offsets, [*by, "_bk"])
-            .select(*by, "_v", "_c", "_n", (F.col("_off") + F.col("_in")).alias("_ge")))
+    return (x.join(fine_offsets, [*by, "_bk", "_fine"]).join(offsets, [*by, "_bk"])
+            .select(*by, "_v", "_c", "_n", (F.col("_off") + F.col("_fo") + F.col("_in")).alias("_ge")))
 
 
 def _attach(df: DataFrame, value: str, counts: DataFrame, score: Column,
@@ -79,7 +99,7 @@ def _attach(df: DataFrame, value: str, counts: DataFrame, score: Column,
     by = list(by)
     scored = counts.select(*[F.col(b).alias(f"_by_{b}") for b in by],
                            F.col("_v"), score.alias("_score"))
-    cond = df[value] == scored["_v"]
+    cond = rank_value(df[value], RANK_BITS) == scored["_v"]
     for b in by:
         cond = cond & (df[b] == scored[f"_by_{b}"])
     j = df.join(scored, cond, "left")
@@ -94,7 +114,7 @@ def pct_score(df: DataFrame, value: str, out: str, valid: Column | None = None,
     Ties share the highest rank, NULL / invalid rows get NULL and are left
     out of numerator and denominator.  ``by`` ranks within groups.
     """
-    c = value_counts_ge(df, value, valid, sub_bits, by)
+    c = value_counts_ge(df, value, valid, sub_bits, by, RANK_BITS)
     return _attach(df, value, c, F.lit(100.0) * F.col("_ge") / F.col("_n"), out, valid, by)
 
 
@@ -107,7 +127,7 @@ def pct_scores(df: DataFrame, specs: Sequence[tuple[str, str, Column | None]],
     """
     out = df
     for value, name, valid in specs:
-        c = value_counts_ge(df, value, valid, sub_bits)
+        c = value_counts_ge(df, value, valid, sub_bits, bits=RANK_BITS)
         out = _attach(out, value, c, F.lit(100.0) * F.col("_ge") / F.col("_n"), name, valid)
     return out
 
@@ -116,7 +136,7 @@ def rank_low_pct(df: DataFrame, value: str, out: str, valid: Column | None = Non
                  sub_bits: int = DEFAULT_SUB_BITS, by: Sequence[str] = ()) -> DataFrame:
     """Larger is better: 100 * (1 + #valid rows with value < v) / #valid rows
     (ascending rank, ties share the lowest rank)."""
-    c = value_counts_ge(df, value, valid, sub_bits, by)
+    c = value_counts_ge(df, value, valid, sub_bits, by, RANK_BITS)
     score = F.lit(100.0) * (F.col("_n") - F.col("_ge") + 1) / F.col("_n")
     return _attach(df, value, c, score, out, valid, by)
 

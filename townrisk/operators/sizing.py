@@ -1,28 +1,12 @@
-"""Size-checked broadcast and lineage cutting."""
+"""Lineage cutting."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows above which a "small" side is no longer broadcast; the join then
-# falls back to a shuffle (sort-merge / shuffle-hash chosen by Spark/AQE).
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if its row count is proven to be <= max_rows.
-
-    The count runs the small side once (it is small by construction: code
-    tables, zone rings, one-row aggregates).  Beyond the bound the frame is
-    returned unhinted so the planner shuffles both sides instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """A Parquet copy in the session's shared folder; whether a small table is
+    broadcast afterwards is Spark's decision, from its size in bytes."""
+    from ..session import shared_table
+    return shared_table(df, name)

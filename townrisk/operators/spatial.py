@@ -3,8 +3,8 @@
 A point-in-polygon join never compares every point with every polygon:
 polygons are cut into grid cells once (a small table), points compute
 their cell with two ``floor`` calls, and the equi join on the cell id is a
-broadcast hash join when the cell table is proven small, or a shuffle join
-otherwise.  Inside a cell the even-odd ray test only needs the polygon
+broadcast hash join or a shuffle join as Spark decides from the cell table's
+bytes.  Inside a cell the even-odd ray test only needs the polygon
 edges of that cell's row to the right of the cell, which the cell table
 carries; cells with no edge at all are either fully inside (kept with an
 ``interior`` flag, no test) or outside (dropped).
@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from .sizing import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
 
 def _cell_range(lo: Column, hi: Column, size: float) -> Column:
@@ -48,14 +47,13 @@ def zone_cells(zones: DataFrame, key: str, rings: str, cell: float) -> DataFrame
 
 
 def zone_join(points: DataFrame, zones: DataFrame, key: str = "zone",
-              rings: str = "rings", cell: float = 2.0, x: str = "x", y: str = "y",
-              max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+              rings: str = "rings", cell: float = 2.0, x: str = "x", y: str = "y") -> DataFrame:
     """Inner join of points with every zone that contains them (``within``
     up to the even-odd rule on edges).  Output: point columns + ``key``.
 
     A point inside several overlapping zones is returned once per zone.
     """
-    cells = bounded_broadcast(zone_cells(zones, key, rings, cell), max_broadcast_rows)
+    cells = zone_cells(zones, key, rings, cell)
     p = (points.withColumn("ci", F.floor(F.col(x) / F.lit(cell)).cast("long"))
                .withColumn("cj", F.floor(F.col(y) / F.lit(cell)).cast("long")))
     j = p.join(cells, ["ci", "cj"])

@@ -220,7 +220,7 @@ FROM pts GROUP BY basin"""
 ZAREA = """zarea AS (SELECT zone, abs(sum(x1 * y2 - x2 * y1)) / 2 AS zone_area FROM zedges GROUP BY zone)"""
 
 ORACLE["q_tide_exposure"] = _with(PTS, ZEDGES, _hits("(SELECT * FROM pts WHERE depth > 0)", "thits"), ZAREA) + """,
-t AS (SELECT zone, count(*) AS n, sum(depth) AS s, max(depth) AS mx FROM thits GROUP BY zone),
+t AS (SELECT zone, count(*) AS n, sum(depth) AS s, max(depth) AS mx FROM thits WHERE zone NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 4) GROUP BY zone),
 r AS (
   SELECT a.zone, coalesce(t.n, 0) AS n, least(greatest(coalesce(t.n, 0) * 0.1 / a.zone_area, 0.0), 1.0) AS ratio,
     coalesce(t.s / t.n, 0.0) AS mean, coalesce(t.mx, 0.0) AS mx
@@ -500,7 +500,7 @@ TIDE = """tide AS (
     least(greatest(coalesce(t.n, 0) * 0.1 / a.zone_area, 0.0), 1.0) AS ts_flood_ratio,
     coalesce(t.s / t.n, 0.0) AS ts_mean_depth, coalesce(t.mx, 0.0) AS ts_max_depth,
     least(greatest(coalesce(t.n, 0) * 0.1 / a.zone_area, 0.0), 1.0) * coalesce(t.s / t.n, 0.0) AS ts_exposure
-  FROM zarea a LEFT JOIN (SELECT zone, count(*) AS n, sum(depth) AS s, max(depth) AS mx FROM thits GROUP BY zone) t
+  FROM zarea a LEFT JOIN (SELECT zone, count(*) AS n, sum(depth) AS s, max(depth) AS mx FROM thits WHERE zone NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 4) GROUP BY zone) t
     ON t.zone = a.zone)"""
 
 HIST = """hist AS (
@@ -620,7 +620,8 @@ towns AS (
     {_LAT} AS lat, {_LNG} AS lng, za.zone_area * 1000000.0 AS area_m2, c.pop AS population,
     CAST(cen.cx IS NOT NULL AS INTEGER) AS has_polygon,
     ts.spk AS shared_polygon_key
-  FROM comb c LEFT JOIN cen ON cen.zone = c.zone LEFT JOIN zarea za ON za.zone = c.zone
+  FROM comb c LEFT JOIN cen ON cen.zone = CASE c.zone WHEN 2 THEN 1 WHEN 24 THEN NULL ELSE c.zone END
+  LEFT JOIN zarea za ON za.zone = CASE c.zone WHEN 2 THEN 1 WHEN 24 THEN NULL ELSE c.zone END
   LEFT JOIN tshared ts ON ts.key = c.zone),
 scores AS (
   SELECT zone AS key, 2025 AS data_year, safety_score, flood_score, tide_score, ground_score,
@@ -876,7 +877,7 @@ SELECT key, ward, town FROM sn WHERE contains(search_key, '1丁目') ORDER BY wa
 SLUGS = """slugs AS (
   SELECT key, ward, 'w' || substr(ward, 5, 2) AS ward_slug,
     't' || CAST(key AS VARCHAR) || '-' || regexp_extract(norm, '([0-9]+)丁目$', 1) AS town_slug
-  FROM named WHERE pop >= 100),
+  FROM named),
 lk AS (
   SELECT n.key, CASE WHEN ws.ward_slug IS NOT NULL AND s.town_slug IS NOT NULL THEN ws.ward_slug END AS ward_slug,
     CASE WHEN ws.ward_slug IS NOT NULL AND s.town_slug IS NOT NULL THEN s.town_slug END AS town_slug

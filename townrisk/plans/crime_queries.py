@@ -22,7 +22,7 @@ def q_safety_score(spark: SparkSession, d: str) -> DataFrame:
 
 def q_left_join_fill(spark: SparkSession, d: str) -> DataFrame:
     a = T.areas(spark, d)
-    inc = T.incidents(spark, d).where(F.col("yr") == K.CURRENT_YEAR).drop("yr")
+    inc = T.incidents(spark, d, K.CURRENT_YEAR).drop("yr")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return round_doubles(a.join(inc, "key", "left")
                          .select("key", "ward", "town", "pop",
@@ -92,7 +92,7 @@ def q_median_by_count(spark: SparkSession, d: str) -> DataFrame:
 
 def q_unmatched(spark: SparkSession, d: str) -> DataFrame:
     a = T.areas(spark, d)
-    inc = T.incidents(spark, d).where(F.col("yr") == K.CURRENT_YEAR).select("key")
+    inc = T.incidents(spark, d, K.CURRENT_YEAR).select("key")
     return round_doubles(a.join(inc, "key", "left_anti").select("key", "ward", "town", "pop"))
 
 
@@ -125,7 +125,7 @@ def q_describe(spark: SparkSession, d: str) -> DataFrame:
 def q_match_rate(spark: SparkSession, d: str) -> DataFrame:
     """Share of areas that found their current-year incident row (M1)."""
     a = T.areas(spark, d).select("key")
-    inc = T.incidents(spark, d).where(F.col("yr") == K.CURRENT_YEAR) \
+    inc = T.incidents(spark, d, K.CURRENT_YEAR) \
         .select("key", F.lit(True).alias("_hit"))
     j = a.join(inc, "key", "left")
     r = j.agg(F.count(F.lit(1)).alias("n_areas"), F.count_if(F.col("_hit").isNotNull()).alias("n_matched"))

@@ -126,7 +126,7 @@ def q_ward_outline_rings(spark: SparkSession, d: str) -> DataFrame:
     sq = T.zone_squares(spark, d).withColumn("rings", F.array("ring"))
     rings = outline_rings(outline_edges(sq, "ward", "rings"), "ward", tolerance=1e-4)
     return round_doubles(rings.groupBy("ward").agg(
-        F.sum(F.abs("area")).alias("area"), F.sum("perimeter").alias("perimeter"),
+        F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"),
         F.count(F.lit(1)).alias("n_rings")))
 
 
@@ -148,14 +148,10 @@ def q_ring_validity(spark: SparkSession, d: str) -> DataFrame:
 
 def overview_features(spark: SparkSession, d: str, tolerance: float = 1e-4) -> DataFrame:
     """B3: one GeoJSON feature per ward from the dissolved, simplified
-    outline rings (largest ring first as the outer boundary)."""
+    outline rings (closed; a MultiPolygon where a ward has several parts)."""
     sq = T.zone_squares(spark, d).withColumn("rings", F.array("ring"))
     r = outline_rings(outline_edges(sq, "ward", "rings"), "ward", tolerance=tolerance)
-    coords = F.transform(F.col("ring"), lambda p: F.array(p["x"], p["y"]))
-    g = r.groupBy("ward").agg(F.sort_array(F.collect_list(F.struct(
-        (-F.abs(F.col("area"))).alias("k"), coords.alias("c"))), True).alias("parts"))
-    geom = F.struct(F.lit("Polygon").alias("type"),
-                    F.transform("parts", lambda p: p["c"]).alias("coordinates"))
-    return g.select("ward", F.to_json(F.struct(F.lit("Feature").alias("type"),
-                                               F.struct("ward").alias("properties"),
-                                               geom.alias("geometry"))).alias("feature"))
+    g = r.groupBy("ward").agg(F.sort_array(F.collect_list(F.struct("ring_id", "ring"))).alias("parts"))
+    g = g.withColumn("rings", F.transform("parts", lambda p: p["ring"]))
+    return g.select("ward", F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("ward")),
+                                     F.lit(',"geometry":'), G.col(G.geometry_sql("rings")), F.lit("}")).alias("feature"))

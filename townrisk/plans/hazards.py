@@ -44,7 +44,7 @@ def union_ratio(spark: SparkSession, d: str, hz: DataFrame, prefix: str) -> Data
     u = union_area(z.select("zone", "rings"), "zone", "rings",
                    hz.select("poly_id", "rings"), "poly_id", "rings",
                    slab=K.FIXTURE_SLAB, cell=K.FIXTURE_PAIR_CELL)
-    u = u.where(F.col("area") > 1e-9).join(z.select("zone", "zone_area"), "zone")
+    u = u.join(z.select("zone", "zone_area"), "zone").where(F.col("area") > F.col("zone_area") * F.lit(1e-12))
     return u.select("zone", F.col("area").alias(f"{prefix}_area"),
                     F.least(F.col("area") / F.col("zone_area"), F.lit(1.0)).alias(f"{prefix}_ratio"))
 

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo as G
-from ..operators.sizing import bounded_broadcast
 from ..sources.staging import staged
 from .combine import combine
-from .zones import zone_polys
 
 # Fixture geometry is in kilometres of plane zone IX.
 FIXTURE_UNIT_M = 1000.0
@@ -30,15 +28,16 @@ def mart_towns(spark: SparkSession, d: str) -> DataFrame:
 
 def _mart_towns(spark: SparkSession, d: str) -> DataFrame:
     m = combine(spark, d).select("zone", "ward", "name", "pop")
-    z = zone_polys(spark, d)
+    from .geo_queries import polygons, resolve, shared_polygon_keys
+    # the area's polygon by its alias, as every other consumer resolves it
+    z = resolve(spark, d).select(F.col("key").alias("zone"), "poly_key").join(polygons(spark, d), "poly_key")
     cx, cy = G.centroid("rings")
     geo = z.select("zone", (cx * F.lit(FIXTURE_UNIT_M)).alias("_cx"),
                    (cy * F.lit(FIXTURE_UNIT_M)).alias("_cy"),
                    (F.col("zone_area") * F.lit(FIXTURE_UNIT_M ** 2)).alias("area_m2"))
     geo = G.with_lonlat_zone9(geo, "_cx", "_cy", "lng", "lat").drop("_cx", "_cy")
-    from .geo_queries import shared_polygon_keys
     shared = shared_polygon_keys(spark, d).withColumnRenamed("key", "zone")
-    return (m.join(geo, "zone", "left").join(bounded_broadcast(ward_codes(spark, d), 100_000), "ward", "left")
+    return (m.join(geo, "zone", "left").join(ward_codes(spark, d), "ward", "left")
             .join(shared, "zone", "left")
             .select(F.col("zone").alias("key"), "ward", F.col("name").alias("town"), "ward_code",
                     "lat", "lng", "area_m2", F.col("pop").alias("population"),
@@ -46,7 +45,8 @@ def _mart_towns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mart_scores(spark: SparkSession, d: str) -> DataFrame:
-    return staged(spark, "mart_scores", d, lambda: _mart_scores(spark, d))
+    return staged(spark, "mart_scores", d, lambda: _mart_scores(spark, d),
+                  partition_by=["data_year"])
 
 
 def _mart_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,8 @@ def _mart_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mart_hazard(spark: SparkSession, d: str) -> DataFrame:
-    return staged(spark, "mart_hazard", d, lambda: _mart_hazard(spark, d))
+    return staged(spark, "mart_hazard", d, lambda: _mart_hazard(spark, d),
+                  partition_by=["data_year"])
 
 
 def _mart_hazard(spark: SparkSession, d: str) -> DataFrame:

@@ -51,11 +51,8 @@ def slug_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _slug_table(spark: SparkSession, d: str) -> DataFrame:
-    """Slug dimension: ward slug per ward, town slug per key.  The fixture
-    covers only areas with at least MIN_POP residents, like an external
-    address list that misses some areas."""
-    a = named_areas(spark, d).where(F.col("pop") >= K.MIN_POP)
-    return a.select("key", "ward", F.concat(F.lit("w"), F.substring("ward", 5, 2)).alias("ward_slug"),
+    """Slug dimension: ward slug per ward, town slug per key, of all areas."""
+    return named_areas(spark, d).select("key", "ward", F.concat(F.lit("w"), F.substring("ward", 5, 2)).alias("ward_slug"),
                     F.concat(F.lit("t"), F.col("key").cast("string"), F.lit("-"),
                              F.regexp_extract(F.col("town_norm"), "([0-9]+)丁目$", 1))
                     .alias("town_slug"))

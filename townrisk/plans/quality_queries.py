@@ -32,8 +32,7 @@ def q_mart_pk_check(spark: SparkSession, d: str) -> DataFrame:
 def q_byte_batches(spark: SparkSession, d: str) -> DataFrame:
     m = q_mart_crime(spark, d)
     rows = sql_literal_row(m, text_cols=()).withColumn("key", F.col("row_text"))
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    return byte_batches(rows, "key", K.MAX_BATCH_BYTES, parts)
+    return byte_batches(rows, "key", K.MAX_BATCH_BYTES, partitions=8)
 
 
 def q_stream_zone_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -228,14 +228,11 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     from .zones import zone_polys
     z = zone_polys(spark, d)
     t = mart_towns(spark, d).select("key", "ward", "town", "ward_code")
-    geom = F.transform(G.snap("rings", 6),
-                       lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
-    f = z.select(F.col("zone").alias("key"), geom.alias("coords")).join(t, "key")
-    return f.select("key", "ward_code", F.to_json(F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct("key", "ward", "town").alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.col("coords").alias("coordinates"))
-        .alias("geometry"))).alias("feature"))
+    f = (z.select(F.col("zone").alias("key"), G.snap("rings", 6).alias("snapped"))
+         .withColumn("geometry", G.col(G.geometry_sql("snapped"))).join(t, "key"))
+    return f.select("key", "ward_code", F.concat(
+        F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("key", "ward", "town")),
+        F.lit(',"geometry":'), "geometry", F.lit("}")).alias("feature"))
 
 
 def q_geojson_features(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,6 @@ from .. import constants as K
 from ..functions import geo as G
 from ..operators.ranking import top1
 from ..operators.overlay import intersects_sliced
-from ..operators.sizing import bounded_broadcast
 from ..operators.spatial import zone_join
 from ..sources import testdata as T
 from ..sources.staging import staged
@@ -119,7 +118,11 @@ def _tide_by_zone(spark: SparkSession, d: str, cell_area: float = K.FIXTURE_TIDE
     a = j.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("s"),
                               F.max("depth").alias("mx"))
     z = zone_polys(spark, d).select("zone", "zone_area", "region")
+    # no exposure exists outside the scope of the tide data
     m = z.join(a, "zone", "left")
+    inside = ~F.col("region").isin(*K.FIXTURE_TIDE_OUT_REGIONS)
+    for c in ("n", "s", "mx"):
+        m = m.withColumn(c, F.when(inside, F.col(c)))
     n = F.coalesce(F.col("n"), F.lit(0))
     ratio = F.least(F.greatest(F.try_divide(n * F.lit(cell_area), F.col("zone_area")),
                                F.lit(0.0)), F.lit(1.0))
@@ -139,7 +142,7 @@ def pl_weights(spark: SparkSession) -> DataFrame:
 
 def unknown_codes(borings: DataFrame, codes: DataFrame) -> DataFrame:
     return borings.select("cls").where(F.col("cls").isNotNull()) \
-        .join(bounded_broadcast(codes, 100_000), "cls", "left_anti").distinct()
+        .join(codes, "cls", "left_anti").distinct()
 
 
 def assert_known_codes(borings: DataFrame, codes: DataFrame) -> None:

@@ -81,7 +81,7 @@ def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 _SHIPPED: set[str] = set()

@@ -146,7 +146,7 @@ def ingest_shapefiles(spark: SparkSession, pattern: str, out_path: str, rebuild:
 
     def build() -> DataFrame:
         df = load_shapefiles(spark, pattern, encoding=encoding)
-        df = df.withColumn("rings", G.clean_rings("rings")) \
+        df = df.withColumn("rings", G.col(G.clean_signed_rings_sql("rings"))) \
                .withColumn("valid", G.rings_valid("rings"))
         if to_plane:
             df = df.withColumn("rings", G.rings_to_plane("rings"))

@@ -1,8 +1,9 @@
 """Staging layer: materialise small intermediate tables once.
 
-``staged`` keeps one reliably checkpointed copy of a derived table per
-Spark application and input folder (zone polygons, per-zone axis tables):
-every later plan starts from a short scan instead of re-deriving it.
+``staged`` keeps one Parquet copy of a derived table per Spark application
+and input folder (zone polygons, per-zone axis tables) in the shared folder:
+every later plan starts from a pruned, pushed-down scan instead of
+re-deriving it.
 ``materialize`` is the persistent variant: a Parquet table in a shared
 folder, reused while its ``_SUCCESS`` marker exists unless a rebuild is
 requested.
@@ -19,15 +20,13 @@ _MEMO: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def staged(spark: SparkSession, name: str, sf_dir: str,
-           build: Callable[[], DataFrame]) -> DataFrame:
+           build: Callable[[], DataFrame], rebuild: bool = False,
+           partition_by: list[str] | None = None) -> DataFrame:
     key = (spark.sparkContext.applicationId, name, sf_dir)
-    df = _MEMO.get(key)
-    if df is None:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        df = build().checkpoint(eager=True)
-        _MEMO[key] = df
-    return df
+    if rebuild or key not in _MEMO:
+        from ..session import shared_table
+        _MEMO[key] = shared_table(build(), name, partition_by)
+    return _MEMO[key]
 
 
 def clear_staged() -> None:

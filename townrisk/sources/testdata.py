@@ -56,9 +56,15 @@ def VISITOR() -> Column:
     return F.col("o_orderpriority") == "5-LOW"
 
 
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly counts per area: key, yr, serious, daily, visitor, total."""
+def incidents(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """Yearly counts per area: key, yr, serious, daily, visitor, total.
+
+    A ``year`` becomes a date range that reaches the parquet scan.
+    """
     o = table(spark, sf_dir, "orders")
+    if year is not None:
+        o = o.where((F.col("o_orderdate") >= ts_ntz(f"{year}-01-01 00:00:00"))
+                    & (F.col("o_orderdate") < ts_ntz(f"{year + 1}-01-01 00:00:00")))
     return (o.groupBy(F.col("o_custkey").alias("key"),
                       F.year("o_orderdate").alias("yr"))
             .agg(F.count_if(SERIOUS()).cast("long").alias("serious"),

@@ -24,7 +24,7 @@ from ..sources import testdata as T
 
 
 def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
-                      files_per_trigger: int = 1, state_partitions: int | None = None,
+                      files_per_trigger: int | None = None, state_partitions: int | None = None,
                       source_dir: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run the stream to completion (``availableNow``) and return the result.
 
@@ -36,9 +36,10 @@ def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
     """
     schema = T.table(spark, d, "lineitem").schema
     src = (spark.readStream.schema(schema)
-           .option("pathGlobFilter", "lineitem*.parquet")
-           .option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(source_dir or d))
+           .option("pathGlobFilter", "lineitem*.parquet"))
+    if files_per_trigger:
+        src = src.option("maxFilesPerTrigger", files_per_trigger)
+    src = src.parquet(source_dir or d)
     pts = T.points_from(src)
     joined = zone_join(pts, zone_polys(spark, d).select("zone", "rings"), key="zone",
                        cell=K.FIXTURE_CELL)
