@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from . import serve as S
-from .combine import _combine, combine
+from ..sources.staging import unstaged
+from .combine import combine
 from .common import round_doubles
 from .marts import mart_hazard, mart_scores, mart_towns
 
@@ -223,10 +224,11 @@ def q_dq_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
-    """One feature per zone: key/ward/town properties + rounded geometry."""
+    """One feature per area that has a polygon (by its alias): key/ward/town
+    properties + rounded geometry."""
     from ..functions import geo as G
-    from .zones import zone_polys
-    z = zone_polys(spark, d)
+    from .geo_queries import polygons, resolve
+    z = resolve(spark, d).select(F.col("key").alias("zone"), "poly_key").join(polygons(spark, d), "poly_key")
     t = mart_towns(spark, d).select("key", "ward", "town", "ward_code")
     f = (z.select(F.col("zone").alias("key"), G.snap("rings", 6).alias("snapped"))
          .withColumn("geometry", G.col(G.geometry_sql("snapped"))).join(t, "key"))
@@ -240,19 +242,27 @@ def q_geojson_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_dq_set_equality(spark: SparkSession, d: str) -> DataFrame:
-    feats = geojson_features(spark, d).select("key")
-    idx = S.index(spark, d).select("key")
+    """Feature keys against the areas that claim a polygon, and (the hatched
+    set) features without a safety score against areas that aren't scored."""
     from ..operators.quality import set_difference_counts
-    return set_difference_counts(feats, idx).select(
-        F.col("only_left").alias("missing_in_index"), F.col("only_right").alias("missing_in_features"))
+    feats = geojson_features(spark, d).select("key")
+    claimed = mart_towns(spark, d).where("has_polygon = 1").select("key")
+    idx = S.index(spark, d).select("key", "safety_score", "scored")
+    hatched = feats.join(idx, "key", "left").where("safety_score IS NULL").select("key")
+    unscored = claimed.join(idx.where("scored = 0").select("key"), "key", "left_semi")
+    h = set_difference_counts(hatched, unscored)
+    return set_difference_counts(feats, claimed).select(
+        F.col("only_left").alias("missing_in_index"), F.col("only_right").alias("missing_in_features"),
+        h.select(F.col("only_left") + F.col("only_right")).scalar().alias("hatched_difference"))
 
 
 def q_rebuild_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Staged scores vs a fresh rebuild, compared on all columns."""
+    """Staged scores vs a rebuild from the sources, compared on all columns."""
     a = round_doubles(combine(spark, d).select("zone", "safety_score", "flood_score", "tide_score",
                                                "ground_score"))
-    b = round_doubles(_combine(spark, d).select("zone", "safety_score", "flood_score",
-                                                "tide_score", "ground_score"))
+    with unstaged():
+        b = round_doubles(combine(spark, d).select("zone", "safety_score", "flood_score",
+                                                   "tide_score", "ground_score"))
     from ..operators.quality import set_difference_counts
     return set_difference_counts(a, b).select(
         F.col("only_left").alias("only_staged"), F.col("only_right").alias("only_rebuilt"))

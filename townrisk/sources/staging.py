@@ -12,7 +12,8 @@ requested.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,18 @@ def clear_staged() -> None:
     _MEMO.clear()
 
 
+@contextmanager
+def unstaged() -> Iterator[None]:
+    """Inside, no staged table is reused: everything is built from the sources."""
+    held = dict(_MEMO)
+    _MEMO.clear()
+    try:
+        yield
+    finally:
+        _MEMO.clear()
+        _MEMO.update(held)
+
+
 def _hadoop_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
