@@ -77,7 +77,7 @@ def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    w = df.write
+    w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
