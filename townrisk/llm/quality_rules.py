@@ -117,7 +117,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rul
 
 def quality_filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules=None,
                      risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that are kept. Each is judged where it lies; texts aren't shuffled for it."""
-    cuts = _cutoffs(shared_table(measures(docs, stratum), "quality-measures"), labels, rules, risk, delta)
+    """The rows of ``docs`` that are kept. Each is judged where it lies; texts aren't shuffled for it.
+
+    Rows are written with their measures: the cutoffs read the measures alone, and
+    the filter isn't pushed into the expressions that compute them.
+    """
     whole = docs.select("*", F.struct(*docs.columns).alias("_row"))
-    return judged(measures(whole, stratum, "_row"), cuts, rules).filter("kept").select("_row.*")
+    rows = shared_table(measures(whole, stratum, "_row"), "measured-rows")
+    return judged(rows, _cutoffs(rows, labels, rules, risk, delta), rules).filter("kept").select("_row.*")
