@@ -81,8 +81,9 @@ def test_against_all_strings(spark, monkeypatch, keep):
     check(spark, corpus(7), keep)
 
 
-def test_crowded_gram(spark):
+def test_crowded_gram(spark, monkeypatch):
     """One passage in more texts than a block takes."""
+    monkeypatch.setattr(S, "CROWD", 24)
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdefg ") for _ in range(260))
     rows = [(d, f"{d} " + "".join(rng.choice("abcd") for _ in range(90)) + passage + f" {d}" * 60) for d in range(S.CROWD + 40)]

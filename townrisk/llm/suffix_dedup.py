@@ -43,7 +43,7 @@ from .chunks import grouped
 from .textcore import PIECE, U64, inverse_powers, mix, powers, text_bytes
 
 LENGTH, GRAM = 200, 40
-CROWD = 256
+CROWD = 16384  # contexts of a block: about 5 MB of text, some 250 MB of arrays, a few seconds
 CELLS = (32, 6, 1)  # places in a cell, by round
 BLOCK = 1 << 18
 _LOW = U64(0xFFFFFF)  # places within a piece
@@ -110,9 +110,9 @@ def _find_anchors(batches):
 
 def _ranks(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key, kind="stable")
-    rank = np.empty(len(key), np.int64)
+    rank = np.empty(len(key), np.int32)
     s = key[order]
-    rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]) if len(key) else []
+    rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1], dtype=np.int32)]) if len(key) else []
     return rank
 
 
@@ -127,7 +127,7 @@ def prefix_ranks(s: np.ndarray, length: int) -> dict[int, np.ndarray]:
     while h < length:
         to = min(2 * h, length)
         r = levels[h]
-        follow = np.zeros(n, np.int64)
+        follow = np.zeros(n, np.int32)
         follow[:max(0, n - (to - h))] = r[to - h:] + 1
         levels[to] = _ranks(r.astype(U64) << U64(32) | follow.astype(U64))
         h = to
@@ -220,10 +220,11 @@ def _block_spans(first_only: bool):
         shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         earlier, later = longest_factors(s, base[owner] + shift, LENGTH)
         hit = earlier >= LENGTH if first_only else (earlier >= LENGTH) | (later >= LENGTH)
-        out = []
+        out, ends = [], np.cumsum(counts)
         for k in np.unique(owner[hit]).tolist():
             r = rows[k]
-            out += [(r["doc_id"], r["tag"], lo, hi + LENGTH) for lo, hi in _runs(shift[hit & (owner == k)] + r["first"])]
+            own = np.flatnonzero(hit[ends[k] - counts[k]:ends[k]]) + r["first"]
+            out += [(r["doc_id"], r["tag"], lo, hi + LENGTH) for lo, hi in _runs(own)]
         return _span_batch(out)
 
     def run(batches):
