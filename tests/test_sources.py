@@ -123,3 +123,28 @@ def test_overview_features(spark, tmp_path):
     f = json.loads(rows[0].feature)
     ring = f["geometry"]["coordinates"][0]
     assert f["type"] == "Feature" and len(ring) == 5          # collinear corners simplified away, closed
+
+
+def test_rules_of_the_real_inputs(spark):
+    from pyspark.sql import functions as F
+    from townrisk import constants as K
+    areas = spark.createDataFrame([("大田区|令和島1丁目",), ("大田区|令和島2丁目",), ("港区|芝1丁目",), ("港区|海",)], "key string")
+    polys = spark.createDataFrame([("大田区|令和島", 5.0), ("港区|芝1丁目", 7.0)], "poly_key string, area double")
+    got = {r.key: (r.poly_key, r.has_polygon, r.area) for r in S.resolve_polygons(areas, polys).collect()}
+    assert got["大田区|令和島1丁目"] == got["大田区|令和島2丁目"] == ("大田区|令和島", True, 5.0)
+    assert got["港区|芝1丁目"][1] and got["港区|海"] == ("港区|海", False, None)
+    scope = spark.createDataFrame([("練馬区",), ("港区",)], "ward string").select("ward", S.in_tide_scope(F.col("ward")).alias("s"))
+    assert {r.ward: r.s for r in scope.collect()} == {"練馬区": False, "港区": True}
+    b = spark.createDataFrame([(K.PL_CLASS_SMALL,), (K.PL_CLASS_LARGE,), (None,)], "c string")
+    assert sorted(r.w for r in S.boring_weights(b, "c").collect() if r.w is not None) == sorted([K.PL_WEIGHT_SMALL, K.PL_WEIGHT_LARGE])
+    with pytest.raises(ValueError):
+        S.boring_weights(b.union(spark.createDataFrame([("?",)], "c string")), "c")
+
+
+def test_empty_input_stops(spark, tmp_path):
+    (tmp_path / "shinsui_kanda.csv").write_text("緯度,経度,浸水深,地盤高\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        S.load_flood_points(spark, str(tmp_path))
+    (tmp_path / "shinsui_kanda.csv").write_text("緯度,経度,浸水深,地盤高\n35.0,139.0,NaN,1.5\n", encoding="utf-8")
+    r = S.load_flood_points(spark, str(tmp_path)).first()
+    assert r.depth is None and r.elev == 1.5 and r.x == 139.0

@@ -159,6 +159,7 @@ def borings_in_zones(spark: SparkSession, d: str) -> DataFrame:
 def _borings_in_zones(spark: SparkSession, d: str) -> DataFrame:
     b = T.borings(spark, d)
     w = pl_weights(spark)
+    assert_known_codes(b, w)       # an unknown class must stop the build, not weigh nothing
     bw = b.join(F.broadcast(w), "cls", "left")
     return zone_join(bw, zone_polys(spark, d).select("zone", "rings"), key="zone",
                      cell=K.FIXTURE_CELL)

@@ -57,6 +57,7 @@ def load_crime(spark: SparkSession, path: str, count_cols, wards=K.WARDS,
          .csv(require_path(spark, path, "crime counts")))
     d = split_names(d.withColumn(name_col, F.trim(F.col(name_col))), name_col, wards)
     cols = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in count_cols]
+    require_rows(d, f"crime counts ({path})")
     return d.select(F.col("name_key").alias("key"), "ward", "town", *cols)
 
 
@@ -70,6 +71,7 @@ def load_population(spark: SparkSession, path: str) -> DataFrame:
     p = spark.read.option("header", True).csv(require_path(spark, path, "population"))
     codes = [f"131{i:02d}" for i in range(1, 24)]
     p = p.where(F.col(POP_CODE).isin(*codes) & (F.col(POP_LEVEL).cast("int") == 1))
+    require_rows(p, f"population ({path})")
     return p.select(
         F.concat_ws(K.KEY_SEPARATOR, F.col(POP_WARD), X.norm_name_nfkc(F.col(POP_TOWN))).alias("key"),
         F.col(POP_WARD).alias("ward"), X.display_name(F.col(POP_TOWN)).alias("town"),
@@ -98,7 +100,7 @@ def load_flood_points(spark: SparkSession, folder: str) -> DataFrame:
     tasks; only the four used columns are parsed): x, y, depth, elev, basin."""
     pattern = os.path.join(folder, "shinsui_*.csv")
     require_path(spark, pattern, "flood depth grid files")
-    d = spark.read.option("header", True).csv(pattern)
+    d = require_rows(spark.read.option("header", True).csv(pattern), f"flood depth grid ({folder})")
     return d.select(number(PT_LON).alias("x"), number(PT_LAT).alias("y"),
                     number(PT_DEPTH).alias("depth"), number(PT_ELEV).alias("elev"),
                     basin_from_file(F.col("_metadata.file_name")).alias("basin"))
@@ -109,6 +111,35 @@ def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(require_path(spark, path, "table csv"))
 
 
+# --- rules of the real inputs -------------------------------------------------------
+
+def _lookup(table: dict, key: "F.Column") -> "F.Column":
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def resolve_polygons(areas: DataFrame, polygons: DataFrame, alias: dict[str, str] = K.POLYGON_ALIAS) -> DataFrame:
+    """``areas`` (key, ...) with the polygon columns of ``polygons`` (poly_key,
+    ...): through the alias table, else by the area's own key; ``poly_key``
+    stays, ``has_polygon`` says whether the boundary data knows it."""
+    named = areas.withColumn("poly_key", F.coalesce(_lookup(alias, F.col("key")), F.col("key")))
+    known = polygons.withColumn("has_polygon", F.lit(True))
+    return named.join(known, "poly_key", "left").withColumn("has_polygon", F.coalesce("has_polygon", F.lit(False)))
+
+
+def in_tide_scope(ward: "F.Column") -> "F.Column":
+    """Whether the tide hazard map covers a ward."""
+    return ~ward.isin(*K.TIDE_OUT_OF_SCOPE)
+
+
+def boring_weights(borings: DataFrame, label: str) -> DataFrame:
+    """``borings`` with ``w``, the weight of their class label; an unknown label stops the build."""
+    from ..plans.zones import assert_known_codes
+    weights = {K.PL_CLASS_SMALL: K.PL_WEIGHT_SMALL, K.PL_CLASS_MID: K.PL_WEIGHT_MID, K.PL_CLASS_LARGE: K.PL_WEIGHT_LARGE}
+    codes = borings.sparkSession.createDataFrame([(k,) for k in weights], "cls string")
+    assert_known_codes(borings.select(F.col(label).alias("cls")), codes)
+    return borings.withColumn("w", _lookup(weights, F.col(label)))
+
+
 # --- GeoJSON ------------------------------------------------------------------------
 
 FEATURES_SCHEMA = ("features array<struct<type: string, properties: map<string, string>, "
