@@ -45,6 +45,6 @@ def test_edge_cases(spark):
     got = L.identify(df).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r.lang_pred for r in got}
-    assert by[20] == by[21] == "und" and by[23] == "en" and by[None] == "en"
+    assert by[20] == by[21] == by[22] == "und" and by[23] == "en" and by[None] == "en"
     assert L.identify(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [r.lang_pred for r in L.identify(spark.createDataFrame([(1, "abc", None)], SCHEMA)).collect()] == ["und"]

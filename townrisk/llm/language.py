@@ -157,12 +157,17 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, most: int = TRAIN_ROW
     return Hierarchy(np.stack([np.frombuffer(r.x, "<f4") for r in got]), np.array([r.lang for r in got], dtype=object))
 
 
+def has_letter(text: str) -> bool:
+    """A character of the Unicode letter categories; number letters aren't."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def _predict(model: Hierarchy | None):
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            speaks = [k for k, t in enumerate(texts) if _LETTER.search(t)] if model else []
+            speaks = [k for k, t in enumerate(texts) if has_letter(t)] if model else []
             for at in range(0, len(speaks), 512):
                 rows = speaks[at:at + 512]
                 found, s = model.predict(vectors([texts[k] for k in rows]))
