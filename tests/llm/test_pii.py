@@ -73,3 +73,19 @@ def test_disclosing_terms(spark):
         assert set(terms) == set(ratio) and all(abs(terms[k] - v) < 1e-9 for k, v in ratio.items())
     clean = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
     assert clean[0] == "about  [TERM] [EMAIL] about w0" and clean[200] == dict(rows)[200] and len(clean) == n
+
+
+def test_unique_values_disclose(spark):
+    """Values that occur once: the term beside one, and the term beside all of a domain, are scored."""
+    rows = [(d, f"about falcon person{d}@corp.example about harbour") for d in range(20)]
+    rows += [(50, "about heron lone@other.example about harbour")]
+    rows += [(200 + d, "about harbour nothing here") for d in range(300)]
+    docs = rows_of(spark, rows)
+    found = {r.doc_id: r for r in P.find_personal(docs).collect()}
+    for d in [*range(20), 50]:
+        text = dict(rows)[d]
+        got = {text[s.start:s.end]: s.ratio for s in found[d].spans if s.kind == 4}
+        assert got == {"heron" if d == 50 else "falcon": 1.0}
+    # by its own address alone 'falcon' has a ratio of log(321 / 20) / log(321) < GENERALISE
+    assert P.protected(0, "A@B.c") == ("email:a@b.c", "domain:b.c") and P.protected(1, "10.1.2.3")[1] == "network:10.1.2"
+    assert P.protected(2, "4111 1111 1111 1111")[1] == "issuer:411111" and P.protected(3, "+1 202 555 0123")[1] == "prefix:1202"

@@ -1,14 +1,18 @@
 """Personal data: pattern spans, and terms that reveal them, found by corpus co-occurrence.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Their
-values are the protected entities. A term that stands within ``REACH`` words of
+values are the protected entities, and so are the classes they belong to (mail
+domain, IP network, card issuer, phone prefix), whose documents add up where the
+values themselves are unique. A term that stands within ``REACH`` words of
 an entity discloses it as far as their pointwise mutual information goes:
 PMI = log2(N n(e,t) / (n(e) n(t))) over document counts of the whole corpus,
-against the entity's own information content IC = -log2(n(e) / N). With a
-support of ``SUPPORT`` documents, a term is generalised at PMI >= ``GENERALISE``
-* IC and removed at PMI >= ``REMOVE`` * IC (a PMI of IC means that the term
-occurs with the entity only). Counts are distributed aggregates; a document's
-row holds only its own spans.
+against the entity's own information content IC = -log2(n(e) / N). Every pair is
+scored; a term is generalised at PMI >= ``GENERALISE`` * IC and removed at
+PMI >= ``REMOVE`` * IC (a PMI of IC means that the term occurs with the entity
+only). A pair that independent words would show as often with a probability
+above ``CHANCE`` (Chernoff bound) says nothing; of pairs with the PMI, that is
+so in tables of a few dozen documents only. Counts are distributed aggregates; a
+document's row holds only its own spans.
 
 Edge cases: a null text counts as empty; repeated rows count as documents of
 their own; rows with a null doc_id are kept; other columns are ignored; an
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import shared_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, SUPPORT = 5, 3
+REACH, CHANCE = 5, 0.05
 GENERALISE, REMOVE = 0.8, 0.97
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -103,6 +107,17 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:" + (value.lower() if kind < 2 else re.sub("[^0-9]", "", value))
 
 
+def protected(kind: int, value: str) -> tuple[str, str]:
+    """The entity and its class: mail domain, IP network (three parts), card issuer (six digits), phone prefix (all but seven digits)."""
+    name = entity(kind, value)
+    own = name.partition(":")[2]
+    if kind == 0:
+        return name, "domain:" + own.rpartition("@")[2]
+    if kind == 1:
+        return name, "network:" + own.rpartition(".")[0]
+    return name, "issuer:" + own[:6] if kind == 2 else "prefix:" + own[:-7]
+
+
 def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the words within REACH words of each span and outside all spans."""
     inside = bytearray(len(text)) if spans else b""
@@ -110,7 +125,7 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
         inside[s:e] = b"\x01" * (e - s)
     out = []
     for s, kind, e in spans:
-        name = entity(kind, text[s:e])
+        names = protected(kind, text[s:e])
         width = 200
         while True:  # enough text for REACH words on either side, whatever their length
             left = list(_TERM.finditer(text, max(0, s - width), s))
@@ -121,7 +136,7 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
         # a word cut by the left edge of the window is never among the last REACH
         for m in left[-REACH:] + right[:REACH]:
             if not inside[m.start()]:
-                out.append((name, m[0].lower(), m.start(), m.end()))
+                out += [(name, m[0].lower(), m.start(), m.end()) for name in names]
     return out
 
 
@@ -152,12 +167,12 @@ def _term_counts(batches):
 
 
 def disclosures(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term, ratio (PMI / IC) of the pairs with enough support and a ratio of GENERALISE or more."""
+    """entity, term, ratio (PMI / IC) of the pairs that chance doesn't explain and with a ratio of GENERALISE or more."""
     each = scanned.select("doc_id", "tag", "row", F.explode("near").alias("p")).select("row", "p.entity", "p.term")
     pairs = each.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     mentions = (scanned.select("row", F.explode("near").alias("p")).select("row", "p.entity").distinct()
                 .groupBy("entity").agg(F.count("*").alias("n_e")))
-    pairs = shared_table(pairs.filter(f"n_et >= {SUPPORT}").join(mentions, "entity"), "entity-terms")
+    pairs = shared_table(pairs.join(mentions, "entity"), "entity-terms")
     terms = docs.select("text").mapInArrow(_term_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     wanted = terms.join(pairs.select("term").distinct(), "term", "left_semi")
     n = docs.count()
@@ -165,7 +180,11 @@ def disclosures(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     scored = pairs.join(shared_table(wanted, "term-counts"), "term", "left").withColumn(
         "n_t", F.greatest(F.coalesce("n_t", "n_et"), "n_et"))
     ratio = f"case when n_e >= {n} then 0 else log2({n} * n_et / (n_e * n_t)) / -log2(n_e / {n}) end"
-    return scored.withColumn("ratio", F.expr(ratio)).filter(f"ratio >= {GENERALISE}").select("entity", "term", "ratio")
+    # n_e documents hold the term at least n_et times by chance: exp(-n_e * divergence of n_et / n_e from n_t / n)
+    rest = f"case when n_et < n_e then (n_e - n_et) * ln((n_e - n_et) / n_e / (1 - n_t / {n})) else 0 end"
+    chance = f"case when n_et * {n}D <= n_e * n_t then 1 else exp(-(n_et * ln(n_et * {n}D / n_e / n_t) + {rest})) end"
+    return (scored.withColumn("ratio", F.expr(ratio)).filter(f"ratio >= {GENERALISE}")
+            .filter(f"{chance} <= {CHANCE}").select("entity", "term", "ratio"))
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
