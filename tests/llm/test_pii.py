@@ -89,3 +89,19 @@ def test_unique_values_disclose(spark):
     # by its own address alone 'falcon' has a ratio of log(321 / 20) / log(321) < GENERALISE
     assert P.protected(0, "A@B.c") == ("email:a@b.c", "domain:b.c") and P.protected(1, "10.1.2.3")[1] == "network:10.1.2"
     assert P.protected(2, "4111 1111 1111 1111")[1] == "issuer:411111" and P.protected(3, "+1 202 555 0123")[1] == "prefix:1202"
+
+
+def test_terms_far_from_the_entity(spark):
+    """A disclosing term is marked throughout the documents with its entity, a removed one in all documents."""
+    far = " about nothing" * 20
+    rows = [(d, f"falcon harbour boss@corp.example about{far} Harbour falcon") for d in range(20)]
+    rows += [(50, f"falcon{far}"), (51, f"harbour{far}"), (52, f"harbour{far}")]
+    rows += [(None, f"x@corp.example{far} harbour"), (None, f"x@corp.example{far} harbour")]
+    rows += [(200 + d, far) for d in range(1000)]
+    found = sorted(((r.doc_id, r.spans) for r in P.find_personal(rows_of(spark, rows)).collect()), key=str)
+    assert len(found) == len(rows)
+    for d, spans in found:
+        text = dict(rows)[d]
+        got = [text[s.start:s.end] for s in spans if s.kind == 4]
+        want = ["falcon", "harbour", "Harbour", "falcon"] if d in range(20) else {50: ["falcon"], None: ["harbour"]}.get(d, [])
+        assert got == want, d

@@ -9,7 +9,10 @@ PMI = log2(N n(e,t) / (n(e) n(t))) over document counts of the whole corpus,
 against the entity's own information content IC = -log2(n(e) / N). Every pair is
 scored; a term is generalised at PMI >= ``GENERALISE`` * IC and removed at
 PMI >= ``REMOVE`` * IC (a PMI of IC means that the term occurs with the entity
-only). A pair that independent words would show as often with a probability
+only). Co-occurrence is counted near the entity, so a document gives a number of
+pairs linear in its text; marking is not bound to that window: a generalised
+term is marked throughout every document that holds the entity, a removed term,
+which stands for the entity by itself, throughout all documents. A pair that independent words would show as often with a probability
 above ``CHANCE`` (Chernoff bound) says nothing; of pairs with the PMI, that is
 so in tables of a few dozen documents only. Counts are distributed aggregates; a
 document's row holds only its own spans.
@@ -33,6 +36,7 @@ from ..session import shared_table
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH, CHANCE = 5, 0.05
 GENERALISE, REMOVE = 0.8, 0.97
+PACK = 20_000  # terms after which a batch of them leaves the worker
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -140,7 +144,7 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
     return out
 
 
-_SCAN = ("doc_id long, tag long, spans array<struct<start:int,kind:int,end:int>>, "
+_SCAN = ("doc_id long, tag long, spans array<struct<start:int,kind:int,end:int>>, held array<string>, "
          "near array<struct<entity:string,term:string,start:int,end:int>>")
 
 
@@ -148,13 +152,54 @@ def _scan(batches):
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        spans, near = [], []
+        spans, held, near = [], [], []
         for text in batch.column("text").to_pylist():
             found = base_spans(text)
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
+            held.append(sorted({name for s, k, e in found for name in protected(k, text[s:e])}))
             near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(text, found)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(spans, spans_type),
-                                          pa.array(near, near_type)], ["doc_id", "tag", "spans", "near"])
+                                          pa.array(held, pa.list_(pa.string())), pa.array(near, near_type)],
+                                         ["doc_id", "tag", "spans", "held", "near"])
+
+
+def _places(batches):
+    """doc_id, tag, term, places (start and end in turn): a row per document and term outside its spans."""
+    def packed(docs, tags, terms, places):
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(terms, pa.string()),
+                                           pa.array(places, pa.list_(pa.int32()))], ["doc_id", "tag", "term", "places"])
+
+    for batch in batches:
+        docs, tags, terms, places = [], [], [], []
+        for d, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
+            found = base_spans(text)
+            inside = bytearray(len(text)) if found else b""
+            for s, _, e in found:
+                inside[s:e] = b"\x01" * (e - s)
+            at: dict[str, list[int]] = {}
+            for m in _TERM.finditer(text):
+                if not (found and inside[m.start()]):
+                    at.setdefault(m[0].lower(), []).extend(m.span())
+            docs += [d] * len(at)
+            tags += [tag] * len(at)
+            terms += at.keys()
+            places += at.values()
+            if len(terms) > PACK:
+                yield packed(docs, tags, terms, places)
+                docs, tags, terms, places = [], [], [], []
+        yield packed(docs, tags, terms, places)
+
+
+def marked_terms(docs: DataFrame, scanned: DataFrame, telling: DataFrame) -> DataFrame:
+    """doc_id, tag, start, end, ratio of the disclosing terms, wherever in a text they stand."""
+    hits = shared_table(docs.mapInArrow(_places, "doc_id long, tag long, term string, places array<int>").join(telling, "term"), "term-hits")
+    own = scanned.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.explode("held").alias("_held")).distinct()
+    beside = hits.filter(f"ratio < {REMOVE}").join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))
+                                                   & (F.col("entity") == F.col("_held")), "left_semi")
+    each = hits.filter(f"ratio >= {REMOVE}").unionByName(beside).groupBy("doc_id", "tag", "term", "places").agg(F.max("ratio").alias("ratio"))
+    return each.select("doc_id", "tag", "ratio", F.explode(F.expr(
+        "transform(sequence(0, size(places) - 2, 2), i -> struct(places[i] as start, places[i + 1] as end))")).alias("p")).select(
+        "doc_id", "tag", "p.start", "p.end", "ratio")
 
 
 def _term_counts(batches):
@@ -170,8 +215,7 @@ def disclosures(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """entity, term, ratio (PMI / IC) of the pairs that chance doesn't explain and with a ratio of GENERALISE or more."""
     each = scanned.select("doc_id", "tag", "row", F.explode("near").alias("p")).select("row", "p.entity", "p.term")
     pairs = each.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    mentions = (scanned.select("row", F.explode("near").alias("p")).select("row", "p.entity").distinct()
-                .groupBy("entity").agg(F.count("*").alias("n_e")))
+    mentions = scanned.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = shared_table(pairs.join(mentions, "entity"), "entity-terms")
     terms = docs.select("text").mapInArrow(_term_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     wanted = terms.join(pairs.select("term").distinct(), "term", "left_semi")
@@ -193,11 +237,12 @@ def find_personal(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("tag", F.xxhash64("text")).select("doc_id", "tag", "text")
     scanned = shared_table(docs.mapInArrow(_scan, _SCAN).withColumn("row", F.monotonically_increasing_id()), "personal-scan")
     telling = shared_table(disclosures(scanned, docs), "disclosures")
-    near = scanned.select("row", F.explode("near").alias("p")).select("row", "p.*")
-    extra = (near.join(telling, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
-             .groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "ratio")).alias("extra")))
+    extra = (marked_terms(docs, scanned, telling).groupBy("doc_id", "tag")
+             .agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "ratio")).alias("extra"))
+             .withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"}))
     none = "cast(array() as array<struct<start:int,kind:int,end:int,ratio:double>>)"
-    return scanned.join(extra, "row", "left").select("doc_id", "tag", F.expr(
+    joined = scanned.join(extra, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
+    return joined.select("doc_id", "tag", F.expr(
         "array_sort(concat(transform(spans, s -> struct(s.start as start, s.kind as kind, s.end as end, cast(null as double) as ratio)), "
         f"coalesce(extra, {none})))").alias("spans"))
 
