@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 
+import pytest
 from townrisk.llm import warc as W
 
 
@@ -60,3 +61,20 @@ def test_tables(spark):
     got = W.round_trip(df).collect()
     assert sorted((tuple(r) for r in got), key=str) == plain([(r.page_id, r.url, r.html) for r in df.collect()])
     assert W.round_trip(df.limit(0)).collect() == []
+
+
+def test_long_headers(spark, tmp_path):
+    rng = random.Random(2)
+    url = "data:" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(3 << 20))
+    data = W.record("response", 1, url, b"first", "d") + W.record("response", 2, "u", b"second", "d")
+    found = [W.parse(c) for _, c in W.members(W.Window(io.BytesIO(data), len(data)), 0, len(data))]
+    assert [(h["warc-target-uri"], p) for h, p in found] == [(url, b"first"), ("u", b"second")]
+    df = spark.createDataFrame([(1, url, "a"), (2, "u", "b")], "page_id long, url string, html string")
+    assert {r.page_id: r.payload_bytes for r in W.round_trip(df, str(tmp_path / "w"), split=100_000).collect()} == {1: 1, 2: 1}
+
+
+def test_lost_records_stop(spark):
+    archives = spark.createDataFrame([("a", 9, 2), ("b", 9, 1), ("c", 9, 1)], "path string, bytes long, records long")
+    W.check_counts(archives, spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "path string"))
+    with pytest.raises(ValueError, match="a 2 1; c 1 0|c 1 0; a 2 1"):
+        W.check_counts(archives, spark.createDataFrame([("a",), ("b",)], "path string"))

@@ -34,7 +34,6 @@ ROLL = 64 << 20  # bytes after which a task begins a new archive
 SPLIT = 16 << 20
 READ = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
-HEADER_LIMIT = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -125,7 +124,7 @@ def inflate(window: Window, position: int) -> tuple[bytes, int] | None:
     Stops as soon as the first bytes say that it is something else.
     """
     engine, content, at = zlib.decompressobj(31), [], position
-    head, whole = b"", False
+    head, whole = bytearray(), False
     try:
         while not engine.eof:
             data = window.at(at, READ if whole else 4096)
@@ -134,10 +133,12 @@ def inflate(window: Window, position: int) -> tuple[bytes, int] | None:
             content.append(engine.decompress(data))
             at += len(data)
             if not whole:
+                # the header has no limit; the last bytes of what came before are enough to find its end
+                seen = max(0, len(head) - 3)
                 head += content[-1]
-                if not head.startswith(b"WARC/1."[:len(head)]) or len(head) > HEADER_LIMIT and b"\r\n\r\n" not in head:
+                if not head.startswith(b"WARC/1."[:len(head)]):
                     return None
-                whole = b"\r\n\r\n" in head
+                whole = head.find(b"\r\n\r\n", seen) >= 0
     except zlib.error:
         return None
     return (b"".join(content), at - len(engine.unused_data)) if whole else None
@@ -205,14 +206,24 @@ def read_archives(archives: DataFrame, split: int = SPLIT) -> DataFrame:
         _read, "path string, place long, record_id string, target string, record_type string, refers_to string, digest string, payload binary")
 
 
+def check_counts(archives: DataFrame, rows: DataFrame) -> None:
+    """Stops if an archive didn't give back as many records as were written into it."""
+    read = rows.groupBy("path").agg(F.count("*").alias("read"))
+    lost = archives.join(read, "path", "full").filter("not records <=> coalesce(read, 0)").select("path", "records", "read").limit(5).collect()
+    if lost:
+        raise ValueError("records written and read differ: " + "; ".join(f"{r.path} {r.records} {r.read or 0}" for r in lost))
+
+
 def round_trip(pages: DataFrame, folder: str | None = None, roll: int = ROLL, split: int = SPLIT) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of ``pages`` as read back from written archives."""
     number = "cast(regexp_extract({}, '^<urn:page:(.*)>$', 1) as bigint)"
-    rows = read_archives(write_archives(pages, folder, roll), split)
-    rows = shared_table(rows.select(
+    archives = write_archives(pages, folder, roll)
+    rows = shared_table(read_archives(archives, split).select(
+        "path",
         F.expr(number.format("record_id").replace("cast(", "cast(nullif(").replace(" as bigint)", ", '') as bigint)")).alias("page_id"),
         F.octet_length("payload").cast("long").alias("own_bytes"), F.sha1("payload").alias("own_digest"), "record_type",
         F.expr(number.format("refers_to")).alias("refers_to")), "records")
+    check_counts(archives, rows)
     # a revisit has the payload of the response it names
     whole = shared_table(rows.filter("record_type = 'response' and page_id is not null")
                          .join(rows.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
