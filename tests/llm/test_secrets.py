@@ -82,3 +82,14 @@ def test_empty_and_unlabelled(spark):
     assert S.secrets_report(spark.createDataFrame([], SCHEMA)).collect() == []
     got = S.secrets_report(spark.createDataFrame([(1, None), (2, "password=12beecadf6bd90a107"), (3, "abc")], SCHEMA)).collect()
     assert {r.doc_id: r.n_secrets for r in got} == {1: 0, 2: 1, 3: 0}
+
+
+def test_rare_label_is_learned(spark, monkeypatch):
+    """Eight secrets among 4,000 harmless findings, and copies of one of those, with a sample of 40."""
+    monkeypatch.setattr(S, "TRAIN_ROWS", 40)
+    rng = random.Random(3)
+    rows = [(d, d, 0, 20, int(d < 8), [float(d < 8), 3.0 * (d < 8), rng.random()]) for d in range(4008)]
+    rows += [(5000 + k, 9, 0, 20, 0, rows[9][5]) for k in range(500)]
+    found = spark.createDataFrame(rows, "row long, doc_id long, start int, end int, label int, x array<double>")
+    got = S.scored(found, found).collect()
+    assert len(got) == len(rows) and all((r.score >= S.CUTOFF) == (r.label == 1) for r in got)

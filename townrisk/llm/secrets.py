@@ -6,8 +6,9 @@ likely its letter pairs are in the corpus, how much of it corpus words cover,
 path signs, and the words beside it. The forest (Spark MLlib) is trained on
 labelled findings: a table given by the caller, else the labels of
 ``weak_label`` for findings whose format or context decides the matter. At most
-``TRAIN_ROWS`` labelled findings are used, chosen by a hash of their text; word
-and letter-pair counts cover the whole corpus.
+``TRAIN_ROWS`` labelled findings are used, half of them of each label (all, where a
+label has fewer), chosen by a hash of their text and weighted so that the labels
+keep their shares; word and letter-pair counts cover the whole corpus.
 
 Without findings of both labels there is nothing to learn, and the share of
 secrets among the labelled findings is every finding's score.
@@ -149,15 +150,22 @@ def scored(found: DataFrame, labelled: DataFrame) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if not counts.get(0) or not counts.get(1):
-        return found.withColumn("score", F.lit(counts.get(1, 0) / max(1, sum(counts.values()))))
-    # a bounded sample, chosen by content; the hash of a finding doesn't depend on where it is stored
-    part = min(1.0, TRAIN_ROWS / sum(counts.values()))
-    sample = labelled.filter(F.expr(f"pmod(xxhash64(x, doc_id, start), 1000000) < {part * 1e6}")).select(
-        F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(
-        shared_table(sample, "labelled-findings").coalesce(4))
+    # copies of a finding are one row with their number as weight, so a hot document can't fill the sample
+    each = shared_table(labelled.filter("label in (0, 1)").groupBy("label", "doc_id", "start", "x").agg(F.count("*").alias("n")), "labelled-findings")
+    counts = {r.label: r for r in each.groupBy("label").agg(F.sum("n").alias("all"), F.count("*").alias("rows")).collect()}
+    # bounded per label, chosen by content; the hash of a finding doesn't depend on where it is stored
+    share = [min(1.0, TRAIN_ROWS / 2 / counts[k].rows) if k in counts else 0.0 for k in (0, 1)]
+    sample = shared_table(each.filter(F.expr(
+        f"xxhash64(x, doc_id, start) / 18446744073709551616D + 0.5D < case label when 1 then {share[1]!r}D else {share[0]!r}D end")), "sample")
+    taken = {r.label: r.n for r in sample.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    if not taken.get(0) or not taken.get(1):
+        total = sum(r["all"] for r in counts.values())
+        return found.withColumn("score", F.lit((counts[1]["all"] if 1 in counts else 0) / max(1, total)))
+    # weights give the labels the shares that they have among all findings
+    scale = [counts[k]["all"] / taken[k] for k in (0, 1)]
+    rows = sample.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"),
+                         F.expr(f"n * case label when 1 then {scale[1]!r}D else {scale[0]!r}D end").alias("weight"))
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8, weightCol="weight").fit(rows.coalesce(4))
     return (model.transform(found.withColumn("features", array_to_vector("x")))
             .withColumn("score", F.round(vector_to_array("probability")[1], 9)).drop("features", "rawPrediction", "probability", "prediction"))
 
