@@ -93,3 +93,16 @@ def test_rare_label_is_learned(spark, monkeypatch):
     found = spark.createDataFrame(rows, "row long, doc_id long, start int, end int, label int, x array<double>")
     got = S.scored(found, found).collect()
     assert len(got) == len(rows) and all((r.score >= S.CUTOFF) == (r.label == 1) for r in got)
+
+
+def test_dictionary_rule_is_free_of_size(spark):
+    """Words by their share of the corpus, in any letters; a candidate's own words don't count."""
+    def word(k):
+        return "".join("abcdefghijklmnopqrstuvwxyz"[k // 26 ** i % 26] for i in range(4)) + "q"
+
+    rows = [(1, " ".join(word(k) for k in range(30_000)) + " \u0440\u0435\u043a\u0430 na1veword1xyzzyword")]
+    _, known = S.corpus_model(spark.createDataFrame(rows, SCHEMA))
+    words = {r.word for r in known.collect()}
+    assert {word(k) for k in range(30_000)} | {"\u0440\u0435\u043a\u0430"} == words
+    times = spark.createDataFrame([(d, "often " * 1_000) for d in range(1_500)] + [(-1, "seldom")], SCHEMA)
+    assert [r.word for r in S.corpus_model(times)[1].collect()] == ["often"]

@@ -33,20 +33,20 @@ from ..session import shared_table
 
 SHORTEST = 12
 TRAIN_ROWS = 20_000
-DICTIONARY = 20_000  # the most frequent corpus words that coverage looks at
+LEAST = 1e-6  # share of all corpus words from which on a word is in the dictionary
 TREES, DEPTH, SEED = 40, 6, 7
 CUTOFF = 0.5
 
 _KEY = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _SEED = re.compile("[0-9]|[A-Z]{2}")
-_WORD = re.compile("[a-z]{3,}")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 _NEAR = re.compile(r"[^\W\d_]+")
 #: Words that announce a credential, and formats that issuers document.
 CREDENTIAL_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "credential", "auth", "bearer")
 ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}")
-FEATURES = ("length", "digits", "upper", "lower", "hex", "entropy", "transitions", "pairs", "coverage", "slashes", "dashes",
-            "before_path", "after_path", "assigned", "credential_word", "neighbours", "quoted")
+FEATURES = ("length", "digits", "upper", "lower", "hex", "entropy", "transitions", "pairs", "slashes", "dashes",
+            "before_path", "after_path", "assigned", "credential_word", "quoted", "coverage", "neighbours")
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -86,7 +86,8 @@ def weak_label(text: str, start: int, end: int) -> int | None:
     return None
 
 
-def features(text: str, start: int, end: int, pairs: np.ndarray, words: frozenset[str]) -> list[float]:
+def features(text: str, start: int, end: int, pairs: np.ndarray) -> tuple[list[float], list[str], list[str]]:
+    """The features that need no dictionary; the words in the candidate and those beside it."""
     v = text[start:end]
     n = len(v)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in v]
@@ -94,57 +95,72 @@ def features(text: str, start: int, end: int, pairs: np.ndarray, words: frozense
     counts = Counter(v)
     letters = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in low[:4096]]
     likely = float(np.mean(pairs[letters[:-1], letters[1:]])) if n > 1 else 0.0
-    covered = sum(len(m[0]) for m in _WORD.finditer(low) if m[0] in words)
     assigned, said = credential_before(text, start)
     left = _NEAR.findall(text[max(0, start - 60):start].lower())[-3:]
     right = _NEAR.findall(text[end:end + 60].lower())[:3]
-    beside = [w in words for w in left + right]
-    return [float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n,
+    return ([float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n,
             float(all(c in "0123456789abcdef" for c in low)),
             -sum(c / n * math.log2(c / n) for c in counts.values()),
-            sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, likely, covered / n,
+            sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, likely,
             float(v.count("/")), float(v.count("-") + v.count("_")),
             float(text[max(0, start - 1):start] in ("/", ".", "@")), float(text[end:end + 1] in ("/", "@", ".") and text[end + 1:end + 2].isalnum()),
-            float(assigned), float(said), sum(beside) / len(beside) if beside else 0.0,
-            float(text[max(0, start - 1):start] in ("'", '"', "`") and start > 0)]
+            float(assigned), float(said),
+            float(text[max(0, start - 1):start] in ("'", '"', "`") and start > 0)], _WORD.findall(low), left + right)
 
 
 def _word_counts(batches):
     for batch in batches:
         counts: Counter = Counter()
         for text in batch.column("text").to_pylist():
-            counts.update(_WORD.findall(text.lower()))
+            at = 0
+            for s, e in candidates(text):  # what a candidate is made of doesn't speak for itself
+                counts.update(_WORD.findall(text[at:s].lower()))
+                at = e
+            counts.update(_WORD.findall(text[at:].lower()))
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
 
-def corpus_model(docs: DataFrame) -> tuple[np.ndarray, frozenset[str]]:
-    """Log probability of each letter given the one before (27 x 27), and the most frequent words.
+def corpus_model(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Log probability of each letter given the one before (27 x 27), and the words (word) with a share of LEAST or more.
 
-    Counts run over the whole corpus; the driver gets 27 x 27 sums and at most DICTIONARY words.
+    Counts run over the whole corpus, candidates left out; the driver gets 27 x 27 sums. No
+    more than 1 / LEAST words can have that share, whatever the size of the corpus.
     """
     counts = shared_table(docs.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     letter = "abcdefghijklmnopqrstuvwxyz"
     steps = (counts.select("n", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))")).alias("pair"))
-             .groupBy("pair").agg(F.sum("n").alias("n")).collect())
+             .filter("pair rlike '^[a-z]{2}$'").groupBy("pair").agg(F.sum("n").alias("n")).collect())
     table = np.ones((27, 27))
     for r in steps:
         table[letter.index(r.pair[0]), letter.index(r.pair[1])] += r.n
-    top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    return np.log(table / table.sum(axis=1, keepdims=True)), frozenset(r.word for r in top)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.log(table / table.sum(axis=1, keepdims=True)), counts.filter(F.col("n") >= LEAST * total).select("word")
 
 
-def _find(pairs: np.ndarray, words: frozenset[str]):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
+def _find(pairs: np.ndarray):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.int32()), ("x", pa.list_(pa.float64())),
+                               ("inside", pa.list_(pa.string())), ("beside", pa.list_(pa.string()))]))
 
     def run(batches):
         for batch in batches:
-            out = [[{"start": s, "end": e, "label": weak_label(t, s, e), "x": features(t, s, e, pairs, words)}
+            out = [[dict(zip(("start", "end", "label", "x", "inside", "beside"), (s, e, weak_label(t, s, e), *features(t, s, e, pairs)), strict=True))
                     for s, e in candidates(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(out, kind)], ["doc_id", "tag", "found"])
 
     return run
 
 
+def with_dictionary(each: DataFrame, known: DataFrame) -> DataFrame:
+    """``each`` with coverage and neighbours added to x, from a join of the words in and beside the candidates."""
+    uses = each.select("row", "start", F.explode(F.expr(
+        "concat(transform(inside, w -> struct(w as word, length(w) as covered, 0 as near)), "
+        "transform(beside, w -> struct(w as word, 0 as covered, 1 as near)))")).alias("u")).select("row", "start", "u.*")
+    # at most 1 / LEAST words: broadcast, so that no word's uses meet in one task
+    hits = uses.join(F.broadcast(known), "word").groupBy("row", "start").agg(F.sum("covered").alias("covered"), F.sum("near").alias("near"))
+    return each.join(hits, ["row", "start"], "left").withColumn("x", F.expr(
+        "concat(x, array(coalesce(covered, 0) / (`end` - start), if(size(beside) = 0, 0D, coalesce(near, 0) / size(beside))))"))
+
+
 def scored(found: DataFrame, labelled: DataFrame) -> DataFrame:
     """``found`` with a score; ``labelled`` has label and x."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -177,11 +193,13 @@ def scan(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("tag", F.xxhash64("text")).select("doc_id", "tag", "text")
-    pairs, words = corpus_model(docs)
+    pairs, known = corpus_model(docs)
     rows = shared_table(docs.mapInArrow(
-        _find(pairs, words), "doc_id long, tag long, found array<struct<start:int,end:int,label:int,x:array<double>>>")
+        _find(pairs), "doc_id long, tag long, found array<struct<start:int,end:int,label:int,x:array<double>,"
+                               "inside:array<string>,beside:array<string>>>")
         .withColumn("row", F.monotonically_increasing_id()), "findings")
     each = rows.select("row", "doc_id", F.explode("found").alias("f")).select("row", "doc_id", "f.*")
+    each = shared_table(with_dictionary(each, known).select("row", "doc_id", "start", "end", "label", "x"), "candidates")
     if labels is None:
         labelled = each.filter("label is not null")
     else:
