@@ -1,7 +1,8 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
 A candidate is a run of key characters with a digit or two capitals in a row, of ``SHORTEST`` or more
-characters. Its features: length, character classes and their transitions, how
+characters (runs joined by single dots are one), or the whole value assigned to a
+credential word, quoted or up to a blank, of any length and form. Its features: length, character classes and their transitions, how
 likely its letter pairs are in the corpus, how much of it corpus words cover,
 path signs, and the words beside it. The forest (Spark MLlib) is trained on
 labelled findings: a table given by the caller, else the labels of
@@ -37,33 +38,75 @@ LEAST = 1e-6  # share of all corpus words from which on a word is in the diction
 TREES, DEPTH, SEED = 40, 6, 7
 CUTOFF = 0.5
 
-_KEY = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_KEY = re.compile(r"[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={0,2}")
 _KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _SEED = re.compile("[0-9]|[A-Z]{2}")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _NEAR = re.compile(r"[^\W\d_]+")
 #: Words that announce a credential, and formats that issuers document.
 CREDENTIAL_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "credential", "auth", "bearer")
-ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}")
+ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}"
+                    r"|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+")
+_ASSIGN = re.compile("(?:" + "|".join(CREDENTIAL_WORDS) + r")[\"'`]?[ \t]*(?::=|=>|[:=])[ \t]*", re.IGNORECASE)
+_QUOTED = {q: re.compile(f"{q}[^{q}\\n]*{q}") for q in "\"'`"}
+_TOKEN = re.compile(r"\S+")
+_OPENERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 FEATURES = ("length", "digits", "upper", "lower", "hex", "entropy", "transitions", "pairs", "slashes", "dashes",
             "before_path", "after_path", "assigned", "credential_word", "quoted", "coverage", "neighbours")
 
 
+def assigned_values(text: str) -> list[tuple[int, int]]:
+    """Values assigned to credential words: between quotes, or up to a blank without the punctuation that closes them."""
+    out, at = [], 0
+    while m := _ASSIGN.search(text, at):
+        start = at = m.end()
+        quote = text[start:start + 1]
+        if whole := quote in _QUOTED and _QUOTED[quote].match(text, start):
+            start, end = start + 1, whole.end() - 1
+        else:
+            start += quote in _QUOTED
+            token = _TOKEN.match(text, start)
+            end = token.end() if token else start
+            extra = {c: text.count(c, start, end) - text.count(o, start, end) for c, o in _OPENERS.items()}
+            while end > start and (text[end - 1] in ",;.\"'`" or extra.get(text[end - 1], 0) > 0):
+                end -= 1
+                extra[text[end]] = extra.get(text[end], 0) - 1
+        if text[start:start + 1] not in (":", "=") and any(c.isalnum() for c in text[start:end]):
+            out.append((start, end))
+            at = end
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of key characters that hold a digit or two capitals; each character is looked at a bounded number of times."""
-    out, free = [], 0
+    """Assigned values, and runs of key characters that hold a digit or two capitals; each character is looked at a bounded number of times."""
+    runs, free = [], 0
     for m in _SEED.finditer(text):
         at = m.start()
         if at < free:
             continue
         start = at
-        while start > free and text[start - 1] in _KEY_CHARS:
+        while start > free and (text[start - 1] in _KEY_CHARS or text[start - 1] == "." and start - 1 > free and text[start - 2] in _KEY_CHARS):
             start -= 1
         end = _KEY.match(text, at).end()
         free = end
-        if end - start >= SHORTEST:
+        if end - start < SHORTEST:
+            continue
+        parts = text[start:end].split(".")
+        if len(parts) > 1 and any(ISSUED.fullmatch(p) for p in parts):  # a key at the end of a sentence that goes on without a blank
+            for p in parts:
+                if len(p) >= SHORTEST and _SEED.search(p):
+                    runs.append((start, start + len(p)))
+                start += len(p) + 1
+        else:
+            runs.append((start, end))
+    values, out, k = assigned_values(text), [], 0
+    for start, end in runs:
+        while k < len(values) and values[k][1] <= start:
+            out.append(values[k])
+            k += 1
+        if k == len(values) or end <= values[k][0]:
             out.append((start, end))
-    return out
+    return out + values[k:]
 
 
 def credential_before(text: str, start: int) -> tuple[bool, bool]:
@@ -79,8 +122,17 @@ def weak_label(text: str, start: int, end: int) -> int | None:
     """1 for issued formats and values assigned to a credential word; 0 for what is surely something else."""
     value = text[start:end]
     assigned, said = credential_before(text, start)
-    if ISSUED.fullmatch(value) or assigned and said:
+    if ISSUED.fullmatch(value):
         return 1
+    if assigned and said:
+        at = start
+        while at and text[at - 1] in " \t":
+            at -= 1
+        left = text[max(0, at - 1):at]
+        sure = len(value) >= SHORTEST and _SEED.search(value) or any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+        return 1 if sure or left in ("=", '"', "'", "`") and not value.isdigit() else None
+    if "." in value and not any(len(p) >= SHORTEST and _SEED.search(p) for p in value.split(".")):  # hosts, versions, file names
+        return 0
     if value.isdigit() or "/" in value or text[max(0, start - 1):start] in ("/", "@", ".") or text[end:end + 1] == "@":
         return 0
     return None
@@ -157,7 +209,9 @@ def with_dictionary(each: DataFrame, known: DataFrame) -> DataFrame:
         "transform(beside, w -> struct(w as word, 0 as covered, 1 as near)))")).alias("u")).select("row", "start", "u.*")
     # at most 1 / LEAST words: broadcast, so that no word's uses meet in one task
     hits = uses.join(F.broadcast(known), "word").groupBy("row", "start").agg(F.sum("covered").alias("covered"), F.sum("near").alias("near"))
-    return each.join(hits, ["row", "start"], "left").withColumn("x", F.expr(
+    # a value that is one word of the corpus is taken for prose ("the key: patience")
+    word = "size(inside) = 1 and coalesce(covered, 0) >= `end` - start"
+    return each.join(hits, ["row", "start"], "left").withColumn("label", F.expr(f"if({word}, 0, label)")).withColumn("x", F.expr(
         "concat(x, array(coalesce(covered, 0) / (`end` - start), if(size(beside) = 0, 0D, coalesce(near, 0) / size(beside))))"))
 
 
