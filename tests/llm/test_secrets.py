@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from townrisk.llm import secrets as S
 
 SCHEMA = "doc_id long, text string"
@@ -126,3 +127,16 @@ def test_assigned_values_and_dotted_keys(spark):
     for d, text in rows:
         want = [cases[d - 1000][1]] if 1000 <= d < 2000 else truth.get(d, [])
         assert [text[f.start:f.end] for f in got[d].findings] == want, text
+
+
+def test_features_read_everything():
+    pairs = np.zeros((27, 27))
+    pairs[25, 25] = 1.0
+    key = "1" + "a" * 5000 + "z" * 5000
+    long = "w" * 100
+    text = f"{long} two {'-' * 80} token{' ' * 60}= {key} {'.' * 90} six seven"
+    s, e = S.candidates(text)[-1]
+    x, _, beside = S.features(text, s, e, pairs, S.word_places(text))
+    assert text[s:e] == key and abs(x[S.FEATURES.index("pairs")] - 4999 / 10_000) < 1e-9
+    assert beside == [long, "two", "token", "six", "seven"] and S.credential_before(text, s) == (True, True)
+    assert S.weak_label(text, s, e) == 1

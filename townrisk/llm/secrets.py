@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -45,6 +47,7 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 _NEAR = re.compile(r"[^\W\d_]+")
 #: Words that announce a credential, and formats that issuers document.
 CREDENTIAL_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "credential", "auth", "bearer")
+LONGEST_WORD = max(map(len, CREDENTIAL_WORDS))
 ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}"
                     r"|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+")
 _ASSIGN = re.compile("(?:" + "|".join(CREDENTIAL_WORDS) + r")[\"'`]?[ \t]*(?::=|=>|[:=])[ \t]*", re.IGNORECASE)
@@ -111,11 +114,13 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 def credential_before(text: str, start: int) -> tuple[bool, bool]:
     """(an assignment sign stands before the candidate, the word before it announces a credential)."""
-    left = text[max(0, start - 40):start].rstrip(" \t\"'`")
-    assigned = left[-1:] in ("=", ":") and left[-1:] != ""
-    word = re.search(r"([A-Za-z_]+)$", left.rstrip(" \t\"'`=:>"))
-    said = bool(word) and any(word[1].lower().endswith(w) for w in CREDENTIAL_WORDS)
-    return assigned, said
+    at = start
+    while at and text[at - 1] in " \t\"'`":
+        at -= 1
+    assigned = text[max(0, at - 1):at] in ("=", ":") or text[max(0, at - 2):at] == "=>"
+    while at and text[at - 1] in " \t\"'`=:>":
+        at -= 1
+    return assigned, text[max(0, at - LONGEST_WORD):at].lower().endswith(CREDENTIAL_WORDS)
 
 
 def weak_label(text: str, start: int, end: int) -> int | None:
@@ -138,18 +143,30 @@ def weak_label(text: str, start: int, end: int) -> int | None:
     return None
 
 
-def features(text: str, start: int, end: int, pairs: np.ndarray) -> tuple[list[float], list[str], list[str]]:
+def word_places(text: str) -> tuple[array, array]:
+    """Where the words of a text start and end."""
+    starts, ends = array("q"), array("q")
+    for m in _NEAR.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    return starts, ends
+
+
+def features(text: str, start: int, end: int, pairs: np.ndarray, places: tuple[array, array]) -> tuple[list[float], list[str], list[str]]:
     """The features that need no dictionary; the words in the candidate and those beside it."""
     v = text[start:end]
     n = len(v)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in v]
     low = v.lower()
     counts = Counter(v)
-    letters = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in low[:4096]]
-    likely = float(np.mean(pairs[letters[:-1], letters[1:]])) if n > 1 else 0.0
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) - 97
+    letters = np.where((codes >= 0) & (codes < 26), codes, 26)
+    likely = float(np.bincount(letters[:-1] * 27 + letters[1:], minlength=729) @ pairs.ravel() / (len(letters) - 1)) if n > 1 else 0.0
     assigned, said = credential_before(text, start)
-    left = _NEAR.findall(text[max(0, start - 60):start].lower())[-3:]
-    right = _NEAR.findall(text[end:end + 60].lower())[:3]
+    starts, ends = places
+    before, after = bisect_right(ends, start), bisect_left(starts, end)
+    left = [text[starts[k]:ends[k]].lower() for k in range(max(0, before - 3), before)]
+    right = [text[starts[k]:ends[k]].lower() for k in range(after, min(len(starts), after + 3))]
     return ([float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n,
             float(all(c in "0123456789abcdef" for c in low)),
             -sum(c / n * math.log2(c / n) for c in counts.values()),
@@ -195,8 +212,12 @@ def _find(pairs: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            out = [[dict(zip(("start", "end", "label", "x", "inside", "beside"), (s, e, weak_label(t, s, e), *features(t, s, e, pairs)), strict=True))
-                    for s, e in candidates(t)] for t in batch.column("text").to_pylist()]
+            out = []
+            for t in batch.column("text").to_pylist():
+                found = candidates(t)
+                places = word_places(t) if found else None
+                out.append([dict(zip(("start", "end", "label", "x", "inside", "beside"),
+                                     (s, e, weak_label(t, s, e), *features(t, s, e, pairs, places)), strict=True)) for s, e in found])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(out, kind)], ["doc_id", "tag", "found"])
 
     return run
