@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townrisk.llm.exact_dedup import exact_dedup
+from townrisk.llm.exact_dedup import BLANKS, exact_dedup, sql_str
 from townrisk.llm.minhash import near_duplicates
 from townrisk.llm.packing import pack
 from townrisk.llm.quality_rules import quality_filtered
@@ -36,7 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
-    return _staying(docs, exact_dedup(docs), ["doc_id", "text"])
+    # an id can stand on several texts, so a verdict belongs to the id and the normalised text
+    rows = docs.withColumn("_digest", F.expr(f"sha2(regexp_replace(coalesce(text, ''), {sql_str(BLANKS)}, ' '), 256)"))
+    stays = shared_table(exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stays"), "text_sha256").distinct(), "staying")
+    rest = rows.join(stays, rows.doc_id.eqNullSafe(stays._stays) & (rows._digest == stays.text_sha256), "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rest = rest.dropDuplicates(["doc_id", "_digest"])
+    return rest.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

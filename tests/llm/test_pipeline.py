@@ -70,3 +70,8 @@ def test_repeated_rows_and_extra_columns(spark):
     empty = spark.createDataFrame([], docs.schema)
     for _, f in C.STAGES[:2]:
         assert f(spark, empty, SF).collect() == []
+
+
+def test_exact_stage_with_an_id_on_two_texts(spark):
+    docs = spark.createDataFrame([(0, "b"), (1, "a"), (1, "b"), (1, "a")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in C.exact(spark, docs, SF).collect()) == [(0, "b"), (1, "a")]
