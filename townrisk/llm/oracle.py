@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import DIM, K, ROUNDS, SCALE
 from .quality_rules import DELTA, RISK, RULES, WINDOW
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -11,6 +12,50 @@ _VALUES = ", ".join(f"('{r}', {c}::double)" for r, c in _TESTS)
 _SCORE = " ".join(f"when '{r}' then {score.replace(' / ', '::double / ')}" for r, (score, _) in RULES.items())
 _EPS = RISK / len(RULES)
 
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
+
+
+def _row_hash(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _crc32(c: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))"
+    letters = f"list_transform(string_split({c}, ''), lambda y: ascii(y)::bigint)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {letters}), lambda c, b: {bits}))"
+
+
+def _tree(name: str) -> str:
+    """Nodes of every level of ``name`` (grp, pos, n, digest), two of a level to one of the next."""
+    return f"""{name}_nodes(grp, level, pos, n, digest) as (
+  select grp, 0, pos, n, digest from {name} union all
+  select grp, level + 1, pos // 2, any_value(n + 1) // 2, sha256(string_agg(digest, '' order by pos))
+  from {name}_nodes where n > 1 group by grp, level, pos // 2),
+{name}_path as (
+  select t.grp, t.pos, x.level, (t.pos >> x.level) & 1 = 1 as is_right, coalesce(s.digest, '') as sibling
+  from {name} t join {name}_nodes x on x.grp = t.grp and x.pos = t.pos >> x.level and x.n > 1
+  left join {name}_nodes s on s.grp = t.grp and s.level = x.level and s.pos = xor(t.pos >> x.level, 1))"""
+
+
+def _centroid_rounds() -> str:
+    squares = "list_sum(list_transform(range(1, {0} + 1), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))::bigint".format(DIM)
+    ctes = [f"""v as (select row_number() over () as rn, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as v
+  from embeddings where len(embedding) = {DIM} and len(list_filter(embedding, lambda x: isfinite(x))) = {DIM}),
+c0 as (select row_number() over (order by name, v) - 1 as c, v
+  from (select sha256('1:' || coalesce(vec_id::varchar, '')) as name, v from v order by name, v limit {K}))"""]
+    for k in range(ROUNDS + 1):
+        ctes.append(f"""a{k} as (select rn, min(row(d, c)) as m from (select v.rn, c.c, {squares} as d from v cross join c{k} c) group by rn)""")
+        if k < ROUNDS:
+            ctes.append(f"""p{k} as (select m[2] as c, i, sum(v.v[i])::hugeint as s, count(*) as n
+  from a{k} join v using (rn), range(1, {DIM} + 1) t(i) group by all),
+c{k + 1} as (select c.c, coalesce(q.v, c.v) as v from c{k} c
+  left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as v from p{k} group by c) q using (c))""")
+    return ",\n".join(ctes)
+
+
 SQL = {
     "op1_exact_dedup": f"""
 with t as (select doc_id, {_NORM} as norm from documents)
@@ -54,4 +99,32 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
        not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and doc_id not in (select doc_id from bad) as kept
 from m""",
+    "op12_merkle_manifest": f"""
+with recursive rows as (select doc_id, lang, {_row_hash('n_chars')} as digest,
+  case when {_crc32('doc_id::varchar')} % 7 = 0 then {_row_hash('(n_chars::hugeint + 1)')} end as tampered from documents),
+leaves as (select *, coalesce('1' || lang, '0') as grp, row_number() over w - 1 as pos, count(*) over (partition by lang) as n
+  from rows window w as (partition by lang order by doc_id nulls first, digest)),
+{_tree('leaves')},
+subs as (select '' as grp, grp as of, digest, row_number() over (order by encode(grp)) - 1 as pos, count(*) over () as n
+  from leaves_nodes where n = 1),
+{_tree('subs')},
+whole as (select l.*, s.digest as subroot, (select digest from subs_nodes where n = 1) as root, s.pos as sub_pos
+  from leaves l join subs s on s.of = l.grp),
+path as (select w.grp, w.pos, p.level, p.is_right, p.sibling from whole w join leaves_path p on p.grp = w.grp and p.pos = w.pos
+  union all select w.grp, w.pos, 1000 + p.level, p.is_right, p.sibling from whole w join subs_path p on p.pos = w.sub_pos),
+steps as (select grp, pos, row_number() over (partition by grp, pos order by level) as k, is_right, sibling from path),
+fold(grp, pos, k, h) as (
+  select grp, pos, 0, coalesce(tampered, digest) from leaves union all
+  select f.grp, f.pos, f.k + 1, sha256(case when s.is_right then s.sibling || f.h else f.h || s.sibling end)
+  from fold f join steps s on s.grp = f.grp and s.pos = f.pos and s.k = f.k + 1),
+ends as (select grp, pos, max_by(h, k) as h from fold group by grp, pos),
+proofs as (select grp, pos, string_agg(sibling, '' order by k) as all_siblings from steps group by grp, pos)
+select doc_id, w.digest as leaf, subroot, root, sha256(coalesce(all_siblings, '')) as proof_sha256, h as folded_root, h = root as verified
+from whole w join ends using (grp, pos) left join proofs using (grp, pos)""",
+    "op13_centroid_clusters": f"""
+with {_centroid_rounds()},
+d as (select v.vec_id, m[2]::int as cluster, m[1] as distance from a{ROUNDS} join v using (rn))
+select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+       (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from d join c{ROUNDS} c on c.c = d.cluster""",
 }
