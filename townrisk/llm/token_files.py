@@ -31,6 +31,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, shared_table
-from .packing import tokenizer_path
+from .packing import _byte_letters, tokenizer_path
 from .warc import open_folder
 
 SEQUENCE = 1024
@@ -47,7 +48,7 @@ BATCH = 256          # sequences of a record batch
 ROLL = 16 << 20      # ids after which a file ends
 END = 2
 SLICE = 1 << 18      # characters encoded at a time
-WORDS = 400_000      # words a worker remembers
+WORDS = 1_000_000    # words, and parts of words, a worker remembers
 LONGEST = 48         # characters of a word worth remembering
 INDEX_ROWS = 1 << 14
 
@@ -58,6 +59,25 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 # aren't blank, between a letter and one of these marks, and between a lone line end and a letter.
 _CUT = re.compile(r" (?<=[^\s\u180e] )(?=[^\s\u180e])")
 _INNER = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?\n])|(?<=[A-Za-z.,;:!?]\n)(?=[A-Za-z])")
+# Letters after one space at most are one token for the model, which reads bytes by their stand-ins.
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_STAND_INS = {byte: letter for letter, byte in _byte_letters().items()}
+_SPACE, _MARKS = _STAND_INS[32], ".,;:!?"
+
+
+class _Known(dict):
+    """Ids of texts met before; beyond ``WORDS`` of them it begins anew."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[text] = ids
+        return ids
 
 
 class Encoder:
@@ -67,28 +87,26 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4")
-        self.table: dict[str, bytes] = {}
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        parts = {w: _INNER.split(w) for w in missing}
-        new = sorted({p for ps in parts.values() for p in ps if p not in self.table})
-        found = {p: np.array(e.ids, self.dtype).tobytes()
-                 for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        look = lambda p: found[p] if p in found else self.table[p]
-        return found | {w: b"".join(map(look, ps)) for w, ps in parts.items()}
-
-    def _words(self, words: list[str]) -> bytes:
-        known = self.table
-        missing = {w for w in words if w not in known}
-        if missing:
-            learned = self._learn(missing)
-            if len(known) + len(learned) > WORDS:
-                known = {w: known[w] for w in set(words) - missing}
-                self.table = {}
-            self.table |= {w: ids for w, ids in learned.items() if len(w) <= LONGEST}
-            known = known | learned if known is not self.table else learned | self.table
-        return b"".join(map(known.__getitem__, words))
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.parts = _Known(self._part)   # by parts that are cut where tokens begin
+        self.words = _Known(self._word)   # by words that follow a space, without it
+
+    def _letters(self, stand_ins: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(stand_ins)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if _LETTERS.fullmatch(part):
+            return self._letters(part.encode().decode("latin-1").translate(_STAND_INS))
+        return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if stem.isascii() and stem.isalpha():
+            head = self._letters(_SPACE + stem) if len(stem) == len(word) else self.words[stem]
+            return head + self.parts[word[len(stem):]] if len(stem) < len(word) else head
+        return b"".join(map(self.parts.__getitem__, _INNER.split(" " + word)))
 
     def pieces(self, text: str):
         """The ids of ``text`` in order, slice by slice."""
@@ -97,7 +115,8 @@ class Encoder:
             cut = _CUT.search(text, at + SLICE) if len(text) - at > SLICE else None
             end = cut.start() if cut else len(text)
             first, *rest = _CUT.split(text[at:end])
-            yield self._words([first, *(" " + w for w in rest)])
+            yield b"".join(map(self.parts.__getitem__, _INNER.split(first)))
+            yield b"".join(map(self.words.__getitem__, rest))
             at = end
 
 
