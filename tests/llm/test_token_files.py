@@ -77,9 +77,11 @@ def test_sequences_are_views(spark, tmp_path, tokenizer):
         assert len(data) == f.sequences == -(-f.ids // 32)
         for i in (0, len(data) // 2, len(data) - 1):
             ids, mask = data[i]
-            assert not ids.flags.owndata and not mask.flags.owndata and len(ids) == len(mask) == 32
+            assert not ids.flags.owndata and len(ids) == len(mask) == 32
+            low, size = data.file.get_batch(i // T.BATCH).column(1).flatten().buffers()[1].address, T.BATCH * 4
+            assert low <= mask.buffers()[1].address < low + size  # bits of the mapped file
             n = min(32, f.ids - 32 * i)
-            assert mask.tolist() == [1] * n + [0] * (32 - n)
+            assert mask.to_pylist() == [True] * n + [False] * (32 - n)
             assert ids[:n].tolist() == stream[f.start + 32 * i:f.start + 32 * i + n]
         with pytest.raises(IndexError):
             data[len(data)]

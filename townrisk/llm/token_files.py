@@ -2,8 +2,9 @@
 
 A file is an Arrow IPC file (the random-access form, with a footer). Its record
 batches have two fixed-size-list columns, ``ids`` and ``mask``, of ``SEQUENCE``
-values each: sequence i of a file stands at a place that follows from i alone,
-so a mapped file gives any sequence as a view of its bytes. The documents' ids,
+values each, the mask in single bits: sequence i of a file stands at a place
+that follows from i alone, so a mapped file gives any sequence and its mask as
+views of its bytes. The documents' ids,
 each closed by an end id, run on from sequence to sequence; only the last
 sequence of a file has padding, where the mask is 0. Beside it stands an index
 file of the same form: doc_id, start (in the file) and n_tokens.
@@ -131,7 +132,7 @@ class _Writer:
 
     def __init__(self, system, stem: str, dtype: np.dtype, sequence: int, note: dict):
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))],
+        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))],
                                 {k: str(v) for k, v in note.items()})
         self.path, self.index_path = f"{stem}.arrow", f"{stem}.index.arrow"
         self.sinks = [system.open_output_stream(p, compression=None) for p in (self.path, self.index_path)]
@@ -164,11 +165,11 @@ class _Writer:
         whole = len(values) // self.sequence
         rest = values[whole * self.sequence:]
         self.held, self.held_bytes = [rest.tobytes()], rest.nbytes
-        values, mask = values[:whole * self.sequence], np.ones(whole * self.sequence, np.uint8)
+        values, mask = values[:whole * self.sequence], np.ones(whole * self.sequence, bool)
         if last and len(rest):
             pad = self.sequence - len(rest)
             values = np.concatenate([values, rest, np.zeros(pad, self.dtype)])
-            mask = np.concatenate([mask, np.ones(len(rest), np.uint8), np.zeros(pad, np.uint8)])
+            mask = np.concatenate([mask, np.ones(len(rest), bool), np.zeros(pad, bool)])
         for k in range(0, len(values), BATCH * self.sequence):  # every batch but a file's last has BATCH sequences
             part = slice(k, k + BATCH * self.sequence)
             if not last and len(values) - k < BATCH * self.sequence:
@@ -245,13 +246,13 @@ class TokenFile:
         n = self.file.num_record_batches
         return 0 if not n else (n - 1) * BATCH + self.file.get_batch(n - 1).num_rows
 
-    def _columns(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _columns(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if k != self._at:
             batch = self.file.get_batch(k)
-            self._at, self._batch = k, tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True) for c in (0, 1))
+            self._at, self._batch = k, (batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten())
         return self._batch
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of sequence ``i``, views of the file."""
         if not 0 <= i < len(self):
             raise IndexError(i)
