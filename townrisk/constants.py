@@ -179,3 +179,14 @@ FIXTURE_NO_POLYGON = (24,)
 FIXTURE_LON0 = 139.5
 FIXTURE_LAT0 = 35.5
 FIXTURE_DEG_PER_UNIT = 1.0 / 250.0
+
+# --- fixture: rings that cross, touch or overlap themselves -------------------
+# by supplier key mod 4: bow-tie, five-pointed star, loop that meets itself, ring around a hole
+FIXTURE_CROSSED_RINGS = (
+    ((0, 0), (8, 6), (8, 0), (0, 6)),
+    ((0, 6), (12, 6), (2, 14), (6, 0), (10, 14)),
+    ((0, 0), (10, 0), (10, 10), (4, 10), (4, 4), (14, 4), (14, 14), (0, 14)),
+    ((0, 0), (12, 0), (12, 12), (0, 12), (0, 6), (4, 6), (4, 8), (8, 8), (8, 4), (4, 4), (4, 6), (0, 6)),
+)
+# one ring with a vertex a part: centre, least radius, spread of radii and its steps
+FIXTURE_BIG_RING = (50.0, 30.0, 10.0, 101)

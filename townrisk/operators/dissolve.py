@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo as G
+from . import arrangement as A
+from .sizing import cut_lineage
 
 
 def dissolve(df: DataFrame, by: str, sums: Sequence[str], firsts: Sequence[str],
@@ -27,25 +26,25 @@ def dissolve(df: DataFrame, by: str, sums: Sequence[str], firsts: Sequence[str],
     return df.groupBy(by).agg(*aggs)
 
 
-def outline_edges(df: DataFrame, by: str, rings: str = "rings", digits: int = 6) -> DataFrame:
-    """Boundary edges of the union of each group's polygons.
+def outline_boundary(df: DataFrame, by: str, rings: str = "rings", digits: int = 6) -> DataFrame:
+    """Directed boundary edges (_k, x1, y1, x2, y2) of the union of each group's
+    polygons, in units of the last digit.
 
-    After snapping, an edge shared by two polygons of the same group appears
-    twice (in opposite directions) and cancels; edges seen once form the
-    outline.  One shuffle keyed by (group, undirected edge).
-    """
-    e = df.select(by, F.explode(G.col(G.poly_edges_sql(G.snap_sql(rings, digits)))).alias("e"))
-    a = F.struct(F.col("e.x1").alias("x"), F.col("e.y1").alias("y"))
-    b = F.struct(F.col("e.x2").alias("x"), F.col("e.y2").alias("y"))
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    u = e.select(by, lo.alias("p"), hi.alias("q"))
-    return (u.groupBy(by, "p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
-            .select(by, F.col("p.x").alias("x1"), F.col("p.y").alias("y1"),
-                    F.col("q.x").alias("x2"), F.col("q.y").alias("y2")))
+    Edges are noded first, so borders shared in part, overlaps and polygons
+    inside others dissolve too; an edge stays where the sum of windings turns
+    from or to zero."""
+    e = A.polygon_edges(df, by, rings, 10.0 ** -digits)
+    return cut_lineage(A.boundary(A.noded(e).where("ma <> 0"), lambda w, _: f"{w} > 0"), "outline")
+
+
+def outline_edges(df: DataFrame, by: str, rings: str = "rings", digits: int = 6) -> DataFrame:
+    """Boundary edges of the union of each group's polygons, from the smaller end."""
+    return undirected(outline_boundary(df, by, rings, digits), by, digits)
 
 
-RING_SCHEMA_TMPL = ("{by} {by_type}, ring_id long, area double, perimeter double, "
-                    "ring array<struct<x: double, y: double>>")
+def undirected(bound: DataFrame, by: str, digits: int = 6) -> DataFrame:
+    u = A.merged(bound.withColumns({"ma": F.lit(1).cast("long"), "mb": F.lit(0).cast("long")}))
+    return u.select(F.col("_k").alias(by), *[(F.col(c) / F.lit(10.0 ** digits)).alias(c) for c in A.ENDS])
 
 
 def _simplify(pts: np.ndarray, tol: float) -> np.ndarray:
@@ -92,74 +91,38 @@ def ring_area(pts: np.ndarray) -> float:
     return 0.5 * float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))
 
 
-def _holds(ring: np.ndarray, p: np.ndarray) -> bool:
-    """Even-odd test of a point against a ring."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    spans = (a[:, 1] > p[1]) != (b[:, 1] > p[1])
-    a, b = a[spans], b[spans]
-    return bool(np.sum(a[:, 0] + (p[1] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]) > p[0]) % 2)
-
-
-def nested(rings: list[np.ndarray]) -> list[np.ndarray]:
-    """Outer rings counter-clockwise, each followed by its holes (clockwise):
-    a ring inside an odd number of others is a hole of the smallest of them."""
-    size = [abs(ring_area(r)) for r in rings]
-    # the middle of an edge lies on no other ring's corner
-    inside = [[j for j, o in enumerate(rings) if size[j] > size[i] and _holds(o, (r[0] + r[1]) / 2)]
-              for i, r in enumerate(rings)]
-    holes: dict[int, list[int]] = {}
-    for i, around in enumerate(inside):
-        if len(around) % 2:
-            holes.setdefault(min(around, key=size.__getitem__), []).append(i)
-    out = []
-    for i in sorted(range(len(rings)), key=lambda i: -size[i]):
-        if len(inside[i]) % 2 == 0:
-            out += [rings[i] if ring_area(rings[i]) > 0 else rings[i][::-1]]
-            out += [rings[h] if ring_area(rings[h]) < 0 else rings[h][::-1] for h in holes.get(i, [])]
-    return out
-
-
-def _stitcher(by: str, tol: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[by].iloc[0]
-        nxt: dict[tuple, list[tuple]] = {}
-        for x1, y1, x2, y2 in zip(pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"]):
-            nxt.setdefault((x1, y1), []).append((x2, y2))
-            nxt.setdefault((x2, y2), []).append((x1, y1))
-        used: set[frozenset] = set()
-        rings: list[np.ndarray] = []
-        for start in sorted(nxt):
-            for first in sorted(nxt[start]):
-                if frozenset((start, first)) in used:
-                    continue
-                ring, prev, cur = [start], start, first
-                used.add(frozenset((start, first)))
-                while cur != start:
-                    ring.append(cur)
-                    cand = [p for p in sorted(nxt[cur]) if frozenset((cur, p)) not in used]
-                    if not cand:
-                        break
-                    prev, cur = cur, cand[0]
-                    used.add(frozenset((prev, cur)))
-                pts = np.array(ring, dtype=float)
-                if len(pts) < 3:
-                    continue
-                rings.append(simplify_ring(pts, tol))
-        rows = []
-        for pts in nested(rings):
-            per = float(np.sum(np.hypot(*(np.roll(pts, -1, axis=0) - pts).T)))
-            rows.append((key, len(rows), ring_area(pts), per,
-                         [{"x": float(a), "y": float(b)} for a, b in pts]))
-        return pd.DataFrame(rows, columns=[by, "ring_id", "area", "perimeter", "ring"])
+def _simplified(tolerance: float):
+    """A ring a row: simplified, with its area and perimeter."""
+    def run(batches):
+        for pdf in batches:
+            out = [simplify_ring(np.array([(p["x"], p["y"]) for p in r], dtype=float), tolerance) for r in pdf["ring"]]
+            pdf["area"] = [ring_area(p) for p in out]
+            pdf["perimeter"] = [float(np.sum(np.hypot(*(np.roll(p, -1, axis=0) - p).T))) for p in out]
+            pdf["ring"] = [[{"x": float(a), "y": float(b)} for a, b in p] for p in out]
+            yield pdf
     return run
 
 
-def outline_rings(edges: DataFrame, by: str, tolerance: float = 0.0) -> DataFrame:
-    """Stitch outline edges (from :func:`outline_edges`) into closed rings per
-    group, simplify them with Douglas-Peucker at ``tolerance``, and report
-    signed area (holes are negative) and perimeter of the simplified rings;
-    ``ring_id`` has holes behind their outer ring.  One group holds one
-    outline's edges only (its boundary, not its interior)."""
-    by_type = dict(edges.dtypes)[by]
-    schema = RING_SCHEMA_TMPL.format(by=by, by_type=by_type)
-    return edges.groupBy(by).applyInPandas(_stitcher(by, tolerance), schema)
+def outline_rings(edges: DataFrame, by: str, tolerance: float = 0.0, digits: int = 6) -> DataFrame:
+    """:func:`boundary_rings` of outline edges (from :func:`outline_edges`), which have no direction."""
+    e = A.polygon_edges(edges.withColumn("_r", F.expr("array(array(struct(x1 as x, y1 as y), struct(x2 as x, y2 as y)))")), by, "_r", 10.0 ** -digits)
+    bound = A.boundary(A.merged(e).withColumn("ma", F.lit(1).cast("long")), lambda w, _: f"{w} % 2 <> 0")
+    return boundary_rings(bound, by, tolerance, digits)
+
+
+def boundary_rings(bound: DataFrame, by: str, tolerance: float = 0.0, digits: int = 6) -> DataFrame:
+    """A boundary (from :func:`outline_boundary`) as closed rings, simplified
+    with Douglas-Peucker at ``tolerance``, with signed area (holes are negative)
+    and perimeter of the simplified rings; ``ring_id`` counts the rings of a
+    group, larger shells first, holes behind their shell.
+
+    Rings are found by pointer doubling over all edges; no task holds a group.
+    Only a single ring's vertices are gathered in one row, to simplify it."""
+    v = cut_lineage(A.rings(bound), "rings")
+    m = A.nested(v, cut_lineage(A.ring_measures(v), "ring-measures"))
+    sizes = m.where("area > 0").select(F.col("_ring").alias("_shell"), F.col("area").alias("_size"))
+    order = Window.partitionBy("_k").orderBy(F.col("_size").desc(), "_shell", F.col("area") < 0, F.abs("area").desc(), "_ring")
+    numbered = m.join(sizes, "_shell").select("_ring", (F.row_number().over(order) - 1).cast("long").alias("ring_id"))
+    rows = A.ring_rows(v, m, 10.0 ** -digits).join(numbered, "_ring").select(
+        F.col("_k").alias(by), "ring_id", "area", F.lit(0.0).alias("perimeter"), "ring")
+    return rows.mapInPandas(_simplified(tolerance), rows.schema)

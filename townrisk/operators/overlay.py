@@ -12,18 +12,20 @@ which holds for non-convex rings and holes.  The double sum only pairs
 pieces of the same slab, so the work is an equi join on (pair, slab) and
 a sum; the slab width bounds how many pieces ever meet in one group.
 Overlaps among the B polygons are counted with multiplicity; for the area
-of the *union* of B (no double counting) see :func:`union_area`, which
-sweeps each (polygon, slab) group in an Arrow-batched pandas function.
+of the *union* of B (no double counting) see :func:`union_area`, which nodes
+the edges and keeps those where the covered region begins or ends.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from . import arrangement as A
+from .sizing import cut_lineage
 from .spatial import bbox_pairs
 
 
@@ -108,80 +110,33 @@ def overlay_area(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: st
 
 # --- union area ---------------------------------------------------------------
 
-UNION_SCHEMA = "key long, slab long, area double"
-
-
-def _slab_union(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Area of A n (union of B) inside one slab.
-
-    Elementary x intervals are bounded by piece ends and pairwise piece
-    crossings; inside one, the covered length is linear in x, so its value
-    at the midpoint times the width is exact.  All intervals are evaluated
-    at once: y of every live piece at every midpoint, sorted per interval,
-    windings as cumulative sums.  Rings are assumed valid (each polygon's
-    winding is 0 or 1, holes clockwise), so "inside some B polygon" is
-    "summed B winding > 0".
-    """
-    key, slab = int(pdf["key"].iloc[0]), int(pdf["slab"].iloc[0])
-    xa, xb = pdf["xa"].to_numpy(float), pdf["xb"].to_numpy(float)
-    ya, yb = pdf["ya"].to_numpy(float), pdf["yb"].to_numpy(float)
-    sg = pdf["sg"].to_numpy(float)
-    is_a = pdf["owner"].to_numpy(np.int64) == -1
-    if not is_a.any() or is_a.all():
-        return pd.DataFrame({"key": [key], "slab": [slab], "area": [0.0]})
-    oy = float(min(ya.min(), yb.min()))
-    ya, yb = ya - oy, yb - oy
-    slope = (yb - ya) / (xb - xa)
-    # pairwise crossings of pieces overlapping in x
-    lo = np.maximum.outer(xa, xa)
-    hi = np.minimum.outer(xb, xb)
-    fl = ya[:, None] + slope[:, None] * (lo - xa[:, None])
-    gl = ya[None, :] + slope[None, :] * (lo - xa[None, :])
-    fh = ya[:, None] + slope[:, None] * (hi - xa[:, None])
-    gh = ya[None, :] + slope[None, :] * (hi - xa[None, :])
-    dl, dh = fl - gl, fh - gh
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cross = (hi > lo) & (dl * dh < 0)
-        xc = lo + dl / (dl - dh) * (hi - lo)
-    ev = np.unique(np.concatenate([xa, xb, xc[cross]]))
-    x0, x1 = ev[:-1], ev[1:]
-    keep = x1 > x0
-    x0, x1 = x0[keep], x1[keep]
-    if len(x0) == 0:
-        return pd.DataFrame({"key": [key], "slab": [slab], "area": [0.0]})
-    xm = 0.5 * (x0 + x1)
-    live = (xa[None, :] <= xm[:, None]) & (xb[None, :] >= xm[:, None])       # M x P
-    y = np.where(live, ya[None, :] + slope[None, :] * (xm[:, None] - xa[None, :]), -np.inf)
-    order = np.argsort(-y, axis=1, kind="stable")
-    ys = np.take_along_axis(y, order, axis=1)
-    w = np.where(live, sg[None, :], 0.0)
-    ws = np.take_along_axis(w, order, axis=1)
-    za = np.take_along_axis(np.broadcast_to(is_a, y.shape), order, axis=1)
-    wind_a = np.cumsum(np.where(za, ws, 0.0), axis=1)
-    wind_b = np.cumsum(np.where(za, 0.0, ws), axis=1)
-    with np.errstate(invalid="ignore"):
-        gap = ys[:, :-1] - ys[:, 1:]            # -inf - -inf on dead slots -> nan
-    covered = (wind_a[:, :-1] > 0.5) & (wind_b[:, :-1] > 0.5) & np.isfinite(gap)
-    length = np.where(covered, gap, 0.0).sum(axis=1)
-    return pd.DataFrame({"key": [key], "slab": [slab], "area": [float((length * (x1 - x0)).sum())]})
+#: Share of a unit to which coordinates are rounded: exact for those with up to 36 binary places.
+UNION_GRID = 2.0 ** -36
 
 
 def union_area(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: str,
-               b_rings: str, slab: float, cell: float) -> DataFrame:
-    """(a_key, area): area of each A polygon covered by the union of B."""
+               b_rings: str, slab: float, cell: float, grid: float = UNION_GRID,
+               layer: str | None = None) -> DataFrame:
+    """(a_key, area): area of each A polygon covered by the union of B; with
+    ``layer``, a column of B, (a_key, layer, area) by the union of each layer.
+
+    The edges of an A polygon and of all B polygons near it are noded
+    together; an edge bounds the covered region if both windings are above
+    zero on one side only, and the area is the sum over those edges.  Nothing
+    is grouped by polygon or slab: cells hold a bounded number of edges.
+    ``slab`` is the width of the cells before crowded ones are split.
+    """
+    by = [a_key, *([layer] if layer else [])]
+    key = F.struct(*by)
     pairs = bbox_pairs(a, a_key, a_rings, b, b_key, b_rings, cell)
-    pa = edge_pieces(a, a_key, a_rings, slab) \
-        .select(F.col(a_key).cast("long").alias("key"), "slab", "xa", "xb", "ya", "yb", "sg",
-                F.lit(-1).cast("long").alias("owner"))
-    pb = edge_pieces(b, b_key, b_rings, slab).join(pairs, b_key) \
-        .select(F.col(a_key).cast("long").alias("key"), "slab", "xa", "xb", "ya", "yb", "sg",
-                F.col(b_key).cast("long").alias("owner"))
-    pb = pb.join(pa.select("key", "slab").distinct(), ["key", "slab"], "left_semi")
-    pieces = pa.join(pb.select("key", "slab").distinct(), ["key", "slab"], "left_semi") \
-        .unionByName(pb)
-    per = pieces.groupBy("key", "slab").applyInPandas(_slab_union, UNION_SCHEMA)
-    return (per.groupBy("key").agg(F.sum("area").alias("area"))
-            .select(F.col("key").alias(a_key), "area"))
+    near = cut_lineage(b.select(b_key, b_rings, *by[1:]).join(pairs, b_key), "near-polygons")
+    own = a.select(a_key, a_rings).join(near.select(*by).distinct(), a_key)
+    ea = A.polygon_edges(own.withColumn("_key", key), "_key", a_rings, grid)
+    eb = A.polygon_edges(near.withColumn("_key", key), "_key", b_rings, grid, a=0, b=1)
+    width = 2.0 ** round(math.log2(slab / grid))
+    e = A.noded(ea.unionByName(eb), width).where("ma <> 0 or mb <> 0")
+    area = A.area_of(A.boundary(e, lambda wa, wb: f"{wa} > 0 and {wb} > 0", width), "_key", grid)
+    return area.select(*[F.col(f"_key.{c}").alias(c) for c in by], "area")
 
 
 def intersects_sliced(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: str,

@@ -4,10 +4,10 @@ A point-in-polygon join never compares every point with every polygon:
 polygons are cut into grid cells once (a small table), points compute
 their cell with two ``floor`` calls, and the equi join on the cell id is a
 broadcast hash join or a shuffle join as Spark decides from the cell table's
-bytes.  Inside a cell the even-odd ray test only needs the polygon
-edges of that cell's row to the right of the cell, which the cell table
-carries; cells with no edge at all are either fully inside (kept with an
-``interior`` flag, no test) or outside (dropped).
+bytes.  Cells with many edges are split (:func:`arrangement.cover`), so a
+cell carries a bounded number of its own edges, however many vertices a
+polygon has; the winding at the cell's corner stands for all others.  Cells
+with no edge at all are either inside (kept, no test) or outside (dropped).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from . import arrangement as A
 
 
 def _cell_range(lo: Column, hi: Column, size: float) -> Column:
@@ -23,42 +24,21 @@ def _cell_range(lo: Column, hi: Column, size: float) -> Column:
                       F.floor(hi / F.lit(size)).cast("long"))
 
 
-def zone_cells(zones: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
-    """(key, ci, cj, interior, row_edges) for every cell a zone touches."""
-    xmin, ymin, xmax, ymax = G.bbox(rings)
-    z = zones.select(F.col(key).alias("_key"), G.poly_edges(rings).alias("_edges"),
-                     xmin.alias("_xmin"), ymin.alias("_ymin"),
-                     xmax.alias("_xmax"), ymax.alias("_ymax"))
-    z = (z.withColumn("ci", F.explode(_cell_range(F.col("_xmin"), F.col("_xmax"), cell)))
-          .withColumn("cj", F.explode(_cell_range(F.col("_ymin"), F.col("_ymax"), cell))))
-    c = repr(float(cell))
-    x0, y0 = f"(ci * {c})", f"(cj * {c})"
-    x1, y1 = f"(ci * {c} + {c})", f"(cj * {c} + {c})"
-    z = z.withColumn("row_edges", G.col(
-        f"filter(_edges, e -> least(e.y1, e.y2) <= {y1} AND greatest(e.y1, e.y2) >= {y0} "
-        f"AND greatest(e.x1, e.x2) >= {x0})"))
-    z = z.withColumn("_touch", G.col(f"exists(row_edges, e -> least(e.x1, e.x2) <= {x1})"))
-    centre = G.inside_sql(f"({x0} + {cell / 2!r})", f"({y0} + {cell / 2!r})", "row_edges")
-    z = z.withColumn("interior", G.col(f"NOT _touch AND {centre}"))
-    return (z.where(F.col("_touch") | F.col("interior"))
-            .select(F.col("_key").alias(key), "ci", "cj", "interior",
-                    F.when(F.col("interior"), F.array().cast(f"array<{G.EDGE}>"))
-                    .otherwise(F.col("row_edges")).alias("row_edges")))
+def zone_cells(zones: DataFrame, key: str, rings: str, cell: float, limit: int = A.LIMIT) -> tuple[DataFrame, int]:
+    """The cells that the zones touch or hold, at most ``limit`` edges each, and the deepest level."""
+    return A.cover(A.polygon_edges(zones, key, rings), cell, limit, inside=True)
 
 
 def zone_join(points: DataFrame, zones: DataFrame, key: str = "zone",
-              rings: str = "rings", cell: float = 2.0, x: str = "x", y: str = "y") -> DataFrame:
+              rings: str = "rings", cell: float = 2.0, x: str = "x", y: str = "y",
+              cells: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Inner join of points with every zone that contains them (``within``
     up to the even-odd rule on edges).  Output: point columns + ``key``.
 
     A point inside several overlapping zones is returned once per zone.
+    ``cells`` is what :func:`zone_cells` gave for these zones and this cell.
     """
-    cells = zone_cells(zones, key, rings, cell)
-    p = (points.withColumn("ci", F.floor(F.col(x) / F.lit(cell)).cast("long"))
-               .withColumn("cj", F.floor(F.col(y) / F.lit(cell)).cast("long")))
-    j = p.join(cells, ["ci", "cj"])
-    hit = F.col("interior") | G.inside(f"`{x}`", f"`{y}`", "row_edges")
-    return j.where(hit).drop("ci", "cj", "interior", "row_edges")
+    return A.points_in(points, cells or zone_cells(zones, key, rings, cell), cell, x, y, key)
 
 
 def bbox_pairs(a: DataFrame, a_key: str, a_rings: str, b: DataFrame, b_key: str,

@@ -1079,3 +1079,70 @@ crossed AS (
 polys AS (SELECT kind, id, count(*) AS n FROM ed GROUP BY kind, id)
 SELECT p.kind, p.id, CAST(p.n AS BIGINT) AS n_vertices, p.n >= 3 AS enough_vertices, c.id IS NULL AS simple
 FROM polys p LEFT JOIN crossed c ON c.kind = p.kind AND c.id = p.id"""
+
+
+# --- regions by vertical strips ----------------------------------------------
+# Between two neighbouring x of ends and crossings no edges cross, so a region's part is a stack of trapezoids.
+
+def _strips(edges: str, inside: str) -> str:
+    """CTEs over ``edges`` (k, x1, y1, x2, y2): gap(k, x0, x1, y, next_y) of each strip's middle where ``inside`` holds."""
+    return f"""xs AS (
+  SELECT k, x1 AS x FROM {edges} UNION
+  SELECT a.k, a.x1 + ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1))
+         / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) * (a.x2 - a.x1)
+  FROM {edges} a JOIN {edges} b ON a.k = b.k AND (a.x2 - a.x1) * (b.y2 - b.y1) <> (a.y2 - a.y1) * (b.x2 - b.x1)
+  WHERE ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1))
+        / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) BETWEEN 0 AND 1
+    AND ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1))
+        / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) BETWEEN 0 AND 1),
+strip AS (SELECT * FROM (SELECT k, x AS x0, lead(x) OVER (PARTITION BY k ORDER BY x) AS x1 FROM xs) WHERE x1 - x0 > 1e-9),
+span AS (
+  SELECT s.k, s.x0, s.x1, CASE WHEN e.x2 > e.x1 THEN 1 ELSE -1 END AS sg,
+         e.y1 + ((s.x0 + s.x1) / 2 - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1) AS y
+  FROM strip s JOIN {edges} e ON e.k = s.k AND least(e.x1, e.x2) <= (s.x0 + s.x1) / 2 AND greatest(e.x1, e.x2) >= (s.x0 + s.x1) / 2
+  WHERE e.x1 <> e.x2),
+stack AS (
+  SELECT *, lead(y) OVER w AS next_y, sum(sg) OVER (w ROWS UNBOUNDED PRECEDING) AS winding, row_number() OVER w AS nth
+  FROM span WINDOW w AS (PARTITION BY k, x0 ORDER BY y)),
+gap AS (SELECT k, x0, x1, y, next_y FROM stack WHERE {inside} AND next_y IS NOT NULL)"""
+
+
+_KINDS = ", ".join(f"({kind}, {i}, {x}, {y}, {len(ring)})" for kind, ring in enumerate((
+    ((0, 0), (8, 6), (8, 0), (0, 6)),
+    ((0, 6), (12, 6), (2, 14), (6, 0), (10, 14)),
+    ((0, 0), (10, 0), (10, 10), (4, 10), (4, 4), (14, 4), (14, 14), (0, 14)),
+    ((0, 0), (12, 0), (12, 12), (0, 12), (0, 6), (4, 6), (4, 8), (8, 8), (8, 4), (4, 4), (4, 6), (0, 6)),
+)) for i, (x, y) in enumerate(ring))
+
+ORACLE["q_ring_repair"] = f"""WITH v(kind, i, x, y, n) AS (VALUES {_KINDS}),
+e AS (
+  SELECT s_suppkey AS k, (s_suppkey * 37) % 100 + a.x::DOUBLE AS x1, (s_suppkey * 53) % 100 + a.y::DOUBLE AS y1,
+         (s_suppkey * 37) % 100 + b.x::DOUBLE AS x2, (s_suppkey * 53) % 100 + b.y::DOUBLE AS y2
+  FROM supplier JOIN v a ON a.kind = s_suppkey % 4 JOIN v b ON b.kind = a.kind AND b.i = (a.i + 1) % a.n),
+""" + _strips("e", "nth % 2 = 1") + """
+-- two wings; five points around the centre, which is outside; a loop's inside is a hole; a hole in a square
+SELECT k AS poly_id, round(sum((x1 - x0) * (next_y - y)), 5) AS area,
+       CAST(CASE k % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 2 END AS BIGINT) AS n_rings,
+       CAST(CASE k % 4 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n_holes, true AS valid
+FROM gap GROUP BY k"""
+
+# the outline's length: parts of edges with the union on one side only
+ORACLE["q_union_outline"] = _with(HEDGES) + """,
+e AS (SELECT DISTINCT h.river AS k, x1, y1, x2, y2 FROM hedges JOIN haz h USING (poly_id)),
+""" + _strips("e", "winding > 0") + """,
+sides AS (
+  SELECT s.k, s.x0, s.x1, s.winding, s.winding - s.sg AS before, (e.y2 - e.y1) / (e.x2 - e.x1) AS slope
+  FROM stack s JOIN e ON e.k = s.k AND e.x1 <> e.x2 AND least(e.x1, e.x2) <= (s.x0 + s.x1) / 2 AND greatest(e.x1, e.x2) >= (s.x0 + s.x1) / 2
+   AND s.y = e.y1 + ((s.x0 + s.x1) / 2 - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1) AND s.sg = CASE WHEN e.x2 > e.x1 THEN 1 ELSE -1 END)
+SELECT a.k AS river, round(a.area, 3) AS area, round(p.len, 3) AS perimeter
+FROM (SELECT k, sum((x1 - x0) * (next_y - y)) AS area FROM gap GROUP BY k) a
+JOIN (SELECT k, sum((x1 - x0) * sqrt(1 + slope * slope)) AS len FROM sides WHERE (winding = 0) <> (before = 0) GROUP BY k) p USING (k)"""
+
+ORACLE["q_big_ring_count"] = _with(PTS) + """,
+v AS (SELECT p_partkey AS i, 50.0::DOUBLE + (30.0 + 10.0 * ((p_partkey * 7919) % 101) / 101.0::DOUBLE) * cos(2 * pi() * p_partkey / n) AS x,
+             50.0::DOUBLE + (30.0 + 10.0 * ((p_partkey * 7919) % 101) / 101.0::DOUBLE) * sin(2 * pi() * p_partkey / n) AS y, n
+      FROM part, (SELECT count(*) AS n FROM part)),
+e AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.i % b.n = (a.i + 1) % a.n),
+p AS (SELECT row_number() OVER () AS r, * FROM pts),
+hit AS (SELECT r, count(*) % 2 AS odd FROM p JOIN e ON (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY r)
+SELECT basin, CAST(count(*) AS BIGINT) AS n_points, round(max(depth), 6) AS depth_max FROM p JOIN hit USING (r) WHERE odd = 1 GROUP BY basin"""

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo as G
-from ..operators.dissolve import dissolve, outline_edges, outline_rings
+from ..operators.dissolve import boundary_rings, dissolve, outline_boundary, undirected
 from ..sources import testdata as T
+from ..sources.staging import staged
 from .common import round_doubles
 from .zone_queries import zone_population
 from .zones import zone_polys
@@ -54,9 +55,14 @@ def q_snap_precision(spark: SparkSession, d: str) -> DataFrame:
                         ",").alias("wkt_ring"))
 
 
+def ward_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Directed boundary edges of the wards (staged once)."""
+    return staged(spark, "ward_outline", d, lambda: outline_boundary(
+        T.zone_squares(spark, d).withColumn("rings", F.array("ring")), "ward", "rings"))
+
+
 def q_ward_outline_edges(spark: SparkSession, d: str) -> DataFrame:
-    sq = T.zone_squares(spark, d).withColumn("rings", F.array("ring"))
-    return outline_edges(sq, "ward", "rings")
+    return undirected(ward_outline(spark, d), "ward")
 
 
 def q_dissolve_attrs(spark: SparkSession, d: str) -> DataFrame:
@@ -123,8 +129,7 @@ def q_density(spark: SparkSession, d: str) -> DataFrame:
 def q_ward_outline_rings(spark: SparkSession, d: str) -> DataFrame:
     """Overview outlines: rings stitched per ward, simplified; area and
     perimeter per ward."""
-    sq = T.zone_squares(spark, d).withColumn("rings", F.array("ring"))
-    rings = outline_rings(outline_edges(sq, "ward", "rings"), "ward", tolerance=1e-4)
+    rings = boundary_rings(ward_outline(spark, d), "ward", tolerance=1e-4)
     return round_doubles(rings.groupBy("ward").agg(
         F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"),
         F.count(F.lit(1)).alias("n_rings")))
@@ -149,8 +154,7 @@ def q_ring_validity(spark: SparkSession, d: str) -> DataFrame:
 def overview_features(spark: SparkSession, d: str, tolerance: float = 1e-4) -> DataFrame:
     """B3: one GeoJSON feature per ward from the dissolved, simplified
     outline rings (closed; a MultiPolygon where a ward has several parts)."""
-    sq = T.zone_squares(spark, d).withColumn("rings", F.array("ring"))
-    r = outline_rings(outline_edges(sq, "ward", "rings"), "ward", tolerance=tolerance)
+    r = boundary_rings(ward_outline(spark, d), "ward", tolerance=tolerance)
     g = r.groupBy("ward").agg(F.sort_array(F.collect_list(F.struct("ring_id", "ring"))).alias("parts"))
     g = g.withColumn("rings", F.transform("parts", lambda p: p["ring"]))
     return g.select("ward", F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("ward")),

@@ -28,7 +28,8 @@ def q_overlay_area(spark: SparkSession, d: str) -> DataFrame:
 
 def q_union_area(spark: SparkSession, d: str) -> DataFrame:
     h = hazard_polys(spark, d)
-    return round_doubles(H.union_ratio(spark, d, h, "hazard"))
+    u = H.union_ratio(spark, d, h)
+    return round_doubles(u.withColumnsRenamed({"area": "hazard_area", "ratio": "hazard_ratio"}))
 
 
 def q_collapse_ratio(spark: SparkSession, d: str) -> DataFrame:

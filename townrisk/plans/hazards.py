@@ -38,15 +38,14 @@ def _zone_hazard_overlay(spark: SparkSession, d: str) -> DataFrame:
         .withColumnRenamed("area", "a")
 
 
-def union_ratio(spark: SparkSession, d: str, hz: DataFrame, prefix: str) -> DataFrame:
-    """zone, <prefix>_area, <prefix>_ratio (clipped to 1) for zones touched."""
+def union_ratio(spark: SparkSession, d: str, hz: DataFrame, layer: str | None = None) -> DataFrame:
+    """zone, area, ratio (clipped to 1) for zones touched; with ``layer`` for each of its values."""
     z = zone_polys(spark, d)
     u = union_area(z.select("zone", "rings"), "zone", "rings",
-                   hz.select("poly_id", "rings"), "poly_id", "rings",
-                   slab=K.FIXTURE_SLAB, cell=K.FIXTURE_PAIR_CELL)
+                   hz, "poly_id", "rings",
+                   slab=K.FIXTURE_SLAB, cell=K.FIXTURE_PAIR_CELL, layer=layer)
     u = u.join(z.select("zone", "zone_area"), "zone").where(F.col("area") > F.col("zone_area") * F.lit(1e-12))
-    return u.select("zone", F.col("area").alias(f"{prefix}_area"),
-                    F.least(F.col("area") / F.col("zone_area"), F.lit(1.0)).alias(f"{prefix}_ratio"))
+    return u.withColumn("ratio", F.least(F.col("area") / F.col("zone_area"), F.lit(1.0))).drop("zone_area")
 
 
 def collapse_by_zone(spark: SparkSession, d: str) -> DataFrame:
@@ -54,11 +53,9 @@ def collapse_by_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _collapse_by_zone(spark: SparkSession, d: str) -> DataFrame:
-    h = hazard_polys(spark, d)
-    flow = union_ratio(spark, d, h.where(F.col("river") == K.FIXTURE_COLLAPSE_FLOW_RIVER),
-                       "collapse_flow")
-    ero = union_ratio(spark, d, h.where(F.col("river") == K.FIXTURE_COLLAPSE_EROSION_RIVER),
-                      "collapse_erosion")
+    kinds = {K.FIXTURE_COLLAPSE_FLOW_RIVER: "collapse_flow", K.FIXTURE_COLLAPSE_EROSION_RIVER: "collapse_erosion"}
+    u = cut_lineage(union_ratio(spark, d, hazard_polys(spark, d).where(F.col("river").isin(*kinds)), "river"), "collapse_unions")
+    flow, ero = (u.where(F.col("river") == r).select("zone", F.col("ratio").alias(f"{k}_ratio")) for r, k in kinds.items())
     z = zone_polys(spark, d).select("zone")
     m = z.join(flow, "zone", "left").join(ero, "zone", "left")
     fr = F.coalesce(F.col("collapse_flow_ratio"), F.lit(0.0))

@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions import geo as G
 from ..operators.ranking import top1
 from ..operators.overlay import intersects_sliced
-from ..operators.spatial import zone_join
+from ..operators.spatial import zone_cells, zone_join
 from ..sources import testdata as T
 from ..sources.staging import staged
 
@@ -31,9 +31,20 @@ def hazard_polys(spark: SparkSession, d: str) -> DataFrame:
     return staged(spark, "hazard_polys", d, build)
 
 
+def zone_cover(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The grid cells of the zones (staged once) and their deepest level."""
+    cells = staged(spark, "zone_cover", d,
+                   lambda: zone_cells(zone_polys(spark, d), "zone", "rings", K.FIXTURE_CELL)[0])
+    return cells, cells.agg(F.max("_l")).first()[0] or 0
+
+
+def join_zones(points: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    return zone_join(points, zone_polys(spark, d), key="zone", cell=K.FIXTURE_CELL,
+                     cells=zone_cover(spark, d))
+
+
 def points_in_zones(spark: SparkSession, d: str) -> DataFrame:
-    return zone_join(T.points(spark, d), zone_polys(spark, d).select("zone", "rings"),
-                     key="zone", cell=K.FIXTURE_CELL)
+    return join_zones(T.points(spark, d), spark, d)
 
 
 def zone_basin_table(spark: SparkSession, d: str) -> DataFrame:
@@ -113,8 +124,7 @@ def _tide_by_zone(spark: SparkSession, d: str, cell_area: float = K.FIXTURE_TIDE
     """Flooded cells (points with depth > 0) per zone -> area ratio, mean
     depth inside the flooded part, max depth, exposure = ratio * mean."""
     cells = T.points(spark, d).where(F.col("depth") > 0)
-    j = zone_join(cells, zone_polys(spark, d).select("zone", "rings"), key="zone",
-                  cell=K.FIXTURE_CELL)
+    j = join_zones(cells, spark, d)
     a = j.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("s"),
                               F.max("depth").alias("mx"))
     z = zone_polys(spark, d).select("zone", "zone_area", "region")
@@ -161,8 +171,7 @@ def _borings_in_zones(spark: SparkSession, d: str) -> DataFrame:
     w = pl_weights(spark)
     assert_known_codes(b, w)       # an unknown class must stop the build, not weigh nothing
     bw = b.join(F.broadcast(w), "cls", "left")
-    return zone_join(bw, zone_polys(spark, d).select("zone", "rings"), key="zone",
-                     cell=K.FIXTURE_CELL)
+    return join_zones(bw, spark, d)
 
 
 def class_counts(j: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import arrangement_queries as aq
 from .plans import crime_queries as cq
 from .plans import zone_queries as zq
 from .plans import hazard_queries as hq
@@ -92,6 +93,9 @@ QUERIES: dict[str, Query] = {
     "q_snap_precision": gq.q_snap_precision,
     "q_ward_outline_edges": gq.q_ward_outline_edges,
     "q_ward_outline_rings": gq.q_ward_outline_rings,
+    "q_ring_repair": aq.q_ring_repair,
+    "q_union_outline": aq.q_union_outline,
+    "q_big_ring_count": aq.q_big_ring_count,
     "q_dissolve_attrs": gq.q_dissolve_attrs,
     "q_alias_resolve": gq.q_alias_resolve,
     "q_shared_keys": gq.q_shared_keys,

@@ -9,6 +9,8 @@ the parquet scans.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,6 +176,29 @@ def zone_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _ring_from(ox, oy, ((0, 0), (p, 0), (p, p), (0, p))).alias("ring"))
 
 
+def crossed_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings that cross or touch themselves: poly_id, rings."""
+    s = table(spark, sf_dir, "supplier")
+    cx = ((s.s_suppkey * 37) % 100).cast("double")
+    cy = ((s.s_suppkey * 53) % 100).cast("double")
+    kinds = [_ring_from(cx, cy, v) for v in K.FIXTURE_CROSSED_RINGS]
+    ring = F.coalesce(*[F.when(s.s_suppkey % len(kinds) == i, r) for i, r in enumerate(kinds)])
+    return s.select(s.s_suppkey.alias("poly_id"), F.array(ring).alias("rings"))
+
+
+def big_ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of one ring with a vertex a part, in order around the centre (n keys in a row): _k, x1, y1, x2, y2, ma, mb."""
+    centre, least, spread, steps = K.FIXTURE_BIG_RING
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
+    n = p.agg(F.count("*").alias("n"))
+    angle = F.lit(2 * math.pi) * F.col("i") / n.scalar()
+    radius = F.lit(least) + F.lit(spread) * (F.col("i") * 7919 % steps) / F.lit(float(steps))
+    v = p.select("i", (F.lit(centre) + radius * F.cos(angle)).alias("x"), (F.lit(centre) + radius * F.sin(angle)).alias("y"))
+    nxt = v.select(((F.col("i") - 1 + n.scalar()) % n.scalar()).alias("at"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return v.withColumn("at", F.col("i") % n.scalar()).join(nxt, "at").select(F.lit(0).cast("long").alias("_k"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2",
+                                   F.lit(1).cast("long").alias("ma"), F.lit(0).cast("long").alias("mb"))
+
+
 def area_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas with a generated raw name: key, ward, raw_name, pop.
 

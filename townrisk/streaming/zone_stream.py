@@ -16,9 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as K
-from ..operators.spatial import zone_join
-from ..plans.zones import zone_polys
+from ..plans.zones import join_zones
 from ..session import ensure_checkpoint_dir
 from ..sources import testdata as T
 
@@ -41,8 +39,7 @@ def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
         src = src.option("maxFilesPerTrigger", files_per_trigger)
     src = src.parquet(source_dir or d)
     pts = T.points_from(src)
-    joined = zone_join(pts, zone_polys(spark, d).select("zone", "rings"), key="zone",
-                       cell=K.FIXTURE_CELL)
+    joined = join_zones(pts, spark, d)
     agg = joined.groupBy("zone").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("depth") > 0).alias("n_flood"),
         F.sum("depth").alias("depth_sum"), F.max("depth").alias("depth_max"),
