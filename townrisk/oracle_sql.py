@@ -1146,3 +1146,5 @@ e AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.i
 p AS (SELECT row_number() OVER () AS r, * FROM pts),
 hit AS (SELECT r, count(*) % 2 AS odd FROM p JOIN e ON (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY r)
 SELECT basin, CAST(count(*) AS BIGINT) AS n_points, round(max(depth), 6) AS depth_max FROM p JOIN hit USING (r) WHERE odd = 1 GROUP BY basin"""
+
+ORACLE["q_overlay_chunks"] = ORACLE["q_overlay_area"]

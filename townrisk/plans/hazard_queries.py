@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import hazards as H
 from .common import round_doubles
 from .zones import hazard_polys, zone_polys
@@ -26,6 +29,12 @@ def q_overlay_area(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(H.zone_hazard_overlay(spark, d))
 
 
+def q_overlay_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """B5: the overlay areas by a resumable build in the shared folder."""
+    folder = hashlib.sha256(d.encode()).hexdigest()[:16]
+    return round_doubles(H.chunked_overlay(spark, d, f"{shared_folder(spark)}/builds/overlay-{folder}"))
+
+
 def q_union_area(spark: SparkSession, d: str) -> DataFrame:
     h = hazard_polys(spark, d)
     u = H.union_ratio(spark, d, h)

@@ -10,6 +10,7 @@ from ..operators.overlay import intersects_sliced, overlay_area, union_area
 from ..operators.ranking import top1
 from ..operators.sizing import cut_lineage
 from ..operators.spatial import bbox_pairs
+from ..sources.chunked import ChunkedBuild, input_fingerprint
 from ..sources.staging import staged
 from .zones import hazard_polys, zone_polys
 
@@ -109,6 +110,26 @@ def _national_by_zone(spark: SparkSession, d: str) -> DataFrame:
         (F.col("max_rk") > F.col("main_rk")).alias("deeper_than_main"))
 
 
+OVERLAY_CHUNKS = 4
+
+
+def overlay_chunk(spark: SparkSession, d: str, chunk: str, chunks: int = OVERLAY_CHUNKS) -> DataFrame:
+    """The overlay areas of one chunk of the zones, by a hash of the key."""
+    z = zone_polys(spark, d).select("zone", "rings").where(F.pmod(F.xxhash64("zone"), F.lit(chunks)) == int(chunk))
+    h = hazard_polys(spark, d).select("poly_id", "rings")
+    return overlay_area(z, "zone", "rings", h, "poly_id", "rings", slab=K.FIXTURE_SLAB,
+                        cell=K.FIXTURE_PAIR_CELL).withColumnRenamed("area", "a")
+
+
+def chunked_overlay(spark: SparkSession, d: str, path: str, chunks: int = OVERLAY_CHUNKS) -> DataFrame:
+    """The overlay areas built chunk by chunk under ``path``; a build that was cut off goes on with the rest."""
+    inputs = [f"{d}/{t}.parquet" for t in ("nation", "region", "supplier")]
+    build = ChunkedBuild(spark, path, input_fingerprint(spark, inputs, f"overlay {chunks} {K.FIXTURE_SLAB}"))
+    names = [str(c) for c in range(chunks)]
+    build.run(names, lambda c: overlay_chunk(spark, d, c, chunks))
+    return build.read(names)
+
+
 def zone_hazard_pairs(spark: SparkSession, d: str) -> DataFrame:
     z = zone_polys(spark, d).select("zone", "rings")
     h = hazard_polys(spark, d).select("poly_id", "rings")

@@ -48,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "q_poly_intersects": hq.q_poly_intersects,
     "q_semi_candidates": hq.q_semi_candidates,
     "q_overlay_area": hq.q_overlay_area,
+    "q_overlay_chunks": hq.q_overlay_chunks,
     "q_union_area": hq.q_union_area,
     "q_collapse_ratio": hq.q_collapse_ratio,
     "q_national_rivers": hq.q_national_rivers,
