@@ -1148,3 +1148,8 @@ hit AS (SELECT r, count(*) % 2 AS odd FROM p JOIN e ON (e.y1 > p.y) <> (e.y2 > p
 SELECT basin, CAST(count(*) AS BIGINT) AS n_points, round(max(depth), 6) AS depth_max FROM p JOIN hit USING (r) WHERE odd = 1 GROUP BY basin"""
 
 ORACLE["q_overlay_chunks"] = ORACLE["q_overlay_area"]
+
+ORACLE["q_geojson_split"] = _with(HEDGES) + """
+SELECT poly_id, CAST(any_value(river) AS BIGINT) AS river, count(*) AS n_vertices,
+       round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) AS area, true AS valid
+FROM hedges JOIN haz USING (poly_id) GROUP BY poly_id"""

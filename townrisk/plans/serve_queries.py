@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..sources.staging import unstaged
 from .combine import combine
 from .common import round_doubles
 from .marts import mart_hazard, mart_scores, mart_towns
+from .zones import hazard_polys
 
 
 def q_combine_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -241,6 +244,23 @@ def q_geojson_features(spark: SparkSession, d: str) -> DataFrame:
     return geojson_features(spark, d)
 
 
+def q_geojson_split(spark: SparkSession, d: str) -> DataFrame:
+    """A8: the hazards as feature collections, one a task, read back in byte ranges."""
+    from ..functions import geo as G
+    from ..session import shared_folder
+    from ..sources.files import load_geojson_split
+    from ..sources.geojson_split import write_collections
+    f = hazard_polys(spark, d).select(F.concat(
+        F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("poly_id", "river")),
+        F.lit(',"geometry":'), G.col(G.geometry_sql("rings")), F.lit("}")).alias("feature"))
+    folder = f"{shared_folder(spark)}/geojson-{uuid.uuid4().hex}"
+    write_collections(f, folder)
+    back = load_geojson_split(spark, folder)
+    return round_doubles(back.select(F.col("properties")["poly_id"].cast("long").alias("poly_id"), F.col("properties")["river"].cast("long").alias("river"),
+                                     F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)).cast("long").alias("n_vertices"),
+                                     G.area("rings").alias("area"), "valid"))
+
+
 def q_dq_set_equality(spark: SparkSession, d: str) -> DataFrame:
     """Feature keys against the areas that claim a polygon, and (the hatched
     set) features without a safety score against areas that aren't scored."""

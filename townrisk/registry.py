@@ -78,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "q_ward_rollup": sq.q_ward_rollup,
     "q_dq_status": sq.q_dq_status,
     "q_geojson_features": sq.q_geojson_features,
+    "q_geojson_split": sq.q_geojson_split,
     "q_dq_set_equality": sq.q_dq_set_equality,
     "q_rebuild_diff": sq.q_rebuild_diff,
     "q_ward_prefix": nq.q_ward_prefix,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import geo as G
 from ..functions import text as X
+from .geojson_split import SPLIT, split_features
 
 
 # --- guards ---------------------------------------------------------------------
@@ -142,8 +143,9 @@ def boring_weights(borings: DataFrame, label: str) -> DataFrame:
 
 # --- GeoJSON ------------------------------------------------------------------------
 
-FEATURES_SCHEMA = ("features array<struct<type: string, properties: map<string, string>, "
-                   "geometry: struct<type: string, coordinates: string>>>")
+FEATURE_SCHEMA = ("struct<type: string, properties: map<string, string>, "
+                  "geometry: struct<type: string, coordinates: string>>")
+FEATURES_SCHEMA = f"features array<{FEATURE_SCHEMA}>"
 
 
 def load_geojson(spark: SparkSession, paths) -> DataFrame:
@@ -161,13 +163,29 @@ def load_geojson(spark: SparkSession, paths) -> DataFrame:
     d = spark.read.option("multiLine", True).schema(FEATURES_SCHEMA).json(paths)
     f = d.select(F.col("_metadata.file_name").alias("file"),
                  F.posexplode("features").alias("fid", "f"))
+    return _polygon_features(f.select("file", F.col("fid").cast("long").alias("fid"), "f"))
+
+
+def load_geojson_split(spark: SparkSession, paths, split: int = SPLIT) -> DataFrame:
+    """The same rows as :func:`load_geojson`, but every file is read in byte ranges by many tasks."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if not paths:
+        raise FileNotFoundError("no GeoJSON files given")
+    for p in paths:
+        require_path(spark, p, "GeoJSON")
+    f = split_features(spark, paths, split)
+    return _polygon_features(f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("fid").cast("long").alias("fid"),
+                                      F.from_json("text", FEATURE_SCHEMA).alias("f")))
+
+
+def _polygon_features(f: DataFrame) -> DataFrame:
     gtype, coords = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     poly = F.array(F.from_json(coords, "array<array<array<double>>>"))
     multi = F.from_json(coords, "array<array<array<array<double>>>>")
     raw = F.when(gtype == "Polygon", poly).when(gtype == "MultiPolygon", multi)
     rings = F.transform(raw, lambda part: F.transform(part, lambda r: F.transform(
         r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
-    out = f.select("file", F.col("fid").cast("long").alias("fid"),
+    out = f.select("file", "fid",
                    F.col("f.properties").alias("properties"), rings.alias("raw")) \
         .where(F.col("raw").isNotNull())
     # ring hygiene per part: open rings, no repeated vertices, outer ccw / holes cw

@@ -30,6 +30,12 @@ def staged(spark: SparkSession, name: str, sf_dir: str,
     return _MEMO[key]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A Parquet copy in the shared folder, for a result that several plans read."""
+    from ..session import shared_table
+    return shared_table(df, name)
+
+
 def clear_staged() -> None:
     _MEMO.clear()
 
