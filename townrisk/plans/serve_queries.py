@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from . import serve as S
+from ..operators.compare import differing_rows
 from ..sources.staging import unstaged
 from .combine import combine
 from .common import round_doubles
@@ -283,7 +284,7 @@ def q_rebuild_diff(spark: SparkSession, d: str) -> DataFrame:
     with unstaged():
         b = round_doubles(combine(spark, d).select("zone", "safety_score", "flood_score",
                                                    "tide_score", "ground_score"))
-    from ..operators.quality import set_difference_counts
-    return set_difference_counts(a, b).select(
-        F.col("only_left").alias("only_staged"), F.col("only_right").alias("only_rebuilt"))
+    left, right, _ = differing_rows(a, b, ["zone"])
+    n = right.agg(F.count("*").alias("n"))
+    return left.agg(F.count("*").alias("only_staged")).select("only_staged", n.scalar().alias("only_rebuilt"))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..plans.zones import join_zones
 from ..session import ensure_checkpoint_dir
 from ..sources import testdata as T
+from .versions import VersionedTable
 
 
 def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
@@ -49,16 +50,18 @@ def zone_stats_stream(spark: SparkSession, d: str, out_dir: str | None = None,
     out = out_dir or os.path.join(base, "stream-out", run)
     ckpt = checkpoint or os.path.join(base, "stream-ckpt", run)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    table = VersionedTable(spark, out, ["zone"])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        table.upsert(batch, epoch)      # update mode: the zones this batch changed
 
     parts = state_partitions or max(1, spark.sparkContext.defaultParallelism)
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+        q = (agg.writeStream.outputMode("update").foreachBatch(write)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return table.read()
