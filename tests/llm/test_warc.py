@@ -78,3 +78,20 @@ def test_lost_records_stop(spark):
     W.check_counts(archives, spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "path string"))
     with pytest.raises(ValueError, match="a 2 1; c 1 0|c 1 0; a 2 1"):
         W.check_counts(archives, spark.createDataFrame([("a",), ("b",)], "path string"))
+
+
+def test_repeated_page_ids_with_other_payloads(spark, tmp_path):
+    x, y = "x" * 1500, "y" * 1500
+    rows = [(5, "a", x), (5, "b", y), (1, "c", x), (2, "d", y), (2, "e", "short"), (5, "f", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as named", "2 as path")
+    got = [tuple(r) for r in W.round_trip(pages, str(tmp_path / "w")).collect()]
+    assert sorted(got, key=str) == plain(rows) and len(got) == len(rows)
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(600).selectExpr("id as page_id", "'u' as url", "sha2(string(id), 512) || repeat(sha2(string(id + 7), 512), 20) as html")
+    archives = W.write_archives(pages.coalesce(1), str(tmp_path / "w"))
+    assert archives.count() == 1
+    from pyspark.sql import functions as F
+    read = W.read_archives(archives, 4096)
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() > 10 and read.count() == 600

@@ -10,7 +10,7 @@ Files are opened by URI through pyarrow.fs in a folder that all executors share.
 A writing task names its files after its partition and attempt, and only files
 listed by the attempt that succeeded are read; lost tasks leave unread files.
 
-Edge cases: a null payload is empty, a null url an empty target; a null page_id
+Edge cases: repeated page_ids give a row each, with their own payloads; a null payload is empty, a null url an empty target; a null page_id
 has an empty record id; control characters in a url are percent-encoded; equal
 payloads of at least ``REVISIT_FROM`` bytes are written once, as the response
 with the largest page_id; an empty table gives no archive and an empty result.
@@ -32,6 +32,7 @@ from ..session import shared_folder, shared_table
 REVISIT_FROM = 1000
 ROLL = 64 << 20  # bytes after which a task begins a new archive
 SPLIT = 16 << 20
+MOST_TASKS = 100_000  # of a read; beyond it a task reads several ranges
 READ = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
@@ -202,7 +203,9 @@ def read_archives(archives: DataFrame, split: int = SPLIT) -> DataFrame:
     ranges = archives.select("path", F.explode(F.expr(
         f"transform(sequence(0L, greatest(bytes - 1, 0L), {split}L), x -> struct(x as first, least(x + {split}L, bytes) as end))")).alias("r")
     ).select("path", "r.first", "r.end")
-    return ranges.repartition(F.col("path"), F.col("first")).mapInArrow(
+    # a number of its own, as ranges are tiny rows that Spark would put together again into one task
+    ranges = shared_table(ranges, "ranges")
+    return ranges.repartition(max(1, min(MOST_TASKS, ranges.count()))).mapInArrow(
         _read, "path string, place long, record_id string, target string, record_type string, refers_to string, digest string, payload binary")
 
 
@@ -222,13 +225,13 @@ def round_trip(pages: DataFrame, folder: str | None = None, roll: int = ROLL, sp
         "path",
         F.expr(number.format("record_id").replace("cast(", "cast(nullif(").replace(" as bigint)", ", '') as bigint)")).alias("page_id"),
         F.octet_length("payload").cast("long").alias("own_bytes"), F.sha1("payload").alias("own_digest"), "record_type",
-        F.expr(number.format("refers_to")).alias("refers_to")), "records")
+        F.expr(number.format("refers_to")).alias("refers_to"), F.expr("substring(digest, 6)").alias("named")), "records")
     check_counts(archives, rows)
-    # a revisit has the payload of the response it names
+    # a revisit has the payload of the response it names, by page and by digest: a page_id can stand on several payloads
     whole = shared_table(rows.filter("record_type = 'response' and page_id is not null")
                          .join(rows.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
                          .select(F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("bytes"), F.col("own_digest").alias("digest"))
                          .filter(f"bytes >= {REVISIT_FROM}").distinct(), "responses")
-    return rows.join(whole, "refers_to", "left").select(
+    return rows.join(whole.withColumn("named", F.col("digest")), ["refers_to", "named"], "left").select(
         "page_id", F.coalesce("bytes", "own_bytes").alias("payload_bytes"), F.coalesce("digest", "own_digest").alias("payload_digest"),
         "record_type", "refers_to")
