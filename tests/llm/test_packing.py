@@ -9,16 +9,14 @@ from townrisk.llm import packing as P
 from townrisk.llm.chunks import ChunkTable
 
 ODD = ["", " ", "a b", "  a  b \n c", "a b   c", "é è　 x", "漢字 漢 字", "it's don't 'S 've x's",
-       "<|endoftext|> a", "a  ", " a ", "\u0085 a", "x ​ y", "q" * 3000 + " z", "a \x1c b", "𝔘 𝔘 b", "1 2 33 a1",
+       "<|endoftext|> a", "say <|endoftext|> now", "x<|endoftext|>y<|endoftext|>", "a  ", " a ", "\u0085 a", "x ​ y", "q" * 3000 + " z", "a \x1c b", "𝔘 𝔘 b", "1 2 33 a1",
        "the " * 20000]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(P.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.tokenizer_path())  # as it stands in the file: an added token's text is that token
 
 
 def test_ids_equal_the_tokenizer(tokenizer):
@@ -31,6 +29,23 @@ def test_ids_equal_the_tokenizer(tokenizer):
             assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0], t[:50]
 
 
+def thue_morse(a, b, n=10):
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_texts_of_one_hash_keep_their_ids(tokenizer):
+    """The two Thue-Morse strings of 1,024 letters have the same polynomial hash modulo 2^64."""
+    texts = [t for pair in ("ab", "xy", "é!") for t in thue_morse(*pair)]
+    for order in (texts, texts[::-1], texts + texts):
+        table = ChunkTable(P._encode_chunks(P.tokenizer_path()), slots=1 << 8, pool=1 << 12)
+        for group in (order, [t for o in order for t in (o + " " + o,)]):
+            for t, ids in zip(group, P.token_ids([t.encode() for t in group], table), strict=True):
+                assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+
+
 def check_sequences(pieces, lengths, window, groups=1):
     """pieces: (doc, start, length, sequence, offset)."""
     by_doc, by_seq = {}, {}

@@ -51,7 +51,10 @@ def chunk_keys(b: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarr
 
 
 class ChunkTable:
-    """Remembers (ids, floats) of chunks; ``encode(list[bytes])`` gives (lengths, flat ids, floats) of new ones."""
+    """Remembers (ids, floats) of chunks; ``encode(list[bytes])`` gives (lengths, flat ids, floats) of new ones.
+
+    The hash finds a slot; a chunk counts as known only if its bytes are those kept there.
+    """
 
     def __init__(self, encode: Callable, floats: int = 0, slots: int = 1 << 20, pool: int = 1 << 23):
         self.encode, self.slots, self.limit = encode, slots, pool
@@ -59,36 +62,77 @@ class ChunkTable:
         self.at = np.zeros(slots, np.int64)
         self.len = np.zeros(slots, np.int64)
         self.floats = np.zeros((slots, floats))
-        self.pool = np.zeros(1 << 16, np.uint16)
-        self.used = 1  # pool[0] is id 0
+        self.byte_at = np.zeros(slots, np.int64)
+        self.byte_len = np.zeros(slots, np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys[:] = 0
+        self.pool, self.used = np.zeros(1 << 16, np.uint16), 1  # pool[0] is id 0
+        self.bytes, self.bytes_used = np.zeros(1 << 16, np.uint8), 0
+
+    @staticmethod
+    def _grown(pool: np.ndarray, used: int, more: int) -> np.ndarray:
+        if used + more <= len(pool):
+            return pool
+        grown = np.zeros(max(2 * len(pool), used + more), pool.dtype)
+        grown[:used] = pool[:used]
+        return grown
 
     def _append(self, ids: np.ndarray) -> int:
-        if self.used + len(ids) > len(self.pool):
-            grown = np.zeros(max(2 * len(self.pool), self.used + len(ids)), np.uint16)
-            grown[:self.used] = self.pool[:self.used]
-            self.pool = grown
+        self.pool = self._grown(self.pool, self.used, len(ids))
         at, self.used = self.used, self.used + len(ids)
         self.pool[at:self.used] = ids
         return at
 
+    @staticmethod
+    def _same(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the ``n`` bytes at either place are equal, for each chunk (``n`` > 0)."""
+        out, ends = np.zeros(len(n), bool), np.cumsum(n)
+        at = 0
+        while at < len(n):  # in runs, so that scratch arrays stay small
+            before = ends[at] - n[at]
+            to = max(at + 1, int(np.searchsorted(ends, before + GROUP, "right")))
+            begin = ends[at:to] - n[at:to] - before
+            step = np.arange(ends[to - 1] - before)
+            unequal = x[np.repeat(x_at[at:to] - begin, n[at:to]) + step] != y[np.repeat(y_at[at:to] - begin, n[at:to]) + step]
+            out[at:to] = ~np.logical_or.reduceat(unequal, begin)
+            at = to
+        return out
+
     def look_up(self, b: np.ndarray, starts: np.ndarray, stops: np.ndarray):
         """For each chunk: place in the pool, number of ids, floats. Valid until the next call."""
-        if self.used > self.limit:  # start anew, so that memory stays bounded
-            self.keys[:] = 0
-            self.pool, self.used = np.zeros(1 << 16, np.uint16), 1
+        if self.used > self.limit or self.bytes_used > 4 * self.limit:  # start anew, so that memory stays bounded
+            self._clear()
+        size = stops - starts
         keys = chunk_keys(b, starts, stops)
         slot = (keys & U64(self.slots - 1)).astype(np.int64)
         at, n, x = self.at[slot], self.len[slot], self.floats[slot]
-        miss = np.flatnonzero(self.keys[slot] != keys)
-        if len(miss):
+        known = (self.keys[slot] == keys) & (self.byte_len[slot] == size)
+        k = np.flatnonzero(known)
+        known[k] = self._same(b, starts[k], self.bytes, self.byte_at[slot[k]], size[k])
+        miss = np.flatnonzero(~known)
+        while len(miss):
             new, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
             where = miss[first]
+            # chunks of one hash but other bytes wait for the next round
+            alike = size[miss] == size[where][back]
+            k = np.flatnonzero(alike)
+            alike[k] = self._same(b, starts[miss[k]], b, starts[where][back[k]], size[miss[k]])
             lens, ids, floats = self.encode([b[s:e].tobytes() for s, e in zip(starts[where].tolist(), stops[where].tolist(), strict=True)])
             begin = self._append(ids) + np.cumsum(lens) - lens
-            at[miss], n[miss] = begin[back], lens[back]
-            x[miss] = floats[back]
+            now, back = miss[alike], back[alike]
+            at[now], n[now] = begin[back], lens[back]
+            x[now] = floats[back]
             s = slot[where]
+            kept = np.concatenate([b[i:j] for i, j in zip(starts[where].tolist(), stops[where].tolist(), strict=True)])
+            self.bytes = self._grown(self.bytes, self.bytes_used, len(kept))
+            self.bytes[self.bytes_used:self.bytes_used + len(kept)] = kept
+            ends = self.bytes_used + np.cumsum(size[where])
+            self.bytes_used += len(kept)
             self.keys[s], self.at[s], self.len[s], self.floats[s] = new, begin, lens, floats
+            self.byte_at[s], self.byte_len[s] = ends - size[where], size[where]
+            miss = miss[~alike]
         return at, n, x
 
     def ids(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ def _byte_letters() -> dict[str, int]:
 
 @functools.cache
 def byte_bpe(path: str):
-    """An encoder of ordinary text with the vocabulary of a byte-level BPE file.
+    """An encoder of ordinary text (without added tokens) with the vocabulary of a byte-level BPE file.
 
     The file's merges stand in the order of their ids, so ids are ranks.
     """
@@ -65,11 +65,30 @@ def byte_bpe(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def added_tokens(path: str) -> tuple[bytes, ...]:
+    """The texts of the file's added tokens, which the tokenizer takes as one id wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"].encode() for t in json.load(f).get("added_tokens", []))
+
+
+@functools.cache
+def whole_tokenizer(path: str):
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
 def _encode_chunks(path: str):
-    encoder = byte_bpe(path)
+    encoder, added = byte_bpe(path), added_tokens(path)
+
+    def one(chunk: bytes) -> list[int]:
+        text = chunk.decode("utf-8", "replace")
+        if any(t in chunk for t in added):
+            return whole_tokenizer(path).encode(text, add_special_tokens=False).ids
+        return encoder.encode_ordinary(text)
 
     def encode(chunks: list[bytes]):
-        ids = [encoder.encode_ordinary(c.decode("utf-8", "replace")) for c in chunks]
+        ids = [one(c) for c in chunks]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return lens, np.fromiter((i for x in ids for i in x), np.uint16, int(lens.sum())), np.zeros((len(ids), 0))
 
