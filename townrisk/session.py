@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,14 +71,38 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
-def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Paths written inside each open :func:`table_scope`, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def table_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``shared_table`` writes inside are deleted at the end, but for those written with ``keep``.
+
+    For steps whose result is written, or reads kept tables only, when the
+    scope ends. A kept table belongs to the scope around this one, if any.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (cuts the lineage).
 
     Every call takes a new folder, so a rerun never reads a stale table; the
-    files go with the checkpoint folder.
+    files go with the scope that they are written in, else with the checkpoint
+    folder.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
