@@ -74,3 +74,35 @@ def test_empty_and_clashing_columns(spark):
     assert run(spark, []) == {}
     got = run(spark, [(1, "a b", 5, "x"), (2, "a  B", 6, "y")], SCHEMA + ", n long, component_id string")
     assert got[2].component_id == 1
+
+
+def thue_morse(letters, n=1024):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_thue_morse_words(spark):
+    """Two words that differ in every letter have the same polynomial modulo 2 ** 64."""
+    x, y = thue_morse("ab"), thue_morse("ba")
+    assert len(set(word_hashes(f"{x} {y}".encode()).tolist())) == 2
+    head = "one two three four five six seven eight nine ten"
+    check(spark, [(1, x), (2, y), (3, f"{head} {x}"), (4, f"{head} {y}"), (5, f"{x} {y} {x} {y} {x} {y} {y}")])
+
+
+def test_words_longer_than_a_piece(monkeypatch):
+    """A word has one hash, whatever path takes it."""
+    import townrisk.llm.textcore as T
+    word = b"k" * 30 + b"z" * 34
+    short = T.word_hashes(word)[0]
+    monkeypatch.setattr(T, "PIECE", 16)
+    assert T.word_hashes(b"a " + word + b" b c d e f g h i j k l")[1] == short
+
+
+def test_exact_shingles():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, 2, 4, 5, 6, 40, 40)]
+    got = M.exact_shingles([t.encode() for t in texts])
+    want = [brute.shingles(t) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    for i, x in enumerate(got):
+        for j, y in enumerate(got):
+            assert len(set(x.tolist()) & set(y.tolist())) == len(set(want[i]) & set(want[j])), (i, j)

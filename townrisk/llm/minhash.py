@@ -5,11 +5,13 @@
    form a class; from here on its smallest doc_id stands for it.
 2. Signature bands deal representatives into buckets. Nothing emits all pairs of
    a bucket: each bucket gets a leader (the member that shares most with others,
-   summed over its buckets), and the candidates are the members with their leader.
+   summed over its buckets). A member is first a candidate with one leader, the
+   one that it shares most buckets with; its other leaders are candidates only
+   where they are in another component after that.
 3. Candidates are compared signature batch by signature batch. After each
    batch a pair goes if the posterior probability (uniform prior) that its
    similarity reaches the threshold is below ``miss``. Survivors are verified
-   on their full shingle sets.
+   on their full shingle sets, by words and not by hashes.
 4. Buckets whose members are then still in different components are finished:
    every member outside the bucket's largest component is held against all
    members, in blocks of signatures, with the same Bayesian test; survivors of
@@ -22,8 +24,9 @@
 Edge cases: null and empty texts have no shingles and link with nothing; fewer
 words than a shingle make one shingle; repeated rows fall in one class; rows
 that share a doc_id but not the text are one node with several texts, and a
-link of any of them counts; extra columns are ignored; empty tables give an
-empty result.
+link of any of them counts; leaders that tie go by the smaller id; very long
+texts and words are hashed in pieces of 1 MB, a verified pair is held whole;
+extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_table
+from ..session import shared_table, table_scope
 from .graph import components
-from .textcore import U64, normal_words, shingle_set, text_bytes
+from .textcore import U64, exact_shingles, normal_words, shingle_set, text_bytes
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
@@ -121,18 +124,11 @@ def _prune(batches):
 
 
 def _verify(batches):
-    """Keeps the pairs with 100 * intersection >= PERCENT * union; a text is shingled once per run of equal texts."""
-    last: dict[str, tuple] = {}
-
-    def shingles(side: str, text: bytes) -> np.ndarray:
-        if last.get(side, (None,))[0] != text:
-            last[side] = (text, shingle_set(normal_words(text), SHINGLE))
-        return last[side][1]
-
+    """Keeps the pairs with 100 * intersection >= PERCENT * union, counted on the words themselves."""
     for batch in batches:
         keep = []
-        for k, (ta, tb) in enumerate(zip(text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b")), strict=True)):
-            x, y = shingles("a", ta), shingles("b", tb)
+        for k, pair in enumerate(zip(text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b")), strict=True)):
+            x, y = exact_shingles([normal_words(t) for t in pair], SHINGLE)
             common = len(np.intersect1d(x, y, assume_unique=True))
             if common and 100 * common >= PERCENT * (len(x) + len(y) - common):
                 keep.append(k)
@@ -172,17 +168,37 @@ def _sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
+def _ordered(stars: DataFrame) -> DataFrame:
+    return stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
+def _unpruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sizes and the Bayesian test on their signatures leave."""
+    return shared_table(_sides(pairs, reps, "sig", "n")
+                        .filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+                        .mapInArrow(_prune, "a long, b long"), "star-candidates")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return shared_table(_sides(pairs, texts, "text").mapInArrow(_verify, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
-    ids = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = shared_table(ids.mapInArrow(_sign, "doc_id long, seq binary, n long, sig binary"), "signatures")
+    with table_scope(docs.sparkSession):
+        signed, named = _named(docs.select(F.col("doc_id").cast("long"), "text"))
+    return (signed.join(named, "seq", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+            .withColumn("kept", F.expr("doc_id <=> component_id")))
+
+
+def _named(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, seq, n of every row; and the component of every class (seq)."""
+    sketched = shared_table(ids.mapInArrow(_sign, "doc_id long, seq binary, n long, sig binary"), "signatures")
+    signed = shared_table(sketched.select("doc_id", "seq", "n"), "shingle-counts", keep=True)
     classes = shared_table(signed.filter("n > 0").groupBy("seq").agg(F.min("doc_id").alias("rep")).filter("rep is not null"),
                            "classes")
-    reps = shared_table(signed.join(classes, (signed.seq == classes.seq) & (signed.doc_id == classes.rep), "left_semi")
+    reps = shared_table(sketched.join(classes, (sketched.seq == classes.seq) & (sketched.doc_id == classes.rep), "left_semi")
                         .select("doc_id", "n", "sig").distinct(), "representatives")
 
     # buckets with more than one member; counts and leaders are written before they are joined
@@ -196,13 +212,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = shared_table(members.join(central, "id").groupBy("key")
                            .agg(F.max_by(-F.col("id"), F.struct("shares", -F.col("id"))).alias("neg"))
                            .select("key", (-F.col("neg")).alias("leader")), "leaders")
-    stars = (members.join(leaders, "key").filter("id <> leader")
-             .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-    near = shared_table(_sides(stars, reps, "sig", "n")
-                        .filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-                        .mapInArrow(_prune, "a long, b long"), "star-candidates")
+    stars = shared_table(members.join(leaders, "key").filter("id <> leader")
+                         .groupBy("id", "leader").agg(F.count("*").alias("common")), "stars")
     texts = shared_table(ids.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    links = _verified(near, texts)
+    one = stars.groupBy("id").agg((-F.max_by(-F.col("leader"), F.struct("common", -F.col("leader")))).alias("leader"))
+    links = _verified(_unpruned(_ordered(one), reps), texts)
+    comps = components(links)
+    apart = stars.select("id", "leader")
+    for side in ("id", "leader"):
+        apart = (apart.join(comps.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
+                 .withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side)))
+    tried = one.select("id", "leader")
+    others = apart.filter("comp_id <> comp_leader").select("id", "leader").join(tried, ["id", "leader"], "left_anti")
+    links = links.union(_verified(_unpruned(_ordered(others), reps), texts))
     comps = components(links)
 
     # what the stars leave open: members outside their bucket's largest component, against all of the bucket
@@ -223,12 +245,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = _verified(left, texts)
         if not more.isEmpty():
             comps = components(links.union(more))
-
-    named = (classes.join(comps, classes.rep == comps.id, "left")
-             .select("seq", F.coalesce("comp", "rep").alias("component")))
-    return (signed.join(named, "seq", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-            .withColumn("kept", F.expr("doc_id <=> component_id")))
+    return signed, shared_table(classes.join(comps, classes.rep == comps.id, "left")
+                                .select("seq", F.coalesce("comp", "rep").alias("component")), "class-components", keep=True)
 
 
 def _block_candidates(placed: DataFrame, reps: DataFrame) -> DataFrame:
