@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; ``run`` writes each result as Parquet in the shared folder and reads it
 back as the next stage's documents.
+
+Null and empty texts fail the first stage's base rules (fewer than 20 words), a
+null in another column is kept as it is. Texts are taken whole, whatever their
+length. Of rows that repeat, or tie as copies, one with the smallest doc_id
+stays. Columns beside those of documents pass through all stages but the last.
+An empty table gives empty results at every stage.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from townrisk.llm.minhash import near_duplicates
 from townrisk.llm.packing import pack
 from townrisk.llm.quality_rules import quality_filtered
 from townrisk.llm.secrets import redacted
-from townrisk.session import shared_folder, shared_table, ship_package
+from townrisk.session import shared_folder, shared_table, ship_package, table_scope
 
 
 def _staying(docs: DataFrame, verdicts: DataFrame, same: list[str]) -> DataFrame:
@@ -74,6 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with table_scope(spark):  # a stage's own tables go when its output is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
