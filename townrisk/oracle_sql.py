@@ -705,6 +705,8 @@ SELECT t.key, t.ward, t.town, round(t.population, 6) AS population, round(s.safe
   round(h.flood_ratio, 6) AS flood_ratio, round(h.tide_ratio, 6) AS tide_ratio, h.liq_points, h.nat_rivers, h.flood_source
 FROM towns t JOIN scores s ON s.key = t.key JOIN zc ON zc.zone = t.key JOIN hazard h ON h.key = t.key"""
 
+ORACLE["q_town_one"] = ORACLE["q_town_detail"] + " WHERE t.key = 7"
+
 ORACLE["q_axis_corr"] = _with(*SERVE) + """
 SELECT round(corr(safety_score, flood_score), 6) AS corr_safety_flood,
   round(corr(safety_score, tide_score), 6) AS corr_safety_tide,
@@ -876,6 +878,9 @@ SELECT key, search_key FROM sn"""
 ORACLE["q_town_search"] = _with(NAMES, SEARCHN) + """
 SELECT key, ward, town FROM sn WHERE contains(search_key, '1丁目') ORDER BY ward, town LIMIT 60"""
 
+ORACLE["q_ward_search"] = _with(NAMES, SEARCHN) + """
+SELECT key, ward, town FROM sn WHERE ward = 'ward03' AND contains(search_key, '9二') ORDER BY ward, town LIMIT 60"""
+
 SLUGS = """slugs AS (
   SELECT key, ward, 'w' || substr(ward, 5, 2) AS ward_slug,
     't' || CAST(key AS VARCHAR) || '-' || regexp_extract(norm, '([0-9]+)丁目$', 1) AS town_slug

@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import geo as G
 from ..sources.staging import staged
 from .combine import combine
+from .safety import crime_wide
 
 # Fixture geometry is in kilometres of plane zone IX.
 FIXTURE_UNIT_M = 1000.0
@@ -23,7 +24,7 @@ def ward_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mart_towns(spark: SparkSession, d: str) -> DataFrame:
-    return staged(spark, "mart_towns", d, lambda: _mart_towns(spark, d))
+    return staged(spark, "mart_towns", d, lambda: _mart_towns(spark, d), cluster_by=["key"])
 
 
 def _mart_towns(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +47,7 @@ def _mart_towns(spark: SparkSession, d: str) -> DataFrame:
 
 def mart_scores(spark: SparkSession, d: str) -> DataFrame:
     return staged(spark, "mart_scores", d, lambda: _mart_scores(spark, d),
-                  partition_by=["data_year"])
+                  partition_by=["data_year"], cluster_by=["key"])
 
 
 def _mart_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,7 @@ def _mart_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def mart_hazard(spark: SparkSession, d: str) -> DataFrame:
     return staged(spark, "mart_hazard", d, lambda: _mart_hazard(spark, d),
-                  partition_by=["data_year"])
+                  partition_by=["data_year"], cluster_by=["key"])
 
 
 def _mart_hazard(spark: SparkSession, d: str) -> DataFrame:
@@ -95,3 +96,17 @@ def _mart_hazard(spark: SparkSession, d: str) -> DataFrame:
         i("nat_covered").alias("national_river"), "nat_rivers", "nat_ratio",
         f0("nat_exposure").alias("nat_exposure"), "nat_main_label", "nat_main_ratio",
         "nat_max_label", "nat_max_ratio", "flood_source", "tokyo_exposure")
+
+
+def mart_zone_crime(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "mart_zone_crime", d, lambda: _mart_zone_crime(spark, d),
+                  partition_by=["data_year"], cluster_by=["key"])
+
+
+def _mart_zone_crime(spark: SparkSession, d: str) -> DataFrame:
+    """The per-area crime counts summed up to the served keys."""
+    m = crime_wide(spark, d)
+    return (m.groupBy(F.col("zone").alias("key")).agg(
+        F.sum("serious").alias("serious_2y"), F.sum("serious_cur").alias("serious_r"),
+        F.sum("daily").alias("daily_r"), F.sum("total").alias("total_r"))
+        .withColumn("data_year", F.lit(K.DATA_YEAR)))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from . import names as N
 
 SEARCH_QUERY = "１丁目"
+SHORT_QUERY = "９ 二"
 
 
 def q_ward_prefix(spark: SparkSession, d: str) -> DataFrame:
@@ -32,13 +33,16 @@ def q_kanji_number(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_search_normalize(spark: SparkSession, d: str) -> DataFrame:
-    a = N.named_areas(spark, d)
-    return a.select("key", X.search_norm(F.concat("ward", "town")).alias("search_key"))
+    return N.search_names(spark, d).select("key", "search_key")
 
 
 def q_town_search(spark: SparkSession, d: str) -> DataFrame:
-    a = N.named_areas(spark, d).select("key", "ward", "town")
-    return N.search(a, SEARCH_QUERY)
+    return N.search(spark, d, SEARCH_QUERY)
+
+
+def q_ward_search(spark: SparkSession, d: str) -> DataFrame:
+    """A query of two characters within one ward."""
+    return N.search(spark, d, SHORT_QUERY, ward=N.fixture_wards()[3])
 
 
 def q_slug_lookup(spark: SparkSession, d: str) -> DataFrame:

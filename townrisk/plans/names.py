@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
+from ..operators import search as G
 from ..sources import testdata as T
 from ..sources.staging import staged
 
@@ -35,15 +36,30 @@ def named_areas(spark: SparkSession, d: str) -> DataFrame:
                   lambda: split_names(T.area_names(spark, d), "raw_name", fixture_wards()))
 
 
-def search(df: DataFrame, query: str, ward: str | None = None, n: int = 60) -> DataFrame:
+def search_names(spark: SparkSession, d: str) -> DataFrame:
+    """key, ward, town, search_key of every area; the search key is made once."""
+    return staged(spark, "search_names", d, lambda: named_areas(spark, d).select(
+        "key", "ward", "town", X.search_norm(F.concat("ward", "town")).alias("search_key")))
+
+
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    """Trigrams of the search keys, laid out by trigram (and key: most names share the block suffix)."""
+    return staged(spark, "search_index", d, lambda: G.trigram_rows(search_names(spark, d)), cluster_by=["gram", "key"])
+
+
+def search_counts(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, "search_counts", d, lambda: G.gram_counts(search_index(spark, d)), cluster_by=["gram"])
+
+
+def search(spark: SparkSession, d: str, query: str, ward: str | None = None, n: int = 60) -> DataFrame:
     """First n entries (list order: ward, town) whose normalised ward+town
     contains the normalised query; an empty query matches everything."""
-    nq = X.search_norm(F.lit(query))
-    hay = X.search_norm(F.concat(F.col("ward"), F.col("town")))
-    cond = F.when(nq == "", F.lit(True)).otherwise(hay.contains(nq))
+    wanted = spark.range(1).select(X.search_norm(F.lit(query)).alias("q")).first()["q"]
+    found = search_names(spark, d) if wanted == "" else \
+        G.containing(search_index(spark, d), search_counts(spark, d), wanted)
     if ward:
-        cond = cond & (F.col("ward") == ward)
-    return df.where(cond).orderBy("ward", "town").limit(n)
+        found = found.where(F.col("ward") == ward)
+    return found.select("key", "ward", "town").orderBy("ward", "town", "key").limit(n)
 
 
 def slug_table(spark: SparkSession, d: str) -> DataFrame:

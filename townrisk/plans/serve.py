@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .marts import mart_hazard, mart_scores, mart_towns
+from .marts import mart_hazard, mart_scores, mart_towns, mart_zone_crime
 
 AXES = ("safety", "flood", "tide", "ground")
 
@@ -38,25 +38,19 @@ def masked(df: DataFrame) -> DataFrame:
 
 
 def detail(spark: SparkSession, d: str, key=None, year: int = K.DATA_YEAR) -> DataFrame:
-    """4-way join of the served tables for one key (a pushed-down filter)
-    or for all keys."""
-    from .crime_queries import q_mart_crime  # per-area crime mart
+    """4-way join of the served tables for one key or for all keys.
+
+    The marts are laid out by key, so the filter on one key, which reaches
+    every scan, reads the row groups that hold it.
+    """
     t = mart_towns(spark, d)
-    s = mart_scores(spark, d).where(F.col("data_year") == year).drop("data_year")
-    h = mart_hazard(spark, d).where(F.col("data_year") == year).drop("data_year")
-    c = (q_mart_crime(spark, d).where(F.col("data_year") == year)
-         .join(spark.read.parquet(f"{d.rstrip('/')}/customer.parquet")
-               .select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("zone")),
-               "key")
-         .groupBy("zone").agg(F.sum("serious_2y").alias("serious_2y"),
-                              F.sum("serious_r").alias("serious_r"),
-                              F.sum("daily_r").alias("daily_r"),
-                              F.sum("total").alias("total_r"))
-         .withColumnRenamed("zone", "key"))
-    j = t.join(s, "key").join(c, "key").join(h, "key")
+    parts = [m(spark, d).where(F.col("data_year") == year).drop("data_year")
+             for m in (mart_scores, mart_zone_crime, mart_hazard)]
     if key is not None:
-        j = j.where(F.col("key") == F.lit(key))
-    return j
+        t, *parts = (m.where(F.col("key") == F.lit(key)) for m in (t, *parts))
+    for m in parts:
+        t = t.join(m, "key")
+    return t
 
 
 def axis_status(df: DataFrame) -> DataFrame:

@@ -60,12 +60,18 @@ def q_ward_codes(spark: SparkSession, d: str) -> DataFrame:
     return mart_towns(spark, d).select("ward", "ward_code").distinct()
 
 
+DETAIL = ("key", "ward", "town", "population", "safety_score", "flood_score", "tide_score", "ground_score",
+          "serious_2y", "daily_r", "total_r", "flood_ratio", "tide_ratio", "liq_points", "nat_rivers", "flood_source")
+ONE_KEY = 7
+
+
 def q_town_detail(spark: SparkSession, d: str) -> DataFrame:
-    j = S.detail(spark, d)
-    return round_doubles(j.select("key", "ward", "town", "population", "safety_score",
-                                  "flood_score", "tide_score", "ground_score", "serious_2y",
-                                  "daily_r", "total_r", "flood_ratio", "tide_ratio", "liq_points",
-                                  "nat_rivers", "flood_source"))
+    return round_doubles(S.detail(spark, d).select(*DETAIL))
+
+
+def q_town_one(spark: SparkSession, d: str) -> DataFrame:
+    """The detail record of one key, read from the row groups that hold it."""
+    return round_doubles(S.detail(spark, d, key=ONE_KEY).select(*DETAIL))
 
 
 def q_town_json(spark: SparkSession, d: str) -> DataFrame:

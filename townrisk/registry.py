@@ -64,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "q_index_meta": sq.q_index_meta,
     "q_ward_codes": sq.q_ward_codes,
     "q_town_detail": sq.q_town_detail,
+    "q_town_one": sq.q_town_one,
     "q_town_json": sq.q_town_json,
     "q_axis_corr": sq.q_axis_corr,
     "q_axis_status": sq.q_axis_status,
@@ -86,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "q_kanji_number": nq.q_kanji_number,
     "q_search_normalize": nq.q_search_normalize,
     "q_town_search": nq.q_town_search,
+    "q_ward_search": nq.q_ward_search,
     "q_slug_lookup": nq.q_slug_lookup,
     "q_detail_paths": nq.q_detail_paths,
     "q_ring_area": gq.q_ring_area,

@@ -92,7 +92,8 @@ def table_scope(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(conf).delete(p, True)
 
 
-def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
+def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False,
+                 options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (cuts the lineage).
 
     Every call takes a new folder, so a rerun never reads a stale table; the
@@ -103,7 +104,7 @@ def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     if len(_SCOPES) > keep:
         _SCOPES[-1 - keep].append(path)
-    w = df.write.option("compression", "zstd")
+    w = df.write.options(**{"compression": "zstd"} | (options or {}))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

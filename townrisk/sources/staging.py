@@ -22,14 +22,32 @@ _MEMO: dict[tuple[str, str, str], DataFrame] = {}
 
 def staged(spark: SparkSession, name: str, sf_dir: str,
            build: Callable[[], DataFrame], rebuild: bool = False,
-           partition_by: list[str] | None = None) -> DataFrame:
+           partition_by: list[str] | None = None, cluster_by: list[str] | None = None) -> DataFrame:
+    """The staged table; with ``cluster_by`` it is laid out for reads of few keys, as :func:`clustered` says."""
     key = (spark.sparkContext.applicationId, name, sf_dir)
     if rebuild or key not in _MEMO:
         from ..session import shared_table
-        _MEMO[key] = shared_table(build(), name, partition_by)
+        if cluster_by:
+            _MEMO[key] = clustered(build(), name, cluster_by, partition_by)
+        else:
+            _MEMO[key] = shared_table(build(), name, partition_by)
     return _MEMO[key]
 
 
+def clustered(df: DataFrame, name: str, keys: list[str], partition_by: list[str] | None = None,
+              options: dict[str, str] | None = None) -> DataFrame:
+    """A Parquet copy whose files hold ranges of ``keys`` in order, with a Bloom filter on the first of them.
+
+    A filter on the first key then reads the row groups whose bounds hold the
+    value, and of those only the ones whose Bloom filter doesn't rule it out.
+    The range partitioning samples, so a hot first key is spread if there are
+    further keys.
+    """
+    from ..session import shared_table
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*(partition_by or []), *keys)
+    return shared_table(laid, name, partition_by, options={f"parquet.bloom.filter.enabled#{keys[0]}": "true"} | (options or {}))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A Parquet copy in the shared folder, for a result that several plans read."""
     from ..session import shared_table
