@@ -17,6 +17,32 @@ SAFETY_WEIGHTS = {"serious": 0.65, "daily": 0.35}
 SAFETY_YEARS = {"serious": 2, "daily": 1}
 PRIOR_EVENTS = 2.0
 
+# Crime groups of the safety axis, by the count columns of the crime table
+# (fixed values): serious = violent + burglary, daily thefts, and the thefts
+# that visitors suffer.
+VIOLENT = ("凶悪犯強盗", "凶悪犯その他", "粗暴犯暴行", "粗暴犯傷害", "粗暴犯脅迫", "粗暴犯恐喝", "粗暴犯凶器準備集合")
+BURGLARY = ("侵入窃盗空き巣", "侵入窃盗忍込み", "侵入窃盗居空き")
+DAILY_THEFTS = ("非侵入窃盗自転車盗", "非侵入窃盗車上ねらい", "非侵入窃盗ひったくり", "非侵入窃盗すり", "非侵入窃盗置引き",
+                "非侵入窃盗オートバイ盗", "非侵入窃盗自動車盗")
+VISITOR_CRIMES = ("非侵入窃盗万引き", "非侵入窃盗置引き", "その他占有離脱物横領")
+CRIME_TOTAL = "総合計"
+# Served crime measures: output column -> the columns that it sums (fixed values).
+CRIME_MEASURES = {
+    "robbery": ("凶悪犯強盗",),
+    "violence": ("粗暴犯暴行", "粗暴犯傷害", "粗暴犯脅迫", "粗暴犯恐喝"),
+    "burglary": BURGLARY,
+    "bicycle": ("非侵入窃盗自転車盗",),
+    "vehicle": ("非侵入窃盗車上ねらい", "非侵入窃盗自動車盗", "非侵入窃盗オートバイ盗"),
+    "snatch": ("非侵入窃盗ひったくり",),
+    "pickpocket": ("非侵入窃盗すり",),
+    "total": (CRIME_TOTAL,),
+    "assault": ("粗暴犯暴行",),
+    "injury": ("粗暴犯傷害",),
+    "burglary_akisu": ("侵入窃盗空き巣",),
+    "burglary_shinobi": ("侵入窃盗忍込み",),
+    "burglary_izora": ("侵入窃盗居空き",),
+}
+
 # Business-area flag: visitor crimes per 1000 residents at or above this
 # quantile of all gated areas.
 BUSINESS_QUANTILE = 0.90

@@ -58,6 +58,47 @@ SELECT key, ward, town, round(pop, 6) AS pop, serious, daily,
   round(safety_score, 6) AS safety_score
 FROM safety"""
 
+def _dealt(priority: str, n: int, places) -> str:
+    return (f"count(*) FILTER (WHERE o_orderpriority = '{priority}' AND o_orderkey % {n} IN ({', '.join(map(str, places))}))")
+
+
+KINDS = f"""kinds AS (
+  SELECT o_custkey AS key, year(o_orderdate) AS yr, count(*) AS total,
+    {_dealt('1-URGENT', 7, range(7))} AS violent_r, {_dealt('2-HIGH', 3, range(3))} AS burglary_r,
+    {_dealt('3-MEDIUM', 7, range(7))} AS daily,
+    {_dealt('3-MEDIUM', 7, [4])} + {_dealt('5-LOW', 2, [0, 1])} AS visitor,
+    {_dealt('1-URGENT', 7, [0])} AS robbery, {_dealt('1-URGENT', 7, [2, 3, 4, 5])} AS violence,
+    {_dealt('2-HIGH', 3, range(3))} AS burglary, {_dealt('3-MEDIUM', 7, [0])} AS bicycle,
+    {_dealt('3-MEDIUM', 7, [1, 5, 6])} AS vehicle, {_dealt('3-MEDIUM', 7, [2])} AS snatch,
+    {_dealt('3-MEDIUM', 7, [3])} AS pickpocket, {_dealt('1-URGENT', 7, [2])} AS assault,
+    {_dealt('1-URGENT', 7, [3])} AS injury, {_dealt('2-HIGH', 3, [0])} AS burglary_akisu,
+    {_dealt('2-HIGH', 3, [1])} AS burglary_shinobi, {_dealt('2-HIGH', 3, [2])} AS burglary_izora
+  FROM orders GROUP BY 1, 2),
+measured AS (
+  SELECT a.key, a.pop, coalesce(p.violent_r + p.burglary_r, 0) AS serious_prev, {{}}
+  FROM areas a LEFT JOIN kinds c ON c.key = a.key AND c.yr = 2000 LEFT JOIN kinds p ON p.key = a.key AND p.yr = 1999)"""
+KINDS = KINDS.replace("{}", ", ".join(f"coalesce(c.{x}, 0) AS {x}" for x in (
+    "total violent_r burglary_r daily visitor robbery violence burglary bicycle vehicle snatch pickpocket assault injury "
+    "burglary_akisu burglary_shinobi burglary_izora").split()))
+
+ORACLE["q_crime_groups"] = _with(AREAS, YEARLY, WIDE, SAFETY, KINDS) + """
+SELECT m.key, violent_r, burglary_r, violent_r + burglary_r AS serious_r, m.daily, m.visitor, m.serious_prev,
+  violent_r + burglary_r + m.serious_prev AS serious, round(serious_score, 6) AS serious_score,
+  round(daily_score, 6) AS daily_score, round(safety_score, 6) AS safety_score
+FROM measured m JOIN safety s ON s.key = m.key"""
+
+ORACLE["q_mart_crime_full"] = _with(AREAS, KINDS) + """
+SELECT key, 2025 AS data_year, robbery, violence, burglary, bicycle, vehicle, snatch, pickpocket, total, assault, injury,
+  burglary_akisu, burglary_shinobi, burglary_izora, violent_r + burglary_r + serious_prev AS serious_2y,
+  violent_r + burglary_r AS serious_r, daily AS daily_r FROM measured"""
+
+ORACLE["q_safety_evidence"] = _with(AREAS, KINDS) + """,
+facts AS (
+  SELECT key, unnest([0, 1, 2, 3, 4, 5, 6]) AS idx, unnest([violent_r + burglary_r + serious_prev, robbery, assault + injury, burglary,
+    bicycle, snatch, CAST(trunc(pop) AS BIGINT)]) AS n FROM measured)
+SELECT key, 'safety' AS axis, CAST(idx AS BIGINT) AS idx, ['serious crimes (2 years)', 'robbery', 'assault and injury',
+  'residential burglary', 'bicycle theft', 'snatching', 'residents'][idx + 1] AS label, format('{:,}', n) AS value FROM facts"""
+
 ORACLE["q_left_join_fill"] = _with(AREAS, YEARLY) + """
 SELECT a.key, a.ward, a.town, round(a.pop, 6) AS pop,
   coalesce(y.serious, 0) AS serious, coalesce(y.daily, 0) AS daily,
@@ -697,6 +738,10 @@ SELECT count(*) AS town_count, CAST(count_if(scored) AS BIGINT) AS scored_count,
 ORACLE["q_ward_codes"] = _with(*SERVE) + """
 SELECT DISTINCT ward, ward_code FROM towns"""
 
+ORACLE["q_ward_map"] = _with(*SERVE) + """
+SELECT '{' || string_agg('"' || ward || '":"' || ward_code || '"', ',' ORDER BY ward) || '}' AS ward_codes
+FROM (SELECT DISTINCT ward, ward_code FROM towns WHERE ward_code IS NOT NULL)"""
+
 ORACLE["q_town_detail"] = _with(*SERVE) + """,
 zc AS (SELECT zone, sum(serious) AS serious_2y, sum(daily) AS daily_r, sum(total) AS total_r FROM wide GROUP BY zone)
 SELECT t.key, t.ward, t.town, round(t.population, 6) AS population, round(s.safety_score, 6) AS safety_score,

@@ -43,13 +43,16 @@ def safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, ward, town, pop, zone, counts, rates, group scores, safety_score."""
-    m = crime_wide(spark, sf_dir)
+    # starts from the staged per-area table, so the ranks need no further lineage cut
+    return scored(crime_wide(spark, sf_dir))
+
+
+def scored(m: DataFrame) -> DataFrame:
+    """Adds rates, group scores and safety_score to a written table with pop and the groups' counts."""
     valid = F.col("pop") >= K.MIN_POP
     for g in ("serious", "daily"):
         m = smooth_rate(m, g, "pop", K.SAFETY_YEARS[g], f"{g}_rate",
                         prior=K.PRIOR_EVENTS, valid=valid)
-    # ``m`` starts from the staged per-area table; the rates add columns and
-    # two scalar subqueries, so the ranks below need no further lineage cut.
     m = pct_scores(m, [(f"{g}_rate", f"{g}_score", None) for g in ("serious", "daily")])
     total = None
     for g, w in K.SAFETY_WEIGHTS.items():

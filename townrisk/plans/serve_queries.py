@@ -60,6 +60,12 @@ def q_ward_codes(spark: SparkSession, d: str) -> DataFrame:
     return mart_towns(spark, d).select("ward", "ward_code").distinct()
 
 
+def q_ward_map(spark: SparkSession, d: str) -> DataFrame:
+    """The ward-to-code map of the index metadata, as one JSON object (bounded by the wards)."""
+    codes = q_ward_codes(spark, d).where(F.col("ward_code").isNotNull())
+    return codes.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_set(F.struct("ward", "ward_code"))))).alias("ward_codes"))
+
+
 DETAIL = ("key", "ward", "town", "population", "safety_score", "flood_score", "tide_score", "ground_score",
           "serious_2y", "daily_r", "total_r", "flood_ratio", "tide_ratio", "liq_points", "nat_rivers", "flood_source")
 ONE_KEY = 7

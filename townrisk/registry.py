@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import arrangement_queries as aq
+from .plans import crime_measures as cm
 from .plans import crime_queries as cq
 from .plans import zone_queries as zq
 from .plans import hazard_queries as hq
@@ -28,6 +29,9 @@ QUERIES: dict[str, Query] = {
     "q_median_by_count": cq.q_median_by_count,
     "q_unmatched": cq.q_unmatched,
     "q_mart_crime": cq.q_mart_crime,
+    "q_crime_groups": cm.q_crime_groups,
+    "q_mart_crime_full": cm.q_mart_crime_full,
+    "q_safety_evidence": cm.q_safety_evidence,
     "q_describe": cq.q_describe,
     "q_match_rate": cq.q_match_rate,
     "q_top_wards": cq.q_top_wards,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "q_masked_index": sq.q_masked_index,
     "q_index_meta": sq.q_index_meta,
     "q_ward_codes": sq.q_ward_codes,
+    "q_ward_map": sq.q_ward_map,
     "q_town_detail": sq.q_town_detail,
     "q_town_one": sq.q_town_one,
     "q_town_json": sq.q_town_json,

@@ -99,6 +99,19 @@ def incidents_two_years(spark: SparkSession, sf_dir: str,
                  F.count_if(is_prev).cast("long").alias("total_prev")))
 
 
+def incident_kinds(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    """A year's crime table: key and one count column per kind, dealt from each priority by order key."""
+    o = (table(spark, sf_dir, "orders")
+         .where((F.col("o_orderdate") >= ts_ntz(f"{year}-01-01 00:00:00"))
+                & (F.col("o_orderdate") < ts_ntz(f"{year + 1}-01-01 00:00:00"))))
+    dealt = {"1-URGENT": K.VIOLENT, "2-HIGH": K.BURGLARY, "3-MEDIUM": K.DAILY_THEFTS,
+             "5-LOW": (K.VISITOR_CRIMES[0], K.VISITOR_CRIMES[2])}
+    counts = [F.count_if((F.col("o_orderpriority") == p) & (F.col("o_orderkey") % len(kinds) == i)).cast("long").alias(kind)
+              for p, kinds in dealt.items() for i, kind in enumerate(kinds)]
+    return (o.groupBy(F.col("o_custkey").alias("key"))
+            .agg(*counts, F.count(F.lit(1)).cast("long").alias(K.CRIME_TOTAL)))
+
+
 # --- points, borings, hazards ------------------------------------------------
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
