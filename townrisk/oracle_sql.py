@@ -731,6 +731,11 @@ SELECT key, ward, town, {_round_cols("population safety_score flood_score tide_s
 ORACLE["q_masked_index"] = _with(*SERVE) + f"""
 SELECT key, ward, town, {_round_cols("pop s f t g")}, scored, tide_scope FROM midx"""
 
+ORACLE["q_scored_features"] = f"""
+SELECT m.key, m.town, 'key,ward,town' || CASE WHEN s IS NULL THEN '' ELSE ',s' END || CASE WHEN f IS NULL THEN '' ELSE ',f' END
+  || CASE WHEN t IS NULL THEN '' ELSE ',t' END || CASE WHEN g IS NULL THEN '' ELSE ',g' END AS names, s, f, t, g
+FROM ({ORACLE["q_masked_index"]}) m JOIN ({ORACLE["q_mart_towns"]}) w ON w.key = m.key WHERE w.has_polygon = 1"""
+
 ORACLE["q_index_meta"] = _with(*SERVE) + """
 SELECT count(*) AS town_count, CAST(count_if(scored) AS BIGINT) AS scored_count,
   string_agg(DISTINCT ward, ',' ORDER BY ward) AS wards FROM midx"""

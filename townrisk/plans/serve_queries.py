@@ -257,6 +257,29 @@ def q_geojson_features(spark: SparkSession, d: str) -> DataFrame:
     return geojson_features(spark, d)
 
 
+def scored_features(features: DataFrame, entries: DataFrame) -> DataFrame:
+    """The features of listed areas with their axis scores as properties.
+
+    An axis without a value is no property at all, so a reader can't take it
+    for a score of 0. ``entries`` is the masked index; features without an
+    entry are left out.
+    """
+    e = entries.select("key", F.to_json(F.struct("key", "ward", "town", "s", "f", "t", "g")).alias("properties"))
+    geometry = F.get_json_object("feature", "$.geometry")
+    return features.join(e, "key").select("key", "ward_code", F.concat(
+        F.lit('{"type":"Feature","id":'), F.col("key").cast("string"), F.lit(',"properties":'), "properties",
+        F.lit(',"geometry":'), geometry, F.lit("}")).alias("feature"))
+
+
+def q_scored_features(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and axis names as they stand in the features."""
+    f = scored_features(geojson_features(spark, d), S.masked(S.index(spark, d)))
+    p = f.select("key", F.get_json_object("feature", "$.properties").alias("p"))
+    number = lambda a: F.round(F.get_json_object("p", f"$.{a}").cast("double"), 6).alias(a)
+    return p.select("key", F.get_json_object("p", "$.town").alias("town"),
+                    F.array_join(F.json_object_keys("p"), ",").alias("names"), *[number(a) for a in "sftg"])
+
+
 def q_geojson_split(spark: SparkSession, d: str) -> DataFrame:
     """A8: the hazards as feature collections, one a task, read back in byte ranges."""
     from ..functions import geo as G

@@ -84,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "q_ward_rollup": sq.q_ward_rollup,
     "q_dq_status": sq.q_dq_status,
     "q_geojson_features": sq.q_geojson_features,
+    "q_scored_features": sq.q_scored_features,
     "q_geojson_split": sq.q_geojson_split,
     "q_dq_set_equality": sq.q_dq_set_equality,
     "q_rebuild_diff": sq.q_rebuild_diff,
