@@ -153,3 +153,36 @@ def test_a_crowd_of_pieces_stays_within_the_limit(spark):
     cells, _ = A.cover(e, 64.0, 48, corners=False)
     assert cells.agg(F.max(F.size("edges"))).first()[0] <= 48
     assert "Python" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def spikes(n):
+    """A ring of n long edges side by side, around (50, 50)."""
+    at = [(50 + (30 + 10 * (i * 7919 % 101) / 101) * math.cos(2 * math.pi * i / n), 50 + (30 + 10 * (i * 7919 % 101) / 101) * math.sin(2 * math.pi * i / n))
+          for i in range(n)]
+    return [(*a, *b) for a, b in zip(at, [*at[1:], at[0]], strict=True)]
+
+
+def ring_of(spark, edges, key=0):
+    return spark.createDataFrame([(key, *e, 1, 0) for e in edges], "_k long, x1 double, y1 double, x2 double, y2 double, ma long, mb long")
+
+
+@pytest.mark.parametrize("limit, most", [(A.CROWD, A.POINTS), (500, 40)])
+def test_points_in_crowded_cells(spark, limit, most):
+    rnd = random.Random(3)
+    star = [(90 * rnd.random(), 90 * rnd.random()) for _ in range(60)]  # crosses itself everywhere
+    star = [(*a, *b) for a, b in zip(star, [*star[1:], star[0]], strict=True)]
+    rings = {0: spikes(3000), 7: star, 8: [(8.0, 8.0, 16.0, 8.0), (16.0, 8.0, 16.0, 16.0), (16.0, 16.0, 8.0, 16.0), (8.0, 16.0, 8.0, 8.0)]}
+    pts = [(i, 100 * rnd.random(), 100 * rnd.random()) for i in range(3000)] + [(3000 + i, 8.0 + i % 9, 8.0 + i // 9) for i in range(81)]
+    pts += [(4000, 50.0, 50.0), (4001, -500.0, 3.0)]
+    e = ring_of(spark, rings[0]).unionByName(ring_of(spark, rings[7], 7)).unionByName(ring_of(spark, rings[8], 8))
+    p = spark.createDataFrame(pts, "i long, x double, y double")
+    got = {(r.i, r.k) for r in A.points_in_crowded(p, A.cover(e, 8.0, limit, inside=True, gather=False), 8.0, "x", "y", "k", most).collect()}
+    want = {(i, k) for i, x, y in pts for k, es in rings.items()
+            if sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in es) % 2}
+    assert got == want
+    assert got == {(r.i, r.k) for r in A.points_in(p, A.cover(e, 8.0, inside=True), 8.0, "x", "y", "k").collect()}
+
+
+def test_rows_of_side_by_side_edges_grow_with_the_edges(spark):
+    few, many = (A.cover(ring_of(spark, spikes(n)), 8.0, A.CROWD, inside=True, gather=False)[0].where("x1 is not null").count() for n in (2000, 8000))
+    assert many < 4.4 * few  # by the square with cells of few edges

@@ -31,13 +31,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from .sizing import cut_lineage
+from .strips import windings
 
 LIMIT = 48
+CROWD = 1 << 15
+POINTS = 1 << 16
 DEPTH = 24
 NEAR = 0.75
 ROUNDS = 16
@@ -139,25 +143,31 @@ def _children(big: DataFrame, cell: float, level: int, corners: bool) -> tuple[D
 
 
 def cover(edges: DataFrame, cell: float, limit: int = LIMIT, depth: int = DEPTH, inside: bool = False,
-          corners: bool = True) -> tuple[DataFrame, int]:
+          corners: bool = True, gather: bool = True) -> tuple[DataFrame, int]:
     """(_k, _l, _i, _j, wa, wb, edges of every cell; the deepest level).
 
     ``_l`` is the level: cells are ``cell / 2^_l`` wide and start at (_i, _j)
     times that. ``edges`` has at most ``limit`` edges (see the module's note on
     shared ends), all that meet the closed cell. With ``inside``, cells without
     edges but with a winding are listed too; without ``corners`` no windings are.
+    Without ``gather`` an edge is a row, with x1, y1, x2, y2, ma, mb (null in
+    cells without edges) for ``edges``, for limits too large for an array.
     """
     held = F.collect_list(F.struct(*ENDS, "ma", "mb")).cast(f"array<{_EDGE}>").alias("edges")
-    none, w = F.array().cast(f"array<{_EDGE}>").alias("edges"), ["wa", "wb"] if corners else []
+    w = ["wa", "wb"] if corners else []
+    none = [F.array().cast(f"array<{_EDGE}>").alias("edges")] if gather else \
+        [F.lit(None).cast("double").alias(c) for c in ENDS] + [F.lit(None).cast("long").alias(c) for c in ("ma", "mb")]
+    kept = ["edges"] if gather else [*ENDS, "ma", "mb"]
     rows = cut_lineage(_base(edges, cell).select(*CELL, *ENDS, "ma", "mb"), "cell-edges")
     at, empty = _base_corners(rows, cell) if corners else (None, None)
-    done, level = [empty.select(*CELL, *w, none)] if inside else [], 0
+    done, level = [empty.select(*CELL, *w, *none)] if inside else [], 0
     while True:
         sizes = rows.groupBy(*CELL).agg(F.count("*").alias("_n"))
         last = level >= depth or (sizes.agg(F.max("_n")).first()[0] or 0) <= limit
         crowded = None if last else cut_lineage(sizes.where(F.col("_n") > limit).drop("_n"), "crowded-cells")
-        leaves = (rows if last else rows.join(crowded, CELL, "left_anti")).groupBy(*CELL).agg(held)
-        done.append((leaves.join(at, CELL) if corners else leaves).select(*CELL, *w, "edges"))
+        leaves = rows if last else rows.join(crowded, CELL, "left_anti")
+        leaves = leaves.groupBy(*CELL).agg(held) if gather else leaves
+        done.append((leaves.join(at, CELL) if corners else leaves).select(*CELL, *w, *kept))
         if last:
             break
         big = rows.join(crowded, CELL, "left_semi")
@@ -166,7 +176,7 @@ def cover(edges: DataFrame, cell: float, limit: int = LIMIT, depth: int = DEPTH,
         if corners:
             at = cut_lineage(below, "cell-corners")
         if inside:
-            done.append(at.where("wa <> 0 or wb <> 0").join(rows.select(*CELL).distinct(), CELL, "left_anti").select(*CELL, *w, none))
+            done.append(at.where("wa <> 0 or wb <> 0").join(rows.select(*CELL).distinct(), CELL, "left_anti").select(*CELL, *w, *none))
         level += 1
     out = done[0]
     for d in done[1:]:
@@ -406,6 +416,46 @@ def points_in(points: DataFrame, covered: tuple[DataFrame, int], cell: float, x:
     return j.withColumn(key, F.col("_k")).select(*points.columns, key)
 
 
+def _cell_windings(cell: float, x: str, y: str, key: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Points of a cell and its edges to those points with an odd winding."""
+    def run(points: pa.Table, edges: pa.Table) -> pa.Table:
+        names = [c for c in points.column_names if c not in ("_k", "_l", "_i", "_j", "_part")]
+        if not points.num_rows or not edges.num_rows:
+            return points.slice(0, 0).select([*names, "_k"]).rename_columns([*names, key])
+        size = cell / 2 ** points["_l"][0].as_py()
+        ends = tuple(edges[c].to_numpy() for c in ENDS)
+        w = windings(ends, edges["ma"].to_numpy(), edges["wa"][0].as_py(), points["_i"][0].as_py() * size, points["_j"][0].as_py() * size, size,
+                     points[x].to_numpy(), points[y].to_numpy())
+        return points.filter(pa.array(w % 2 != 0)).select([*names, "_k"]).rename_columns([*names, key])
+    return run
+
+
+def points_in_crowded(points: DataFrame, covered: tuple[DataFrame, int], cell: float, x: str, y: str, key: str, most: int = POINTS) -> DataFrame:
+    """:func:`points_in` for a cover that isn't gathered, whose cells may hold many thousand edges.
+
+    Where many long edges lie side by side, splitting cells down to a few
+    edges takes rows by the square of the edges. Here points find their cell
+    in the list of cells, and a task tests up to ``most`` points of a cell with
+    its edges, sorted (:mod:`strips`).
+    """
+    rows, deepest = covered
+    cells = cut_lineage(rows.groupBy(*CELL).agg(F.first("wa").alias("wa"), F.count("x1").alias("_n")), "cells")
+    p = points.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(deepest))) if deepest else F.lit(0))
+    size = f"({float(cell)!r} / shiftleft(1L, _l))"
+    p = p.withColumns({"_i": F.expr(f"cast(floor(`{x}` / {size}) as bigint)"), "_j": F.expr(f"cast(floor(`{y}` / {size}) as bigint)")})
+    whole = p.join(cells.where("_n = 0 and wa % 2 <> 0"), ["_l", "_i", "_j"]).withColumn(key, F.col("_k")).select(*points.columns, key)
+    cells = cells.where("_n > 0").select(*CELL)
+    parts = p.join(cells, ["_l", "_i", "_j"]).groupBy(*CELL).agg(F.ceil(F.count("*") / F.lit(float(most))).cast("int").alias("_parts"))
+    parts = cut_lineage(parts, "cell-parts")
+    part = F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int").alias("_part")
+    dealt = p.join(parts, ["_l", "_i", "_j"]).select(*points.columns, *CELL, part)
+    edges = rows.join(parts, CELL).select(*CELL, "wa", *ENDS, "ma", F.explode(F.expr("sequence(0, _parts - 1)")).alias("_part"))
+    by = [*CELL, "_part"]
+    schema = points.select(*points.columns).schema.add(key, rows.schema["_k"].dataType)
+    tested = dealt.groupBy(*by).cogroup(edges.groupBy(*by)).applyInArrow(_cell_windings(cell, x, y, key), schema)
+    return whole.unionByName(tested)
+
+
 def ring_rows(vertices: DataFrame, measures: DataFrame, grid: float = 1.0) -> DataFrame:
     """(_k, _ring, _shell, area, ring): a row a ring with its vertices in order, in the original unit (``grid`` is its share)."""
     per = round(1 / grid) if grid < 1 else None  # a whole number divides exactly where the grid's own value doesn't

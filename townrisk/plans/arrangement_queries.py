@@ -38,6 +38,6 @@ def q_union_outline(spark: SparkSession, d: str) -> DataFrame:
 
 def q_big_ring_count(spark: SparkSession, d: str) -> DataFrame:
     """D5: depth points inside one ring that has a vertex a part, by basin."""
-    cells = A.cover(T.big_ring_edges(spark, d), K.FIXTURE_CELL * 4, inside=True)
-    inside = A.points_in(T.points(spark, d).select("x", "y", "basin", "depth"), cells, K.FIXTURE_CELL * 4, "x", "y", "ring")
+    cells = A.cover(T.big_ring_edges(spark, d), K.FIXTURE_CELL * 4, A.CROWD, inside=True, gather=False)
+    inside = A.points_in_crowded(T.points(spark, d).select("x", "y", "basin", "depth"), cells, K.FIXTURE_CELL * 4, "x", "y", "ring")
     return round_doubles(inside.groupBy("basin").agg(F.count("*").alias("n_points"), F.max("depth").alias("depth_max")))
