@@ -105,3 +105,15 @@ def test_terms_far_from_the_entity(spark):
         got = [text[s.start:s.end] for s in spans if s.kind == 4]
         want = ["falcon", "harbour", "Harbour", "falcon"] if d in range(20) else {50: ["falcon"], None: ["harbour"]}.get(d, [])
         assert got == want, d
+
+
+def test_filter_holds_terms_back_but_none_that_tell(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß語", k=6)) for _ in range(6000)})
+    told = words[::10]
+    bits = P.term_filter(spark.createDataFrame([(w,) for w in told], "term string"))
+    docs = spark.createDataFrame([(1, 7, " ".join(words)), (2, 8, "")], "doc_id long, tag long, text string")
+    got = [r.term for r in docs.mapInArrow(P._places(bits), "doc_id long, tag long, term string, places array<int>").collect()]
+    assert set(told) <= set(got) and len(got) == len(set(got)) < 0.25 * len(words)
+    none = P.term_filter(spark.createDataFrame([], "term string"))
+    assert docs.mapInArrow(P._places(none), "doc_id long, tag long, term string, places array<int>").isEmpty()

@@ -25,6 +25,7 @@ empty table gives an empty result; all scans are linear in the text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -37,6 +38,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 REACH, CHANCE = 5, 0.05
 GENERALISE, REMOVE = 0.8, 0.97
 PACK = 20_000  # terms after which a batch of them leaves the worker
+MOST_BITS = 28   # a filter of terms has at most 2^28 bits
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -163,36 +165,60 @@ def _scan(batches):
                                          ["doc_id", "tag", "spans", "held", "near"])
 
 
-def _places(batches):
-    """doc_id, tag, term, places (start and end in turn): a row per document and term outside its spans."""
+def term_filter(terms: DataFrame) -> bytes:
+    """Bits by the CRC-32 of each term, 16 or more a term: what no term has is surely none of them. At most 32 MB, whatever the terms."""
+    size = min(MOST_BITS, max(15, (16 * terms.count()).bit_length()))
+    place = F.expr(f"shiftrightunsigned(crc32(cast(term as binary)), {32 - size}) + 1")
+    parts = terms.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("part")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    out = bytearray(1 << size - 3)
+    for r in parts.toLocalIterator():
+        out[(r.part - 1) * len(r.bits):r.part * len(r.bits)] = r.bits
+    return bytes(out)
+
+
+def _places(wanted: bytes):
+    """doc_id, tag, term, places (start and end in turn): a row per document and term outside its spans, of those terms that pass the filter."""
+    shift = 33 - (len(wanted) * 8).bit_length()
+
+    def may_tell(term: str) -> bool:
+        h = zlib.crc32(term.encode()) >> shift
+        return wanted[h >> 3] >> (h & 7) & 1 == 1
+
     def packed(docs, tags, terms, places):
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(terms, pa.string()),
                                            pa.array(places, pa.list_(pa.int32()))], ["doc_id", "tag", "term", "places"])
 
-    for batch in batches:
-        docs, tags, terms, places = [], [], [], []
-        for d, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
-            found = base_spans(text)
-            inside = bytearray(len(text)) if found else b""
-            for s, _, e in found:
-                inside[s:e] = b"\x01" * (e - s)
-            at: dict[str, list[int]] = {}
-            for m in _TERM.finditer(text):
-                if not (found and inside[m.start()]):
-                    at.setdefault(m[0].lower(), []).extend(m.span())
-            docs += [d] * len(at)
-            tags += [tag] * len(at)
-            terms += at.keys()
-            places += at.values()
-            if len(terms) > PACK:
-                yield packed(docs, tags, terms, places)
-                docs, tags, terms, places = [], [], [], []
-        yield packed(docs, tags, terms, places)
+    def run(batches):
+        for batch in batches:
+            docs, tags, terms, places = [], [], [], []
+            for d, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
+                found = base_spans(text)
+                inside = bytearray(len(text)) if found else b""
+                for s, _, e in found:
+                    inside[s:e] = b"\x01" * (e - s)
+                at: dict[str, list[int]] = {}
+                for m in _TERM.finditer(text):
+                    if not (found and inside[m.start()]):
+                        at.setdefault(m[0].lower(), []).extend(m.span())
+                told = [t for t in at if may_tell(t)]
+                docs += [d] * len(told)
+                tags += [tag] * len(told)
+                terms += told
+                places += [at[t] for t in told]
+                if len(terms) > PACK:
+                    yield packed(docs, tags, terms, places)
+                    docs, tags, terms, places = [], [], [], []
+            yield packed(docs, tags, terms, places)
+
+    return run
 
 
 def marked_terms(docs: DataFrame, scanned: DataFrame, telling: DataFrame) -> DataFrame:
     """doc_id, tag, start, end, ratio of the disclosing terms, wherever in a text they stand."""
-    hits = shared_table(docs.mapInArrow(_places, "doc_id long, tag long, term string, places array<int>").join(telling, "term"), "term-hits")
+    # terms that surely tell nothing stay in their task; the join settles the rest
+    placed = docs.mapInArrow(_places(term_filter(telling.select("term").distinct())), "doc_id long, tag long, term string, places array<int>")
+    hits = shared_table(placed.join(telling, "term"), "term-hits")
     own = scanned.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.explode("held").alias("_held")).distinct()
     beside = hits.filter(f"ratio < {REMOVE}").join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))
                                                    & (F.col("entity") == F.col("_held")), "left_semi")
