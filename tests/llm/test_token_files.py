@@ -98,3 +98,25 @@ def test_one_id_for_all_rows_is_spread(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     got = T.token_files_report(spark.createDataFrame([], "doc_id long, text string"), folder=str(tmp_path / "f"))
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
+
+
+def test_plain_words_need_no_pattern(monkeypatch):
+    """Words between plain spaces are cut without the pattern; with odd blanks the ids still are the library's."""
+    e = T.Encoder(tokenizer_path())
+    monkeypatch.setattr(T, "SLICE", 40)
+    rng = random.Random(11)
+    bits = ["word", "two,", "Été", "x1", "\n", " ", "  ", "\t", "᠎", " ", "　", "don't", "語", "a\nb", "end.\n", "1234567", ""]
+    for _ in range(1500):
+        text = rng.choice([" ", ""]).join(rng.choices(bits, k=rng.randrange(30))) + rng.choice(["", "\n", " "])
+        want = e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(e.pieces(text)), e.dtype).tolist() == want, repr(text)
+
+    class Cut:
+        search = T._CUT.search
+
+        def split(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(T, "_CUT", Cut())
+    text = "Plain words, one\nline end; " * 20 + "and a last one.\n"
+    assert np.frombuffer(b"".join(e.pieces(text)), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids

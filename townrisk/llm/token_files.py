@@ -66,6 +66,13 @@ _STAND_INS = {byte: letter for letter, byte in _byte_letters().items()}
 _SPACE, _MARKS = _STAND_INS[32], ".,;:!?"
 
 
+_blank = re.compile(r"[\s\u180e]").match
+
+
+class _Blank(Exception):
+    """A word that begins or ends blank: not every space beside it is a cut."""
+
+
 class _Known(dict):
     """Ids of texts met before; beyond ``WORDS`` of them it begins anew."""
 
@@ -92,7 +99,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.parts = _Known(self._part)   # by parts that are cut where tokens begin
-        self.words = _Known(self._word)   # by words that follow a space, without it
+        self.words = _Known(self._between)   # by words that follow a space, without it, and aren't blank at an end
 
     def _letters(self, stand_ins: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(stand_ins)]).tobytes()
@@ -102,6 +109,11 @@ class Encoder:
             return self._letters(part.encode().decode("latin-1").translate(_STAND_INS))
         return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
+    def _between(self, word: str) -> bytes:
+        if not word or _blank(word[0]) or _blank(word[-1]):
+            raise _Blank
+        return self._word(word)
+
     def _word(self, word: str) -> bytes:
         stem = word.rstrip(_MARKS)
         if stem.isascii() and stem.isalpha():
@@ -115,11 +127,28 @@ class Encoder:
         while at < len(text):
             cut = _CUT.search(text, at + SLICE) if len(text) - at > SLICE else None
             end = cut.start() if cut else len(text)
-            first, *rest = _CUT.split(text[at:end])
-            yield b"".join(map(self.parts.__getitem__, _INNER.split(first)))
-            yield b"".join(map(self.words.__getitem__, rest))
+            yield self._slice(text[at + (at > 0):end], at > 0)
             at = end
 
+    def _slice(self, text: str, spaced: bool) -> bytes:
+        """The ids of a slice, which follows a space that is a cut if ``spaced``."""
+        words = text.split(" ")
+        head, tail = [] if spaced else words[:1], words[-1:]
+        if len(words) > len(head):  # the last word may end blank
+            words, last = words[len(head):-1], tail[0]
+            try:
+                if head and (not head[0] or _blank(head[0][-1])) or not last or _blank(last[0]):
+                    raise _Blank
+                parts = [b"".join(map(self.parts.__getitem__, _INNER.split(head[0])))] if head else []
+                parts += map(self.words.__getitem__, words)
+                parts.append(self._word(last) if _blank(last[-1]) else self.words[last])
+                return b"".join(parts)
+            except _Blank:
+                pass
+        first, *rest = _CUT.split(" " + text if spaced else text)
+        ids = [*map(self.parts.__getitem__, _INNER.split(first))]
+        return b"".join(ids + [self._word(w) if not w or _blank(w[0]) or _blank(w[-1]) else self.words[w] for w in rest])
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
