@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from townrisk.llm.common import split_by_ids
 from townrisk.llm.exact_dedup import BLANKS, exact_dedup, sql_str
 from townrisk.llm.minhash import near_duplicates
 from townrisk.llm.packing import pack
@@ -28,8 +29,11 @@ from townrisk.session import shared_folder, shared_table, ship_package, table_sc
 
 def _staying(docs: DataFrame, verdicts: DataFrame, same: list[str]) -> DataFrame:
     """The rows of ``docs`` whose doc_id stays; where ids repeat, one of the rows equal in ``same``."""
+    verdicts = shared_table(verdicts.select("doc_id", "kept"), "verdicts")
     ids = shared_table(verdicts.filter("kept").select(F.col("doc_id").alias("_stays")).distinct(), "staying")
-    rest = docs.join(ids, docs.doc_id.eqNullSafe(ids._stays), "left_semi")
+    # every id has a verdict, so one without a verdict against it stays; only the others' texts move
+    sure, rest = split_by_ids(docs, "doc_id", verdicts.filter("not kept").select("doc_id").distinct())
+    rest = sure.unionByName(rest.join(ids, rest.doc_id.eqNullSafe(ids._stays), "left_semi"))
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return rest
     return rest.dropDuplicates(same)
@@ -42,12 +46,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
+    verdicts = shared_table(exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "verdicts")
+    sure, rest = split_by_ids(docs, "doc_id", verdicts.filter("not kept").select("doc_id").distinct())
     # an id can stand on several texts, so a verdict belongs to the id and the normalised text
-    rows = docs.withColumn("_digest", F.expr(f"sha2(regexp_replace(coalesce(text, ''), {sql_str(BLANKS)}, ' '), 256)"))
-    stays = shared_table(exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stays"), "text_sha256").distinct(), "staying")
-    rest = rows.join(stays, rows.doc_id.eqNullSafe(stays._stays) & (rows._digest == stays.text_sha256), "left_semi")
+    digest = F.expr(f"sha2(regexp_replace(coalesce(text, ''), {sql_str(BLANKS)}, ' '), 256)")
+    stays = shared_table(verdicts.filter("kept").select(F.col("doc_id").alias("_stays"), "text_sha256").distinct(), "staying")
+    rows = rest.withColumn("_digest", digest)
+    rest = sure.unionByName(rows.join(stays, rows.doc_id.eqNullSafe(stays._stays) & (rows._digest == stays.text_sha256), "left_semi")
+                            .select(*docs.columns))
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rest = rest.dropDuplicates(["doc_id", "_digest"])
+        rest = rest.withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
     return rest.select(*docs.columns)
 
 
