@@ -117,3 +117,23 @@ def test_filter_holds_terms_back_but_none_that_tell(spark):
     assert set(told) <= set(got) and len(got) == len(set(got)) < 0.25 * len(words)
     none = P.term_filter(spark.createDataFrame([], "term string"))
     assert docs.mapInArrow(P._places(none), "doc_id long, tag long, term string, places array<int>").isEmpty()
+
+
+def test_only_terms_beside_values_are_counted(spark, monkeypatch):
+    """The words of documents without values stay in their tasks, and the counts of the others are whole."""
+    written = {}
+
+    def table(df, name, **options):
+        written[name] = df.cache()
+        return written[name]
+
+    monkeypatch.setattr(P, "shared_table", table)
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(5000)})
+    rows = [(d, f"falcon harbour boss@corp.example about w{d}") for d in range(6)] + [(100 + d, "harbour About") for d in range(30)]
+    rows += [(200 + d, " ".join(words[d * 100:d * 100 + 100])) for d in range(50)]
+    found = {r.doc_id: [s.kind for s in r.spans] for r in P.find_personal(rows_of(spark, rows)).collect()}
+    counts = {r.term: r.n_t for r in written["term-counts"].collect()}
+    assert {t: counts.get(t) for t in ("falcon", "harbour", "about")} == {"falcon": 6, "harbour": 36, "about": 36}
+    assert len(counts) < 100 and set(written) == {"personal-scan", "term-counts", "disclosures"}
+    assert all(found[d] == ([4, 0] if d < 6 else []) for d, _ in rows)

@@ -177,14 +177,21 @@ def term_filter(terms: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _places(wanted: bytes):
-    """doc_id, tag, term, places (start and end in turn): a row per document and term outside its spans, of those terms that pass the filter."""
+def _passes(wanted: bytes):
+    """Whether a term may be one of those that the filter was made of."""
     shift = 33 - (len(wanted) * 8).bit_length()
 
-    def may_tell(term: str) -> bool:
+    def run(term: str) -> bool:
         h = zlib.crc32(term.encode()) >> shift
         return wanted[h >> 3] >> (h & 7) & 1 == 1
 
+    return run
+
+
+def _places(wanted: bytes):
+    """doc_id, tag, term, places (start and end in turn): a row per document and term outside its spans, of those terms that pass the filter."""
+    may_tell = _passes(wanted)
+
     def packed(docs, tags, terms, places):
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(terms, pa.string()),
                                            pa.array(places, pa.list_(pa.int32()))], ["doc_id", "tag", "term", "places"])
@@ -218,23 +225,28 @@ def marked_terms(docs: DataFrame, scanned: DataFrame, telling: DataFrame) -> Dat
     """doc_id, tag, start, end, ratio of the disclosing terms, wherever in a text they stand."""
     # terms that surely tell nothing stay in their task; the join settles the rest
     placed = docs.mapInArrow(_places(term_filter(telling.select("term").distinct())), "doc_id long, tag long, term string, places array<int>")
-    hits = shared_table(placed.join(telling, "term"), "term-hits")
     own = scanned.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.explode("held").alias("_held")).distinct()
-    beside = hits.filter(f"ratio < {REMOVE}").join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))
-                                                   & (F.col("entity") == F.col("_held")), "left_semi")
-    each = hits.filter(f"ratio >= {REMOVE}").unionByName(beside).groupBy("doc_id", "tag", "term", "places").agg(F.max("ratio").alias("ratio"))
+    hits = placed.join(telling, "term").join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))
+                                             & (F.col("entity") == F.col("_held")), "left")
+    each = hits.filter(f"ratio >= {REMOVE} or _held is not null").groupBy("doc_id", "tag", "term", "places").agg(F.max("ratio").alias("ratio"))
     return each.select("doc_id", "tag", "ratio", F.explode(F.expr(
         "transform(sequence(0, size(places) - 2, 2), i -> struct(places[i] as start, places[i + 1] as end))")).alias("p")).select(
         "doc_id", "tag", "p.start", "p.end", "ratio")
 
 
-def _term_counts(batches):
-    """term, documents that hold it: a row per batch and term."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            counts.update(set(_TERM.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+def _term_counts(wanted: bytes):
+    """term, documents that hold it: a row per batch and term that passes the filter."""
+    may_count = _passes(wanted)
+
+    def run(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                counts.update(set(_TERM.findall(text.lower())))
+            terms = [t for t in counts if may_count(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t] for t in terms], pa.int64())], ["term", "n"])
+
+    return run
 
 
 def disclosures(scanned: DataFrame, docs: DataFrame) -> DataFrame:
@@ -242,12 +254,12 @@ def disclosures(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     each = scanned.select("doc_id", "tag", "row", F.explode("near").alias("p")).select("row", "p.entity", "p.term")
     pairs = each.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     mentions = scanned.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = shared_table(pairs.join(mentions, "entity"), "entity-terms")
-    terms = docs.select("text").mapInArrow(_term_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    wanted = terms.join(pairs.select("term").distinct(), "term", "left_semi")
+    # terms that surely stand beside no value are left uncounted in their task; the join drops the rest of them
+    wanted = term_filter(each.select("term").distinct())
+    terms = docs.select("text").mapInArrow(_term_counts(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     n = docs.count()
     # lower-casing can change letters outside the pattern's view, so a count is never below the pair's own
-    scored = pairs.join(shared_table(wanted, "term-counts"), "term", "left").withColumn(
+    scored = pairs.join(mentions, "entity").join(shared_table(terms, "term-counts"), "term", "left").withColumn(
         "n_t", F.greatest(F.coalesce("n_t", "n_et"), "n_et"))
     ratio = f"case when n_e >= {n} then 0 else log2({n} * n_et / (n_e * n_t)) / -log2(n_e / {n}) end"
     # n_e documents hold the term at least n_et times by chance: exp(-n_e * divergence of n_et / n_e from n_t / n)
