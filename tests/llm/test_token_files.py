@@ -120,3 +120,41 @@ def test_plain_words_need_no_pattern(monkeypatch):
     monkeypatch.setattr(T, "_CUT", Cut())
     text = "Plain words, one\nline end; " * 20 + "and a last one.\n"
     assert np.frombuffer(b"".join(e.pieces(text)), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_are_letters_and_marks():
+    """Words of Latin letters go to the model as they are, whatever marks and line ends follow; the whole tokenizer sees none of them."""
+    e = T.Encoder(tokenizer_path())
+    rng = random.Random(12)
+    bits = ["word", "Été", "über", "ÿÀ", "the", "x", ".", ",", "$$$", "***", "###", "&&&", "%", "\n", "!?", ".\n", " ", "'s", "'", "1", "<|endoftext|>", "×", "é", "(", "\t"]
+    for _ in range(4000):
+        text = "".join(rng.choices(bits, k=rng.randrange(14)))
+        want = e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(e.pieces(text)), e.dtype).tolist() == want, repr(text)
+    text = "une Été,\nviè$$$ über\nand *** thée.\nÀ, end%% "
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    e, asked = T.Encoder(tokenizer_path()), []
+
+    class Whole:
+        def encode(self, part, **options):
+            asked.append(part)
+            return tokenizer.encode(part, **options)
+
+    tokenizer, e.tokenizer = e.tokenizer, Whole()
+    assert np.frombuffer(b"".join(e.pieces(text)), e.dtype).tolist() == want
+    assert not any(c.isalpha() for part in asked for c in part), asked
+
+
+def test_words_met_again_outlast_a_full_table(monkeypatch):
+    monkeypatch.setattr(T, "WORDS", 100)
+    made = []
+
+    def make(text):
+        made.append(text)
+        return text.encode()
+
+    known = T._Known(make)
+    for k in range(1000):
+        assert known[f"new{k}"] == b"new%d" % k and known["often"] == b"often"
+        assert len(known) + len(known.aside) <= 100
+    assert made.count("often") == 1

@@ -32,7 +32,6 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +58,13 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 # The byte-level pre-tokenizer begins a token at every single space between two characters that
 # aren't blank, between a letter and one of these marks, and between a lone line end and a letter.
 _CUT = re.compile(r" (?<=[^\s\u180e] )(?=[^\s\u180e])")
-_INNER = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?\n])|(?<=[A-Za-z.,;:!?]\n)(?=[A-Za-z])")
+_ALPHABET, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?#*$%&"
+_INNER = re.compile(rf"(?<=[{_ALPHABET}])(?=[{_MARKS}\n])|(?<=[{_ALPHABET}{_MARKS}]\n)(?=[{_ALPHABET}])")
 # Letters after one space at most are one token for the model, which reads bytes by their stand-ins.
-_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_STAND_INS = {byte: letter for letter, byte in _byte_letters().items()}
-_SPACE, _MARKS = _STAND_INS[32], ".,;:!?"
+_LETTERS, _STEM = re.compile(f" ?[{_ALPHABET}]+"), re.compile(f"[{_ALPHABET}]+")
+_BYTES = {byte: letter for letter, byte in _byte_letters().items()}
+_STAND_INS = {ord(c): "".join(_BYTES[b] for b in c.encode()) for c in map(chr, range(256)) if _LETTERS.fullmatch(c) or c == " "}
+_SPACE = _BYTES[32]
 
 
 _blank = re.compile(r"[\s\u180e]").match
@@ -74,15 +75,18 @@ class _Blank(Exception):
 
 
 class _Known(dict):
-    """Ids of texts met before; beyond ``WORDS`` of them it begins anew."""
+    """Ids of texts met before, ``WORDS`` at most: when half of them are in it, those met since the last time stay aside."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.aside = make, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.make(text)
+        ids = self.aside.pop(text, None)
+        if ids is None:
+            ids = self.make(text)
         if len(text) <= LONGEST:
-            if len(self) >= WORDS:
+            if len(self) >= WORDS // 2:
+                self.aside = self.copy()
                 self.clear()
             self[text] = ids
         return ids
@@ -96,30 +100,36 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        most = max(self.tokenizer.get_vocab().values(), default=0)
+        self.dtype = np.dtype("<u2" if most < 1 << 16 else "<u4")
+        self.bytes = [x.tobytes() for x in np.arange(most + 1, dtype=self.dtype)]
         self.parts = _Known(self._part)   # by parts that are cut where tokens begin
         self.words = _Known(self._between)   # by words that follow a space, without it, and aren't blank at an end
 
     def _letters(self, stand_ins: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(stand_ins)]).tobytes()
+        return b"".join([self.bytes[t.id] for t in self.model.tokenize(stand_ins)])
 
     def _part(self, part: str) -> bytes:
         if _LETTERS.fullmatch(part):
-            return self._letters(part.encode().decode("latin-1").translate(_STAND_INS))
-        return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+            return self._letters(part.translate(_STAND_INS))
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _between(self, word: str) -> bytes:
+        stem = word.rstrip(_MARKS)
+        plain = stem.isascii()
+        if stem.isalpha() if plain else _STEM.fullmatch(stem):
+            if len(stem) < len(word):
+                return self.words[stem] + self.parts[word[len(stem):]]
+            return self._letters(_SPACE + (stem if plain else stem.translate(_STAND_INS)))
         if not word or _blank(word[0]) or _blank(word[-1]):
             raise _Blank
         return self._word(word)
 
     def _word(self, word: str) -> bytes:
-        stem = word.rstrip(_MARKS)
-        if stem.isascii() and stem.isalpha():
-            head = self._letters(_SPACE + stem) if len(stem) == len(word) else self.words[stem]
-            return head + self.parts[word[len(stem):]] if len(stem) < len(word) else head
-        return b"".join(map(self.parts.__getitem__, _INNER.split(" " + word)))
+        """The ids of a word that follows a space; blanks at its ends belong to it."""
+        first, *rest = _INNER.split(word)
+        head = self.words[first] if _STEM.fullmatch(first) else self.parts[" " + first]
+        return b"".join([head, *map(self.parts.__getitem__, rest)]) if rest else head
 
     def pieces(self, text: str):
         """The ids of ``text`` in order, slice by slice."""
